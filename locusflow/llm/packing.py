@@ -54,10 +54,10 @@ class WordTokenizer:
         self.known: dict[str, np.ndarray] = {}
         self.spaced: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Puts the ids of white-space-free words into the cache."""
         split = {w: _WORDS.findall(w) for w in words}
-        fresh = list({p for parts in split.values() for p in parts} - self.known.keys())
+        fresh = [p for p in {p for parts in split.values() for p in parts} if p not in self.known]
         if len(self.known) + len(fresh) > self.cached:
             self.known.clear()
             fresh = list({p for parts in split.values() for p in parts})
@@ -72,8 +72,6 @@ class WordTokenizer:
             data = ids.tobytes()
             for w, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
                 self.known[w] = data[4 * a : 4 * b]
-        if len(self.spaced) + len(words) > self.cached:
-            self.spaced.clear()
         known = self.known
         self.spaced.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items())
 
@@ -83,17 +81,16 @@ class WordTokenizer:
         odd = [i for i, t in enumerate(texts) if _PLAIN.search(t)]
         for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                words = text.lower().split()
-                found = list(map(self.spaced.get, words))
-                if None in found:
-                    self._learn({w for w, f in zip(words, found, strict=True) if f is None})
-                    found = list(map(self.spaced.get, words))
-                    if None in found:  # the cache was emptied meanwhile
-                        self._learn(set(words))
-                        found = list(map(self.spaced.get, words))
-                out[i] = np.frombuffer(b"".join(found), np.uint32)
+        plain = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
+        words = set().union(*plain.values())
+        if len(self.spaced) + len(words) > self.cached:
+            self.spaced.clear()
+        missing = [w for w in words if w not in self.spaced]
+        if missing:
+            self._learn(missing)
+        get = self.spaced.__getitem__
+        for i, w in plain.items():
+            out[i] = np.frombuffer(b"".join(map(get, w)), np.uint32)
         return out
 
 
