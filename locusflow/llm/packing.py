@@ -56,7 +56,7 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Puts the ids of white-space-free words into the cache."""
-        split = {w: _WORDS.findall(w) for w in words}
+        split = {w: (w,) if w.isalpha() else _WORDS.findall(w) for w in words}
         fresh = [p for p in {p for parts in split.values() for p in parts} if p not in self.known]
         if len(self.known) + len(fresh) > self.cached:
             self.known.clear()
@@ -73,7 +73,7 @@ class WordTokenizer:
             for w, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
                 self.known[w] = data[4 * a : 4 * b]
         known = self.known
-        self.spaced.update((w, b"".join([known[p] for p in parts])) for w, parts in split.items())
+        self.spaced.update((w, known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])) for w, parts in split.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
