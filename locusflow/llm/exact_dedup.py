@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.session import persisted, workers_find_package
@@ -93,8 +93,6 @@ def fingerprint_of_chunks(chunks: DataFrame, key: str, order: str, data: str, fi
     kind = chunks.schema[key].dataType.simpleString()
     source = chunks.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(data).cast("binary").alias("d"))
     rows = source.mapInArrow(hashed, f"k {kind}, o long, h1 long, h2 long, n_bytes long")
-    from pyspark.sql import Window
-
     after = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("k").orderBy(F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.select("k", "h1", "h2", "n_bytes", after.alias("after")).mapInArrow(shifted, f"k {kind}, h1 long, h2 long, n_bytes long")
     return rows.groupBy("k").agg(*((F.sum(c) % f[0]).alias(c) for c, f in zip(("h1", "h2"), fields, strict=True)), F.sum("n_bytes").alias("n_bytes")).withColumnRenamed("k", key)
@@ -138,7 +136,8 @@ def _unequal(source: DataFrame, groups: DataFrame, fields) -> DataFrame:
     several = groups.where("copies > 1").select(*FINGERPRINT, "top")
     chunks = source.mapInArrow(_chunks(fields), f"id {kind}, h1 long, h2 long, n_bytes long, no long, chunk binary")
     members = chunks.join(several, FINGERPRINT)
-    model = members.where(F.col("id").eqNullSafe(F.col("top"))).groupBy(*FINGERPRINT, "no").agg(F.min("chunk").alias("model"))
+    # Written first: a join of two plain exchanges can be split where a group is large.
+    model = persisted(members.where(F.col("id").eqNullSafe(F.col("top"))).groupBy(*FINGERPRINT, "no").agg(F.min("chunk").alias("model")), "models")
     return members.join(model, [*FINGERPRINT, "no"]).where("chunk <> model").select(*FINGERPRINT).distinct()
 
 
@@ -185,7 +184,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns. Rules as in :func:`exact_duplicates`."""
     stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("same_rows").alias("__same"))
     marked = docs.withColumn("__key", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    rows = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
+    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
     once = rows.where("__same = 1").select(*docs.columns)
     tied = rows.where("__same > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
     return once.unionByName(tied)

@@ -48,26 +48,40 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
+#: Bytes that are hashed at a time, which bounds memory for long texts.
+SEGMENT = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, wherever it stands."""
+    if len(data) <= SEGMENT or len(starts) < 2:
+        return _hashes(data, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), SEGMENT)), len(starts)))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        base = starts[i]
+        out[i:j] = _hashes(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
-    power = _powers(n)
+    if not n:
+        return np.empty(0, np.uint64)
     prefix = np.empty(n + 1, np.uint64)
     prefix[0] = 0
     # Highest power first, so that a word's sum is its hash times the power of what follows it.
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[n - 1 :: -1][:n] if n else data.astype(np.uint64), out=prefix[1:])
-    inverse = pow(BYTE_BASE, -1, 1 << 64)
-    total = prefix[ends] - prefix[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n)[n - 1 :: -1], out=prefix[1:])
     # Shift by the bytes after the word: one multiplication by an inverse power.
-    return mix(total * _inverse_powers(n, inverse)[n - ends])
+    return mix((prefix[ends] - prefix[starts]) * _inverse_powers(n)[n - ends])
 
 
 _byte_inverses = [np.ones(1, np.uint64)]
 
 
-def _inverse_powers(n: int, inverse: int) -> np.ndarray:
+def _inverse_powers(n: int) -> np.ndarray:
     if len(_byte_inverses[0]) <= n:
-        step = np.full(2 * n + 1, inverse, np.uint64)
+        step = np.full(2 * n + 1, pow(BYTE_BASE, -1, 1 << 64), np.uint64)
         step[0] = 1
         _byte_inverses[0] = np.cumprod(step, dtype=np.uint64)
     return _byte_inverses[0]
