@@ -9,6 +9,7 @@ from locusflow.llm.exact_dedup import exact_duplicates
 from locusflow.llm.near_dup import near_duplicates
 from locusflow.llm.packing import pack_documents
 from locusflow.llm.topk import exact_top_k
+from locusflow.llm.toxicity import predict, train
 from locusflow.llm.warc import capture_histories
 from locusflow.session import table
 
@@ -78,5 +79,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size", "kept")
 
 
-QUERIES = {"op7_jaccard_join": op7_jaccard_join, "op1_warc": op1_warc, "op4_topk": op4_topk, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op7_jaccard_join": op7_jaccard_join, "op1_warc": op1_warc, "op4_topk": op4_topk, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing}
 ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL}
