@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.exact_dedup import exact_duplicates
 from locusflow.llm.near_dup import near_duplicates
 from locusflow.llm.packing import pack_documents
+from locusflow.llm.substring_dedup import repeated_passages
 from locusflow.llm.topk import exact_top_k
 from locusflow.llm.toxicity import predict, train
 from locusflow.llm.warc import capture_histories
@@ -84,5 +85,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op7_jaccard_join": op7_jaccard_join, "op1_warc": op1_warc, "op4_topk": op4_topk, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "removed_words", F.size("spans").alias("n_spans"), "spans", F.length("clean_text").cast("long").alias("clean_chars"), F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
+
+
+QUERIES = {"op9_substring_dedup": op9_substring_dedup, "op5_toxicity": op5_toxicity, "op7_jaccard_join": op7_jaccard_join, "op1_warc": op1_warc, "op4_topk": op4_topk, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing}
 ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL}

@@ -355,7 +355,8 @@ def capture_histories(pages: DataFrame, captured, revisit_from: int = REVISIT_FR
     entries, runs = write_archives(pages, captured, revisit_from, id_col, url_col, html_col)
     merged = merge_runs(entries, runs, range_rows, fan_in)
     records = read_archives(entries).select("archive", "offset", "payload_bytes", F.col("payload_digest").alias("read_digest"), F.col("record_type").alias("read_type"), "refers_to")
-    rows = merged.join(records, ["archive", "offset"])
+    # Neither side has a size that Spark could know beforehand, so neither may be broadcast.
+    rows = merged.hint("merge").join(records.hint("merge"), ["archive", "offset"])
     return rows.select(F.col("page_id").alias(id_col), "payload_bytes", F.col("read_digest").alias("payload_digest"), F.col("read_type").alias("record_type"), "refers_to", "url_key", "captured", "archive", "offset", "range_no", "place")
 
 
