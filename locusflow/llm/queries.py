@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm.exact_dedup import exact_duplicates
+from locusflow.llm.html_text import main_text
 from locusflow.llm.near_dup import near_duplicates
 from locusflow.llm.packing import pack_documents
 from locusflow.llm.substring_dedup import repeated_passages
 from locusflow.llm.topk import exact_top_k
+from locusflow.llm.sentencepiece import encode_pieces
+from locusflow.llm.token_counts import section_tokens
 from locusflow.llm.toxicity import predict, train
 from locusflow.llm.warc import capture_histories
 from locusflow.session import table
@@ -90,5 +93,31 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "removed_words", F.size("spans").alias("n_spans"), "spans", F.length("clean_text").cast("long").alias("clean_chars"), F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
 
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup, "op5_toxicity": op5_toxicity, "op7_jaccard_join": op7_jaccard_join, "op1_warc": op1_warc, "op4_topk": op4_topk, "op3_exact_dedup": op3_exact_dedup, "op6_packing": op6_packing}
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "decoded_md5", "round_trip")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc,
+        op2_html_text,
+        op3_exact_dedup,
+        op4_topk,
+        op5_toxicity,
+        op6_packing,
+        op7_jaccard_join,
+        op8_token_counts,
+        op9_substring_dedup,
+        op10_sentencepiece,
+    )
+}
 ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL}
