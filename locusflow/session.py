@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _own_dirs: dict[str, str] = {}
@@ -57,6 +58,11 @@ def persisted(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame, *without: str) -> list:
+    """A frame's columns, quoted so that any name will do."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Lets Python workers of a local session import this package; clusters have it installed."""
     sc = spark.sparkContext
