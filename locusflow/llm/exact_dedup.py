@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.session import persisted, workers_find_package
+from locusflow.session import columns_of, persisted, workers_find_package
 
 #: (modulus, base) of the two halves of a fingerprint.
 FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 214_013_011))
@@ -182,9 +182,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rules as in :func:`exact_duplicates`."""
-    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("same_rows").alias("__same"))
-    marked = docs.withColumn("__key", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
-    once = rows.where("__same = 1").select(*docs.columns)
-    tied = rows.where("__same > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__flow_id"), F.col("text_sha256").alias("__flow_sha"), F.col("same_rows").alias("__flow_same"))
+    marked = docs.withColumn("__flow_key", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
+    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__flow_id")) & (F.col("__flow_key") == F.col("__flow_sha")))
+    once = rows.where("__flow_same = 1").select(*columns_of(docs))
+    tied = rows.where("__flow_same > 1").dropDuplicates(["__flow_id", "__flow_sha"]).select(*columns_of(docs))
     return once.unionByName(tied)

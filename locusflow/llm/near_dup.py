@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.components import components
 from locusflow.llm.ngrams import N, mix, ngram_hashes
-from locusflow.session import persisted, workers_find_package
+from locusflow.session import columns_of, persisted, workers_find_package
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares at least one band with this probability at least.
@@ -251,9 +251,9 @@ def _links(source: DataFrame, classes: DataFrame, near: DataFrame, similarity: f
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rules as in :func:`near_duplicates`."""
-    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id"), F.col("sha").alias("__sha"), F.col("same_rows").alias("__same"))
-    marked = docs.withColumn("__key", F.unhex(F.sha2(F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)))
-    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
-    once = rows.where("__same = 1").select(*docs.columns)
-    tied = rows.where("__same > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__flow_id"), F.col("sha").alias("__flow_sha"), F.col("same_rows").alias("__flow_same"))
+    marked = docs.withColumn("__flow_key", F.unhex(F.sha2(F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)))
+    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__flow_id")) & (F.col("__flow_key") == F.col("__flow_sha")))
+    once = rows.where("__flow_same = 1").select(*columns_of(docs))
+    tied = rows.where("__flow_same > 1").dropDuplicates(["__flow_id", "__flow_sha"]).select(*columns_of(docs))
     return once.unionByName(tied)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.llm.ngrams import WORD_BASE, mix, word_hashes
-from locusflow.session import persisted, workers_find_package
+from locusflow.session import columns_of, persisted, workers_find_package
 
 #: Words on either side among which a cut's hash must be the smallest: inner chunks have REACH + 1 words at least.
 REACH = 4
@@ -174,7 +174,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(number, pa.int32()), pa.array(side, pa.bool_()), pa.array(words, pa.list_(pa.int64()))], [*KEY, "no", "left", "near"])
 
 
-def _cut(min_words: int):
+def _cut():
     """Takes the spans out of each text and reports them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +205,7 @@ def _cut(min_words: int):
                     clean[i] = b"".join([*keep, texts[i][at:]]).decode()
                     removed[i] = int(taken.sum())
                 kind = pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64()), ("words", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*KEY, "clean_text", "removed_words", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind), part.column(4)], ["id", "clean_text", "removed_words", "spans", "rest"])
 
     return run
 
@@ -216,15 +216,8 @@ def _with_lists(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> D
     return texts.alias("t").join(lists.alias("l"), F.col("t.id").eqNullSafe(F.col("l.id")) & (F.col("t.h") == F.col("l.h")), how)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per input row: (id_col, clean_text, removed_words, spans), spans with start_byte, end_byte and words.
-
-    A word is a run of characters that aren't ASCII white space, and words are equal if their characters are. A repeat is
-    found if it holds a whole chunk, which a passage of 50 words practically always does. White space after a removed
-    span goes with it. The order of occurrences is by id (null first), then by a hash of the text, then by place; rows
-    that tie in id and text count as one text and come out alike. A null text counts as empty and stays empty. Other
-    columns are ignored; no input rows give no rows. A passage that a text repeats within itself is cut there, too.
-    """
+def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Rows (id, clean_text, removed_words, spans, rest); rest are columns that are handed through."""
     spark = docs.sparkSession
     workers_find_package(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -260,6 +253,32 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = grown.where(F.col("words") + F.col("before") + F.col("after") >= min_words)
     cut_lists = persisted(spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "before", "after")).alias("cut")), "cuts")
     entries = cut_lists.agg(F.sum(F.size("cut"))).first()[0] or 0
-    rows = _with_lists(source, cut_lists, entries, "left").select("t.id", "t.h", "t.text", "l.cut")
-    out = rows.mapInArrow(_cut(min_words), f"id {kind}, h long, clean_text string, removed_words long, spans array<struct<start_byte:long,end_byte:long,words:long>>")
-    return out.drop("h").withColumnRenamed("id", id_col)
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.struct(*rest).alias("rest"))
+    rows = _with_lists(whole, cut_lists, entries, "left").select("t.id", "t.h", "t.text", "l.cut", "t.rest")
+    kind_of_rest = whole.schema["rest"].dataType.simpleString()
+    out = rows.mapInArrow(_cut(), f"id {kind}, clean_text string, removed_words long, spans array<struct<start_byte:long,end_byte:long,words:long>>, rest {kind_of_rest}")
+    return out
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per input row: (id_col, clean_text, removed_words, spans), spans with start_byte, end_byte and words.
+
+    A word is a run of characters that aren't ASCII white space, and words are equal if their characters are. A repeat is
+    found if it holds a whole chunk, which a passage of 50 different words practically always does; a run of one repeated
+    word has no cuts inside. White space after a removed span goes with it. The order of occurrences is by id (null
+    first), then by a hash of the text, then by place; rows that tie in id and text count as one text and come out alike.
+    A null text counts as empty and stays empty. Other columns are ignored; no input rows give no rows. A passage that a
+    text repeats within itself is cut there, too.
+    """
+    return _cleaned(docs, [F.lit(0).alias("none")], id_col, text_col, min_words).drop("rest").withColumnRenamed("id", id_col)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, length_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with repeats cut out of their texts, by the rules of :func:`repeated_passages`.
+
+    A null text stays null. ``length_col``, if named, gets the new length in code points. All else stays as it is.
+    """
+    out = _cleaned(docs, [F.struct(*columns_of(docs, text_col)).alias("columns"), F.col(text_col).isNull().alias("null")], id_col, text_col, min_words)
+    clean = F.when(~F.col("rest.null"), F.col("clean_text"))
+    new = {text_col: clean} | ({length_col: F.length(clean).cast(docs.schema[length_col].dataType)} if length_col else {})
+    return out.select(*((new[c] if c in new else F.col(f"rest.columns.`{c}`")).alias(c) for c in docs.columns))
