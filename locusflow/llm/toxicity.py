@@ -165,7 +165,9 @@ def keep_harmless(docs: DataFrame, model: Ordinal, text_col: str = "text", rejec
             above = score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(above[:, 0] < reject_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Plain names on the way through Arrow, whatever the columns are called.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def _scores(model: Ordinal):
