@@ -1,6 +1,7 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A gear hash, ``h = (h << 4) + G[byte]``, is rolled over the text's bytes and so sees the last 16 of them. A chunk begins at
+A gear hash, ``h = (h << 4) + G[byte]``, is rolled over the text's bytes and so sees the last 16 of them; white space
+between words counts as one space. A chunk begins at
 a word whose hash is the smallest among some words on either side: cuts depend on nearby content only, and an insertion
 shifts nothing but its surroundings. Chunks are deduplicated by digest. A run of neighbouring chunks that all occurred
 before is a repeat, and its ends are refined to words by comparing it with the place where it occurred first. Repeats of
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusflow.llm.ngrams import WORD_BASE, mix, word_hashes
 from locusflow.session import columns_of, persisted, workers_find_package
@@ -35,6 +37,7 @@ _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
 KEY = ["id", "h"]
+SPANS = T.ArrayType(T.StructType().add("start_byte", "long").add("end_byte", "long").add("words", "long"))
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -74,13 +77,19 @@ class Chunks:
         self.digests = self._digests()
 
     def _scores(self, data: np.ndarray) -> np.ndarray:
-        """The rolling hash before each word (white space counts as it is)."""
-        out = np.empty(len(self.starts), np.uint64)
-        for at in range(0, len(data), STEP_BYTES):
-            a, b = np.searchsorted(self.starts, [at, at + STEP_BYTES])
+        """The rolling hash before each word, over words with one space between them, whatever white space there is."""
+        space = _SPACE[data]
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[(self.begins[:, None] - np.arange(1, WINDOW + 1)[None, :]).ravel()] = True
+        plain = np.where(space, np.uint8(32), data)[keep]
+        starts = np.cumsum(keep)[self.starts] - 1
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(plain), STEP_BYTES):
+            a, b = np.searchsorted(starts, [at, at + STEP_BYTES])
             if a < b:
                 begin = max(0, at - WINDOW)
-                out[a:b] = gear_hashes(data[begin : at + STEP_BYTES])[np.maximum(self.starts[a:b] - 1 - begin, 0)]
+                out[a:b] = gear_hashes(plain[begin : at + STEP_BYTES])[np.maximum(starts[a:b] - 1 - begin, 0)]
         return mix(out)
 
     def _cuts(self, scores: np.ndarray, reach: int) -> np.ndarray:
@@ -174,40 +183,36 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(number, pa.int32()), pa.array(side, pa.bool_()), pa.array(words, pa.list_(pa.int64()))], [*KEY, "no", "left", "near"])
 
 
-def _cut():
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Takes the spans out of each text and reports them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _pieces(batch, 2):
-                texts, asked = part.column(2).to_pylist(), part.column(3).to_pylist()
-                some = [i for i, s in enumerate(asked) if s]
-                c = Chunks([texts[i] for i in some])
-                bounds = np.searchsorted(c.cuts, c.first)
-                spans: list[list] = [[] for _ in texts]
-                removed = [0] * len(texts)
-                clean = [t.decode() for t in texts]
-                for k, i in enumerate(some):
-                    taken = np.zeros(c.first[k + 1] - c.first[k], bool)
-                    for s in asked[i]:
-                        last = bounds[k] + s["b"]
-                        begin = max(c.cuts[bounds[k] + s["a"]] - s["before"], c.first[k]) - c.first[k]
-                        end = c.cuts[last] + c.sizes[last] + s["after"] - c.first[k]
-                        taken[begin:end] = True
-                    turns = np.flatnonzero(np.diff(np.concatenate([[0], taken.view(np.int8), [0]])))
-                    keep, at = [], 0
-                    for a, b in zip(turns[::2], turns[1::2], strict=True):
-                        x = int(c.starts[c.first[k] + a] - c.begins[k])
-                        y = int(c.starts[c.first[k] + b] - c.begins[k]) if b < len(taken) else len(texts[i])
-                        spans[i].append({"start_byte": x, "end_byte": y, "words": int(b - a)})
-                        keep.append(texts[i][at:x])
-                        at = y
-                    clean[i] = b"".join([*keep, texts[i][at:]]).decode()
-                    removed[i] = int(taken.sum())
-                kind = pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64()), ("words", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind), part.column(4)], ["id", "clean_text", "removed_words", "spans", "rest"])
-
-    return run
+    for batch in batches:
+        for part in _pieces(batch, 2):
+            texts, asked = part.column(2).to_pylist(), part.column(3).to_pylist()
+            some = [i for i, s in enumerate(asked) if s]
+            c = Chunks([texts[i] for i in some])
+            bounds = np.searchsorted(c.cuts, c.first)
+            spans: list[list] = [[] for _ in texts]
+            removed = [0] * len(texts)
+            clean = [t.decode() for t in texts]
+            for k, i in enumerate(some):
+                taken = np.zeros(c.first[k + 1] - c.first[k], bool)
+                for s in asked[i]:
+                    last = bounds[k] + s["b"]
+                    begin = max(c.cuts[bounds[k] + s["a"]] - s["before"], c.first[k]) - c.first[k]
+                    end = c.cuts[last] + c.sizes[last] + s["after"] - c.first[k]
+                    taken[begin:end] = True
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], taken.view(np.int8), [0]])))
+                keep, at = [], 0
+                for a, b in zip(turns[::2], turns[1::2], strict=True):
+                    x = int(c.starts[c.first[k] + a] - c.begins[k])
+                    y = int(c.starts[c.first[k] + b] - c.begins[k]) if b < len(taken) else len(texts[i])
+                    spans[i].append({"start_byte": x, "end_byte": y, "words": int(b - a)})
+                    keep.append(texts[i][at:x])
+                    at = y
+                clean[i] = b"".join([*keep, texts[i][at:]]).decode()
+                removed[i] = int(taken.sum())
+            kind = pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64()), ("words", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind), part.column(4)], ["id", "clean_text", "removed_words", "spans", "rest"])
 
 
 def _with_lists(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
@@ -255,9 +260,8 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
     entries = cut_lists.agg(F.sum(F.size("cut"))).first()[0] or 0
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.struct(*rest).alias("rest"))
     rows = _with_lists(whole, cut_lists, entries, "left").select("t.id", "t.h", "t.text", "l.cut", "t.rest")
-    kind_of_rest = whole.schema["rest"].dataType.simpleString()
-    out = rows.mapInArrow(_cut(), f"id {kind}, clean_text string, removed_words long, spans array<struct<start_byte:long,end_byte:long,words:long>>, rest {kind_of_rest}")
-    return out
+    shape = T.StructType().add(whole.schema["id"]).add("clean_text", "string").add("removed_words", "long").add("spans", SPANS).add(whole.schema["rest"])
+    return rows.mapInArrow(_cut, shape)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
