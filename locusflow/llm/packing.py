@@ -21,8 +21,8 @@ from locusflow.session import workers_find_package
 
 WINDOW = 4096
 END_ID = 2
-#: A tokenizer's cache is emptied when it holds this many words.
-CACHED_WORDS = 400_000
+#: A tokenizer keeps the ids of so many words, and of as many that it used before them.
+CACHED_WORDS = 600_000
 #: A sequence's id holds its bucket, the task that made it and a running number of that many bits.
 TASK_BITS, NUMBER_BITS = 24, 34
 
@@ -31,6 +31,7 @@ SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens lon
 #: Characters for which lower-casing and composition never depend on their neighbours.
 _PLAIN = re.compile("[^\t-\r -~\xa0-ɏ]")
 #: The split of the public vocabulary's pre-tokenizer, for such characters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 
 
@@ -51,29 +52,47 @@ class WordTokenizer:
         size = self.whole.get_vocab_size()
         self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cached = cached
-        self.known: dict[str, np.ndarray] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Puts the ids of white-space-free words into the cache."""
-        split = {w: (w,) if w.isalpha() else _WORDS.findall(w) for w in words}
-        fresh = [p for p in {p for parts in split.values() for p in parts} if p not in self.known]
-        if len(self.known) + len(fresh) > self.cached:
-            self.known.clear()
-            fresh = list({p for parts in split.values() for p in parts})
+        """Puts the ids of white-space-free words into the cache.
+
+        Letters are one word to the tokenizer and so are the marks after them, which covers most words; the others are
+        split as the tokenizer would.
+        """
+        known = self.known
+        letters = [w for w in words if w.isalpha()]
+        fresh = set(letters)
+        ended, split = [], []
+        for w in words:
+            if not w.isalpha():
+                stem = w.rstrip(MARKS)
+                if stem.isalpha():
+                    ended.append((w, stem, w[len(stem) :]))
+                    fresh.add(stem)
+                    fresh.add(w[len(stem) :])
+                else:
+                    parts = _WORDS.findall(w)
+                    split.append((w, parts))
+                    fresh.update(parts)
+        fresh = [w for w in fresh if w not in known]
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
             ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):  # a word was split in another way: one at a time, then
                 for w in some:
-                    self.known[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+                    known[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
                 continue
-            data = ids.tobytes()
-            for w, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                self.known[w] = data[4 * a : 4 * b]
-        known = self.known
-        self.spaced.update((w, known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])) for w, parts in split.items())
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(some, (4 * cuts).tolist(), strict=True):
+                known[w] = data[begin:end]
+                begin = end
+        for w, stem, marks in ended:
+            known[w] = known[stem] + known[marks]
+        for w, parts in split:
+            known[w] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
@@ -83,12 +102,16 @@ class WordTokenizer:
             out[i] = np.array(e.ids, np.uint32)
         plain = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
         words = set().union(*plain.values())
-        if len(self.spaced) + len(words) > self.cached:
-            self.spaced.clear()
-        missing = [w for w in words if w not in self.spaced]
+        if len(self.known) + len(words) > self.cached:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        if older:
+            known.update((w, older[w]) for w in missing if w in older)
+            missing = [w for w in missing if w not in older]
         if missing:
             self._learn(missing)
-        get = self.spaced.__getitem__
+        get = known.__getitem__
         for i, w in plain.items():
             out[i] = np.frombuffer(b"".join(map(get, w)), np.uint32)
         return out
