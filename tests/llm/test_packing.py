@@ -21,7 +21,7 @@ def plain():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcdeABC 's ll\n\t.,;!?_-'éñßÀ²½ªº0123İ\xa0\x85\x1c"), st.characters()), max_size=60), max_size=8))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcdeABC 's ll\n\t.,;!?_-'éñßÀ²½ªº0123İ\xa0\x85\x1c"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=8))
 def test_ids_are_the_tokenizer_s(texts):
     from tokenizers import Tokenizer
 
