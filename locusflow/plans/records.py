@@ -26,7 +26,7 @@ def sorted_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 INTERVALS_SQL = """iv AS (SELECT o_custkey % 50 AS k, (o_orderkey * 97) % 80000 AS a, (o_orderkey * 97) % 80000 + 30 + o_orderkey % 400 AS b FROM orders WHERE o_orderkey % 20 = 0),
-pt AS (SELECT event_id, user_id % 50 AS k, CAST(floor(epoch(ts)) AS BIGINT) % 80000 AS at FROM events)"""
+pt AS (SELECT event_id, user_id % 50 AS k, CAST(floor(epoch(ts)) AS BIGINT) % 80000 AS sec FROM events)"""
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -34,10 +34,10 @@ def _intervals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where(k % 20 == 0).select((F.col("o_custkey") % 50).alias("k"), ((k * 97) % 80000).alias("a"), ((k * 97) % 80000 + 30 + k % 400).alias("b"))
 
 
-@query(f"WITH {INTERVALS_SQL} SELECT event_id, k, at FROM pt WHERE EXISTS (SELECT 1 FROM iv WHERE iv.k = pt.k AND at >= a AND at < b)")
+@query(f"WITH {INTERVALS_SQL} SELECT event_id, k, sec FROM pt WHERE EXISTS (SELECT 1 FROM iv WHERE iv.k = pt.k AND sec >= a AND sec < b)")
 def interval_semi(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("k"), (epoch_seconds(F.col("ts")) % 80000).alias("at"))
-    return intervals.interval_semi(points, "k", "at", _intervals(spark, d), "k", "a", "b", 512)
+    points = table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("k"), (epoch_seconds(F.col("ts")) % 80000).alias("sec"))
+    return intervals.interval_semi(points, "k", "sec", _intervals(spark, d), "k", "a", "b", 512)
 
 
 @query(f"WITH {INTERVALS_SQL} SELECT k, CAST(sum(greatest(least(b, 60000) - greatest(a, 10000), 0)) AS BIGINT) AS bases FROM iv GROUP BY k")
