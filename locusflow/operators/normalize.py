@@ -48,8 +48,7 @@ def left_align(pos: int, ref: str, alt: str, base_before) -> tuple[int, str, str
     while ref != alt and ref and alt and ref[-1] == alt[-1]:
         if len(ref) > 1 and len(alt) > 1:
             ref, alt = ref[:-1], alt[:-1]
-        elif pos > 1:
-            b = base_before(pos - 1)
+        elif pos > 1 and (b := base_before(pos - 1)):
             pos, ref, alt = pos - 1, b + ref[:-1], b + alt[:-1]
         else:
             break
@@ -73,7 +72,7 @@ def align_indels(records: DataFrame, context: str = "before") -> DataFrame:
             for r in rows:
                 before, start = r[context] or "", r["pos"]
                 floor = start - len(before)
-                r["pos"], r["ref"], r["alt"] = left_align(start, r["ref"], r["alt"], lambda p, b=before, f=floor: b[p - f]) if before else (start, r["ref"], r["alt"])
+                r["pos"], r["ref"], r["alt"] = left_align(start, r["ref"], r["alt"], lambda p, b=before, f=floor: b[p - f] if p >= f else "") if before else (start, r["ref"], r["alt"])
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
     fixed = records.where(indel).mapInArrow(run, records.schema)

@@ -52,7 +52,7 @@ def population_site_stats(calls: DataFrame, samples: DataFrame, sites: DataFrame
     every = sites.withColumn("population", F.explode(F.array(*map(F.lit, names)))) if names else sites.withColumn("population", F.lit("")).limit(0)
     counts = _counted(calls.join(samples, "sample"), "rec", "population")
     out = every.join(counts, ["rec", "population"], "left").fillna(0, list(g.COUNTS))
-    return out.select(*sites.columns, "population", *g.COUNTS, *heterozygosity(digits)[1:])
+    return out.select(*sites.columns, "population", *g.COUNTS, *heterozygosity(digits))
 
 
 def population_stats(by_site: DataFrame, digits: int | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def _by_site(spark: SparkSession, d: str, digits: int | None) -> DataFrame:
     return stats.population_site_stats(v.classified(spark, d), v.populations(spark, d), _eligible(spark, d).select("rec", "contig", "pos"), digits)
 
 
-@query(f"WITH {BY_SITE} SELECT *, {FREQ} FROM z")
+@query(f"WITH {BY_SITE} SELECT *, {HET}, {FREQ} FROM z")
 def population_site_stats(spark: SparkSession, d: str) -> DataFrame:
     return _by_site(spark, d, D)
 

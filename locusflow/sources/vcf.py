@@ -7,6 +7,7 @@ record's byte offset: in order, but not dense). Gzip can't be split, so large fi
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -69,7 +70,7 @@ def parse_header(lines: list[str], path: str) -> Header:
     if columns[0] != "#CHROM" or len(columns) < 8:
         raise FormatError(f"{path}: no column line")
     h = Header(columns[9:], lines=lines, size=sum(len(x.encode()) + 1 for x in lines))
-    if not h.samples:
+    if not all(h.samples) or not h.samples:
         raise FormatError(f"{path}: no samples")
     if len(set(h.samples)) != len(h.samples):
         raise FormatError(f"{path}: a sample occurs twice")
@@ -291,7 +292,7 @@ class VcfReader(DataSourceReader):
                     rec += 1
             return
         fs, p = files.open_uri(part.path)
-        with fs.open_input_file(p) as f:
+        with io.BufferedReader(fs.open_input_file(p), 1 << 20) as f:
             # A line belongs to the part in which it begins.
             at = part.begin
             if at:
@@ -368,7 +369,7 @@ def write_vcf(variants: DataFrame, header: Header, path: str) -> None:
         first = True
         for batch in batches:
             if first:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([head])], schema=batch.schema)
                 first = False
             yield batch
 
