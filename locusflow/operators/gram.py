@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import workers_find_package
+from locusflow.session import prepare_workers
 
 
 def gram(rows: DataFrame, vector: str) -> DataFrame:
@@ -18,7 +18,7 @@ def gram(rows: DataFrame, vector: str) -> DataFrame:
     Each task multiplies its rows as a matrix and gives back its sum once, so the size of what moves is tasks times the
     matrix, whatever the number of rows.
     """
-    workers_find_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.operators.packed import MISSING, unpack
-from locusflow.session import workers_find_package
+from locusflow.session import prepare_workers
 
 
 def pairwise_r2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def ld_pairs(markers: DataFrame, window: int = 50, least: float = 0.2) -> DataFr
     markers: contig, rank, marker, data (packed dosages over samples). A band join: each stretch of ``window`` ranks is a
     task that also gets the next stretch, so a marker travels twice, however long the contig is.
     """
-    workers_find_package(markers.sparkSession)
+    prepare_workers(markers.sparkSession)
     block = F.floor(F.col("rank") / window).cast("int")
     rows = markers.select("contig", "rank", "marker", "data", F.explode(F.array(block, block - 1)).alias("stretch")).where("stretch >= 0")
 

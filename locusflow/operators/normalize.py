@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import workers_find_package
+from locusflow.session import prepare_workers
 
 
 def remap(gt: Column, allele: Column) -> Column:
@@ -62,7 +62,7 @@ def align_indels(records: DataFrame, context: str = "before") -> DataFrame:
 
     SNPs pass through without Python; an indel shifts as far as its context reaches.
     """
-    workers_find_package(records.sparkSession)
+    prepare_workers(records.sparkSession)
     indel = (F.length("ref") != 1) | (F.length("alt") != 1)
     columns = records.columns
 

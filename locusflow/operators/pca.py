@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.operators.packed import MISSING, unpack
-from locusflow.session import workers_find_package
+from locusflow.session import prepare_workers
 
 #: Exact components need the relationship matrix on one machine; beyond so many samples they are refused.
 MAX_SAMPLES = 5000
@@ -59,7 +59,7 @@ def principal_components(markers: DataFrame, samples: list, pcs: int = 10) -> Co
     n = len(samples)
     if not 3 <= n <= MAX_SAMPLES or not 1 <= pcs < n:
         raise ValueError(f"{n} samples and {pcs} components: need 3 to {MAX_SAMPLES} samples and fewer components")
-    workers_find_package(markers.sparkSession)
+    prepare_workers(markers.sparkSession)
     parts = markers.select("data").mapInArrow(_gram, "i int, row array<double>, markers long")
     added = parts.select("i", "markers", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("markers").alias("m"))
     rows = added.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("row"), F.max("m").alias("m")).orderBy("i").collect()
@@ -74,7 +74,7 @@ def principal_components(markers: DataFrame, samples: list, pcs: int = 10) -> Co
 def residuals(markers: DataFrame, found: Components) -> np.ndarray:
     """|C v - value v| / value of each component, from products with the genotypes and never the matrix itself."""
     vectors = found.vectors
-    workers_find_package(markers.sparkSession)
+    prepare_workers(markers.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(vectors)

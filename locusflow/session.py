@@ -63,10 +63,23 @@ def columns_of(df: DataFrame, *without: str) -> list:
     return [F.col(f"`{c}`") for c in df.columns if c not in without]
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package; clusters have it installed."""
+#: Bytes of rows that a Python worker gets at a time: with several workers on an executor, batches are what takes memory.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Sees to it that Python workers can import this package and get rows in small batches.
+
+    Clusters have the package installed; a local session is told where it is. A smaller batch that the session asks for
+    is left alone.
+    """
     sc = spark.sparkContext
     if sc.master.startswith("local["):
         known = sc.environment.get("PYTHONPATH", "")
         if ROOT not in known.split(os.pathsep):
             sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    now = spark.conf.get(_BATCH, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    if not digits or not (now or "").rstrip("bB").isdigit() or not 0 < int(digits) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))

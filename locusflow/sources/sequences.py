@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from locusflow.session import workers_find_package
+from locusflow.session import prepare_workers
 from locusflow.sources import files
 from locusflow.sources.files import FormatError
 
@@ -221,7 +221,7 @@ BamSource = _source("bam", ALIGNMENTS, _bam_rows)
 
 
 def _load(spark: SparkSession, source: type[DataSource], path: str, **options) -> DataFrame:
-    workers_find_package(spark)
+    prepare_workers(spark)
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(**options).load(path)
 

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from locusflow.sources import files
 from locusflow.sources.files import FormatError
-from locusflow.session import workers_find_package
+from locusflow.session import prepare_workers
 
 CALL = "struct<gt:array<int>,phased:boolean,dp:int,gq:int>"
 SCHEMA = f"rec long, contig string, contig_rank int, pos long, id string, ref string, alts array<string>, qual double, filters array<string>, info map<string,string>, calls array<{CALL}>"
@@ -331,7 +331,7 @@ class VcfSource(DataSource):
 
 def read_variants(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame, Header]:
     """(records, samples (idx, sample), header) of a file."""
-    workers_find_package(spark)
+    prepare_workers(spark)
     spark.dataSource.register(VcfSource)
     h = read_header(path)
     samples = spark.createDataFrame(list(enumerate(h.samples)), "idx int, sample string")
@@ -363,7 +363,7 @@ def write_vcf(variants: DataFrame, header: Header, path: str) -> None:
     spark = variants.sparkSession
     body = variants.repartitionByRange(F.col("contig_rank"), F.col("pos"), F.col("rec")).sortWithinPartitions("contig_rank", "pos", "rec").select(vcf_lines(variants).alias("value"))
     head = "\n".join(header.lines)
-    workers_find_package(spark)
+    prepare_workers(spark)
 
     def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
