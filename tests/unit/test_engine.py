@@ -1,0 +1,161 @@
+import itertools
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from locusflow.operators import acquire, evaluate, intervals, sets
+from locusflow.plans import workflow as w
+from locusflow.streaming import counts as stream
+
+
+def test_driver_contract(spark):
+    known, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(oracles) <= set(known) and len(known) >= 45
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+CALLS = "contig string, pos long, ref string, alt string, gt string"
+
+
+def test_evaluation(spark):
+    truth = [("1", 1, "A", "C", "0/1"), ("1", 2, "A", "C", "1|1"), ("1", 3, "A", "C", "0/1"), ("1", 4, "A", "C,G", "1/2"), ("1", 5, "A", "C", "0/1"), ("1", 5, "A", "G", "0/1"), ("1", 6, "A", "C", "0/0")]
+    calls = [("1", 1, "A", "C", "1/0"), ("1", 2, "A", "C", "0/1"), ("1", 4, "A", "C", "0/1"), ("1", 5, "A", "C", "0/1"), ("1", 7, "A", "T", "1/1")]
+    t, c = spark.createDataFrame(truth, CALLS), spark.createDataFrame(calls, CALLS)
+    r = evaluate.evaluate(t, c).first()
+    assert (r["true_positive"], r["false_positive"], r["false_negative"], r["genotype_match"]) == (2, 1, 1, 1)
+    assert (r["precision"], r["recall"], r["f1"], r["concordance"]) == (0.666667, 0.666667, 0.666667, 0.5)
+    own = evaluate.evaluate(t, t).first()
+    assert own["f1"] == own["precision"] == own["recall"] == own["concordance"] == 1.0
+    none = evaluate.evaluate(t.where("false"), t.where("false")).first()
+    assert none["precision"] is None and none["f1"] is None
+
+
+def test_intervals(spark):
+    points = spark.createDataFrame([(k, p) for k in "ab" for p in range(0, 60)], "k string, p long")
+    spans = [("a", 3, 9), ("a", 8, 30), ("b", 0, 1), ("b", 50, 50), ("c", 1, 9)]
+    out = intervals.interval_semi(points, "k", "p", spark.createDataFrame(spans, "c string, s long, e long"), "c", "s", "e", 7)
+    assert sorted(map(tuple, out.collect())) == [(k, p) for k in "ab" for p in range(60) if any(c == k and s <= p < e for c, s, e in spans)]
+
+
+def test_sets_and_budgets(spark):
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
+    assert tuple(sets.identity(a, b, ["k"]).first()) == (1, 1, 1)
+    with pytest.raises(sets.GateError):
+        sets.require_equal(a, b, ["k"], "sets")
+    with pytest.raises(sets.GateError):
+        sets.require_unique(a, ["k"], "keys")
+    sets.require_unique(b, ["k"], "keys")
+    rows = [(i, i % 7) for i in range(50)]
+    out = sets.running_budget(spark.createDataFrame(rows, "i long, n long"), "n", "i", 60, stretch=8)
+    assert [r["running"] for r in out.orderBy("i").collect()] == list(itertools.accumulate(n for _, n in rows))
+
+
+def test_catalogue(spark):
+    good = ("ERR000001", "S1", "X", "P", "PAIRED", "h/a_1.fastq.gz;h/a_2.fastq.gz", "0" * 32 + ";" + "f" * 32, "10;25")
+    bad = ("run", "", "X", "P", "SINGLE", "h/a_2.fastq.gz", "zz", "0")
+    report = spark.createDataFrame([good, bad], ", ".join(f"{c} string" for c in acquire.REPORT))
+    out = acquire.catalogue(report)
+    assert [r["problems"] for r in out.orderBy("run_accession").collect()] == [[], ["run", "sample", "layout", "files", "mates", "md5", "bytes"]]
+    files = acquire.manifest(out, spark.createDataFrame([("S1", "I1")], "sample_accession string, individual string"))
+    assert sorted((r["mate"], r["name"], r["bytes"], r["individual"]) for r in files.collect()) == [(1, "a_1.fastq.gz", 10, "I1"), (2, "a_2.fastq.gz", 25, "I1")]
+    parts = acquire.chunks(files, "bytes", 10).orderBy("mate", "first").select("mate", "first", "last").collect()
+    assert [tuple(p) for p in parts] == [(1, 0, 9), (2, 0, 9), (2, 10, 19), (2, 20, 24)]
+    with pytest.raises(ValueError, match="fastq_md5"):
+        acquire.catalogue(report.drop("fastq_md5"))
+
+
+# ---- workflow
+
+
+def stage(log, name, **kw):
+    def run(inputs, out):
+        log.append(name)
+        with open(os.path.join(out, "data.txt"), "w") as f:
+            f.write(name + "".join(open(os.path.join(p, "data.txt")).read() for _, p in sorted(inputs.items())) + str(kw.get("params", "")))
+
+    return w.Stage(name, run, **kw)
+
+
+def flow(folder, log, threshold=1):
+    return w.Workflow(folder, [stage(log, "a"), stage(log, "b", depends_on=["a"], params={"t": threshold}), stage(log, "c", depends_on=["b"]), stage(log, "d", depends_on=["a"])])
+
+
+def test_only_what_changed_runs_again(tmp_path):
+    log: list[str] = []
+    first = flow(tmp_path, log).run()
+    assert log == ["a", "b", "d", "c"] or log == ["a", "b", "c", "d"]
+    log.clear()
+    assert flow(tmp_path, log).run()["ran"] == [] == log
+    assert sorted(flow(tmp_path, log, 2).run()["ran"]) == ["b", "c"] and sorted(log) == ["b", "c"]
+    log.clear()
+    path = os.path.join(flow(tmp_path, log, 2).run()["results"]["a"], "data.txt")
+    with open(path, "a") as f:
+        f.write("x")
+    assert sorted(flow(tmp_path, log, 2).run()["ran"]) == ["a", "b", "c", "d"]
+    assert os.path.isdir(first["results"]["a"])
+    again = flow(tmp_path, log, 2).run()["results"]["d"]
+    stamp = os.stat(os.path.join(again, "data.txt"))
+    with open(os.path.join(again, "data.txt"), "r+") as f:
+        f.write("Z")
+    os.utime(os.path.join(again, "data.txt"), ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    assert flow(tmp_path, log, 2).run()["ran"] == []
+    assert flow(tmp_path, log, 2).run(verify=True)["ran"] == ["d"]
+
+
+def test_input_files_count(tmp_path):
+    source = tmp_path / "in.txt"
+    source.write_text("1")
+    log: list[str] = []
+    make = lambda: w.Workflow(tmp_path / "w", [stage(log, "a", inputs=[str(source)])])
+    make().run()
+    make().run()
+    time.sleep(0.01)
+    source.write_text("2")
+    make().run()
+    assert log == ["a", "a"]
+
+
+def test_failures_publish_nothing(tmp_path):
+    def broken(inputs, out):
+        open(os.path.join(out, "half"), "w").close()
+        raise RuntimeError("no")
+
+    flow_ = w.Workflow(tmp_path, [w.Stage("a", broken)])
+    with pytest.raises(RuntimeError):
+        flow_.run()
+    assert not os.listdir(tmp_path / "attempts") and not (tmp_path / "results" / "a").exists()
+
+
+@pytest.mark.parametrize("tasks", [{"a": ["b"]}, {"a": ["b"], "b": ["a"]}, {"a": ["a"]}, {"A b": []}])
+def test_bad_plans(tasks):
+    with pytest.raises(w.WorkflowError):
+        w.ordered(tasks)
+
+
+def test_locks_and_publishing(tmp_path):
+    with w.locked(str(tmp_path)), pytest.raises(w.WorkflowError), w.locked(str(tmp_path)):
+        pass
+    for name in ("new", "old"):
+        (tmp_path / name).mkdir()
+    with pytest.raises(w.WorkflowError):
+        w.publish(str(tmp_path / "new"), str(tmp_path / "old"))
+    w.publish(str(tmp_path / "new"), str(tmp_path / "old"), replace=True)
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["old"]
+
+
+def test_stream_totals(spark, tmp_path):
+    rows = [(r, f"s{r % 3}", ("0/1", "1/1", "./.", "1")[r % 4], 20, 50) for r in range(40)]
+    frame = spark.createDataFrame(rows, stream.CALLS)
+    for part in range(3):
+        frame.where(F.col("rec") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream.count_stream(stream.call_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp"), 10, 20)
+        query.awaitTermination()
+    got = {r["sample"]: (r["called"], r["missing"], r["unsupported_ploidy"], r["alt_alleles"]) for r in stream.totals(spark, str(tmp_path / "out")).collect()}
+    want = {}
+    for s in range(3):
+        mine = [g for r, n, g, _, _ in rows if n == f"s{s}"]
+        want[f"s{s}"] = (sum(g in ("0/1", "1/1") for g in mine), mine.count("./."), mine.count("1"), mine.count("0/1") + 2 * mine.count("1/1"))
+    assert got == want
