@@ -64,7 +64,7 @@ def columns_of(df: DataFrame, *without: str) -> list:
 
 
 #: Bytes of rows that a Python worker gets at a time: with several workers on an executor, batches are what takes memory.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
