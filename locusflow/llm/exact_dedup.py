@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.session import columns_of, persisted, workers_find_package
+from locusflow.llm.worker import claim
+from locusflow.session import columns_of, persisted, prepare_workers
 
 #: (modulus, base) of the two halves of a fingerprint.
 FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 214_013_011))
@@ -76,7 +77,7 @@ def fingerprint_of_chunks(chunks: DataFrame, key: str, order: str, data: str, fi
     after it, so the shares add up in an ordinary sum with map-side partial aggregates. Rows: (key, h1, h2, n_bytes).
     Null chunks count as empty; a key without rows has none.
     """
-    workers_find_package(chunks.sparkSession)
+    prepare_workers(chunks.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +101,7 @@ def fingerprint_of_chunks(chunks: DataFrame, key: str, order: str, data: str, fi
 
 def _prints(fields):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("exact_dedup", _tables.clear)
         for batch in batches:
             h1, h2, size, digest = [], [], [], []
             for text in batch.column(1):
@@ -116,6 +118,7 @@ def _prints(fields):
 
 def _chunks(fields):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("exact_dedup", _tables.clear)
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -153,7 +156,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     group of any size is a handful of rows), and only texts of groups of two and more are compared. Should different
     texts share a fingerprint, the comparison shows it and their group is split by SHA-256.
     """
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     prints = persisted(source.mapInArrow(_prints(fields), f"id {kind}, h1 long, h2 long, n_bytes long, sha binary"), "prints")

@@ -17,24 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.llm.components import components
-from locusflow.llm.ngrams import N, mix, ngram_hashes
-from locusflow.session import columns_of, persisted, workers_find_package
+from locusflow.llm.ngrams import N, forget, mix, ngram_hashes, pieces
+from locusflow.llm.worker import claim
+from locusflow.session import columns_of, persisted, prepare_workers
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares at least one band with this probability at least.
 RECALL = 0.9999
 ROWS = 4
 #: Bounds of a block: nodes, and n-grams of all its nodes (a node above the second is a block of its own).
-BLOCK_NODES, BLOCK_GRAMS = 1024, 1 << 20
-#: Texts of so many bytes are sketched at a time.
-STEP_BYTES = 1 << 20
+BLOCK_NODES, BLOCK_GRAMS = 768, 1 << 19
 #: Candidates' ids are broadcast up to so many; beyond that they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 400_000
 SETS = ["k1", "k2", "n"]
 
 
@@ -75,23 +73,11 @@ def sketch(texts: list[bytes], bands: int, rows: int = ROWS, n: int = N) -> tupl
     return k1, k2, size, signature
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded number of bytes in one column (one row at least)."""
-    sizes = pc.binary_length(batch.column(column)).to_pylist()
-    start, total = 0, 0
-    for i, s in enumerate(sizes):
-        if i > start and total + s > STEP_BYTES:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += s
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _sketches(bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", forget)
         for batch in batches:
-            for part in _pieces(batch, 1):
+            for part in pieces(batch, 1):
                 texts = part.column(1).to_pylist()
                 k1, k2, size, signature = sketch(texts, bands, rows, n)
                 sha = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
@@ -122,15 +108,18 @@ def linked(sets: list[np.ndarray], similarity: float, left: np.ndarray | None =
     column = np.repeat(np.cumsum(reach > 1) - 1, reach)[shared]
     owner = owner[shared]
     both = np.zeros((k, k), np.float32)
-    width = max(256, min(4096, (1 << 23) // max(k, 1)))
+    width = max(256, min(4096, (1 << 21) // max(k, 1)))
     edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
     for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if a < b:
             member = np.zeros((k, width), np.float32)
             member[owner[a:b], column[a:b] - i * width] = 1
             both += member @ member.T
-    union = size[:, None] + size[None, :] - both
-    out = (both >= similarity * union - 1e-6) & (union > 0)
+    out = np.zeros((k, k), bool)
+    for a in range(0, k, 256):
+        # A stretch of rows at a time: the tables of a large block are what a worker's memory goes to.
+        union = (size[a : a + 256, None] + size[None, :]) - both[a : a + 256]
+        out[a : a + 256] = (both[a : a + 256] >= similarity * union - 1e-6) & (union > 0)
     np.fill_diagonal(out, False)
     if left is not None:
         out &= left[:, None] != left[None, :]
@@ -183,6 +172,7 @@ def _verify(similarity: float, n: int):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", forget)
         key, rows = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -209,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty sets and form one group. A null id is larger than any other, and class_id is null only where all ids are.
     Other columns are ignored; no input rows give no rows.
     """
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     bands = bands_for(similarity, recall, rows)
     source = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

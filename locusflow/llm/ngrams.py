@@ -6,7 +6,11 @@ fewer words than n has one n-gram of all its words; a text without words has non
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 N = 5
 #: Fixed odd multipliers of the byte and word polynomials, modulo 2**64.
@@ -49,7 +53,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes that are hashed at a time, which bounds memory for long texts.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -87,6 +91,11 @@ def _inverse_powers(n: int) -> np.ndarray:
     return _byte_inverses[0]
 
 
+def forget() -> None:
+    """Drops the tables of powers."""
+    _byte_powers[0] = _byte_inverses[0] = np.ones(1, np.uint64)
+
+
 def ngram_hashes(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram hashes of all texts one after another, repeats included; count of n-grams of each text)."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -119,3 +128,15 @@ def ngram_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     """The sorted set of n-gram hashes of each text."""
     grams, sizes = ngram_hashes(texts, n)
     return [np.unique(x) for x in np.split(grams, np.cumsum(sizes)[:-1])] if texts else []
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of bytes in one column (one row at least)."""
+    start, total = 0, 0
+    for i, s in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > start and total + (s or 0) > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += s or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)

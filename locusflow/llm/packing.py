@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import workers_find_package
+from locusflow.llm.worker import claim
+from locusflow.session import prepare_workers
 
 WINDOW = 4096
 END_ID = 2
@@ -143,10 +144,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     buckets = window.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _tokenizers.clear)
         tokenizer = word_tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         made = [0] * buckets

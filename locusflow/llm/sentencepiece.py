@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import workers_find_package
+from locusflow.llm.worker import claim
+from locusflow.session import prepare_workers
 
 SPACE = "▁"
 #: A codec keeps the ids of so many words, and of as many that it used before them.
@@ -251,11 +252,12 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     space). Null and empty texts have no ids. Repeated rows and null ids are rows like others; other columns are ignored;
     no rows give no rows.
     """
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece", _codecs.clear)
         codec = piece_codec(model_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -275,7 +277,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 def decode_pieces(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: (id_col, text), the text of the ids. Null ids and empty lists give an empty text."""
-    workers_find_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     source = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     kind = source.schema["id"].dataType.simpleString()
 

@@ -14,13 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusflow.llm.ngrams import WORD_BASE, mix, word_hashes
-from locusflow.session import columns_of, persisted, workers_find_package
+from locusflow.llm.ngrams import WORD_BASE, forget, mix, pieces, word_hashes
+from locusflow.llm.worker import claim
+from locusflow.session import columns_of, persisted, prepare_workers
 
 #: Words on either side among which a cut's hash must be the smallest: inner chunks have REACH + 1 words at least.
 REACH = 4
@@ -28,10 +28,10 @@ REACH = 4
 MIN_WORDS = 50
 #: Words before and after a run that are compared with its first occurrence's.
 LOOK = 64
-#: Texts of so many bytes are chunked at a time.
-STEP_BYTES = 1 << 20
+#: Bytes over which the hash is rolled at a time.
+STEP_BYTES = 1 << 18
 #: Lists of places are broadcast up to so many entries; beyond that they are joined by shuffle.
-BROADCAST_ENTRIES = 2_000_000
+BROADCAST_ENTRIES = 1_000_000
 WINDOW = 16
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SPACE = np.zeros(256, bool)
@@ -117,21 +117,10 @@ class Chunks:
         return mix(np.add.reduceat(self.hashes * power[place], self.cuts) + self.sizes.astype(np.uint64))
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with a bounded number of bytes in one column (one row at least)."""
-    start, total = 0, 0
-    for i, s in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if i > start and total + s > STEP_BYTES:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += s
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("ngrams", forget)
     for batch in batches:
-        for part in _pieces(batch, 2):
+        for part in pieces(batch, 2):
             c = Chunks(part.column(2).to_pylist())
             bounds = np.searchsorted(c.cuts, c.first)
             owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
@@ -142,6 +131,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of neighbouring repeated chunks of each text, each with the first occurrences of its first and last chunk."""
+    claim("ngrams", forget)
     names = [*KEY, "a", "b", "words", "left_id", "left_h", "left_no", "right_id", "right_h", "right_no"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
@@ -161,8 +151,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the words before (left) or after the asked chunks, nearest first."""
+    claim("ngrams", forget)
     for batch in batches:
-        for part in _pieces(batch, 2):
+        for part in pieces(batch, 2):
             c = Chunks(part.column(2).to_pylist())
             bounds = np.searchsorted(c.cuts, c.first)
             owner, number, side, words = [], [], [], []
@@ -185,8 +176,9 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Takes the spans out of each text and reports them."""
+    claim("ngrams", forget)
     for batch in batches:
-        for part in _pieces(batch, 2):
+        for part in pieces(batch, 2):
             texts, asked = part.column(2).to_pylist(), part.column(3).to_pylist()
             some = [i for i, s in enumerate(asked) if s]
             c = Chunks([texts[i] for i in some])
@@ -224,7 +216,7 @@ def _with_lists(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> D
 def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """Rows (id, clean_text, removed_words, spans, rest); rest are columns that are handed through."""
     spark = docs.sparkSession
-    workers_find_package(spark)
+    prepare_workers(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

@@ -11,16 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import workers_find_package
+from locusflow.llm.ngrams import pieces
+from locusflow.llm.worker import claim
+from locusflow.session import prepare_workers
 
 #: Where a token goes that lies in several sections: to the one with its first byte, its last byte, or most of its bytes
 #: (the first of those that tie).
 RULES = ("first", "last", "most")
-STEP_BYTES = 1 << 20
 
 
 class ByteTokenizer:
@@ -89,22 +89,17 @@ def section_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     names = ["id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", _tokenizers.clear)
         tokenizer = byte_tokenizer(tokenizer_path)
         for batch in batches:
-            start, total = 0, 0
-            sizes = pc.binary_length(batch.column(1)).to_pylist()
-            for i, s in enumerate([*sizes, None]):
-                if s is None or i > start and total + s > STEP_BYTES:
-                    if i > start:
-                        yield part(tokenizer, batch.slice(start, i - start))
-                    start, total = i, 0
-                total += s or 0
+            for some in pieces(batch, 1):
+                yield part(tokenizer, some)
 
     def part(tokenizer: ByteTokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, columns = [], [[] for _ in names[1:]]

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.session import persisted, workers_find_package
+from locusflow.session import persisted, prepare_workers
 
 #: Components beyond this size, as integers, would leave the exact range of the arithmetic below.
 LARGEST = 1 << 20
@@ -149,7 +148,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
     query's repeated rows give its results once. Other columns are ignored; without queries or candidates there are no
     rows.
     """
-    workers_find_package(vectors.sparkSession)
+    prepare_workers(vectors.sparkSession)
     ints = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
     sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()
     finite = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * abs(scale) < float(LARGEST)))

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import persisted, workers_find_package
+from locusflow.llm.worker import claim
+from locusflow.session import persisted, prepare_workers
 
 #: Documented bound of the sample that the model is fitted on, in labelled documents.
 SAMPLE_ROWS = 12_000
@@ -90,12 +91,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of the terms' deviations from chance): those above the quantiles between them are the more severe ones. Rows with a null id, text or label take no part. Without labels of
     both kinds the model has no terms and calls nothing toxic.
     """
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         for batch in batches:
             found = pa.array([list(terms(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["y", "terms"])
@@ -139,12 +141,13 @@ def predict(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: s
     known term. Repeated rows and null ids are rows like others; other columns are ignored; no rows give no rows. The
     model is of bounded size (TERMS) and travels with the code.
     """
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     score = _scores(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         for batch in batches:
             above = score(batch.column(1).to_pylist())
             edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
@@ -157,10 +160,11 @@ def predict(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: s
 
 def keep_harmless(docs: DataFrame, model: Ordinal, text_col: str = "text", reject_from: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`predict` doesn't reject, with all their columns, in one scan."""
-    workers_find_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     score, at = _scores(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         for batch in batches:
             above = score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(above[:, 0] < reject_from))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.session import persisted, scratch, workers_find_package
+from locusflow.session import persisted, scratch, prepare_workers
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_FROM = 1000
@@ -204,7 +204,7 @@ def write_archives(pages: DataFrame, captured, revisit_from: int = REVISIT_FROM,
     response and the others revisit it; rows that tie in id with the response are responses too. A null payload is empty;
     a null url has the key ``)/``; a null id is written as no id and never is what others refer to while another exists.
     """
-    workers_find_package(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     spark = pages.sparkSession
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(captured, F.lit("1970-01-01T00:00:00Z")).alias("captured"))
     shared = persisted(_decide(source, revisit_from), "digests")
