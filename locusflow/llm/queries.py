@@ -79,6 +79,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(g) AS n FROM s),
+x AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n s ON s.doc_id = a JOIN n t ON t.doc_id = b WHERE 5 * c >= 4 * (s.n + t.n - c)
+  UNION ALL SELECT s.doc_id, t.doc_id FROM n s JOIN n t ON s.n = 0 AND t.n = 0 AND s.doc_id < t.doc_id),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.a, r.root FROM r JOIN e ON e.b = r.doc_id),
+m AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT m.doc_id, class_id, coalesce(n_links, 0) AS n_links, count(*) OVER (PARTITION BY class_id) AS class_size,
+  m.doc_id = class_id AS kept FROM m LEFT JOIN k ON k.doc_id = m.doc_id
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size", "kept")
 
@@ -120,4 +141,4 @@ QUERIES = {
         op10_sentencepiece,
     )
 }
-ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op7_jaccard_join": OP7_SQL}
