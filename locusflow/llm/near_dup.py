@@ -209,7 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = persisted(one.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", "first")
-    near = components(banded.join(buckets, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    # A node's buckets share that node, so their smallest members are joined to the smallest of all: as connected as with
+    # every edge, and a large group has little more than one edge a node, not one for each band.
+    stars = banded.join(buckets, "band").where("node <> first").groupBy("node").agg(F.min("first").alias("b"), F.collect_set("first").alias("firsts"))
+    edges = stars.select(F.explode(F.array_union(F.array("node"), "firsts")).alias("a"), "b").where("a <> b").distinct()
+    near = components(edges)
 
     found = persisted(_links(source, classes, near, similarity, n), "links")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
