@@ -47,22 +47,42 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = z.T @ z if total is None else total + z.T @ z
     if total is not None:
         for i, row in enumerate(total):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tolist()], pa.list_(pa.float64())), pa.array([markers if i == 0 else 0], pa.int64())], ["i", "row", "markers"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tolist()], pa.list_(pa.float64())), pa.array([markers], pa.int64())], ["i", "row", "m"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows with one number, which arrive one after another."""
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([markers], pa.int64())], ["i", "row", "m"])
+
+    key, total, markers = None, None, 0
+    for batch in batches:
+        for i, row, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            values = row.values.to_numpy(zero_copy_only=False)
+            if i != key:
+                if key is not None:
+                    yield out()
+                key, total, markers = i, values.copy(), m
+            else:
+                total += values
+                markers += m
+    if key is not None:
+        yield out()
 
 
 def principal_components(markers: DataFrame, samples: list, pcs: int = 10) -> Components:
     """The ``pcs`` largest eigenpairs of Z'Z / M. markers: data (packed dosages in the order of ``samples``).
 
-    Every task adds up the matrix of its own markers; the sums are added by row in Spark, so only one matrix of samples
+    Every task adds up the matrix of its own markers; the sums are added row by row in other tasks, so only one matrix of samples
     by samples comes to the driver. Its size is bounded by MAX_SAMPLES.
     """
     n = len(samples)
     if not 3 <= n <= MAX_SAMPLES or not 1 <= pcs < n:
         raise ValueError(f"{n} samples and {pcs} components: need 3 to {MAX_SAMPLES} samples and fewer components")
     prepare_workers(markers.sparkSession)
-    parts = markers.select("data").mapInArrow(_gram, "i int, row array<double>, markers long")
-    added = parts.select("i", "markers", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("markers").alias("m"))
-    rows = added.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("row"), F.max("m").alias("m")).orderBy("i").collect()
+    parts = markers.select("data").mapInArrow(_gram, "i int, row array<double>, m long")
+    rows = parts.repartition("i").sortWithinPartitions("i").mapInArrow(_added, "i int, row array<double>, m long").orderBy("i").collect()
     m = max((r["m"] for r in rows), default=0)
     if not m:
         raise ValueError("no marker varies")
