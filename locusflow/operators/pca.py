@@ -46,15 +46,18 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             markers += len(z)
             total = z.T @ z if total is None else total + z.T @ z
     if total is not None:
-        for i, row in enumerate(total):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tolist()], pa.list_(pa.float64())), pa.array([markers], pa.int64())], ["i", "row", "m"])
+        n = len(total)
+        for at in range(0, n, 64):
+            part = total[at : at + 64]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int32)), lists, pa.array(np.full(len(part), markers, np.int64))], ["i", "row", "m"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the rows with one number, which arrive one after another."""
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([markers], pa.int64())], ["i", "row", "m"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total)), pa.array([markers], pa.int64())], ["i", "row", "m"])
 
     key, total, markers = None, None, 0
     for batch in batches:
@@ -82,11 +85,11 @@ def principal_components(markers: DataFrame, samples: list, pcs: int = 10) -> Co
         raise ValueError(f"{n} samples and {pcs} components: need 3 to {MAX_SAMPLES} samples and fewer components")
     prepare_workers(markers.sparkSession)
     parts = markers.select("data").mapInArrow(_gram, "i int, row array<double>, m long")
-    rows = parts.repartition("i").sortWithinPartitions("i").mapInArrow(_added, "i int, row array<double>, m long").orderBy("i").collect()
-    m = max((r["m"] for r in rows), default=0)
+    rows = parts.repartition("i").sortWithinPartitions("i").mapInArrow(_added, "i int, row array<double>, m long").orderBy("i").toArrow()
+    m = max(rows.column("m").to_pylist(), default=0)
     if not m:
         raise ValueError("no marker varies")
-    values, vectors = np.linalg.eigh(np.array([r["row"] for r in rows]) / m)
+    values, vectors = np.linalg.eigh(rows.column("row").combine_chunks().flatten().to_numpy().reshape(n, n) / m)
     order = np.argsort(-values)[:pcs]
     return Components(list(samples), values[order], vectors[:, order], m)
 
