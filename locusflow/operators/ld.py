@@ -13,14 +13,21 @@ from locusflow.operators.packed import MISSING, unpack
 from locusflow.session import prepare_workers
 
 
-def pairwise_r2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared correlation of every row of x with every row of y over jointly called columns; NaN where undefined."""
+SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
+
+
+def pair_sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The SUMS of every row of x with every row of y over jointly called columns; sums of parts of the columns add up."""
     cx, cy = (x != MISSING).astype(float), (y != MISSING).astype(float)
     vx, vy = np.where(cx > 0, x, 0).astype(float), np.where(cy > 0, y, 0).astype(float)
-    n = cx @ cy.T
-    sx, sy = vx @ cy.T, cx @ vy.T
-    cov = n * (vx @ vy.T) - sx * sy
-    var = (n * ((vx**2) @ cy.T) - sx**2) * (n * (cx @ (vy**2).T) - sy**2)
+    return cx @ cy.T, vx @ cy.T, cx @ vy.T, vx @ vy.T, (vx**2) @ cy.T, cx @ (vy**2).T
+
+
+def pairwise_r2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared correlation of every row of x with every row of y over jointly called columns; NaN where undefined."""
+    n, sx, sy, sxy, sxx, syy = pair_sums(x, y)
+    cov = n * sxy - sx * sy
+    var = (n * sxx - sx**2) * (n * syy - sy**2)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(var > 0, cov**2 / var, np.nan)
 
@@ -34,39 +41,52 @@ def ld_pairs(markers: DataFrame, window: int = 50, least: float = 0.2) -> DataFr
     """(contig, a, b, r2) of markers a before b with b less than ``window`` ranks further and r2 above the limit.
 
     markers: contig, rank, marker, data (packed dosages over samples). A band join: each stretch of ``window`` ranks is a
-    task that also gets the next stretch, so a marker travels twice, however long the contig is.
+    task that also gets the next stretch, so a marker travels twice, however long the contig is. With a column ``part``
+    a marker has one row for each block of samples: a task then gives the sums of its block, and r2 comes from their total.
     """
+    parts = "part" in markers.columns
     prepare_workers(markers.sparkSession)
     block = F.floor(F.col("rank") / window).cast("int")
-    rows = markers.select("contig", "rank", "marker", "data", F.explode(F.array(block, block - 1)).alias("stretch")).where("stretch >= 0")
+    key = ["contig", "stretch", *(["part"] if parts else [])]
+    rows = markers.select("contig", "rank", "marker", "data", *key[2:], F.explode(F.array(block, block - 1)).alias("stretch")).where("stretch >= 0")
 
     def work(rows: list) -> pa.RecordBatch:
         rows = sorted(rows, key=lambda r: r["rank"])
         rank = np.array([r["rank"] for r in rows])
         own = np.flatnonzero(rank // window == rows[0]["stretch"])
         data = np.array([unpack(r["data"]) for r in rows])
-        r2 = pairwise_r2(data[own], data)
         gap = rank[None, :] - rank[own][:, None]
-        hit = np.argwhere((gap > 0) & (gap < window) & (r2 > least))
+        near = (gap > 0) & (gap < window)
+        if parts:
+            names, values = SUMS, pair_sums(data[own], data)
+        else:
+            names, values = ("r2",), (pairwise_r2(data[own], data),)
+            near &= values[0] > least
+        hit = np.argwhere(near)
         ids = [r["marker"] for r in rows]
-        columns = [[rows[0]["contig"]] * len(hit), [ids[own[i]] for i, _ in hit], [ids[j] for _, j in hit], r2[hit[:, 0], hit[:, 1]]]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["contig", "a", "b", "r2"])
+        columns = [pa.array([rows[0]["contig"]] * len(hit), pa.string()), pa.array([ids[own[i]] for i, _ in hit], pa.int64()), pa.array([ids[j] for _, j in hit], pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(v[hit[:, 0], hit[:, 1]], pa.float64()) for v in values)], ["contig", "a", "b", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        last, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                mine = (row["contig"], row["stretch"])
-                if mine != key:
+                mine = tuple(row[k] for k in key)
+                if mine != last:
                     if held:
                         yield work(held)
-                    key, held = mine, []
+                    last, held = mine, []
                 held.append(row)
         if held:
             yield work(held)
 
-    near = rows.repartition("contig", "stretch").sortWithinPartitions("contig", "stretch")
-    return near.mapInArrow(run, "contig string, a long, b long, r2 double")
+    near = rows.repartition(*key).sortWithinPartitions(*key)
+    if not parts:
+        return near.mapInArrow(run, "contig string, a long, b long, r2 double")
+    sums = near.mapInArrow(run, "contig string, a long, b long, " + ", ".join(f"{s} double" for s in SUMS)).groupBy("contig", "a", "b").agg(*(F.sum(s).alias(s) for s in SUMS))
+    n, sx, sy, sxy, sxx, syy = map(F.col, SUMS)
+    cov, var = n * sxy - sx * sy, (n * sxx - sx * sx) * (n * syy - sy * sy)
+    return sums.select("contig", "a", "b", F.when(var > 0, cov * cov / var).alias("r2")).where(F.col("r2") > least)
 
 
 def prune_order(ids: list[int], maf: dict[int, float], pairs: list[tuple[int, int]]) -> list[int]:
@@ -86,7 +106,7 @@ def ld_prune(markers: DataFrame, maf: DataFrame, window: int = 50, least: float
     task; contigs are independent.
     """
     pairs = ld_pairs(markers, window, least).groupBy("contig").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    rows = markers.join(maf.select("marker", "maf"), "marker").groupBy("contig").agg(F.sort_array(F.collect_list(F.struct("rank", "marker", "maf"))).alias("rows"))
+    rows = markers.select("contig", "rank", "marker").distinct().join(maf.select("marker", "maf"), "marker").groupBy("contig").agg(F.sort_array(F.collect_list(F.struct("rank", "marker", "maf"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

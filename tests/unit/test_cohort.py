@@ -145,3 +145,22 @@ def test_band_join_matches_brute_force(spark):
                 if r > 0.05:
                     want.add((i, j))
     assert got == want
+
+
+def test_ld_uses_all_samples_beyond_the_limit_of_components(spark, sf, monkeypatch):
+    from locusflow.plans import cohort
+    from locusflow.plans import derived as v
+
+    monkeypatch.setattr(pca, "MAX_SAMPLES", 20)
+    monkeypatch.setattr(cohort, "LD_SAMPLES", 16, raising=False)
+    cells = v.dosages(spark, sf).toPandas()
+    x = cells.pivot(index="sample", columns="marker", values="dose").astype(float)
+    assert len(x) > 40
+    r2 = x.corr() ** 2
+    want = {(a, b): r2.loc[a, b] for a in x for b in x if 0 < b - a < cohort.LD_WINDOW and r2.loc[a, b] > cohort.LD_LEAST}
+    got = {(r["a"], r["b"]): r["r2"] for r in cohort.ld_pairs(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    maf = {r["marker"]: r["maf"] for r in qc.maf_filter(v.dosages(spark, sf), 0.05).collect()}
+    close = [(a, b) for a in x for b in x if a in maf and b in maf and 0 < b - a < cohort.LD_WINDOW and r2.loc[a, b] > 0.01]
+    kept = [r["marker"] for r in cohort.ld_prune(spark, sf).collect()]
+    assert sorted(kept) == ld.prune_order(sorted(maf), maf, close)
