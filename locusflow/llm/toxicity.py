@@ -8,6 +8,7 @@ of a fitted vocabulary's terms a text holds. A term is a word or the first four
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels only say toxic or not, so the grades of toxic documents come from how much evidence their terms carry (the sum
     of the terms' deviations from chance): those above the quantiles between them are the more severe ones. Rows with a null id, text or label take no part. Without labels of
-    both kinds the model has no terms and calls nothing toxic.
+    both kinds, or without a term that tells them apart, the model has no terms and calls nothing toxic; the latter gives
+    a warning.
     """
     prepare_workers(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
@@ -112,11 +114,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Ordinal({}, [1e9] * (levels - 1))
     rate = float(totals[1] / (totals[0] + totals[1]))
     a, n = F.col("a").cast("double"), F.col("n").cast("double")
-    # Terms of so many toxic documents, and there twice as likely as overall and far beyond chance; the best come first.
+    # Terms of so many toxic documents, twice as likely there as in clean ones and far beyond chance; the best come first.
+    # Shares of the two kinds are compared, so the test means the same whatever part of the labels is toxic.
+    apart = a * totals[0] > 2 * (n - a) * totals[1]
     gain = (a - n * rate) / F.sqrt(n * rate * (1 - rate))
     enough = max(3.0, TOXIC_SHARE * totals[1])
-    best = [(r["t"], r["g"]) for r in frequency.where((a >= enough) & (a > 2 * n * rate) & (gain > DEVIATIONS)).orderBy(F.desc(gain), "t").limit(TERMS).select("t", gain.alias("g")).collect()]
+    best = [(r["t"], r["g"]) for r in frequency.where((a >= enough) & apart & (gain > DEVIATIONS)).orderBy(F.desc(gain), "t").limit(TERMS).select("t", gain.alias("g")).collect()]
     if not best:
+        warnings.warn("no term tells toxic documents from clean ones: nothing will be rejected", stacklevel=2)
         return Ordinal({}, [1e9] * (levels - 1))
     vocabulary = {t: i for i, (t, _) in enumerate(best)}
     strength = np.array([g for _, g in best])

@@ -62,6 +62,19 @@ def test_without_labels_nothing_is_rejected(spark, docs_of):
     assert tx.predict(docs.where("false"), model).count() == 0
 
 
+def test_balanced_and_mostly_toxic_labels_give_a_model(spark, docs_of):
+    rows, labels = labelled(1000)
+    toxic = dict(labels)
+    for every in (4, 12):
+        # All 200 toxic documents and a part of the clean ones: toxic shares of one half and three quarters.
+        some = [i for i in toxic if toxic[i] or i % every == 1]
+        docs = docs_of([(i, t) for i, t in rows if i in some])
+        model = tx.train(docs, spark.createDataFrame([(i, toxic[i]) for i in some], "doc_id long, toxic int"))
+        got = {r["doc_id"]: r["rejected"] for r in tx.predict(docs, model).collect()}
+        assert sum(toxic.values()) >= len(some) / 2 - 20
+        assert sum(got[i] != bool(toxic[i]) for i in some) <= len(some) * 0.03
+
+
 def test_gradient_descends_to_the_maximum_likelihood():
     rng = np.random.default_rng(3)
     x = rng.random((3000, 4)) < 0.4
