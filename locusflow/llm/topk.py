@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from locusflow.session import persisted, prepare_workers
 
-#: Components beyond this size, as integers, would leave the exact range of the arithmetic below.
+#: Vectors with a component beyond this size, as an integer, would leave the exact range of double sums: their pairs are
+#: scored in Python's integers, after a bound on rounding has left out those that can't be among the best.
 LARGEST = 1 << 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
 #: Queries and candidates that are compared at a time inside a cell.
@@ -96,12 +97,56 @@ def search_blocks(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.
     return (*(np.concatenate(x) if x else np.empty(0, np.int64) for x in out), scored)
 
 
+def large(vectors: np.ndarray) -> np.ndarray:
+    """Which rows leave the exact range."""
+    return (np.abs(vectors) >= LARGEST).any(1)
+
+
+def search_large(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """As :func:`search_blocks` for vectors of any size (whole numbers as doubles), with scores in Python's integers."""
+    out: tuple[list, list, list] = ([], [], [])
+    c_abs = np.abs(c_vecs)
+    for i, q in zip(q_ids, q_vecs, strict=True):
+        at = np.flatnonzero(c_ids != i)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = c_vecs[at] @ q
+            off = (len(q) + 2) * np.finfo(float).eps * (c_abs[at] @ np.abs(q))
+            least, most = near - off, near + off
+        # What overflows a double says nothing.
+        least, most = np.where(np.isfinite(near) & np.isfinite(off), (least, most), [[-np.inf], [np.inf]])
+        if len(at) > k:
+            at = at[most >= np.partition(least, len(at) - k)[len(at) - k]]
+        whole = [int(x) for x in q]
+        best = sorted((-sum(a * int(b) for a, b in zip(whole, c_vecs[j]) if a), int(c_ids[j])) for j in at)[:k]
+        out[0].extend([i] * len(best))
+        out[1].extend(c for _, c in best)
+        out[2].extend(-s for s, _ in best)
+    return np.array(out[0], np.int64), np.array(out[1], np.int64), out[2]
+
+
+def search_any(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, scores, side): k at least of each query; side is -1 or 1 for scores beyond 64 bits."""
+    ql, cl = large(q_vecs), large(c_vecs)
+    q, c, s, _ = search_blocks(q_ids[~ql], q_vecs[~ql], c_ids[~cl], c_vecs[~cl], k)
+    parts = [(q, c, s, np.zeros(len(q), np.int8))]
+    for mine, theirs in ((ql, np.ones(len(c_ids), bool)), (~ql, cl)):
+        if mine.any() and theirs.any():
+            q, c, s = search_large(q_ids[mine], q_vecs[mine].astype(float), c_ids[theirs], c_vecs[theirs].astype(float), k)
+            side = np.array([(x >= 1 << 63) - (x < -(1 << 63)) for x in s], np.int8)
+            parts.append((q, c, np.array([0 if o else x for x, o in zip(s, side, strict=True)], np.int64), side))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _pack(block: int):
-    """Turns rows (id, ints) into rows (ids, components, width) of at most ``block`` vectors, widths padded by zeros."""
+    """Turns rows (id, numbers) into rows (ids, components, width) of at most ``block`` vectors, widths padded by zeros.
+
+    Components take 4 bytes in blocks of ordinary vectors and are doubles in others.
+    """
 
     def emit(rows: list) -> pa.RecordBatch:
         width = max(max((len(v) for _, v in rows), default=0), 1)
-        data = np.zeros((len(rows), width), np.int32)
+        kind = np.float64 if any(len(v) and np.abs(v).max() >= LARGEST for _, v in rows) else np.int32
+        data = np.zeros((len(rows), width), kind)
         for i, (_, v) in enumerate(rows):
             data[i, : len(v)] = v
         ids = np.array([i for i, _ in rows], np.int64)
@@ -111,7 +156,7 @@ def _pack(block: int):
         rows: list = []
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.append((i, v.values.to_numpy(zero_copy_only=False)))
+                rows.append((i, np.floor(v.values.to_numpy(zero_copy_only=False))))
                 if len(rows) >= block:
                     yield emit(rows)
                     rows = []
@@ -123,7 +168,8 @@ def _pack(block: int):
 
 def _cells(k: int):
     def unpack(ids, data, width):
-        return np.frombuffer(ids, np.int64), np.frombuffer(data, np.int32).reshape(-1, width)
+        kind = np.int32 if len(data) == len(ids) // 2 * width else np.float64
+        return np.frombuffer(ids, np.int64), np.frombuffer(data, kind).reshape(-1, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +178,8 @@ def _cells(k: int):
                 ci, cv = unpack(row["c_ids"], row["c_data"], row["c_width"])
                 wide = max(qv.shape[1], cv.shape[1])
                 qv, cv = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (qv, cv))
-                q, c, s, _ = search_blocks(qi, qv, ci, cv, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, c, s)], ["query_id", "vec_id", "score"])
+                q, c, s, o = search_any(qi, qv, ci, cv, k)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (q, c, s)), pa.array(o, pa.int8())], ["query_id", "vec_id", "score", "side"])
 
     return run
 
@@ -143,21 +189,25 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
 
     Rows: (query_id, rank, vec_id, score), rank from 1, ties to the smaller vec_id. A component x counts as
     floor(scale * x) in double precision. ``is_query`` is a condition on the input's columns. Rows take no part if their
-    id or vector is null, if a component is null, NaN or infinite, or if one is beyond 2**20 as an integer. Missing
+    id or vector is null, or if a component is null, NaN or infinite; one that only overflows by the scale is an error,
+    and so is a score among the best that a long can't hold. Missing
     components of shorter vectors count as zero, so an empty vector scores 0. Repeated rows are each a candidate; a
     query's repeated rows give its results once. Other columns are ignored; without queries or candidates there are no
     rows.
     """
     prepare_workers(vectors.sparkSession)
-    ints = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+    scaled = F.transform(F.col(vec_col), lambda x: x.cast("double") * F.lit(float(scale)))
     sound = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()
-    finite = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * abs(scale) < float(LARGEST)))
+    finite = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     sound &= F.coalesce(finite, F.lit(False))
-    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(ints, lambda x: x.cast("int")).alias("v"), is_query.alias("is_query"))
+    fits = F.transform(scaled, lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(F.raise_error(F.lit("a component overflows by the scale")).cast("double")))
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), fits.alias("v"), is_query.alias("is_query"))
     kept = persisted(rows, "vectors")
     found = _grid(_blocks(kept.select("id", "v"), candidate_block, "c"), _blocks(kept.where("is_query").groupBy("id").agg(F.first("v").alias("v")), query_block, "q"), k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), "vec_id")
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    score = F.when(F.col("side") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best is beyond 64 bits")).cast("long"))
+    return top.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _blocks(rows: DataFrame, block: int, side: str) -> DataFrame:
@@ -175,7 +225,7 @@ def _grid(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     candidates, queries = persisted(candidates, "c_numbered"), persisted(queries, "q_numbered")
     across, down = candidates.count(), queries.count()
     if not across or not down:
-        return candidates.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        return candidates.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, side byte")
     left = queries.withColumn("c_no", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     right = candidates.withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    return left.join(right, ["q_no", "c_no"]).mapInArrow(_cells(k), "query_id long, vec_id long, score long")
+    return left.join(right, ["q_no", "c_no"]).mapInArrow(_cells(k), "query_id long, vec_id long, score long, side byte")

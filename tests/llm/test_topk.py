@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from locusflow.llm import topk as op
@@ -50,3 +51,21 @@ def test_smooth_vectors_are_pruned():
     ids = np.arange(3000)
     *_, scored = op.search_blocks(ids[:8], v[:8], ids, v, 5)
     assert scored < 8 * 3000
+
+
+def test_large_components_are_searched_exactly(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 11)]) for i in range(40)]
+    rows += [(i, [float(x) for x in rng.normal(0, 20000, 11)]) for i in (40, 41, 42, 45)]
+    # Sums that only differ below a double's last bit, and ones that cancel.
+    rows += [(46, [1e7] * 2 + [0.0] * 9), (47, [1e7] * 2 + [0.015625] + [0.0] * 8), (50, [1e7] * 2 + [0.015625] * 9), (51, [1e7, -1e7] + [1.0] * 9)]
+    assert run(spark, rows, query_block=4, candidate_block=9) == brute(rows, 4)
+    assert run(spark, rows) == brute(rows, 4)
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e15, 0.0]), (1, [-1e15, 0.0]), *((i, [0.0, 1.0]) for i in range(2, 6))]
+    # The one that is out of range is not among the four best; then it is.
+    assert [r[2] for r in run(spark, rows) if r[0] == 0] == [2, 3, 4, 5]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        run(spark, [(0, [1e15]), (1, [1e15])])
