@@ -3,8 +3,9 @@
 A gear hash, ``h = (h << 4) + G[byte]``, is rolled over the text's bytes and so sees the last 16 of them; white space
 between words counts as one space. A chunk begins at
 a word whose hash is the smallest among some words on either side: cuts depend on nearby content only, and an insertion
-shifts nothing but its surroundings. Chunks are deduplicated by digest. A run of neighbouring chunks that all occurred
-before is a repeat, and its ends are refined to words by comparing it with the place where it occurred first. Repeats of
+shifts nothing but its surroundings. A stretch with a period of a few words has no such minima; it is cut at its ends and
+every few periods, so that stretches of one period give equal chunks. Chunks are deduplicated by digest. A run of neighbouring chunks that all occurred
+before is a repeat, and its ends are refined to words by comparing it with places where chunks near them occurred first. Repeats of
 MIN_WORDS words and more are cut out; the first occurrence (smallest id, then place) stays.
 """
 
@@ -28,6 +29,10 @@ REACH = 4
 MIN_WORDS = 50
 #: Words before and after a run that are compared with its first occurrence's.
 LOOK = 64
+#: A run's end is refined by chunks that begin (or end) so many words from it at most, of so many different first places.
+NEAR_END, PLACES = 0, 1
+#: Longest period, in words, and least length of a stretch that counts as periodic; it is cut every STRIDE words or so.
+PERIODS, STRETCH, STRIDE = 8, 16, 8
 #: Bytes over which the hash is rolled at a time.
 STEP_BYTES = 1 << 18
 #: Lists of places are broadcast up to so many entries; beyond that they are joined by shuffle.
@@ -56,7 +61,8 @@ class Chunks:
     """Words and chunks of some texts, found together.
 
     starts, ends: byte spans of all words; first: number of each text's first word (and the count of all words at the
-    end); cuts: words that begin a chunk; sizes: words of each chunk; digests: a digest of each chunk's words.
+    end); cuts: words that begin a chunk; sizes: words of each chunk; digests: a digest of each chunk's words; back, ahead:
+    words before and after a chunk that repeat, as the chunk does, what stands a period earlier (0 outside of stretches).
     """
 
     def __init__(self, texts: list[bytes], reach: int = REACH):
@@ -72,9 +78,33 @@ class Chunks:
         self.starts, self.ends = turns[::2], turns[1::2]
         self.first = np.append(np.searchsorted(self.starts, self.begins), len(self.starts))
         self.hashes = word_hashes(data, self.starts, self.ends)
-        self.cuts = self._cuts(self._scores(data), reach)
+        stretches = self._stretches()
+        self.cuts = self._cuts(self._scores(data), reach, stretches)
         self.sizes = np.diff(np.append(self.cuts, len(self.starts)))
         self.digests = self._digests()
+        self.back, self.ahead = np.zeros((2, len(self.cuts)), np.int32)
+        stops = self.cuts + self.sizes
+        for s, e, p in stretches:
+            a, b = np.searchsorted(self.cuts, [s + p, e])
+            self.back[a:b] = np.maximum(self.back[a:b], self.cuts[a:b] - s - p)
+            self.ahead[a:b] = np.maximum(self.ahead[a:b], e - stops[a:b])
+
+    def _stretches(self) -> list[tuple[int, int, int]]:
+        """(first word, word after, period) of the longest stretches in which each word equals the one a period before."""
+        owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        inside = np.zeros(len(owner), bool)
+        found = []
+        for p in range(1, PERIODS + 1):
+            same = (self.hashes[p:] == self.hashes[:-p]) & (owner[p:] == owner[:-p])
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+            a, b = turns[::2], turns[1::2]
+            enough = b - a >= max(2 * p, STRETCH - p)
+            for s, e in zip(a[enough].tolist(), (b[enough] + p).tolist(), strict=True):
+                # Multiples of a period that is known already.
+                if not inside[s:e].all():
+                    inside[s:e] = True
+                    found.append((s, e, p))
+        return sorted(found)
 
     def _scores(self, data: np.ndarray) -> np.ndarray:
         """The rolling hash before each word, over words with one space between them, whatever white space there is."""
@@ -92,7 +122,7 @@ class Chunks:
                 out[a:b] = gear_hashes(plain[begin : at + STEP_BYTES])[np.maximum(starts[a:b] - 1 - begin, 0)]
         return mix(out)
 
-    def _cuts(self, scores: np.ndarray, reach: int) -> np.ndarray:
+    def _cuts(self, scores: np.ndarray, reach: int, stretches: list[tuple[int, int, int]]) -> np.ndarray:
         n = len(scores)
         wide = np.full(n + 2 * reach, np.iinfo(np.uint64).max, np.uint64)
         wide[reach : reach + n] = scores
@@ -107,6 +137,14 @@ class Chunks:
             np.add.at(edge, b, -1)
         least &= np.cumsum(edge[:-1]) == 0
         least[self.first[:-1][self.first[:-1] < self.first[1:]]] = True
+        for s, e, _ in stretches:
+            least[s + 1 : e] = False
+        for s, e, p in stretches:
+            # From the place in the period whose words come first, so that chunks don't depend on where a stretch begins.
+            begin = s + min(range(p), key=lambda k, s=s, p=p: self.hashes[s + k : s + k + p].tolist())
+            least[s] = True
+            least[begin : e : p * -(-STRIDE // p)] = True
+            least[e : e + 1] = True
         return np.flatnonzero(least)
 
     def _digests(self) -> np.ndarray:
@@ -126,13 +164,27 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
             keys = [part.column(k).take(pa.array(owner)) for k in (0, 1)]
             number = np.arange(len(c.cuts)) - bounds[:-1][owner]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), pa.array(c.sizes.astype(np.int32))], [*KEY, "no", "d", "words"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead))], [*KEY, "no", "d", "words", "back", "ahead"])
+
+
+def _sides(run: list[dict], left: bool) -> list[dict]:
+    """Chunks near one end of a run with their first occurrences, of which no two lie alike to the run."""
+    out, seen, away = [], set(), 0
+    for c in run if left else reversed(run):
+        if away > NEAR_END or len(out) == PLACES:
+            break
+        f = c["first"]
+        if (how := (f["id"], f["h"], f["no"] - c["no"])) not in seen:
+            seen.add(how)
+            out.append({"left": left, "no": c["no"], "away": away, "first_id": f["id"], "first_h": f["h"], "first_no": f["no"]})
+        away += c["words"]
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of neighbouring repeated chunks of each text, each with the first occurrences of its first and last chunk."""
+    """Runs of neighbouring repeated chunks of each text, each with the first occurrences of chunks near its ends."""
     claim("ngrams", forget)
-    names = [*KEY, "a", "b", "words", "left_id", "left_h", "left_no", "right_id", "right_h", "right_no"]
+    names = [*KEY, "a", "b", "words", "back", "ahead", "sides"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for row in batch.to_pylist():
@@ -140,12 +192,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = 0
             for i in range(1, len(chunks) + 1):
                 if i == len(chunks) or chunks[i]["no"] != chunks[i - 1]["no"] + 1:
-                    a, b = chunks[begin]["first"], chunks[i - 1]["first"]
-                    for o, x in zip(out, (row["id"], row["h"], chunks[begin]["no"], chunks[i - 1]["no"], sum(c["words"] for c in chunks[begin:i]), a["id"], a["h"], a["no"], b["id"], b["h"], b["no"]), strict=True):
+                    run = chunks[begin:i]
+                    for o, x in zip(out, (row["id"], row["h"], run[0]["no"], run[-1]["no"], sum(c["words"] for c in run), run[0]["back"], run[-1]["ahead"], _sides(run, True) + _sides(run, False)), strict=True):
                         o.append(x)
                     begin = i
         key = batch.column(0).type
-        kinds = [key, pa.int64(), pa.int32(), pa.int32(), pa.int64(), key, pa.int64(), pa.int32(), key, pa.int64(), pa.int32()]
+        sides = pa.list_(pa.struct([("left", pa.bool_()), ("no", pa.int32()), ("away", pa.int64()), ("first_id", key), ("first_h", pa.int64()), ("first_no", pa.int32())]))
+        kinds = [key, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), sides]
         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
 
 
@@ -220,33 +273,37 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = persisted(source.mapInArrow(_chunk_rows, f"id {kind}, h long, no int, d long, words int"), "chunks")
+    chunks = persisted(source.mapInArrow(_chunk_rows, f"id {kind}, h long, no int, d long, words int, back int, ahead int"), "chunks")
 
     place = F.struct("id", "h", "no")
     first = chunks.groupBy("d").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
     first = persisted(first, "first")
-    later = chunks.join(first, "d").where(~place.eqNullSafe(F.col("first"))).select(*KEY, F.struct("no", "words", "first").alias("c"))
+    later = chunks.join(first, "d").where(~place.eqNullSafe(F.col("first"))).select(*KEY, F.struct("no", "words", "back", "ahead", "first").alias("c"))
     texts = later.groupBy(*KEY).agg(F.collect_set("c").alias("chunks"))
-    runs = persisted(texts.mapInArrow(_runs, f"id {kind}, h long, a int, b int, words long, left_id {kind}, left_h long, left_no int, right_id {kind}, right_h long, right_no int"), "runs")
+    side = f"struct<left: boolean, no: int, away: long, first_id: {kind}, first_h: long, first_no: int>"
+    runs = persisted(texts.mapInArrow(_runs, f"id {kind}, h long, a int, b int, words long, back int, ahead int, sides array<{side}>"), "runs")
 
-    # Where a run and its first occurrence go on alike: four places each, looked up in the texts that hold them.
-    asks = F.array(
-        *(F.struct(F.col(i).alias("id"), F.col(h).alias("h"), F.col(n).alias("no"), F.lit(left).alias("left"), F.lit(who).alias("who")) for i, h, n, left, who in (("id", "h", "a", True, 0), ("left_id", "left_h", "left_no", True, 1), ("id", "h", "b", False, 2), ("right_id", "right_h", "right_no", False, 3)))
-    )
-    wanted = runs.select(F.struct(*KEY, "a").alias("run"), F.explode(asks).alias("q")).select("run", "q.*")
+    # Where a run and a first occurrence go on alike: two places for each side, looked up in the texts that hold them.
+    sides = runs.select(*KEY, F.struct(*KEY, "a").alias("run"), F.posexplode("sides").alias("side", "s")).select("id", "h", "run", "side", "s.*")
+    both = F.array(*(F.struct(F.col(i).alias("id"), F.col(h).alias("h"), F.col(n).alias("no"), F.lit(who).alias("who")) for i, h, n, who in (("id", "h", "no", 0), ("first_id", "first_h", "first_no", 1))))
+    wanted = sides.select("run", "side", "left", "away", F.explode(both).alias("q")).select("run", "side", "left", "away", "q.*")
     lists = persisted(wanted.groupBy(*KEY).agg(F.collect_set(F.struct("no", "left")).alias("asked")), "asked")
     entries = lists.agg(F.sum(F.size("asked"))).first()[0] or 0
     found = _with_lists(source, lists, entries, "inner").select("t.id", "t.h", "t.text", "l.asked").mapInArrow(_surroundings, f"id {kind}, h long, no int, left boolean, near array<long>")
     near = persisted(found.dropDuplicates([*KEY, "no", "left"]), "near")
     seen = wanted.alias("w").join(near.alias("n"), F.col("w.id").eqNullSafe(F.col("n.id")) & (F.col("w.h") == F.col("n.h")) & (F.col("w.no") == F.col("n.no")) & (F.col("w.left") == F.col("n.left")))
-    seen = seen.groupBy("run").agg(*(F.max(F.when(F.col("who") == k, F.col("near"))).alias(f"near{k}") for k in range(4)))
+    seen = seen.groupBy("run", "side").agg(F.first(F.col("w.left")).alias("left"), F.first("away").alias("away"), *(F.max(F.when(F.col("who") == k, F.col("near"))).alias(f"near{k}") for k in range(2)))
 
     def alike(x: str, y: str):
         """The number of leading elements that two arrays share."""
         differ = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
         return F.when(differ > 0, differ - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
 
-    grown = runs.withColumn("run", F.struct(*KEY, "a")).join(seen, "run").withColumns({"before": alike("near0", "near1"), "after": alike("near2", "near3")})
+    # The longest way that any of the places goes on; within a stretch, what stands a period earlier does, too.
+    more = seen.select("run", "left", (alike("near0", "near1") - F.col("away")).alias("more"))
+    more = more.groupBy("run").agg(*(F.max(F.when(F.col("left") == k, F.col("more"))).alias(n) for k, n in ((True, "before"), (False, "after"))))
+    grown = runs.drop("sides").withColumn("run", F.struct(*KEY, "a")).join(more, "run")
+    grown = grown.withColumns({n: F.greatest(n, o, F.lit(0)).cast("int") for n, o in (("before", "back"), ("after", "ahead"))})
     spans = grown.where(F.col("words") + F.col("before") + F.col("after") >= min_words)
     cut_lists = persisted(spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "before", "after")).alias("cut")), "cuts")
     entries = cut_lists.agg(F.sum(F.size("cut"))).first()[0] or 0
@@ -260,8 +317,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per input row: (id_col, clean_text, removed_words, spans), spans with start_byte, end_byte and words.
 
     A word is a run of characters that aren't ASCII white space, and words are equal if their characters are. A repeat is
-    found if it holds a whole chunk, which a passage of 50 different words practically always does; a run of one repeated
-    word has no cuts inside. White space after a removed span goes with it. The order of occurrences is by id (null
+    found if it holds a whole chunk, which a passage of 50 different words or of a period of up to PERIODS words practically
+    always does. White space after a removed span goes with it. The order of occurrences is by id (null
     first), then by a hash of the text, then by place; rows that tie in id and text count as one text and come out alike.
     A null text counts as empty and stays empty. Other columns are ignored; no input rows give no rows. A passage that a
     text repeats within itself is cut there, too.

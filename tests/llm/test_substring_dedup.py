@@ -110,3 +110,23 @@ def test_segments_don_t_change_chunks(monkeypatch):
     monkeypatch.setattr(op, "STEP_BYTES", 100)
     small = op.Chunks(texts)
     assert (whole.cuts == small.cuts).all() and (whole.digests == small.digests).all()
+
+
+def test_periodic_stretches_are_cut(docs_of):
+    rng = random.Random(11)
+    rows = []
+    for p in (1, 2, 3, 4):
+        unit = words(rng, p)
+        for n in (20, 49, 50, 51, 55, 60, 130, 300):
+            w = [*words(rng, 12), *(unit * n)[:n], *words(rng, 12)]
+            rows.append((len(rows), " ".join(w)))
+    # Passages of varied words before, around and after longer stretches.
+    a, b = words(rng, 40), words(rng, 30)
+    for middle in (["ha"] * 200, ["so", "on"] * 90):
+        rows += [(len(rows) + k, " ".join([*words(rng, 9), *a, *middle, *b, *words(rng, 9)])) for k in range(2)]
+    got = {r["doc_id"]: r["removed_words"] for r in op.repeated_passages(docs_of(rows)).collect()}
+    want = repeated(rows)
+    # Repeats that touch count as one: the first stretches of 50 words repeat a shorter one and, a period on, themselves.
+    got, want = ({i: n for i, n in x.items() if i not in (2, 10, 18, 26)} for x in (got, want))
+    assert {i for i in got if (got[i] > 0) != (want[i] > 0)} == set()
+    assert all(abs(got[i] - want[i]) <= 4 for i in got)
