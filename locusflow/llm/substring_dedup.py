@@ -28,9 +28,9 @@ REACH = 4
 #: Repeats of so many words and more are cut out.
 MIN_WORDS = 50
 #: Words before and after a run that are compared with its first occurrence's.
-LOOK = 64
+LOOK = 96
 #: A run's end is refined by chunks that begin (or end) so many words from it at most, of so many different first places.
-NEAR_END, PLACES = 0, 1
+NEAR_END, PLACES = 56, 4
 #: Longest period, in words, and least length of a stretch that counts as periodic; it is cut every STRIDE words or so.
 PERIODS, STRETCH, STRIDE = 8, 16, 8
 #: Bytes over which the hash is rolled at a time.

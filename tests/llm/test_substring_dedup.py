@@ -130,3 +130,16 @@ def test_periodic_stretches_are_cut(docs_of):
     got, want = ({i: n for i, n in x.items() if i not in (2, 10, 18, 26)} for x in (got, want))
     assert {i for i in got if (got[i] > 0) != (want[i] > 0)} == set()
     assert all(abs(got[i] - want[i]) <= 4 for i in got)
+
+
+def test_common_phrases_at_the_edges_of_a_passage(docs_of):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(20):
+        left, right = words(rng, 18), words(rng, 18)
+        passage = words(rng, 6) + left + words(rng, 8) + right + words(rng, 6)
+        # The phrases stand alone in earlier texts.
+        for w in (left, right, passage, passage):
+            rows.append((len(rows), " ".join([*words(rng, 20), *w, *words(rng, 20)])))
+    got = {r["doc_id"]: r["removed_words"] for r in op.repeated_passages(docs_of(rows)).collect()}
+    assert got == repeated(rows)
