@@ -1,10 +1,10 @@
 """Main text of web pages, with site templates removed.
 
-Each page is parsed into elements once to count and once to extract. Counting: the subtrees of a page that aren't part of
-its article are hashed, and Spark counts for every host on how many different pages a hash stands. Extraction: subtrees
+Each page is parsed into elements once to count and once to extract. Counting: the subtrees of a page are hashed, and Spark
+counts for every host on how many different pages a hash stands. Extraction: subtrees
 that recur across many pages of the host are deleted, then menus, headers, footers, sidebars, notices, adverts, forms,
-scripts and comments by tag, role and class. Subtrees inside an article are never counted as templates: what an author
-repeats is text.
+scripts and comments by tag, role and class. Inside an article only boxes (INNER) count, and they must stand on a larger share
+of the host's pages: a paragraph that an author repeats is text. A page keeps them if nothing else is in its article.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from locusflow.session import persisted, prepare_workers
 
 #: A subtree is a template if it stands on so many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: The share inside of an article.
+INNER_SHARE = 0.5
 #: Template hashes are sent to every task up to so many (8 bytes each); beyond that they are joined to the pages.
 BROADCAST_HASHES = 200_000
 
@@ -31,6 +33,7 @@ BROADCAST_HASHES = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select option button".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+INNER = frozenset("aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
 SKIP = frozenset("aside dialog footer form head menu nav".split())
 CLOSES_P = BLOCK - frozenset("br td th tr tbody thead tfoot caption html body head title option".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -139,22 +142,32 @@ class Page:
         return []
 
     def subtrees(self) -> list[tuple[int, list]]:
-        """(hash, element) of block elements outside the main part; white space doesn't count."""
+        """(hash, element) of block elements outside the main part and boxes in it; white space doesn't count.
+
+        The hash's lowest bit says if the element is inside.
+        """
         main = self.main_spans()
         found = []
         for e in self.elements:
-            if e[0] in BLOCK and e[0] not in ("html", "body", "head") and not any(m[1] <= e[1] and e[2] <= m[2] or e[1] <= m[1] and m[2] <= e[2] for m in main):
+            if e[0] not in BLOCK or e[0] in ("html", "body", "head") or any(e[1] <= m[1] and m[2] <= e[2] for m in main):
+                continue
+            inner = any(m[1] <= e[1] and e[2] <= m[2] for m in main)
+            if not inner or e[0] in INNER:
                 text = " ".join(self.source[e[3] : e[4]].split())
                 if text:
-                    found.append((xxhash.xxh3_64_intdigest(text) - (1 << 63), e))
+                    found.append(((xxhash.xxh3_64_intdigest(text) - (1 << 63)) & ~1 | inner, e))
         return found
 
     def text(self, templates) -> str:
         """The main text; templates is a test for hashes of subtrees to delete."""
+        gone = [(h, e) for h, e in self.subtrees() if templates(h)]
+        outer = [e for h, e in gone if not h & 1]
+        return self._text([e for _, e in gone]) or (self._text(outer) if len(outer) < len(gone) else "")
+
+    def _text(self, deleted: list[list]) -> str:
         main = self.main_spans()
         cover = np.zeros(self.size + 2, np.int64)
-        gone = [e for e in self.elements if e[5]] + [e for h, e in self.subtrees() if templates(h)]
-        for e in gone:
+        for e in [e for e in self.elements if e[5]] + deleted:
             cover[e[1]] += 1
             cover[e[2]] -= 1
         cover = np.cumsum(cover)
@@ -178,8 +191,8 @@ class Page:
 
 
 def _host_hash(host: str, subtree: int) -> int:
-    """One number for a subtree of a host."""
-    return xxhash.xxh3_64_intdigest(f"{host}\n{subtree}") - (1 << 63)
+    """One number for a subtree of a host, with the subtree's lowest bit."""
+    return (xxhash.xxh3_64_intdigest(f"{host}\n{subtree}") - (1 << 63)) & ~1 | subtree & 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +215,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     seen = persisted(source.mapInArrow(_count, "host string, tree long, page long").distinct(), "subtrees")
     own = seen.where("tree IS NULL").groupBy("host").agg(F.count("*").alias("pages"))
     trees = seen.where("tree IS NOT NULL").groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return persisted(trees.join(own, "host").where(F.col("n") >= min_share * F.col("pages")).select("tree"), "templates")
+    share = F.when(F.col("tree").bitwiseAND(1) == 1, max(min_share, INNER_SHARE)).otherwise(min_share)
+    return persisted(trees.join(own, "host").where(F.col("n") >= share * F.col("pages")).select("tree"), "templates")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:

@@ -55,5 +55,16 @@ def test_site_templates_are_deleted(spark):
     assert run(spark, rows, broadcast_hashes=-1) == want
 
 
+def test_boxes_inside_articles_are_deleted_if_most_pages_have_them(spark):
+    box, rare = "<div class=x9>Tell your <b>friends</b></div>", "<section>seen at times</section>"
+    rows = [(i, f"http://site.org/{i}", f"<p>top</p><article><p>motto</p><p>n{i}</p>{box}{rare if i < 5 else ''}</article>") for i in range(12)]
+    rows += [(20 + i, f"http://main.org/{i}", f"<main><div>n{i}</div>{box}</main>") for i in range(6)]
+    rows += [(30 + i, f"http://copies.org/{i}", f"<p>{i}</p><article><div>all there is</div></article>") for i in range(6)]
+    want = [f"motto n{i}{' seen at times' if i < 5 else ''}" for i in range(12)] + [f"n{i}" for i in range(6)] + ["all there is"] * 6
+    want = sorted(((i, u, t, len(t)) for (i, u, _), t in zip(rows, want, strict=True)), key=str)
+    assert run(spark, rows) == want
+    assert run(spark, rows, broadcast_hashes=-1) == want
+
+
 def test_empty_table(spark):
     assert op.main_text(pages(spark, site(1)).where("false")).count() == 0
