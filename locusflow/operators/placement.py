@@ -35,7 +35,11 @@ def overlapping_chunks(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def place_reads(reads: DataFrame, reference: DataFrame, seeds: DataFrame, size: int, k: int = SEED, stride: int = STRIDE, most: int = MISMATCHES) -> DataFrame:
-    """(run, ordinal, mate, strand, contig, start, mismatches) of every place where a read fits end to end.
+    """(run, ordinal, mate, strand, contig, start, mismatches) of places where a read fits end to end.
+
+    A place is proposed by a seed without mismatches that the reference has at most REPEATS times. Seeds don't overlap, so
+    each mismatch spoils one: a read of n bases is sure to get its places with fewer than n // 25 mismatches (100 bases: 3,
+    150 bases: 5, from 225 bases on all 8), others only by where their mismatches lie, and none if its seeds are frequent.
 
     reads: run, ordinal, mate, seq. reference: contig, offset, seq in chunks that overlap by a read's length at least.
     """
