@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,19 @@ def persisted(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+#: Paths of written frames, for as long as somebody holds the frame.
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes what :func:`persisted` wrote for these frames: nothing that is still to run may read them."""
+    for df in frames:
+        remove(df.sparkSession, _written.pop(df))
 
 
 def columns_of(df: DataFrame, *without: str) -> list:
