@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusflow.llm.kept import without
 from locusflow.llm.worker import claim
-from locusflow.session import columns_of, persisted, prepare_workers
+from locusflow.session import persisted, prepare_workers
 
 #: (modulus, base) of the two halves of a fingerprint.
 FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 214_013_011))
 CHUNK_BYTES = 1 << 16
+#: Keys of rows to drop are broadcast up to so many; beyond that they are joined by shuffle.
+BROADCAST_KEYS = 200_000
 FINGERPRINT = ["h1", "h2", "n_bytes"]
 
 
@@ -185,9 +188,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rules as in :func:`exact_duplicates`."""
-    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__flow_id"), F.col("text_sha256").alias("__flow_sha"), F.col("same_rows").alias("__flow_same"))
-    marked = docs.withColumn("__flow_key", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__flow_id")) & (F.col("__flow_key") == F.col("__flow_sha")))
-    once = rows.where("__flow_same = 1").select(*columns_of(docs))
-    tied = rows.where("__flow_same > 1").dropDuplicates(["__flow_id", "__flow_sha"]).select(*columns_of(docs))
-    return once.unionByName(tied)
+    out = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__flow_id"), F.col("text_sha256").alias("__flow_key"), "kept", F.col("same_rows").alias("__flow_same"))
+    key = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
+    return without(docs, F.col(id_col), key, out, BROADCAST_KEYS)

@@ -4,8 +4,11 @@
    here on a class is one node, however many copies it has.
 2. Nodes that share a band hash are candidates. A bucket of any size is kept as edges to its smallest node, and connected
    components of these edges gather all candidates that could be linked.
-3. Within a component every pair is verified on full n-gram sets. A component is cut into blocks of bounded weight, and
-   each pair of blocks is a task, which gives back link counts and a spanning forest of its links, never the pairs.
+3. Candidates are verified on full n-gram sets. A component that fits a task is verified as a whole. In a larger one,
+   which chance may have chained together, only nodes that share a band meet: bucket by bucket, buckets with the same
+   members once, and a pair counts in the first bucket that it shares. Where that would compare more pairs than the
+   component has (nodes that share nearly all bands), the component as a whole is the cheaper unit again. Units are cut into
+   blocks, and each pair of blocks is a task, which gives back link counts and a spanning forest of its links, never pairs.
 4. Connected components of the verified links are the groups.
 """
 
@@ -21,18 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.llm.components import components
-from locusflow.llm.ngrams import N, forget, mix, ngram_hashes, pieces
+from locusflow.llm.kept import without
+from locusflow.llm.ngrams import N, SEGMENT, forget, mix, ngram_hashes, ngram_sets, pieces
 from locusflow.llm.worker import claim
-from locusflow.session import columns_of, persisted, prepare_workers
+from locusflow.session import persisted, prepare_workers
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares at least one band with this probability at least.
 RECALL = 0.9999
 ROWS = 4
-#: Bounds of a block: nodes, and n-grams of all its nodes (a node above the second is a block of its own).
+#: What a block holds on average at most: nodes, and n-grams of all its nodes. Nodes are dealt to blocks by hash.
 BLOCK_NODES, BLOCK_GRAMS = 768, 1 << 19
-#: Candidates' ids are broadcast up to so many; beyond that they are joined by shuffle.
-BROADCAST_IDS = 400_000
+#: Candidates' ids, and keys of rows to drop, are broadcast up to so many; beyond that they are joined by shuffle.
+BROADCAST_IDS = 200_000
 SETS = ["k1", "k2", "n"]
 
 
@@ -47,6 +51,12 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
+def _identity(grams: np.ndarray, at=None) -> tuple:
+    """Two sums over mixed n-grams, of all or of stretches that begin at the given places."""
+    mixed = mix(grams), mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+    return tuple(m.sum(dtype=np.uint64) if at is None else np.add.reduceat(m, at) for m in mixed)
+
+
 def sketch(texts: list[bytes], bands: int, rows: int = ROWS, n: int = N) -> tuple[np.ndarray, ...]:
     """(k1, k2, size, bands) of the n-gram sets of lower-case texts; k1 and k2 identify a set. Empty sets are zeros."""
     grams, counts = ngram_hashes(texts, n)
@@ -62,8 +72,7 @@ def sketch(texts: list[bytes], bands: int, rows: int = ROWS, n: int = N) -> tupl
     full = np.flatnonzero(size)
     if len(full):
         at = np.cumsum(size[full]) - size[full]
-        k1[full] = np.add.reduceat(mix(grams), at)
-        k2[full] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), at)
+        k1[full], k2[full] = _identity(grams, at)
         a, b = _multipliers(bands * rows)
         for band in range(bands):
             value = np.full(len(full), band + 1, np.uint64)
@@ -144,23 +153,50 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
             queue += near.tolist()
 
 
+def _sets_of(texts: list[bytes], n: int) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    """((k1, k2, size), sorted set) of each text's n-grams, some texts at a time."""
+    at = 0
+    while at < len(texts):
+        end, total = at + 1, len(texts[at])
+        while end < len(texts) and total + len(texts[end]) <= SEGMENT:
+            total += len(texts[end])
+            end += 1
+        for grams in ngram_sets(texts[at:end], n):
+            yield (*(int(x.view(np.int64)) for x in _identity(grams)), len(grams)), grams
+        at = end
+
+
+def _met_before(mine: list, unit: int) -> np.ndarray:
+    """Which pairs of nodes share a unit that comes before this one; mine holds the units of each node."""
+    met = np.zeros((len(mine), len(mine)), bool)
+    owner = np.repeat(np.arange(len(mine)), [len(m) for m in mine])
+    units = np.concatenate([np.asarray(m, np.int64) for m in mine])
+    owner, units = owner[units < unit], units[units < unit]
+    order = np.argsort(units, kind="stable")
+    owner, units = owner[order], units[order]
+    edges = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1], [True]])) if len(units) else np.empty(0, np.int64)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            met[np.ix_(owner[a:b], owner[a:b])] = True
+    return met
+
+
 def _verify(similarity: float, n: int):
-    """Tasks arrive as runs of rows with the same (root, i, j); each is a pair of blocks of a component."""
+    """Tasks arrive as runs of rows with the same (unit, i, j); each is a pair of blocks of a unit."""
 
     def work(rows: list) -> pa.RecordBatch:
-        held: dict = {}
-        texts = [r["text"] for r in rows]
-        k1, k2, size, _ = sketch(texts, 0, 0, n)
-        sets = []
-        for s, r in enumerate(rows):
+        held: set = set()
+        nodes, sets = [], []
+        for r, (key, grams) in zip(rows, _sets_of([r["text"] for r in rows], n), strict=True):
             # A repeated id may bring in a text of another class; it isn't this node's.
-            if (k1[s].astype(np.int64), k2[s].astype(np.int64), size[s]) == (r["k1"], r["k2"], r["n"]) and r["node"] not in held:
-                held[r["node"]] = (len(held), r)
-                grams, _ = ngram_hashes([texts[s]], n)
-                sets.append(np.unique(grams))
-        nodes = [r for _, r in held.values()]
+            if key == (r["k1"], r["k2"], r["n"]) and r["node"] not in held:
+                held.add(r["node"])
+                nodes.append(r)
+                sets.append(grams)
         two = rows[0]["i"] != rows[0]["j"]
         links = linked(sets, similarity, np.array([r["block"] == r["i"] for r in nodes], bool) if two else None)
+        if rows[0]["units"] is not None and nodes:
+            links &= ~_met_before([r["units"] for r in nodes], rows[0]["unit"])
         copies = np.array([r["copies"] for r in nodes], np.int64)
         counts = links @ copies
         ids = np.array([r["node"] for r in nodes], np.int64)
@@ -177,7 +213,7 @@ def _verify(similarity: float, n: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 for row in batch.slice(at, 128).to_pylist():
-                    mine = (row["root"], row["i"], row["j"])
+                    mine = (row["unit"], row["i"], row["j"])
                     if mine != key:
                         if rows:
                             yield work(rows)
@@ -230,24 +266,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("top.id").alias("class_id"), "n_links", "class_size", top.alias("kept"), "sha", "same_rows")
 
 
+def _units(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows (node, SETS, copies, low, unit, units, blocks): the units of verification that each candidate belongs to.
+
+    units is null where the unit is a whole component, else the sorted units of the node.
+    """
+    weight = F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks")
+    member = persisted(classes.join(near, "node"), "candidates")
+    whole = persisted(member.groupBy("root").agg(weight, F.count("*").alias("size")), "components")
+    large = whole.where("blocks > 1").select("root", "size")
+    one = member.join(whole.select("root", "blocks"), "root").withColumns({"unit": F.col("root"), "units": F.lit(None).cast("array<long>")})
+    columns = ["node", *SETS, "copies", "low", "unit", "units", "blocks"]
+    if large.isEmpty():
+        return one.select(columns)
+    # Buckets of large components; of buckets with the same members the one with the smallest hash stands for all.
+    banded = persisted(member.join(large, "root").select("root", "node", "n", F.explode("bands").alias("band")), "banded")
+    buckets = banded.groupBy("root", "band").agg(weight, F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("members > 1")
+    buckets = persisted(buckets.groupBy("root", "members", "who").agg(F.min("band").alias("unit"), F.first("blocks").alias("blocks")), "buckets")
+    cost = buckets.groupBy("root").agg(F.sum(F.col("members").cast("double") * F.col("members")).alias("pairs"))
+    apart = large.join(cost, "root").where("pairs < double(size) * size").select("root")
+    units = banded.withColumnRenamed("band", "unit").join(buckets.join(apart, "root", "left_semi").select("root", "unit", "blocks"), ["root", "unit"])
+    units = persisted(units.select("node", "unit", "blocks"), "units")
+    mine = units.groupBy("node").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+    parts = member.join(units.join(mine, "node"), "node").select(columns)
+    return one.join(apart, "root", "left_anti").select(columns).unionByName(parts)
+
+
 def _links(source: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, n: int) -> DataFrame:
     """Rows (a, null, count) with linked rows of each node, and (a, b, 0) with edges that join linked nodes."""
-    wanted = persisted(classes.drop("bands").join(near, "node"), "wanted")
-    weights = wanted.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
-    wanted = persisted(wanted.join(weights, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    wanted = F.broadcast(wanted) if small else wanted
+    wanted = _units(classes, near).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wanted = persisted(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("merge")
     rows = source.join(wanted, source["id"].eqNullSafe(wanted["low.id"]))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = rows.select("node", *SETS, "copies", "text", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(similarity, n), "a long, b long, links long")
+    tasks = rows.select("node", *SETS, "copies", "text", "unit", "units", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return tasks.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_verify(similarity, n), "a long, b long, links long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rules as in :func:`near_duplicates`."""
-    stay = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__flow_id"), F.col("sha").alias("__flow_sha"), F.col("same_rows").alias("__flow_same"))
-    marked = docs.withColumn("__flow_key", F.unhex(F.sha2(F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)))
-    rows = marked.join(persisted(stay, "stay"), F.col(id_col).eqNullSafe(F.col("__flow_id")) & (F.col("__flow_key") == F.col("__flow_sha")))
-    once = rows.where("__flow_same = 1").select(*columns_of(docs))
-    tied = rows.where("__flow_same > 1").dropDuplicates(["__flow_id", "__flow_sha"]).select(*columns_of(docs))
-    return once.unionByName(tied)
+    out = near_duplicates(docs, id_col, text_col, **options).select(F.col(id_col).alias("__flow_id"), F.col("sha").alias("__flow_key"), "kept", F.col("same_rows").alias("__flow_same"))
+    key = F.unhex(F.sha2(F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+    return without(docs, F.col(id_col), key, out, BROADCAST_IDS)

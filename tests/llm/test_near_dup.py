@@ -76,6 +76,33 @@ def test_large_groups_are_verified_in_blocks(docs_of, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["class_size"]) for r in out), key=str) == brute(rows)
 
 
+def chained(seed=4, n=60):
+    """Windows of one long text: neighbours are linked, and the ends of the chain have nothing in common."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(5000)}" for _ in range(6 * n + 60)]
+    rows = [" ".join(words[6 * i : 6 * i + 60]) for i in range(n)] + [" ".join(words[6 * i : 6 * i + 60]).upper() for i in range(0, n, 7)]
+    return list(zip(rng.sample(range(10_000), len(rows)), rows))
+
+
+@pytest.mark.parametrize("ids", [0, 1000])
+def test_chains_are_verified_bucket_by_bucket(docs_of, monkeypatch, ids):
+    monkeypatch.setattr(op, "BLOCK_NODES", 8)
+    monkeypatch.setattr(op, "BROADCAST_IDS", ids)
+    seen = []
+    monkeypatch.setattr(op, "_units", lambda *a, of=op._units: seen.append(of(*a)) or seen[0])
+    rows = chained() + corpus(6, families=2, singles=3)
+    out = op.near_duplicates(docs_of(rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["class_size"]) for r in out), key=str) == brute(rows)
+    units = [len(r["units"]) for r in seen[0].where("units IS NOT NULL").collect()]
+    assert units and max(units) > 1
+
+
+def test_a_pair_counts_in_its_first_shared_unit():
+    met = op._met_before([[1, 5], [5], [1, 5, 9], [-3, 5], [-3, 9]], 5)
+    assert {(i, j) for i, j in zip(*np.nonzero(met), strict=True) if i < j} == {(0, 2), (3, 4)}
+    assert not op._met_before([[5], [5, 7]], 5).any()
+
+
 def test_one_of_each_group_stays(docs_of):
     rows = corpus(3) + [(7, "tied row of five words"), (7, "tied row of five words")]
     docs = docs_of(rows)
