@@ -1,3 +1,6 @@
+import random
+import struct
+
 import pytest
 from fixtures import ALL, COHORT, HEAD, bcf, bgzf, gz, vcf, write
 from pyspark.sql import functions as F
@@ -6,9 +9,11 @@ from locusflow.functions import genetics as g
 from locusflow.operators import mask, normalize, stats
 from locusflow.operators.sets import GateError
 from locusflow.plans.genotypes import synthetic_totals
+from locusflow.sources import files
+from locusflow.sources.bgzf import Index, byte_ranges, union_bytes
 from locusflow.sources.files import FormatError
 from locusflow.sources.tables import as_text, read_metadata
-from locusflow.sources.vcf import read_header, read_variants, require_format, write_vcf
+from locusflow.sources.vcf import VcfReader, read_header, read_variants, require_format, write_vcf
 
 SAMPLES = ["S1", "S2", "S3", "S4"]
 META = "﻿sample\tpopulation\tnote\r\nS4\tB\tx\r\nS2\tA\t\r\nS1\tA\ty\r\nS3\tB\tz\r\n"
@@ -201,3 +206,97 @@ def test_left_alignment(spark):
     rows = [(1, 109, "CAC", "C", "GGCACACA"), (2, 105, "A", "T", "x"), (3, 108, "ATT", "ATTT", "CAAA"), (4, 109, "CAC", "C", "CACA")]
     out = normalize.align_indels(spark.createDataFrame(rows, "rec long, pos long, ref string, alt string, before string")).orderBy("rec").collect()
     assert [(r["pos"], r["ref"], r["alt"]) for r in out] == [(102, "GCA", "G"), (105, "A", "T"), (108, "A", "AT"), (105, "CAC", "C")]
+
+
+def many(n=400, samples=6):
+    rng = random.Random(5)
+    calls = lambda: " ".join(f"{rng.choice(['0/0', '0/1', '1|1', './.', '0', '0/2'])}:{rng.choice(['.', '7', '300'])}:{rng.randrange(99)}:{rng.choice(['a', 'b,c'])}" for _ in range(samples))
+    return [(rng.choice(["1", "1", "chr2"]) if k > 200 else "1", 100 + 10 * k, f"rs{k}", "A", rng.choice(["C", "C,T"]), "PASS", "GT:DP:GQ:XX", calls()) for k in range(n)]
+
+
+EXTRA = HEAD + '##FORMAT=<ID=XX,Number=.,Type=String,Description="other">\n'
+
+
+def small_blocks(data, size):
+    """BGZF with blocks of so many bytes."""
+    return b"".join(bgzf(data[at : at + size])[: -len(files.BGZF_END)] for at in range(0, len(data), size)) + files.BGZF_END
+
+
+@pytest.mark.parametrize("block", [37, 400, 5000])
+def test_blocks_are_read_in_parts(spark, tmp_path, block):
+    names = [f"N{i}" for i in range(6)]
+    text = vcf(many(), names, EXTRA)
+    want = sorted(map(str, read_variants(spark, write(tmp_path / "a.vcf", text))[0].drop("rec").collect()))
+    assert "b,c" in want[0]
+    plain = [r for r in many()]
+    path = write(tmp_path / "a.vcf.gz", small_blocks(text.encode(), block))
+    for split in (300, 1111, 3001):
+        reader = VcfReader({"path": path, "split": str(split)})
+        batches = [b for p in reader.partitions() for b in reader.read(p)]
+        assert len(reader.partitions()) > 1
+        recs = [x for b in batches for x in b.column(0).to_pylist()]
+        assert len(recs) == len(plain) and recs == sorted(recs) and len(set(recs)) == len(recs)
+        assert [x for b in batches for x in b.column(4).to_pylist()] == [r[2] for r in plain]
+    assert sorted(map(str, read_variants(spark, path, split=3000)[0].drop("rec").collect())) == want
+
+
+@pytest.mark.parametrize("block", [37, 400, 5000])
+def test_binary_records_are_found_from_any_block(spark, tmp_path, block):
+    names = [f"N{i}" for i in range(6)]
+    rows = [(*r[:6], "GT:DP:GQ", " ".join(c.rpartition(":")[0] for c in r[7].split(" "))) for r in many()]
+    text = vcf(rows, names)
+    import gzip
+
+    raw = gzip.decompress(bcf(text))
+    path = write(tmp_path / "a.bcf", small_blocks(raw, block))
+    want = sorted(map(str, read_variants(spark, write(tmp_path / "a.vcf", text))[0].drop("rec", "contig_rank").collect()))
+    for split in (300, 1111, 3001):
+        assert sorted(map(str, read_variants(spark, path, split=split)[0].drop("rec", "contig_rank").collect())) == want
+    reader = VcfReader({"path": path, "split": "500"})
+    recs = [x for p in reader.partitions() for b in reader.read(p) for x in b.column(0).to_pylist()]
+    assert len(recs) == len(rows) and recs == sorted(recs)
+
+
+def test_regions(spark, tmp_path):
+    names = [f"N{i}" for i in range(6)]
+    path = write(tmp_path / "a.vcf.gz", small_blocks(vcf(many(), names, EXTRA).encode(), 400))
+    got = read_variants(spark, path, regions="1:500-700;chr2", split=2000)[0]
+    ids = {r["id"] for r in got.collect()}
+    assert ids == {r[2] for r in many() if r[0] == "chr2" or r[0] == "1" and 500 <= r[1] <= 700}
+
+
+def tabix(chunks):
+    """A tabix index with one contig and the given (bin, begin, end)."""
+    names = b"1\0"
+    out = b"TBI\1" + struct.pack("<8i", 1, 2, 1, 2, 0, 35, 0, len(names)) + names + struct.pack("<i", len(chunks))
+    for number, a, b in chunks:
+        out += struct.pack("<IiQQ", number, 1, a, b)
+    return bgzf(out + struct.pack("<iQ", 1, 0))
+
+
+def test_an_index_says_what_to_read(spark, tmp_path):
+    rows = [("1", 100 + 40_000 * k, f"rs{k}", "A", "C", "PASS", "GT", "0/1 0/0") for k in range(8)]
+    path = write(tmp_path / "a.vcf.gz", small_blocks(vcf(rows, ["A", "B"]).encode(), 50))
+    at = [r["rec"] for r in read_variants(spark, path)[0].orderBy("rec").collect()] + [1 << 62]
+    leaf = lambda pos: 4681 + (pos >> 14)
+    index = write(tmp_path / "a.vcf.gz.tbi", tabix([(leaf(r[1] - 1), at[k], at[k + 1]) for k, r in enumerate(rows)]))
+    got = read_variants(spark, path, regions="1:80000-130000", index=index)[0].collect()
+    assert [r["id"] for r in got] == ["rs2", "rs3"]
+    ranges = byte_ranges(Index(index), "1:80000-130000")
+    assert ranges == [{"start": at[2] >> 16, "end": (at[4] >> 16) + 65535}]
+    with pytest.raises(FormatError):
+        byte_ranges(Index(index), "2")
+    assert union_bytes(ranges, 10**6, 100) == [{"start": 0, "end": 99}, {"start": ranges[0]["start"], "end": ranges[0]["end"]}, {"start": 10**6 - 28, "end": 10**6 - 1}]
+
+
+def test_other_fields_survive_masking_and_writing(spark, tmp_path):
+    names = [f"N{i}" for i in range(6)]
+    rows = [(*r[:4], "C", *r[5:7], r[7].replace("0/2", "0/1")) for r in many(30)]
+    records, _, header = read_variants(spark, write(tmp_path / "a.vcf", vcf(rows, names, EXTRA)))
+    write_vcf(mask.mask_variants(records, 5, 10), header, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    lines = [x.split("\t") for x in text.split("\n") if x and not x.startswith("#")]
+    assert len(lines) == 30
+    for want, got in zip(rows, lines, strict=True):
+        assert got[8] == "GT:DP:GQ:XX"
+        assert [c.split(":")[1:] for c in got[9:]] == [c.split(":")[1:] for c in want[7].split(" ")]
