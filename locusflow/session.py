@@ -51,10 +51,20 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def persisted(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: short lineage that outlives any executor."""
+#: Rows of a small table's file.
+FILE_ROWS = 50_000
+
+
+def persisted(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again: short lineage that outlives any executor.
+
+    ``most_rows``, if known, bounds the number of its rows: a small table becomes a few files, not one for each of many
+    partitions.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
