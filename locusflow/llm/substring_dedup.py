@@ -21,21 +21,22 @@ from pyspark.sql import types as T
 
 from locusflow.llm.ngrams import WORD_BASE, forget, mix, pieces, word_hashes
 from locusflow.llm.worker import claim
-from locusflow.session import columns_of, persisted, prepare_workers
+from locusflow.session import columns_of, persisted, prepare_workers, release
 
 #: Words on either side among which a cut's hash must be the smallest: inner chunks have REACH + 1 words at least.
 REACH = 4
 #: Repeats of so many words and more are cut out.
 MIN_WORDS = 50
-#: Words before and after a run that are compared with its first occurrence's.
-LOOK = 96
+#: A repeat goes on beyond a run by less than the next chunk (else that would repeat, too) and so many words, within which
+#: what stands around the repeat has a say in where chunks begin.
+EDGE = 24
 #: A run's end is refined by chunks that begin (or end) so many words from it at most, of so many different first places.
 NEAR_END, PLACES = 56, 4
 #: Longest period, in words, and least length of a stretch that counts as periodic; it is cut every STRIDE words or so.
 PERIODS, STRETCH, STRIDE = 8, 16, 8
 #: Bytes over which the hash is rolled at a time.
 STEP_BYTES = 1 << 18
-#: Lists of places are broadcast up to so many entries; beyond that they are joined by shuffle.
+#: Lists of cuts are broadcast up to so many entries; beyond that they are joined by shuffle, as lists of places always are.
 BROADCAST_ENTRIES = 1_000_000
 WINDOW = 16
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -156,6 +157,7 @@ class Chunks:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of each text; prev and next are the words of the neighbouring ones, 0 where the text ends."""
     claim("ngrams", forget)
     for batch in batches:
         for part in pieces(batch, 2):
@@ -164,67 +166,84 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
             keys = [part.column(k).take(pa.array(owner)) for k in (0, 1)]
             number = np.arange(len(c.cuts)) - bounds[:-1][owner]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead))], [*KEY, "no", "d", "words", "back", "ahead"])
+            wide = np.concatenate([[0], c.sizes, [0]])
+            prev, following = wide[:-2] * (number > 0), wide[2:] * (np.append(number[1:], 0) > 0)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead, prev, following))], [*KEY, "no", "d", "words", "back", "ahead", "prev", "next"])
 
 
 def _sides(run: list[dict], left: bool) -> list[dict]:
-    """Chunks near one end of a run with their first occurrences, of which no two lie alike to the run."""
+    """Chunks near one end of a run with their first occurrences, of which no two lie alike to the run.
+
+    want: words outwards of the chunk that decide where the repeat ends.
+    """
     out, seen, away = [], set(), 0
+    beyond = (run[0]["prev"] if left else run[-1]["next"]) + EDGE
     for c in run if left else reversed(run):
         if away > NEAR_END or len(out) == PLACES:
             break
         f = c["first"]
         if (how := (f["id"], f["h"], f["no"] - c["no"])) not in seen:
             seen.add(how)
-            out.append({"left": left, "no": c["no"], "away": away, "first_id": f["id"], "first_h": f["h"], "first_no": f["no"]})
+            out.append({"left": left, "no": c["no"], "away": away, "want": away + beyond, "first_id": f["id"], "first_h": f["h"], "first_no": f["no"]})
         away += c["words"]
     return out
 
 
+def _side_type(key) -> list:
+    return [("left", pa.bool_()), ("no", pa.int32()), ("away", pa.int32()), ("want", pa.int32()), ("first_id", key), ("first_h", pa.int64()), ("first_no", pa.int32())]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of neighbouring repeated chunks of each text, each with the first occurrences of chunks near its ends."""
     claim("ngrams", forget)
-    names = [*KEY, "a", "b", "words", "back", "ahead", "sides"]
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for row in batch.to_pylist():
-            chunks = sorted(row["chunks"], key=lambda c: c["no"])
-            begin = 0
-            for i in range(1, len(chunks) + 1):
-                if i == len(chunks) or chunks[i]["no"] != chunks[i - 1]["no"] + 1:
-                    run = chunks[begin:i]
-                    for o, x in zip(out, (row["id"], row["h"], run[0]["no"], run[-1]["no"], sum(c["words"] for c in run), run[0]["back"], run[-1]["ahead"], _sides(run, True) + _sides(run, False)), strict=True):
-                        o.append(x)
-                    begin = i
-        key = batch.column(0).type
-        sides = pa.list_(pa.struct([("left", pa.bool_()), ("no", pa.int32()), ("away", pa.int64()), ("first_id", key), ("first_h", pa.int64()), ("first_no", pa.int32())]))
-        kinds = [key, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), sides]
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
-
-
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the words before (left) or after the asked chunks, nearest first."""
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            out = []
+            for row in part.to_pylist():
+                chunks = sorted(row["chunks"], key=lambda c: c["no"])
+                begin, found = 0, []
+                for i in range(1, len(chunks) + 1):
+                    if i == len(chunks) or chunks[i]["no"] != chunks[i - 1]["no"] + 1:
+                        run = chunks[begin:i]
+                        found.append({"a": run[0]["no"], "b": run[-1]["no"], "words": sum(c["words"] for c in run), "back": run[0]["back"], "ahead": run[-1]["ahead"], "sides": _sides(run, True) + _sides(run, False)})
+                        begin = i
+                out.append(found)
+            shape = [*((n, pa.int32()) for n in ("a", "b", "words", "back", "ahead")), ("sides", pa.list_(pa.struct(_side_type(part.column(0).type))))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.struct(shape)))], [*KEY, "runs"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words before (left) or after chunks, nearest first.
+
+    Asked for are first occurrences (run null) and the places in runs that are compared with them, with all that is known
+    of these. 32 bits of a word's hash are enough here: they only decide where words begin to differ.
+    """
     claim("ngrams", forget)
     for batch in batches:
         for part in pieces(batch, 2):
             c = Chunks(part.column(2).to_pylist())
             bounds = np.searchsorted(c.cuts, c.first)
-            owner, number, side, words = [], [], [], []
-            for i, asked in enumerate(part.column(3).to_pylist()):
-                for q in asked:
+            key = part.column(0).type
+            names, kinds = zip(("run", pa.int32()), ("left", pa.bool_()), ("no", pa.int32()), ("away", pa.int32()), ("first_id", key), ("first_h", pa.int64()), ("first_no", pa.int32()), strict=True)
+            owner, words, rest = [], [], [[] for _ in names]
+            for i, (asked, runs) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                for q in [*(asked or ()), *({**q, "run": r["a"]} for r in runs or () for q in r["sides"])]:
                     at = bounds[i] + q["no"]
                     if q["left"]:
                         end = c.cuts[at]
-                        near = c.hashes[max(c.first[i], end - LOOK) : end][::-1]
+                        near = c.hashes[max(c.first[i], end - q["want"]) : end][::-1]
                     else:
                         end = c.cuts[at] + c.sizes[at]
-                        near = c.hashes[end : min(c.first[i + 1], end + LOOK)]
+                        near = c.hashes[end : min(c.first[i + 1], end + q["want"])]
                     owner.append(i)
-                    number.append(q["no"])
-                    side.append(q["left"])
-                    words.append(near.view(np.int64))
+                    words.append((near >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    for out, n in zip(rest, names, strict=True):
+                        out.append(q.get(n))
             keys = [part.column(k).take(pa.array(owner, pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(number, pa.int32()), pa.array(side, pa.bool_()), pa.array(words, pa.list_(pa.int64()))], [*KEY, "no", "left", "near"])
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(words) if words else np.empty(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True)), near], [*KEY, *names, "near"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +279,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind), part.column(4)], ["id", "clean_text", "removed_words", "spans", "rest"])
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
-    """texts joined with lists on (id, h); the lists are broadcast only if they have few entries altogether."""
-    lists = F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists.hint("merge")
+def _with_lists(texts: DataFrame, lists: DataFrame, entries: int | None, how: str) -> DataFrame:
+    """texts joined with lists on (id, h); the lists are broadcast only if they are known to have few entries altogether."""
+    lists = F.broadcast(lists) if entries is not None and entries <= BROADCAST_ENTRIES else lists.hint("merge")
     return texts.alias("t").join(lists.alias("l"), F.col("t.id").eqNullSafe(F.col("l.id")) & (F.col("t.h") == F.col("l.h")), how)
 
 
@@ -273,26 +292,30 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = persisted(source.mapInArrow(_chunk_rows, f"id {kind}, h long, no int, d long, words int, back int, ahead int"), "chunks")
+    chunks = persisted(source.mapInArrow(_chunk_rows, f"id {kind}, h long, no int, d long, words int, back int, ahead int, prev int, next int"), "chunks")
 
     place = F.struct("id", "h", "no")
     first = chunks.groupBy("d").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
     first = persisted(first, "first")
-    later = chunks.join(first, "d").where(~place.eqNullSafe(F.col("first"))).select(*KEY, F.struct("no", "words", "back", "ahead", "first").alias("c"))
+    later = chunks.join(first, "d").where(~place.eqNullSafe(F.col("first"))).select(*KEY, F.struct("no", "words", "back", "ahead", "prev", "next", "first").alias("c"))
     texts = later.groupBy(*KEY).agg(F.collect_set("c").alias("chunks"))
-    side = f"struct<left: boolean, no: int, away: long, first_id: {kind}, first_h: long, first_no: int>"
-    runs = persisted(texts.mapInArrow(_runs, f"id {kind}, h long, a int, b int, words long, back int, ahead int, sides array<{side}>"), "runs")
-
-    # Where a run and a first occurrence go on alike: two places for each side, looked up in the texts that hold them.
-    sides = runs.select(*KEY, F.struct(*KEY, "a").alias("run"), F.posexplode("sides").alias("side", "s")).select("id", "h", "run", "side", "s.*")
-    both = F.array(*(F.struct(F.col(i).alias("id"), F.col(h).alias("h"), F.col(n).alias("no"), F.lit(who).alias("who")) for i, h, n, who in (("id", "h", "no", 0), ("first_id", "first_h", "first_no", 1))))
-    wanted = sides.select("run", "side", "left", "away", F.explode(both).alias("q")).select("run", "side", "left", "away", "q.*")
-    lists = persisted(wanted.groupBy(*KEY).agg(F.collect_set(F.struct("no", "left")).alias("asked")), "asked")
-    entries = lists.agg(F.sum(F.size("asked"))).first()[0] or 0
-    found = _with_lists(source, lists, entries, "inner").select("t.id", "t.h", "t.text", "l.asked").mapInArrow(_surroundings, f"id {kind}, h long, no int, left boolean, near array<long>")
-    near = persisted(found.dropDuplicates([*KEY, "no", "left"]), "near")
-    seen = wanted.alias("w").join(near.alias("n"), F.col("w.id").eqNullSafe(F.col("n.id")) & (F.col("w.h") == F.col("n.h")) & (F.col("w.no") == F.col("n.no")) & (F.col("w.left") == F.col("n.left")))
-    seen = seen.groupBy("run", "side").agg(F.first(F.col("w.left")).alias("left"), F.first("away").alias("away"), *(F.max(F.when(F.col("who") == k, F.col("near"))).alias(f"near{k}") for k in range(2)))
+    side = f"struct<left: boolean, no: int, away: int, want: int, first_id: {kind}, first_h: long, first_no: int>"
+    runs = persisted(texts.mapInArrow(_runs, f"id {kind}, h long, runs array<struct<a: int, b: int, words: int, back: int, ahead: int, sides: array<{side}>>>"), "runs")
+    release(chunks, first)
+
+    # Where a run and first occurrences go on alike: what is around either is looked up in the text that holds it.
+    sides = runs.select(F.explode("runs.sides").alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    asked = sides.groupBy("first_id", "first_h", "first_no", "left").agg(F.max("want").alias("want"))
+    asked = asked.groupBy(F.col("first_id").alias("id"), F.col("first_h").alias("h")).agg(F.collect_list(F.struct(F.col("first_no").alias("no"), "left", "want")).alias("asked"))
+    none = F.lit(None)
+    lists = asked.withColumn("runs", none.cast(runs.schema["runs"].dataType)).unionByName(runs.withColumn("asked", none.cast(asked.schema["asked"].dataType)))
+    lists = lists.groupBy(*KEY).agg(F.first("asked", True).alias("asked"), F.first("runs", True).alias("runs"))
+    found = _with_lists(source, lists, None, "inner").select("t.id", "t.h", "t.text", "l.asked", "l.runs")
+    found = persisted(found.mapInArrow(_contexts, f"id {kind}, h long, run int, left boolean, no int, away int, first_id {kind}, first_h long, first_no int, near array<int>"), "contexts")
+    there = found.where("run IS NULL").select(F.col("id").alias("first_id"), F.col("h").alias("first_h"), F.col("no").alias("first_no"), "left", F.col("near").alias("there"))
+    there = there.dropDuplicates(["first_id", "first_h", "first_no", "left"])
+    here = found.where("run IS NOT NULL").drop("no")
+    both = here.alias("w").join(there.alias("n"), F.col("w.first_id").eqNullSafe(F.col("n.first_id")) & (F.col("w.first_h") == F.col("n.first_h")) & (F.col("w.first_no") == F.col("n.first_no")) & (F.col("w.left") == F.col("n.left")))
 
     def alike(x: str, y: str):
         """The number of leading elements that two arrays share."""
@@ -300,12 +323,14 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
         return F.when(differ > 0, differ - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
 
     # The longest way that any of the places goes on; within a stretch, what stands a period earlier does, too.
-    more = seen.select("run", "left", (alike("near0", "near1") - F.col("away")).alias("more"))
-    more = more.groupBy("run").agg(*(F.max(F.when(F.col("left") == k, F.col("more"))).alias(n) for k, n in ((True, "before"), (False, "after"))))
-    grown = runs.drop("sides").withColumn("run", F.struct(*KEY, "a")).join(more, "run")
+    more = both.select("w.id", "w.h", F.col("w.run").alias("a"), "w.left", (alike("near", "there") - F.col("away")).alias("more"))
+    more = more.groupBy(*KEY, "a").agg(*(F.max(F.when(F.col("left") == k, F.col("more"))).alias(n) for k, n in ((True, "before"), (False, "after"))))
+    grown = runs.select(*KEY, F.explode("runs").alias("r")).select(*KEY, "r.a", "r.b", "r.words", "r.back", "r.ahead").alias("r")
+    grown = grown.join(more.alias("m"), F.col("r.id").eqNullSafe(F.col("m.id")) & (F.col("r.h") == F.col("m.h")) & (F.col("r.a") == F.col("m.a"))).select("r.*", "before", "after")
     grown = grown.withColumns({n: F.greatest(n, o, F.lit(0)).cast("int") for n, o in (("before", "back"), ("after", "ahead"))})
     spans = grown.where(F.col("words") + F.col("before") + F.col("after") >= min_words)
     cut_lists = persisted(spans.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "before", "after")).alias("cut")), "cuts")
+    release(runs, found)
     entries = cut_lists.agg(F.sum(F.size("cut"))).first()[0] or 0
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.struct(*rest).alias("rest"))
     rows = _with_lists(whole, cut_lists, entries, "left").select("t.id", "t.h", "t.text", "l.cut", "t.rest")
