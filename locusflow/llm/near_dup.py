@@ -27,7 +27,7 @@ from locusflow.llm.components import components
 from locusflow.llm.kept import without
 from locusflow.llm.ngrams import N, SEGMENT, forget, mix, ngram_hashes, ngram_sets, pieces
 from locusflow.llm.worker import claim
-from locusflow.session import persisted, prepare_workers
+from locusflow.session import persisted, prepare_workers, release
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares at least one band with this probability at least.
@@ -252,11 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = components(edges)
 
     found = persisted(_links(source, classes, near, similarity, n), "links")
+    some = classes.count()
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     joined = components(found.where("b IS NOT NULL").select("a", "b"))
     nodes = classes.select(*SETS, "node", "copies", "low").join(counts, F.col("node") == F.col("a"), "left").drop("a")
     nodes = nodes.join(joined.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").drop("member")
-    nodes = persisted(nodes.withColumn("root", F.coalesce("root", "node")), "nodes")
+    nodes = persisted(nodes.withColumn("root", F.coalesce("root", "node")), "nodes", some)
+    release(classes, found)
     groups = nodes.groupBy("root").agg(F.min("low").alias("top"), F.sum("copies").alias("class_size"))
     nodes = nodes.join(groups, "root").select(*SETS, "top", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
@@ -272,8 +274,9 @@ def _units(classes: DataFrame, near: DataFrame) -> DataFrame:
     units is null where the unit is a whole component, else the sorted units of the node.
     """
     weight = F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks")
-    member = persisted(classes.join(near, "node"), "candidates")
-    whole = persisted(member.groupBy("root").agg(weight, F.count("*").alias("size")), "components")
+    some = near.count()
+    member = persisted(classes.join(near, "node"), "candidates", some)
+    whole = persisted(member.groupBy("root").agg(weight, F.count("*").alias("size")), "components", some)
     large = whole.where("blocks > 1").select("root", "size")
     one = member.join(whole.select("root", "blocks"), "root").withColumns({"unit": F.col("root"), "units": F.lit(None).cast("array<long>")})
     columns = ["node", *SETS, "copies", "low", "unit", "units", "blocks"]
