@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
 
-KEY = ["contig", "pos", "ref", "alt"]
 
 
-def comparable(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(comparable calls, positions set aside).
-
-    Comparable are calls with one alternative and the genotype 0/1 or 1/1 after unphasing. Positions with several
-    alternatives, and positions that occur more than once, are ambiguous and set aside on both sides.
-    """
+def _sides(calls: DataFrame, side: str) -> DataFrame:
+    """(contig, pos, multi, and for comparable calls what they say under the side's name)."""
     several = F.contains("alt", F.lit(",")) if "alt" in calls.columns else F.lit(False)
-    rows = calls.withColumn("gt", g.unphased(F.col("gt")))
-    multi = rows.where(several).select("contig", "pos")
-    single = rows.where(~several & F.col("gt").isin("0/1", "1/1"))
-    again = single.groupBy("contig", "pos").agg(F.count("*").alias("n")).where("n > 1").select("contig", "pos")
-    return single, multi.union(again).distinct()
+    rows = calls.select("contig", "pos", "ref", "alt", g.unphased(F.col("gt")).alias("gt"), several.alias("multi"))
+    rows = rows.where(F.col("multi") | F.col("gt").isin("0/1", "1/1"))
+    said = F.when(~F.col("multi"), F.struct(F.struct("ref", "alt").alias("variant"), "gt"))
+    none = F.lit(None).cast("struct<variant:struct<ref:string,alt:string>,gt:string>")
+    return rows.select("contig", "pos", "multi", *((said if n == side else none).alias(n) for n in ("t", "c")))
 
 
 def evaluate(truth: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: true_positive, false_positive, false_negative, genotype_match, precision, recall, f1, concordance.
 
-    truth and calls: contig, pos, ref, alt, gt. Ratios have six digits and are null where undefined.
+    truth and calls: contig, pos, ref, alt, gt. Comparable are calls with one alternative and the genotype 0/1 or 1/1
+    after unphasing. Positions with several alternatives, and positions that occur more than once on a side, are ambiguous
+    and set aside on both sides. So every other position has one call of each side at most, and one grouped aggregate over
+    both sides says all: either is read once and moved once. Ratios have six digits and are null where undefined.
     """
-    t, t_out = comparable(truth)
-    c, c_out = comparable(calls)
-    aside = t_out.union(c_out).distinct()
-    t, c = (x.join(aside, ["contig", "pos"], "left_anti") for x in (t, c))
-    both = t.select(*KEY, F.col("gt").alias("t_gt")).join(c.select(*KEY, F.col("gt").alias("c_gt")), KEY, "full_outer")
-    tp, fp, fn = (F.count_if(x) for x in (F.col("t_gt").isNotNull() & F.col("c_gt").isNotNull(), F.col("t_gt").isNull(), F.col("c_gt").isNull()))
-    out = both.agg(tp.alias("true_positive"), fp.alias("false_positive"), fn.alias("false_negative"), F.count_if(F.coalesce(F.col("t_gt") == F.col("c_gt"), F.lit(False))).alias("genotype_match"))
+    rows = _sides(truth, "t").unionByName(_sides(calls, "c"))
+    at = rows.groupBy("contig", "pos").agg(F.bool_or("multi").alias("multi"), *(f(x).alias(f"{x}{n}") for x in ("t", "c") for n, f in (("", F.max), ("_n", F.count))))
+    at = at.where("NOT multi AND t_n <= 1 AND c_n <= 1")
+    same = F.coalesce(F.col("t.variant") == F.col("c.variant"), F.lit(False))
+    out = at.agg(
+        F.count_if(same).alias("true_positive"),
+        F.count_if(F.col("c").isNotNull() & ~same).alias("false_positive"),
+        F.count_if(F.col("t").isNotNull() & ~same).alias("false_negative"),
+        F.count_if(same & (F.col("t.gt") == F.col("c.gt"))).alias("genotype_match"),
+    )
     a, b, n, m = (F.col(x) for x in ("true_positive", "false_positive", "false_negative", "genotype_match"))
     return out.withColumns({"precision": F.round(g.ratio(a, a + b), 6), "recall": F.round(g.ratio(a, a + n), 6), "f1": F.round(g.ratio(2 * a, 2 * a + b + n), 6), "concordance": F.round(g.ratio(m, a), 6)})

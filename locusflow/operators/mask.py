@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
+from locusflow.operators.order import steps_back
 
 #: INFO keys that a changed genotype makes stale (fixed values of the VCF format).
 STALE_INFO = ("AC", "AN", "AF", "NS")
@@ -31,29 +32,18 @@ def mask_report(calls: DataFrame) -> DataFrame:
 def check_masking(variants: DataFrame, min_dp: int = 0, min_gq: int = 0) -> None:
     """Raises MaskError for unsorted records, negative quality or an allele other than 0 and 1 at a biallelic site.
 
-    variants: rec, contig_rank, contig, pos, ref, alts, filters, calls. All rules are looked at in one aggregate, before
+    variants: rec, contig_rank, contig, pos, ref, alts, filters, calls. The rules are looked at in one aggregate and the order in another, before
     anything is written: a check inside a projection could be pruned away.
     """
-    from pyspark.sql import Window
-
-    key = F.struct("contig_rank", "pos")
-    # Records are numbered by their source; neighbours are compared in stretches, and the stretches with each other.
-    stretch = F.floor(F.col("rec") / 100_000)
     eligible = g.skip_reason(F.col("contig"), F.col("ref"), F.col("alts"), F.col("filters")).isNull()
     bad = lambda name, on: F.exists("calls", lambda c: c[name] < 0) if on else F.lit(False)
-    rows = variants.select(
-        stretch.alias("stretch"),
-        "rec",
-        key.alias("key"),
-        (eligible & bad("dp", min_dp)).alias("dp"),
-        (eligible & bad("gq", min_gq)).alias("gq"),
-        (eligible & F.exists("calls", lambda c: F.exists(c["gt"], lambda a: (a > 1) | (a < 0)))).alias("allele"),
-    )
-    step = rows.withColumn("back", F.col("key") < F.lag("key").over(Window.partitionBy("stretch").orderBy("rec")))
-    parts = step.groupBy("stretch").agg(F.min_by("key", "rec").alias("first"), F.max_by("key", "rec").alias("last"), *(F.bool_or(c).alias(c) for c in ("back", "dp", "gq", "allele")))
-    parts = parts.withColumn("gap", F.col("first") < F.lag("last").over(Window.orderBy("stretch")))
-    found = parts.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("back", "gap", "dp", "gq", "allele"))).first()
-    if found["back"] or found["gap"]:
+    rules = {
+        "dp": eligible & bad("dp", min_dp),
+        "gq": eligible & bad("gq", min_gq),
+        "allele": eligible & F.exists("calls", lambda c: F.exists(c["gt"], lambda a: (a > 1) | (a < 0))),
+    }
+    found = variants.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in rules.items())).first()
+    if steps_back(variants.select("rec", "contig_rank", "pos"), "rec", F.struct("contig_rank", "pos")).first()["steps_back"]:
         raise MaskError("records aren't sorted by contig and position")
     for name in ("dp", "gq"):
         if found[name]:

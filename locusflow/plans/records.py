@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions.times import epoch_seconds
 from locusflow.operators import acquire, intervals, sets
 from locusflow.operators import evaluate as ev
+from locusflow.operators.order import steps_back
 from locusflow.plans import derived as v
 from locusflow.plans.registry import query
 from locusflow.session import table
@@ -16,22 +17,18 @@ from locusflow.session import table
 @query("""WITH s AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS before FROM events)
 SELECT count(*) AS records, count(*) FILTER (ts < before) AS steps_back, coalesce(count(*) FILTER (ts < before), 0) = 0 AS is_sorted FROM s""")
 def sorted_check(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours are compared inside stretches of the ordinal, then the ends of stretches with each other."""
-    rows = table(spark, d, "events").select("event_id", "ts", F.floor(F.col("event_id") / 1000).alias("s"))
-    step = rows.withColumn("back", (F.col("ts") < F.lag("ts").over(Window.partitionBy("s").orderBy("event_id"))).cast("int"))
-    parts = step.groupBy("s").agg(F.count("*").alias("n"), F.coalesce(F.sum("back"), F.lit(0)).alias("b"), F.min_by("ts", "event_id").alias("first"), F.max_by("ts", "event_id").alias("last"))
-    parts = parts.withColumn("gap", F.coalesce((F.col("first") < F.lag("last").over(Window.orderBy("s"))).cast("int"), F.lit(0)))
-    total = F.coalesce(F.sum(F.col("b") + F.col("gap")), F.lit(0))
-    return parts.agg(F.sum("n").alias("records"), total.alias("steps_back"), (total == 0).alias("is_sorted"))
+    """Whether events are in the order of their times."""
+    found = steps_back(table(spark, d, "events").select("event_id", "ts"), "event_id", F.col("ts"))
+    return found.withColumn("is_sorted", F.col("steps_back") == 0)
 
 
-INTERVALS_SQL = """iv AS (SELECT o_custkey % 50 AS k, (o_orderkey * 97) % 80000 AS a, (o_orderkey * 97) % 80000 + 30 + o_orderkey % 400 AS b FROM orders WHERE o_orderkey % 20 = 0),
+INTERVALS_SQL = """iv AS (SELECT o_custkey % 50 AS k, (o_orderkey * 97) % 80000 AS a, (o_orderkey * 97) % 80000 + 30 + o_orderkey % 400 AS b FROM orders),
 pt AS (SELECT event_id, user_id % 50 AS k, CAST(floor(epoch(ts)) AS BIGINT) % 80000 AS sec FROM events)"""
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").where(k % 20 == 0).select((F.col("o_custkey") % 50).alias("k"), ((k * 97) % 80000).alias("a"), ((k * 97) % 80000 + 30 + k % 400).alias("b"))
+    return table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), ((k * 97) % 80000).alias("a"), ((k * 97) % 80000 + 30 + k % 400).alias("b"))
 
 
 @query(f"WITH {INTERVALS_SQL} SELECT event_id, k, sec FROM pt WHERE EXISTS (SELECT 1 FROM iv WHERE iv.k = pt.k AND sec >= a AND sec < b)")

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
-from locusflow.operators import ld, mask, pca, placement, qc, reads, stats
+from locusflow.operators import ld, mask, packed_calls, pca, placement, qc, reads, stats
 from locusflow.operators import relatedness as kin
+from locusflow.operators.order import steps_back
 from locusflow.operators.packed import packed_rows
 from locusflow.operators.sets import GateError, require_equal
 from locusflow.plans import workflow as w
-from locusflow.session import persisted
+from locusflow.session import persisted, release
 from locusflow.sources import sequences, tables
 from locusflow.sources.files import size_of
 from locusflow.sources.vcf import read_variants, require_format
@@ -63,28 +64,34 @@ def run_stats(spark: SparkSession, source: str, samples: str, out: str, min_dp:
     """Counts by sample, site, population and (site, population) of a variant file, as tables and a provenance record."""
     with Staged(out, replace, (source, samples)) as folder:
         before = [w.identity(source), w.identity(samples, full=True)]
-        records, header_samples, header = read_variants(spark, source)
-        for key, on in (("DP", min_dp), ("GQ", min_gq)):
+        used = {"dp": min_dp, "gq": min_gq}
+        records, header_samples, header = read_variants(spark, source, calls="packed", qualities=",".join(k for k, on in used.items() if on))
+        for key, on in used.items():
             if on:
-                require_format(header, key, "1", "Integer")
+                require_format(header, key.upper(), "1", "Integer")
         people = tables.read_metadata(spark, samples, header_samples).select("sample", "population")
-        people = persisted(people, "samples")
-        sites = persisted(_sites(records), "records")
-        totals = stats.record_totals(sites).first().asDict()
+        # As many names as a record has calls, in the header's order.
+        population = {r["sample"]: r["population"] for r in people.collect()}
+        names = sorted(set(population.values()))
+        numbers = [names.index(population[x]) for x in header.samples]
+        rows = _sites(records).drop("qual", "info", "format").withColumn("eligible", F.col("skip_reason").isNull())
+        counted = persisted(packed_calls.count_packed(rows, numbers, len(names), min_dp, min_gq), "counts")
+        totals = stats.record_totals(counted.where("site IS NOT NULL").select("site.skip_reason")).first().asDict()
         if not totals["eligible"]:
             raise GateError("no eligible record")
-        eligible = sites.where("skip_reason IS NULL")
-        if not eligible.where(F.exists("calls", lambda c: F.exists(c["gt"], lambda a: (a > 1) | (a < 0)))).isEmpty():
+        if not counted.where("odd > 0").isEmpty():
             raise GateError("an allele is outside 0..1")
-        calls = stats.explode_calls(eligible, header_samples)
-        calls = persisted(calls.select("rec", "sample", "alleles", g.category(F.col("alleles"), F.col("dp"), F.col("gq"), min_dp, min_gq).alias("category")), "calls")
-        keys = eligible.select("rec", F.col("contig").alias("chrom"), "pos", "id", "ref", F.element_at("alts", 1).alias("alt"))
-        by_site = persisted(stats.population_site_stats(calls, people, keys.select("rec", "chrom", "pos")), "by_site")
-        order = header_samples.select("sample", "idx")
-        write_table(stats.sample_stats(calls, people, totals["eligible"]).join(order, "sample").orderBy("idx").drop("idx"), f"{folder}/samples.tsv")
-        write_table(stats.site_stats(calls, keys).orderBy("rec").drop("rec"), f"{folder}/sites.tsv")
-        write_table(by_site.orderBy("rec", "population").drop("rec"), f"{folder}/population_sites.tsv")
-        write_table(stats.population_stats(by_site).orderBy("population"), f"{folder}/populations.tsv")
+        keys = [F.col("contig").alias("chrom"), "pos"]
+        groups = F.broadcast(spark.createDataFrame(list(enumerate(names)), "population_no int, population string"))
+        ratios = stats.heterozygosity()
+        by_pair = packed_calls.by_population(counted).join(groups, "population_no").select("rec", *keys, "population", *g.COUNTS, *ratios)
+        rate = g.ratio(F.col("called"), F.lit(totals["eligible"])).alias("call_rate")
+        people = spark.createDataFrame([(i, x, population[x]) for i, x in enumerate(header.samples)], "idx int, sample string, population string")
+        write_table(people.join(packed_calls.by_sample(counted), "idx").orderBy("idx").select("sample", "population", *g.COUNTS, ratios[0], rate), f"{folder}/samples.tsv")
+        write_table(packed_calls.by_site(counted).orderBy("rec").select(*keys, "id", "ref", F.element_at("alts", 1).alias("alt"), *g.COUNTS, *ratios), f"{folder}/sites.tsv")
+        write_table(by_pair.orderBy("rec", "population").drop("rec"), f"{folder}/population_sites.tsv")
+        write_table(stats.population_stats(by_pair).orderBy("population"), f"{folder}/populations.tsv")
+        release(counted)
         if [w.identity(source), w.identity(samples, full=True)] != before:
             raise GateError("an input changed meanwhile")
         report = {"version": VERSION, "inputs": before, "options": {"min_dp": min_dp, "min_gq": min_gq}, **totals, "outputs": w.inventory(folder)}
@@ -147,6 +154,7 @@ class GenotypeConfig:
     kinship_threshold: float = field(default=0.0884, metadata={"range": (0, 0.5)})
     pca_maf: float = field(default=0.05, metadata={"range": (1e-6, 0.5)})
     ld_window: int = field(default=50, metadata={"range": (2, 100_000)})
+    ld_step: int = field(default=5, metadata={"range": (1, 100_000)})
     ld_r2: float = field(default=0.2, metadata={"range": (1e-6, 1)})
     pcs: int = field(default=10, metadata={"range": (1, 50)})
 
@@ -161,7 +169,9 @@ class GenotypeConfig:
             if limits := known[k].metadata.get("range"):
                 if isinstance(x, bool) or not isinstance(x, (int, float)) or not limits[0] <= x <= limits[1] or isinstance(known[k].default, int) and not isinstance(x, int):
                     raise GateError(f"{k} must be within {limits[0]} and {limits[1]}")
-        out = cls(**value)
+        out = cls(**{"ld_step": min(cls.ld_step, value.get("ld_window", cls.ld_window))} | value)
+        if out.ld_step > out.ld_window:
+            raise GateError("ld_step must not be larger than ld_window")
         if out.relatedness_policy not in ("retain", "exclude"):
             raise GateError("relatedness_policy must be retain or exclude")
         return out
@@ -213,7 +223,7 @@ def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
         packed = packed_rows(doses.join(maf, "marker", "left_semi").join(F.broadcast(numbers), "sample"), "marker", "at", numbers.count())
         sites = table(done["import"], "sites").withColumnRenamed("marker", "row")
         markers = persisted(ld.ranked(packed.join(sites, "row").select("contig", "pos", F.col("row").alias("marker"), "data")), "markers")
-        stay = ld.ld_prune(markers, maf, c.ld_window, c.ld_r2)
+        stay = ld.ld_prune(markers, maf, c.ld_window, c.ld_r2, c.ld_step)
         save(markers.join(stay.select("marker"), "marker", "left_semi"), out, "markers")
         save(numbers, out, "order")
 
@@ -236,7 +246,7 @@ def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
             s("king", kinship, ["qc"], maf=c.kinship_maf, threshold=c.kinship_threshold),
             s("select", selected, ["import", "qc", "king"], policy=c.relatedness_policy, threshold=c.kinship_threshold),
             s("retained", retained, ["qc", "select"]),
-            s("prune", pruned, ["import", "retained"], maf=c.pca_maf, window=c.ld_window, r2=c.ld_r2),
+            s("prune", pruned, ["import", "retained"], maf=c.pca_maf, window=c.ld_window, step=c.ld_step, r2=c.ld_r2),
             s("pca", components, ["prune"], pcs=c.pcs),
         ],
     )
@@ -299,12 +309,10 @@ def check_alignments(spark: SparkSession, bams: list[str], samples: list[str], l
             groups.add(ident)
         rows = persisted(sequences.read_alignments(spark, path).withColumn("library", F.lit(library)), "alignments")
         ranks = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "contig string, rank int")
-        key = F.struct(F.coalesce("rank", F.lit(1 << 30)), F.col("pos"))
-        from pyspark.sql import Window
-
-        step = rows.join(F.broadcast(ranks), "contig", "left").withColumn("s", F.floor(F.col("ordinal") / 100_000)).withColumn("key", key)
-        step = step.withColumn("back", F.col("key") < F.lag("key").over(Window.partitionBy("s").orderBy("ordinal")))
-        if not step.where("back").isEmpty():
+        ranked = rows.join(F.broadcast(ranks), "contig", "left").select("ordinal", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "pos")
+        # Records without a contig come last, in any order.
+        key = F.struct("rank", F.when(F.col("rank") < 1 << 30, F.col("pos")).otherwise(0).alias("pos"))
+        if steps_back(ranked, "ordinal", key).first()["steps_back"]:
             raise GateError(f"{path}: not sorted")
         counts = reads.library_counts(rows).first()
         if counts is None or not counts["usable"]:

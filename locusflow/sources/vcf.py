@@ -136,7 +136,7 @@ def code_of(alleles: list | None) -> int:
     """A call's code; alleles are None where missing."""
     if alleles and any(x is not None and not 0 <= x <= 1 for x in alleles):
         return OTHER_ALLELE
-    if not alleles or any(x is None for x in alleles):
+    if alleles is None or any(x is None for x in alleles):
         return MISSING_CALL
     return HOM_REF + sum(alleles) if len(alleles) == 2 else OTHER_PLOIDY
 
@@ -342,7 +342,7 @@ def codes_of(values: np.ndarray, quick: bool = True) -> np.ndarray:
     there, number, missing = _alleles(values)
     known = there & ~missing
     count = there.sum(1)
-    out = np.where(missing.any(1) | (count == 0), MISSING_CALL, np.where(count == 2, HOM_REF + np.where(known, number, 0).sum(1), OTHER_PLOIDY))
+    out = np.where(missing.any(1), MISSING_CALL, np.where(count == 2, HOM_REF + np.where(known, number, 0).sum(1), OTHER_PLOIDY))
     return np.where((known & ((number < 0) | (number > 1))).any(1), OTHER_ALLELE, out).astype(np.uint8)
 
 
@@ -416,7 +416,8 @@ def _bcf_record(shared: bytes, individual: bytes, h: Header, path: str, rec: int
     batch.sites.append({"rec": rec, "contig": h.names[chrom], "contig_rank": chrom, "pos": pos + 1, "id": None if ident in (None, ".") else ident, "ref": alleles[0] if alleles else "", "alts": alleles[1:], "qual": qual, "filters": [h.strings[f] for f in filters], "info": list(info.items()), "format": list(fields)})
     if batch.packed:
         _, gt = fields.get("GT", (0, None))
-        batch.flat.append((np.zeros(batch.n, np.uint8) if gt is None else codes_of(gt), *(_first(fields.get(k), batch.n) if want else None for k, want in zip(("DP", "GQ"), batch.wants, strict=True))))
+        none = np.full(batch.n, OTHER_PLOIDY if "GT" in fields else MISSING_CALL, np.uint8)
+        batch.flat.append((none if gt is None else codes_of(gt), *(_first(fields.get(k), batch.n) if want else None for k, want in zip(("DP", "GQ"), batch.wants, strict=True))))
     else:
         batch.flat.append(_calls(fields, batch.n))
 

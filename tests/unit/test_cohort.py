@@ -91,6 +91,10 @@ def test_relatedness_ld_and_components(spark, run):
     plain = {(r["a"], r["b"]): (r["nsnp"], round(r["kinship"], 12)) for r in kin.king_pairs_relational(common, -9).collect()}
     tiles = {(r["a"], r["b"]): (r["nsnp"], round(r["kinship"], 12)) for r in kin.king_pairs(common, 240, -9, block=16).collect()}
     assert plain == tiles and len(plain) == 62 * 61 // 2
+    # Markers in parts, some of which lack a sample.
+    gaps = common.where("NOT (sample % 7 = 3 AND marker < 60)")
+    parts = {(r["a"], r["b"]): (r["nsnp"], round(r["kinship"], 12)) for r in kin.king_pairs(gaps, 240, -9, block=16, part=50).collect()}
+    assert parts == {(r["a"], r["b"]): (r["nsnp"], round(r["kinship"], 12)) for r in kin.king_pairs_relational(gaps, -9).collect()}
     assert [tuple(r) for r in kin.related_exclusions(pairs).collect()] == [(61, 0)]
     kept = common.where("sample <> 61")
     order = sorted(r[0] for r in kept.select("sample").distinct().collect())
@@ -100,6 +104,14 @@ def test_relatedness_ld_and_components(spark, run):
     markers = ld.ranked(packed.join(places, "row").select("contig", "pos", F.col("row").alias("marker"), "data")).cache()
     near = {(r["a"], r["b"]): r["r2"] for r in ld.ld_pairs(markers, 50, 0.2).collect()}
     assert near[(9, 10)] == pytest.approx(1.0)
+    for window, step, least in ((50, 1, 0.2), (50, 5, 0.2), (20, 20, 0.05), (7, 3, 0.02), (4, 1, 0.005)):
+        every = [(r["contig"], r["rank"], r["marker"]) for r in markers.collect()]
+        place = {m: (c, k) for c, k, m in every}
+        rate = {r["marker"]: r["maf"] for r in maf.collect()}
+        r2 = {(r["a"], r["b"]): r["r2"] for r in ld.ld_pairs(markers, 200, least).collect()}
+        linked = [(a, b) for a, b in r2 if a in rate and b in rate and place[b][1] < place[a][1] // step * step + window]
+        want = [m for c in {c for c, _, _ in every} for m in ld.prune_order([m for d, _, m in sorted(every) if d == c and m in rate], rate, [p for p in linked if place[p[0]][0] == c])]
+        assert sorted(r["marker"] for r in ld.ld_prune(markers, maf, window, least, step).collect()) == sorted(want)
     stay = ld.ld_prune(markers, maf, 50, 0.2)
     left = {r["marker"] for r in stay.collect()}
     assert 3 < len(left) < 236 and not {9, 10} <= left

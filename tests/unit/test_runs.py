@@ -4,7 +4,8 @@ import os
 import random
 
 import pytest
-from fixtures import COHORT, vcf, write
+from fixtures import COHORT, bcf, bgzf, vcf, write
+from pyspark.sql import functions as F
 from test_cohort import HEADER, SAMPLES, cohort
 from test_reads import RUNS, TRUTH, make_run
 from test_variants import META
@@ -83,3 +84,36 @@ def test_reads_to_joint_calls(spark, tmp_path):
 
 def test_doctor(capsys):
     assert cli.main(["doctor"]) == 0 and json.loads(capsys.readouterr().out)["ok"]
+
+
+@pytest.mark.parametrize("least", [(0, 0), (8, 0), (0, 40), (8, 40)])
+@pytest.mark.parametrize("name", ["a.vcf", "a.vcf.gz", "a.bcf"])
+def test_packed_counts_equal_exploded_ones(spark, tmp_path, monkeypatch, least, name):
+    from locusflow.functions import genetics as g
+    from locusflow.operators import packed_calls, stats
+    from locusflow.sources.vcf import read_variants
+
+    rng = random.Random(3)
+    call = lambda: f"{rng.choice(['0/0', '0/1', '1|1', './.', '0/.', '0', '1/1/1', '.'])}:{rng.choice(['.', '7', '300'])}:{rng.randrange(99)}"
+    names = [f"N{i}" for i in range(7)]
+    rows = [("1" if k % 5 else "X", 10 + k, f"rs{k}", "A", "C", "PASS" if k % 7 else "q10", "GT:DP:GQ", " ".join(call() for _ in names)) for k in range(60)]
+    text = vcf(rows, names)
+    path = write(tmp_path / name, {"vcf": text, "gz": bgzf(text.encode()), "bcf": bcf(text) if name == "a.bcf" else b""}[name.rpartition(".")[2]])
+    monkeypatch.setattr(packed_calls, "CARRY", 7)
+    sites = lambda d: d.withColumn("skip_reason", g.skip_reason(F.col("contig"), F.col("ref"), F.col("alts"), F.col("filters")))
+    packed = sites(read_variants(spark, path, calls="packed", qualities="dp,gq", split=500)[0]).withColumn("eligible", F.col("skip_reason").isNull())
+    populations = [k % 3 for k in range(7)]
+    counted = packed_calls.count_packed(packed.drop("info", "format"), populations, 3, *least)
+    records, samples, _ = read_variants(spark, path)
+    calls = stats.explode_calls(sites(records).where("skip_reason IS NULL"), samples).join(records.select("rec", "pos"), "rec")
+    calls = calls.withColumn("category", g.category(F.col("alleles"), F.col("dp"), F.col("gq"), *least))
+    count = g.count_columns(F.col("category"), F.col("alleles"))
+    want = lambda *keys: sorted(map(tuple, calls.groupBy(*keys).agg(*count).collect()))
+    got = lambda df, *keys: sorted(map(tuple, df.select(*keys, *g.COUNTS).collect()))
+    assert got(packed_calls.by_site(counted), "pos") == want("pos")
+    people = samples.select("sample", "idx", (F.col("idx") % 3).alias("population_no"))
+    assert got(packed_calls.by_sample(counted).join(people, "idx"), "sample") == want("sample")
+    calls = calls.join(people, "sample")
+    assert got(packed_calls.by_population(counted), "pos", "population_no") == want("pos", "population_no")
+    assert counted.where("odd > 0").isEmpty()
+    assert counted.where("site IS NOT NULL").count() == 60
