@@ -17,18 +17,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusflow.llm.ngrams import SEGMENT, forget, word_hashes
 from locusflow.llm.worker import claim
 from locusflow.session import prepare_workers
 
 WINDOW = 4096
 END_ID = 2
-#: A tokenizer keeps the ids of so many words, and of as many that it used before them.
-CACHED_WORDS = 600_000
+#: A tokenizer keeps the ids of so many words (of those of one batch at least).
+CACHED_WORDS = 1_000_000
 #: A sequence's id holds its bucket, the task that made it and a running number of that many bits.
 TASK_BITS, NUMBER_BITS = 24, 34
 
 SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Words of more bytes have no safe 64-bit hash: polynomial ones of much longer words can be made to collide.
+LONG = 400
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
 #: Characters for which lower-casing and composition never depend on their neighbours.
 _PLAIN = re.compile("[^\t-\r -~\xa0-ɏ]")
 #: The split of the public vocabulary's pre-tokenizer, for such characters.
@@ -39,7 +44,9 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose words never reach over white space; each distinct word is encoded once.
 
-    Texts with characters outside Latin blocks go to the tokenizer as they are.
+    Words are known by a 64-bit hash of their bytes: sorted hashes beside places in one array of ids take a fraction of what
+    a dictionary of strings does, and a batch is looked up at once. Texts with characters outside Latin blocks, or
+    with a word too long to be told by its hash, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -53,18 +60,21 @@ class WordTokenizer:
         size = self.whole.get_vocab_size()
         self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cached = cached
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
-    def _learn(self, words: list[str]) -> None:
-        """Puts the ids of white-space-free words into the cache.
+    def _forget(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.begins, self.sizes = np.empty((2, 0), np.int64)
+        self.ids = np.empty(0, np.uint32)
+
+    def _split(self, words: list[str]) -> list[bytes]:
+        """The ids of white-space-free words.
 
         Letters are one word to the tokenizer and so are the marks after them, which covers most words; the others are
         split as the tokenizer would.
         """
-        known = self.known
-        letters = [w for w in words if w.isalpha()]
-        fresh = set(letters)
+        known: dict[str, bytes] = {}
+        fresh = {w for w in words if w.isalpha()}
         ended, split = [], []
         for w in words:
             if not w.isalpha():
@@ -77,7 +87,7 @@ class WordTokenizer:
                     parts = _WORDS.findall(w)
                     split.append((w, parts))
                     fresh.update(parts)
-        fresh = [w for w in fresh if w not in known]
+        fresh = sorted(fresh)
         for at in range(0, len(fresh), 4096):
             some = fresh[at : at + 4096]
             ids = np.array(self.parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -94,29 +104,73 @@ class WordTokenizer:
             known[w] = known[stem] + known[marks]
         for w, parts in split:
             known[w] = b"".join([known[p] for p in parts])
+        return [known[w] for w in words]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Takes in words with new, sorted hashes."""
+        if len(self.hashes) + len(words) > self.cached:
+            self._forget()
+        found = self._split(words)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begins, self.sizes = (np.insert(x, place, y) for x, y in ((self.hashes, hashes), (self.begins, begins), (self.sizes, sizes)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _PLAIN.search(t)]
+        odd, group, size = [], [], 0
+        for i, t in enumerate(texts):
+            if _PLAIN.search(t):
+                odd.append(i)
+                continue
+            group.append(i)
+            size += len(t)
+            if size >= SEGMENT:
+                odd += self._plain(texts, group, out)
+                group, size = [], 0
+        odd += self._plain(texts, group, out)
         for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
-        plain = {i: t.lower().split() for i, t in enumerate(texts) if out[i] is None}
-        words = set().union(*plain.values())
-        if len(self.known) + len(words) > self.cached:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = [w for w in words if w not in known]
-        if older:
-            known.update((w, older[w]) for w in missing if w in older)
-            missing = [w for w in missing if w not in older]
-        if missing:
-            self._learn(missing)
-        get = known.__getitem__
-        for i, w in plain.items():
-            out[i] = np.frombuffer(b"".join(map(get, w)), np.uint32)
         return out
 
+    def _plain(self, texts: list[str], group: list[int], out: list) -> list[int]:
+        """Puts the ids of some texts into ``out``; returns the numbers of those that hold a long word instead."""
+        if not group:
+            return []
+        coded = [texts[i].lower().replace("\xa0", " ").encode() for i in group]
+        raw = b" ".join(coded)
+        data = np.frombuffer(raw, np.uint8)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~_SPACE[data]
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        far = np.flatnonzero(ends - starts > LONG)
+        if len(far):
+            apart = {group[k] for k in np.searchsorted(np.cumsum(lengths + 1), starts[far], "right").tolist()}
+            return sorted(apart) + self._plain(texts, [i for i in group if i not in apart], out)
+        hashes, first, where = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inner = at < len(self.hashes)
+        new[inner] = self.hashes[at[inner]] != hashes[inner]
+        if new.any():
+            full = len(self.hashes) + np.count_nonzero(new) > self.cached
+            some = slice(None) if full else new
+            self._learn(hashes[some], [raw[a:b].decode() for a, b in zip(starts[first[some]].tolist(), ends[first[some]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, hashes)
+        sizes = self.sizes[at][where]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.ids[np.repeat(self.begins[at][where] - stops + sizes, sizes) + np.arange(total)]
+        borders = np.searchsorted(starts, np.cumsum(lengths + 1)[:-1])
+        cuts = np.concatenate([[0], stops])[borders]
+        for i, part in zip(group, np.split(ids, cuts), strict=True):
+            out[i] = part
+        return []
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -128,6 +182,11 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _let_go() -> None:
+    _tokenizers.clear()
+    forget()
+
+
 def decompose(n: int, window: int = WINDOW) -> list[int]:
     """Lengths of the pieces of n tokens, largest first."""
     rest = n % window
@@ -148,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     buckets = window.bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("packing", _tokenizers.clear)
+        claim("packing", _let_go)
         tokenizer = word_tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         made = [0] * buckets

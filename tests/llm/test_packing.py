@@ -31,6 +31,13 @@ def test_ids_are_the_tokenizer_s(texts):
     assert [g.tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_long_words_and_many_texts_at_once(plain, monkeypatch):
+    monkeypatch.setattr(op, "SEGMENT", 300)
+    texts = ["short one", "y" * 5000, "", "a " + "z1" * 300 + " b", "word " * 100, "\xa0 \n", "x" * 401 + " tail", "plain, again"] * 3
+    got = op.WordTokenizer(PATH).encode(texts)
+    assert [g.tolist() for g in got] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_small_cache_gives_the_same_ids(plain):
     texts = [f"word{i} other{i * 7} and some more, {i}" for i in range(200)]
     small = op.WordTokenizer(PATH, cached=50)
