@@ -10,7 +10,10 @@ of the host's pages: a paragraph that an author repeats is text. A page keeps th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -20,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.session import persisted, prepare_workers
+from locusflow.llm.ngrams import mix
+from locusflow.session import persisted, prepare_workers, release
 
 #: A subtree is a template if it stands on so many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
@@ -31,19 +35,28 @@ BROADCAST_HASHES = 200_000
 
 # Element names of HTML and words that name parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select option button".split())
+RAW = frozenset("script style noscript textarea title iframe option".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 INNER = frozenset("aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
-SKIP = frozenset("aside dialog footer form head menu nav".split())
+SKIP = frozenset("aside audio button canvas dialog footer form head menu nav object select svg template video".split())
 CLOSES_P = BLOCK - frozenset("br td th tr tbody thead tfoot caption html body head title option".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo|promotion|related|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|widget)(?:$|[\s_-])")
-OUTSIDE = re.compile(r"(?i)(?:^|[\s_-])(?:header|topbar|branding|logo|copyright|legal|login|search|skip)(?:$|[\s_-])")
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+OUTSIDE = frozenset("branding copyright header legal login logo search skip topbar".split())
+#: Parts of a name that say where or what kind of box, not what is in it, and ones that turn a name into a state.
+PLACES = frozenset("area articles bar block bottom box button buttons col column container content form group holder icons inner item items left link links list outer panel posts right row section slot stories text top unit wrap wrapper zone".split())
+STATES = frozenset("has hide is no non not show with without".split())
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)", re.S)
+#: Comments, tags, declarations; a quote opens a value only after an equals sign. What begins like a tag and isn't one as
+#: far as the page goes comes last: from there on a tag ends at the next ``>``, quotes or not, so no page takes long.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>|<[!?][^>]*+(?:>|\Z)|<(?=/?[a-zA-Z])""", re.S)
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_PART = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
+#: Base of the polynomial over a page's tokens, modulo 2**64 (odd, so it has an inverse).
+_BASE = 0x9E3779B97F4A7C15
 
 
 def host_of(url: str | None) -> str:
@@ -54,25 +67,50 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+@lru_cache(4096)
+def named(value: str, words: frozenset) -> int:
+    """Whether a class or id names one of the words: 2 as a name of its own, 1 inside a longer one, 0 not at all.
+
+    A longer name counts by its last part, after parts that only say where (``footer-left``, ``related-posts``): what
+    stands before describes, so ``related-work`` is work. A name that begins with a state (``no-sidebar``) isn't one.
+    """
+    best = 0
+    for name in value.split():
+        if name.lower() in words:
+            return 2
+        parts = [x.lower().rstrip("0123456789") for x in _PART.split(name)]
+        while len(parts) > 1 and (not parts[-1] or parts[-1] in PLACES):
+            parts.pop()
+        if parts[-1] in words and not STATES.intersection(parts):
+            best = 1
+    return best
+
+
 class Page:
-    """A page's text pieces and elements, by position in the token stream.
+    """A page's text pieces and elements, by position in the token stream. Reading takes time in proportion to the page.
 
     texts: (position, raw text); breaks: positions where a block begins or ends; elements: [tag, first and last position,
-    begin and end in the source, is it left out].
+    how surely it is left out (0, 1 if it may hold the page's own text, 2)]; hashes: a hash of each position's token.
     """
 
     def __init__(self, source: str):
         self.texts: list[tuple[int, str]] = []
         self.breaks: list[int] = []
         self.elements: list[list] = []
-        self.source = source
+        self.hashes: list[int] = []
         stack: list[list] = []
-        at, k = 0, 0
+        self._blocks: list[int] = []  # places of block elements on the stack
+        self._open: Counter = Counter()
+        at, k, token, last = 0, 0, _TOKEN, source.rfind(">")
         while True:
-            m = _TOKEN.search(source, at)
+            m = token.search(source, at) if at <= last or source.find("<!", at) >= 0 or source.find("<?", at) >= 0 else None
+            if m and m[2] is None and m.end() == m.start() + 1:
+                token = _LOOSE
+                m = token.search(source, at)
             end = m.start() if m else len(source)
             if end > at:
                 self.texts.append((k, source[at:end]))
+                self._token(source[at:end])
                 k += 1
             if not m:
                 break
@@ -85,78 +123,133 @@ class Page:
                 self.breaks.append(k)
             k += 1
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        self._close(stack, i, k, m.end())
-                        break
-                continue
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        self._close(stack, i, k - 1, m.start())
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+                self._token(m[0])
+                if self._open[tag]:
+                    i = len(stack) - 1
+                    while stack[i][0] != tag:
+                        i -= 1
+                    self._close(stack, i, k)
                 continue
+            if tag in CLOSES_P and self._blocks and stack[self._blocks[-1]][0] == "p":
+                self._close(stack, self._blocks[-1], k - 1)
             if tag in RAW:
                 stop = _RAW_END[tag].search(source, at)
                 at = stop.end() if stop else len(source)
+                self._token(source[m.start() : at])
+                continue
+            self._token(m[0])
+            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
                 continue
-            stack.append([tag, k - 1, k, m.start(), at, self._left_out(tag, m[3], stack)])
+            if tag in BLOCK:
+                self._blocks.append(len(stack))
+            stack.append([tag, k - 1, k, self._left_out(tag, m[3])])
+            self._open[tag] += 1
         self.size = k
-        self._close(stack, 0, k, len(source))
+        self._close(stack, 0, k)
+        self._decide()
 
-    @staticmethod
-    def _left_out(tag: str, attributes: str, stack: list) -> bool:
-        within = any(e[0] in ("article", "main") for e in stack)
+    def _token(self, text: str) -> None:
+        """White space between words counts as one space, and a token of white space as nothing."""
+        text = " ".join(text.split())
+        self.hashes.append(xxhash.xxh3_64_intdigest(text) | 1 if text else 0)
+
+    def _left_out(self, tag: str, attributes: str) -> int:
+        within = self._open["article"] or self._open["main"]
         if tag in SKIP or tag == "header" and not within:
-            return True
+            return 2
         if not attributes.strip():
-            return False
+            return 0
         if HIDDEN.search(attributes):
-            return True
+            return 2
+        out = 0
         for m in _ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
-            if m[1].lower() == "role" and value.strip().lower() in ROLES or m[1].lower() != "role" and tag not in ("body", "html", "article", "main") and NAMES.search(value):
-                return True
-            if m[1].lower() != "role" and not within and tag in ("div", "section", "p", "ul", "table", "span") and OUTSIDE.search(value):
-                return True
-            if m[1].lower() != "role" and tag == "article" and re.search(r"(?i)comment|reply|advert|promo|related", value):
-                return True
-        return False
-
-    def _close(self, stack: list, down_to: int, k: int, end: int) -> None:
+            if m[1].lower() == "role":
+                out = 2 if value.strip().lower() in ROLES else out
+            elif tag not in ("body", "html", "main"):
+                out = max(out, named(value, NAMES))
+                if not within and tag in ("div", "section", "p", "ul", "table", "span"):
+                    out = max(out, named(value, OUTSIDE))
+        return out
+
+    def _close(self, stack: list, down_to: int, k: int) -> None:
         while len(stack) > down_to:
             e = stack.pop()
-            e[2], e[4] = k, end
+            e[2] = k
+            self._open[e[0]] -= 1
             self.elements.append(e)
-
-    def main_spans(self) -> list[list]:
-        """The elements that hold the page's own text: its articles, else its main part, else none."""
-        out = [e for e in self.elements if e[5]]
+        while self._blocks and self._blocks[-1] >= down_to:
+            self._blocks.pop()
+
+    def _cover(self, elements: list[list]) -> np.ndarray:
+        """How many of the elements each position lies in."""
+        out = np.zeros(self.size + 2, np.int64)
+        for e in elements:
+            out[e[1]] += 1
+            out[e[2]] -= 1
+        return np.cumsum(out)
+
+    def _decide(self) -> None:
+        """Settles what is left out: a name inside a longer one doesn't decide on what holds most of the text around it."""
+        sure = [e for e in self.elements if e[3] == 2]
+        doubt = sorted((e for e in self.elements if e[3] == 1), key=lambda e: (e[1], -e[2]))
+        letters = np.zeros(self.size + 2, np.int64)
+        away = self._cover(sure)
+        for k, raw in self.texts:
+            if not away[k]:
+                letters[k + 1] = len(raw.strip())
+        letters = np.cumsum(letters)
+        mains = [e for e in self.elements if e[0] in ("article", "main") and e[3] == 0 and not away[e[1]]]
+        around = sorted((e[1], e[2]) for e in mains)
+        starts = [a for a, _ in around]
+        for e in doubt:
+            # Inside an article its text is the measure, else the page's; what holds an article stays.
+            i = bisect_right(starts, e[1]) - 1
+            inside = i >= 0 and around[i][1] >= e[2]
+            a, b = around[i] if inside else (0, self.size)
+            j = bisect_right(starts, e[1])
+            holds = j < len(around) and around[j][1] <= e[2]
+            if holds or (inside or not around) and 2 * (letters[e[2]] - letters[e[1]]) > letters[b] - letters[a]:
+                e[3] = 0
+        gone = self._cover([e for e in self.elements if e[3]])
+        self.main: list[list] = []
         for tag in ("article", "main"):
-            found = [e for e in self.elements if e[0] == tag and not e[5] and not any(o[1] < e[1] and e[2] <= o[2] for o in out)]
+            found = [e for e in self.elements if e[0] == tag and not e[3] and not gone[e[1]]]
             if found:
-                return found
-        return []
+                self.main = found
+                break
 
     def subtrees(self) -> list[tuple[int, list]]:
         """(hash, element) of block elements outside the main part and boxes in it; white space doesn't count.
 
-        The hash's lowest bit says if the element is inside.
+        The main part are the page's articles, else its main element, else there is none. A subtree's hash is a
+        polynomial over its tokens' hashes, taken from running sums. The lowest bit says if the element is inside.
         """
-        main = self.main_spans()
-        found = []
+        with np.errstate(over="ignore"):
+            tokens = np.array(self.hashes, np.uint64)
+            number = np.cumsum(np.append(0, tokens != 0))  # tokens of white space take no place
+            powers, inverses = _powers_of(len(tokens) + 1)
+            sums = np.append(np.uint64(0), np.cumsum(tokens * powers[number[:-1]], dtype=np.uint64))
+        inside = self._cover(self.main)
+        starts = sorted(e[1] for e in self.main)
+        chosen, kinds = [], []
         for e in self.elements:
-            if e[0] not in BLOCK or e[0] in ("html", "body", "head") or any(e[1] <= m[1] and m[2] <= e[2] for m in main):
+            if e[0] not in BLOCK or e[0] in ("html", "body", "head"):
                 continue
-            inner = any(m[1] <= e[1] and e[2] <= m[2] for m in main)
+            i = bisect_left(starts, e[1])
+            if i < len(starts) and starts[i] < e[2]:
+                continue  # it holds an article, or is one
+            inner = bool(inside[e[1]])
             if not inner or e[0] in INNER:
-                text = " ".join(self.source[e[3] : e[4]].split())
-                if text:
-                    found.append(((xxhash.xxh3_64_intdigest(text) - (1 << 63)) & ~1 | inner, e))
-        return found
+                chosen.append(e)
+                kinds.append(inner)
+        if not chosen:
+            return []
+        a, b = np.array([e[1] for e in chosen]), np.array([e[2] for e in chosen])
+        with np.errstate(over="ignore"):
+            value = mix((sums[b] - sums[a]) * inverses[number[a]] + (number[b] - number[a]).astype(np.uint64))
+        value = (value.view(np.int64) & ~1) | np.array(kinds, np.int64)
+        return list(zip(value.tolist(), chosen, strict=True))
 
     def text(self, templates) -> str:
         """The main text; templates is a test for hashes of subtrees to delete."""
@@ -165,19 +258,8 @@ class Page:
         return self._text([e for _, e in gone]) or (self._text(outer) if len(outer) < len(gone) else "")
 
     def _text(self, deleted: list[list]) -> str:
-        main = self.main_spans()
-        cover = np.zeros(self.size + 2, np.int64)
-        for e in [e for e in self.elements if e[5]] + deleted:
-            cover[e[1]] += 1
-            cover[e[2]] -= 1
-        cover = np.cumsum(cover)
-        inside = np.ones(self.size + 2, np.int64)
-        if main:
-            inside[:] = 0
-            for e in main:
-                inside[e[1]] += 1
-                inside[e[2]] -= 1
-            inside = np.cumsum(inside)
+        cover = self._cover([e for e in self.elements if e[3]] + deleted)
+        inside = self._cover(self.main) if self.main else np.ones(self.size + 2, np.int64)
         blocks: list[list[str]] = [[]]
         breaks, b = self.breaks, 0
         for k, raw in self.texts:
@@ -190,6 +272,19 @@ class Page:
         return " ".join(x for x in (" ".join("".join(p).split()) for p in blocks) if x)
 
 
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """Powers 0..n-1 of the base and of its inverse."""
+    if len(_tables[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            step = np.full(2 * n, x, np.uint64)
+            step[0] = 1
+            _tables[i] = np.cumprod(step, dtype=np.uint64)
+    return _tables
+
+
 def _host_hash(host: str, subtree: int) -> int:
     """One number for a subtree of a host, with the subtree's lowest bit."""
     return (xxhash.xxh3_64_intdigest(f"{host}\n{subtree}") - (1 << 63)) & ~1 | subtree & 1
@@ -216,7 +311,9 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     own = seen.where("tree IS NULL").groupBy("host").agg(F.count("*").alias("pages"))
     trees = seen.where("tree IS NOT NULL").groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     share = F.when(F.col("tree").bitwiseAND(1) == 1, max(min_share, INNER_SHARE)).otherwise(min_share)
-    return persisted(trees.join(own, "host").where(F.col("n") >= share * F.col("pages")).select("tree"), "templates")
+    out = persisted(trees.join(own, "host").where(F.col("n") >= share * F.col("pages")).select("tree"), "templates")
+    release(seen)
+    return out
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
@@ -234,6 +331,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     shape = f"id {kind}, url string, text string, n_chars long"
     if templates.count() <= broadcast_hashes:
         known = frozenset(r[0] for r in templates.collect())
+        release(templates)
         out = source.mapInArrow(_extract(known), shape)
     else:
         keyed = source.withColumn("key", F.xxhash64("url", "html"))

@@ -1,3 +1,9 @@
+import random
+import time
+from collections import defaultdict
+from html.parser import HTMLParser
+
+import pytest
 from pyspark.sql import functions as F
 
 from locusflow.llm import html_text as op
@@ -68,3 +74,123 @@ def test_boxes_inside_articles_are_deleted_if_most_pages_have_them(spark):
 
 def test_empty_table(spark):
     assert op.main_text(pages(spark, site(1)).where("false")).count() == 0
+
+
+class Tree(HTMLParser):
+    """A plain tree of well-formed markup: [tag, attributes, children], text as strings."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=False)
+        self.root = ["", "", []]
+        self.stack = [self.root]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, self.get_starttag_text(), []]
+        self.stack[-1][2].append(node)
+        if tag != "br":
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        assert self.stack.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+BOXES = ("div", "section", "ul")
+
+
+def whole(node):
+    """A subtree as its tokens, white space apart."""
+    if isinstance(node, str):
+        return [" ".join(node.split())] if node.strip() else []
+    return [" ".join(node[1].split()), *(x for c in node[2] for x in whole(c)), f"</{node[0]}>"]
+
+
+def brute(rows, min_pages=op.MIN_PAGES):
+    trees = {html: Tree(html).root for _, _, html in rows}
+    hosts, seen = defaultdict(set), defaultdict(set)
+
+    def walk(node, inside, visit):
+        for c in node[2]:
+            if not isinstance(c, str):
+                holds = c[0] == "article" or "<article" in "".join(whole(c))
+                if c[0] in op.BLOCK and not holds and (not inside or c[0] in BOXES):
+                    visit(c, inside)
+                walk(c, inside or c[0] == "article", visit)
+
+    key = lambda url, c, inside: (op.host_of(url), tuple(whole(c)), inside)
+    for _, url, html in rows:
+        hosts[op.host_of(url)].add(html)
+        walk(trees[html], False, lambda c, i, url=url, html=html: seen[key(url, c, i)].add(html))
+    share = {False: op.MIN_SHARE, True: op.INNER_SHARE}
+    gone = {k for k, pages in seen.items() if len(pages) >= min_pages and len(pages) >= share[k[2]] * len(hosts[k[0]])}
+
+    def text(url, root, inner):
+        out, has = [[]], "<article" in "".join(whole(root))
+
+        def go(node, inside):
+            for c in node[2]:
+                if isinstance(c, str):
+                    if inside or not has:
+                        out[-1].append(c)
+                    continue
+                if c[0] in op.BLOCK:
+                    out.append([])
+                k = key(url, c, inside)
+                if c[0] == "nav" or k in gone and c[0] in op.BLOCK and (inner or not inside) and (not inside or c[0] in BOXES):
+                    pass
+                else:
+                    go(c, inside or c[0] == "article")
+                if c[0] in op.BLOCK:
+                    out.append([])
+
+        go(root, False)
+        return " ".join(x for x in (" ".join("".join(p).split()) for p in out) if x)
+
+    return sorted(((i, u, text(u, trees[h], True) or text(u, trees[h], False)) for i, u, h in rows), key=str)
+
+
+def test_templates_match_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda n: " ".join(f"w{rng.randrange(n)}" for _ in range(rng.randint(1, 3)))
+    pool = [f'<{t} class="k{i}">{word(9)}{g}<b>{word(9)}</b>{g}</{t}>' for i, (t, g) in enumerate((t, g) for t in (*BOXES, "p") for g in ("", "  \n"))]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([*pool, f"<p>{word(10**6)}</p>", f"<nav>{word(9)}</nav>", word(50)])
+        t = rng.choice(BOXES)
+        return f"<{t}>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{t}>"
+
+    rows = []
+    for host in range(5):
+        own = rng.sample(pool, 3)
+        for i in range(14):
+            body = "".join(rng.choice([part(2), rng.choice(own)]) for _ in range(rng.randint(1, 5)))
+            if host % 2:
+                body = f"{rng.choice(own)}<article><p>{word(10**6)}</p>{body}</article>{rng.choice(own)}"
+            rows.append((len(rows), f"http://h{host}.org/{i}", f"<body>{body}</body>"))
+    rows += [(len(rows) + k, u, h) for k, (_, u, h) in enumerate(rows[:20])]
+    want = brute(rows)
+    assert sum(w != (i, u, op.Page(h).text(lambda _: False)) for w, (i, u, h) in zip(want, sorted(rows, key=str))) > 20
+    for hashes in (op.BROADCAST_HASHES, -1):
+        assert [r[:3] for r in run(spark, rows, broadcast_hashes=hashes)] == want
+
+
+def test_names_decide_only_as_names():
+    assert text('<div class="content no-sidebar"><p>Body</p></div>') == "Body"
+    assert text('<article><p>a</p><div class="related-work">b</div><div class="notice-period">c</div><div class="related-posts">d</div><div class="pageComments">e</div></article>') == "a b c"
+    assert text('<div class="page-comments"><article>x</article></div><div class="widget-area">w</div>') == "x"
+    assert text('<div class="my-banner">' + "all of the page " * 9 + "</div><p>x</p>").startswith("all of")
+    assert text("<p>a<svg><svg>t</svg>u</svg>b<math><mi>x</mi></math></p><select><option>o</select>") == "abx"
+
+
+@pytest.mark.parametrize("html", ["<div>" * 40_000, '<a "b ' * 20_000, "<a ='x " * 20_000, "<a " * 30_000 + '=">"', "<b>" * 20_000 + "<hr>" * 20_000, "<p><button>" + "<b>" * 20_000 + "<hr>" * 9000, "<div>" * 20_000 + "</x>" * 20_000, "<article><div class='x related'>a</div>" * 8000, "<!-- " * 30_000, "<" * 90_000])
+def test_hostile_markup_takes_linear_time(html):
+    began = time.process_time()
+    page = op.Page(html)
+    page.subtrees()
+    page.text(lambda _: False)
+    assert time.process_time() - began < 3
