@@ -1,10 +1,11 @@
 """WARC archives with a globally ordered capture index.
 
-Writing gives, beside each archive, a run: its index entries sorted by URL key and time. Runs are then merged like the
-runs of an external sort. A merge task owns a range of keys, opens the runs that reach into it and emits their entries
-through a loser tree, holding one small batch of each run. When there are more runs than a task may open, groups of runs
-are first merged into longer ones. The splitters between ranges are keys of index entries with the capture's own id in
-them, so not even a single URL with most captures makes one range large.
+Writing gives, beside each archive, a run: its index entries sorted by URL key and time, in files of bounded size whose
+first and last keys are known. Runs are then merged like the runs of an external sort. A merge task owns a range of keys,
+opens the files of each run that reach into it, reads the row groups that do, and emits their entries through a loser
+tree, holding one small batch of each run. When there are more runs than a task may open, groups of runs are merged into
+longer ones first, range by range as well. The splitters between ranges are keys of index entries with the capture's own
+id in them, so not even a single URL with most captures makes one range large.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -31,6 +33,8 @@ FAN_IN = 64
 #: Entries that a merge task holds of each run.
 BATCH = 1024
 LEVEL = 6
+#: Entries of a merge task's range, of a run's file and of a row group, and sampled keys that the splitters come from.
+RANGE_ROWS, FILE_ROWS, GROUP_ROWS, SAMPLED = 1_000_000, 1_000_000, 1024, 200_000
 ENTRY = "url_key string, captured string, page_id long, archive string, offset long, size long, payload_digest string, record_type string"
 KEY = ["url_key", "captured", "page_id"]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -148,7 +152,8 @@ def read_members(source) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _open(uri: str):
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    """(file system, path) of a URI; Hadoop's names of object stores are told apart from their protocols' here."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 # ---------------------------------------------------------------- writing
@@ -169,16 +174,16 @@ def _archive(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
         task = TaskContext.get()
-        name = f"captures-{task.partitionId():06d}.warc.gz"
-        # The attempt writes under a name of its own and the last one renames: readers only ever see whole archives.
-        draft, at, sink = f"{base}/.{name}.{task.taskAttemptId()}", 0, None
+        # Each attempt has an archive of its own, which its index entries name: those that count are always of one attempt.
+        name = f"captures-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
+        at, sink = 0, None
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 entries: list[list] = [[] for _ in names]
                 for row in batch.slice(begin, 256).to_pylist():
                     if sink is None:
                         fs.create_dir(base, recursive=True)
-                        sink = fs.open_output_stream(draft, compression=None)
+                        sink = fs.open_output_stream(f"{base}/{name}", compression=None)
                     payload = row["html"].encode()
                     digest = hashlib.sha1(payload).hexdigest()
                     refers = row["response_id"]
@@ -191,7 +196,6 @@ def _archive(folder: str):
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(entries, kinds, strict=True)], names)
         if sink is not None:
             sink.close()
-            fs.move(draft, f"{base}/{name}")
 
     return run
 
@@ -214,39 +218,44 @@ def write_archives(pages: DataFrame, captured, revisit_from: int = REVISIT_FROM,
     revisits = persisted(revisits.select(F.col("page_id").alias("r_id"), F.col("key").alias("r_key"), "response_id", "response_url").distinct(), "revisits")
     decided = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left")
     folder, runs = scratch(spark, "warc"), scratch(spark, "runs")
-    decided.select("page_id", "url", "html", "captured", "response_id", "response_url").mapInArrow(_archive(folder), ENTRY).sortWithinPartitions(*KEY).write.parquet(runs)
+    written = decided.select("page_id", "url", "html", "captured", "response_id", "response_url").mapInArrow(_archive(folder), ENTRY)
+    _write_runs(written.sortWithinPartitions(*KEY), runs)
     return spark.read.schema(ENTRY).parquet(runs), runs
 
 
 # ---------------------------------------------------------------- merging
 
 
-def _entries(uri: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
-    """A run's entries in [low, high), as tuples in key order; row groups outside are skipped by their statistics."""
-    fs, path = _open(uri)
-    with fs.open_input_file(path) as source:
-        run = pq.ParquetFile(source)
-        groups = []
-        for g in range(run.num_row_groups):
-            stats = run.metadata.row_group(g).column(0).statistics
-            if stats is not None and stats.has_min_max and (high is not None and stats.min > high[0] or low is not None and stats.max < low[0]):
-                continue
-            groups.append(g)
-        if not groups:
-            return
-        for batch in run.iter_batches(BATCH, row_groups=groups):
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = _order(row)
-                if low is not None and key < low:
+def _write_runs(rows: DataFrame, path: str) -> None:
+    """Each partition as a run: files of bounded size in order, with small row groups."""
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).option("parquet.block.row.count.limit", GROUP_ROWS).parquet(path)
+
+
+def _entries(uris: list[str], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """A run's entries in [low, high), as (key, row) in key order; row groups outside are skipped by their statistics."""
+    for uri in uris:
+        fs, path = _open(uri)
+        with fs.open_input_file(path) as source:
+            run = pq.ParquetFile(source)
+            groups = []
+            for g in range(run.num_row_groups):
+                stats = run.metadata.row_group(g).column(0).statistics
+                if stats is not None and stats.has_min_max and (high is not None and stats.min > high[0] or low is not None and stats.max < low[0]):
                     continue
-                if high is not None and key >= high:
-                    return
-                yield key, row
+                groups.append(g)
+            for batch in run.iter_batches(BATCH, row_groups=groups) if groups else ():
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    key = _order(row)
+                    if low is not None and key < low:
+                        continue
+                    if high is not None and key >= high:
+                        return
+                    yield key, row
 
 
 def _order(row: tuple) -> tuple:
     """Sort key of an entry; a missing id comes first, as in Spark."""
-    return row[0], row[1], -1 if row[2] is None else row[2] if row[2] >= 0 else row[2] - 1
+    return row[0], row[1], row[2] is not None, row[2] or 0
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +269,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in batch.to_pylist():
-            bound = [tuple(row[x][k] for k in ("u", "c", "p")) if row[x] else None for x in ("low", "high")]
+            bound = [_order(tuple(row[x][k] for k in ("u", "c", "p"))) if row[x] else None for x in ("low", "high")]
             rows, done = [], 0
-            for _, entry in LoserTree([_entries(uri, *bound) for uri in row["runs"]]):
+            for _, entry in LoserTree([_entries(uris, *bound) for uris in row["runs"]]):
                 rows.append(entry)
                 if len(rows) == 4096:
                     yield out(rows, row["range_no"], done)
@@ -272,38 +281,71 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 MERGED = ENTRY + ", range_no long, place long"
-_JOB = "range_no long, low struct<u:string,c:string,p:long>, high struct<u:string,c:string,p:long>, runs array<string>"
+_JOB = "range_no long, low struct<u:string,c:string,p:long>, high struct<u:string,c:string,p:long>, runs array<array<string>>"
 
 
 def _jobs(spark, jobs: list) -> DataFrame:
-    """Merge jobs, each in a partition of its own, so that what it writes is one run."""
+    """Merge jobs, each in a partition of its own, so that what it writes is part of one run."""
     return spark.createDataFrame(spark.sparkContext.parallelize(jobs, len(jobs)), _JOB)
 
 
-def merge_runs(entries: DataFrame, runs: str, range_rows: int = 100_000, fan_in: int = FAN_IN) -> DataFrame:
+def _cut(keys: list[tuple], n: int) -> list[tuple | None]:
+    """Bounds of n ranges with about as many of the keys in each; fewer if there aren't as many different keys."""
+    keys = sorted({_order(k): k for k in keys}.items())
+    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+    return [None, *(k for _, k in cuts), None]
+
+
+def _plan(entries: DataFrame, run_of, range_rows: int, fan_in: int) -> tuple[list, list[int]]:
+    """(merge jobs, group of each job) for the files of some runs; run_of gives the run that a file's task wrote.
+
+    What the driver holds is one row for each file (of FILE_ROWS entries) and a bounded sample of keys.
+    """
+    at = F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).cast("long")
+    found = entries.select(*KEY, F.input_file_name().alias("file"), at.alias("task")).groupBy("file", "task").agg(F.min(F.struct(*KEY)).alias("low"), F.max(F.struct(*KEY)).alias("high"), F.count("*").alias("n")).collect()
+    runs: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: _order(tuple(r["low"]))):
+        runs.setdefault(run_of(r["task"]), []).append(r)
+    order = sorted(runs)
+    total = sum(r["n"] for r in found)
+    sampled: dict[int, list] = {}
+    if total > range_rows:
+        for r in entries.select(*KEY, at.alias("task")).sample(min(1.0, SAMPLED / total), seed=7).collect():
+            sampled.setdefault(run_of(r["task"]), []).append(tuple(r)[:3])
+    jobs, groups = [], []
+    for g, begin in enumerate(range(0, len(order), fan_in)):
+        mine = order[begin : begin + fan_in]
+        bounds = _cut([k for x in mine for k in sampled.get(x, ())], -(-sum(r["n"] for x in mine for r in runs[x]) // range_rows))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            reach = lambda r: (b is None or _order(tuple(r["low"])) < _order(b)) and (a is None or _order(tuple(r["high"])) >= _order(a))  # noqa: B023, E731
+            lists = [[_plain_uri(r["file"]) for r in runs[x] if reach(r)] for x in mine]
+            jobs.append((len(jobs), a, b, [x for x in lists if x]))
+            groups.append(g)
+    return jobs, groups
+
+
+def _plain_uri(name: str) -> str:
+    """A file's name as Spark gives it, without its percent escapes."""
+    return unquote(name)
+
+
+def merge_runs(entries: DataFrame, runs: str, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """The runs' entries in one global order: by range_no, and in a range by place.
 
     Every range but the last ends before the next one's first key (url_key, captured, page_id). Entries with equal keys
     keep the order of their runs. No runs give no rows.
     """
     spark = entries.sparkSession
-    files = sorted(entries.inputFiles())
-    total = entries.count()
-    if not total:
-        return spark.createDataFrame([], MERGED)
-    while len(files) > fan_in:
-        jobs = [(no, None, None, files[at : at + fan_in]) for no, at in enumerate(range(0, len(files), fan_in))]
+    run_of = lambda task: task
+    while True:
+        jobs, groups = _plan(entries, run_of, range_rows, fan_in)
+        if not jobs:
+            return spark.createDataFrame([], MERGED)
+        if groups[-1] == 0:
+            return _jobs(spark, jobs).mapInArrow(_merge, MERGED)
         longer = scratch(spark, "runs")
-        _jobs(spark, jobs).mapInArrow(_merge, MERGED).drop("range_no", "place").write.parquet(longer)
-        files = sorted(spark.read.schema(ENTRY).parquet(longer).inputFiles())
-    ranges = -(-total // range_rows)
-    # Splitters only balance the ranges; a bounded sample finds them.
-    sample = entries.select(*KEY).sample(min(1.0, 50.0 * ranges / total), seed=7).limit(100 * ranges + 1000).collect() if ranges > 1 else []
-    keys = sorted({_order(tuple(r)) for r in sample})
-    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-    bounds = [None, *cuts, None]
-    jobs = [(no, a, b, files) for no, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-    return _jobs(spark, jobs).mapInArrow(_merge, MERGED)
+        _write_runs(_jobs(spark, jobs).mapInArrow(_merge, MERGED).drop("range_no", "place"), longer)
+        entries, run_of = spark.read.schema(ENTRY).parquet(longer), groups.__getitem__
 
 
 # ---------------------------------------------------------------- reading back
@@ -345,7 +387,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return names.repartition(max(1, names.count()), "archive").mapInArrow(_scan, READ)
 
 
-def capture_histories(pages: DataFrame, captured, revisit_from: int = REVISIT_FROM, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_rows: int = 100_000, fan_in: int = FAN_IN) -> DataFrame:
+def capture_histories(pages: DataFrame, captured, revisit_from: int = REVISIT_FROM, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Writes archives, merges their runs and reads the archives back: one row per capture.
 
     Rows: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, archive, offset, range_no and
@@ -355,9 +397,13 @@ def capture_histories(pages: DataFrame, captured, revisit_from: int = REVISIT_FR
     entries, runs = write_archives(pages, captured, revisit_from, id_col, url_col, html_col)
     merged = merge_runs(entries, runs, range_rows, fan_in)
     records = read_archives(entries).select("archive", "offset", "payload_bytes", F.col("payload_digest").alias("read_digest"), F.col("record_type").alias("read_type"), "refers_to")
-    # Neither side has a size that Spark could know beforehand, so neither may be broadcast.
-    rows = merged.hint("merge").join(records.hint("merge"), ["archive", "offset"])
-    return rows.select(F.col("page_id").alias(id_col), "payload_bytes", F.col("read_digest").alias("payload_digest"), F.col("read_type").alias("record_type"), "refers_to", "url_key", "captured", "archive", "offset", "range_no", "place")
+    # Neither side has a size that Spark could know beforehand, so neither may be broadcast. Every entry has its record and
+    # every record its entry; one that hasn't is an error and not a row less.
+    at = ["archive", "offset"]
+    rows = merged.withColumn("indexed", F.lit(True)).hint("merge").join(records.withColumn("read", F.lit(True)).hint("merge"), at, "full_outer")
+    both = F.col("indexed").isNotNull() & F.col("read").isNotNull()
+    sure = lambda c, kind: F.when(both, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("index and archive differ: "), F.col("archive"))).cast(kind))
+    return rows.select(sure("page_id", "long").alias(id_col), sure("payload_bytes", "long").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), F.col("read_type").alias("record_type"), "refers_to", "url_key", "captured", "archive", "offset", "range_no", "place")
 
 
 def with_history(rows: DataFrame) -> DataFrame:

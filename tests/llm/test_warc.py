@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pyarrow.fs
+import pytest
 from pyspark.sql import functions as F
 
 from locusflow.llm import warc as op
@@ -30,11 +31,11 @@ def pages(spark, rows):
 
 TIME = "concat('2020-01-01T00:00:', lpad(string(coalesce(page_id, 0) % 60), 2, '0'), 'Z')"
 LONG, OTHER = "é" * 500, "line\r\n\r\n" * 200
-ROWS = [(1, "http://a.com/x", LONG), (2, "http://a.com/x", LONG), (3, "http://b.com/?q#f", LONG), (4, None, None), (5, "http://a.com/x", ""), (6, "https://A.com:80/y", "short"), (7, "u\r\nrl", "short"), (8, "http://z/", OTHER), (8, "http://z/", OTHER), (9, "http://z/", OTHER + "!"), (None, "http://n/", LONG), (-5, "http://n/", "neg"), (10, "http://a.com/x", "WARC/1.1\r\n\r\n" * 100)]
+ROWS = [(1, "http://a.com/x", LONG), (2, "http://a.com/x", LONG), (3, "http://b.com/?q#f", LONG), (4, None, None), (5, "http://a.com/x", ""), (6, "https://A.com:80/y", "short"), (7, "u\r\nrl", "short"), (8, "http://z/", OTHER), (8, "http://z/", OTHER), (9, "http://z/", OTHER + "!"), (None, "http://n/", LONG), (-5, "http://n/", "neg"), (None, "http://n/", "none"), (10, "http://a.com/x", "WARC/1.1\r\n\r\n" * 100)]
 
 
 def test_records_and_global_order(spark):
-    for options in ({}, {"range_rows": 4, "fan_in": 2}):
+    for options in ({}, {"range_rows": 4, "fan_in": 2}, {"range_rows": 3, "fan_in": 3}):
         out = op.capture_histories(pages(spark, ROWS), F.expr(TIME), **options).collect()
         assert sorted((tuple(r[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in out), key=str) == brute(ROWS)
         order = sorted(out, key=lambda r: (r["range_no"], r["place"]))
@@ -69,3 +70,38 @@ def test_loser_tree_merges_like_sorting():
         got = list(op.LoserTree(map(iter, runs)))
         want = sorted(((key, r, n, v) for r, run in enumerate(runs) for n, (key, v) in enumerate(run)), key=lambda x: x[:3])
         assert got == [(key, v) for key, _, _, v in want]
+
+
+def test_a_merge_reads_little_more_than_its_range(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(op, "GROUP_ROWS", 100)
+    monkeypatch.setattr(op, "FILE_ROWS", 20_000)
+    n, runs = 60_000, 3
+    rows = spark.range(n).select(F.format_string("com,a%05d)/", F.pmod(F.xxhash64("id"), F.lit(20_000))).alias("url_key"), F.lit("2020").alias("captured"), F.col("id").alias("page_id"), F.lit("x").alias("archive"), F.col("id").alias("offset"), F.lit(1).cast("long").alias("size"), F.lit("d").alias("payload_digest"), F.lit("response").alias("record_type"))
+    path = f"file://{tmp_path}/runs"
+    op._write_runs(rows.repartition(runs).sortWithinPartitions(*op.KEY), path)
+    entries = spark.read.schema(op.ENTRY).parquet(path)
+    jobs, groups = op._plan(entries, lambda t: t, n // 50, 64)
+    assert len(jobs) == 50 and set(groups) == {0}
+    decoded = []
+    whole = op.pq.ParquetFile.iter_batches
+    monkeypatch.setattr(op.pq.ParquetFile, "iter_batches", lambda self, *a, row_groups, **k: decoded.append(sum(self.metadata.row_group(g).num_rows for g in row_groups)) or whole(self, *a, row_groups=row_groups, **k))
+    keys = []
+    for no, low, high, lists in jobs:
+        bound = [op._order(b) if b else None for b in (low, high)]
+        keys += [k for k, _ in op.LoserTree([op._entries(u, *bound) for u in lists])]
+    assert len(keys) == n and keys == sorted(keys)
+    assert sum(decoded) <= 1.5 * n
+    # With ranges as long as they are in production against a row group, next to nothing is read twice.
+    decoded.clear()
+    for no, low, high, lists in op._plan(entries, lambda t: t, n // 10, 64)[0]:
+        bound = [op._order(b) if b else None for b in (low, high)]
+        for u in lists:
+            list(op._entries(u, *bound))
+    assert sum(decoded) <= 1.2 * n
+
+
+def test_a_record_without_its_entry_is_an_error(spark, monkeypatch):
+    whole = op.merge_runs
+    monkeypatch.setattr(op, "merge_runs", lambda *a: whole(*a).where("offset > 0"))
+    with pytest.raises(Exception, match="index and archive differ"):
+        op.capture_histories(pages(spark, ROWS), F.expr(TIME)).select("page_id", "payload_bytes").collect()
