@@ -1,12 +1,15 @@
 """Exact top-k inner-product search by multi-resolution segment statistics.
 
-A vector is cut into equal segments, and a segment is known by its mean and its deviation. For two vectors,
+A vector is cut into segments, and a segment is known by its mean and its deviation. For two vectors,
 ``sum over segments of m * (mean_q * mean_c + dev_q * dev_c)`` is never below their inner product (Cauchy-Schwarz in each
-segment), so with the distance ``-<q, c>`` it gives a lower bound. Bounds are tried coarse to fine; only candidates whose
-bound reaches the query's k-th best so far are scored exactly.
-
-Vectors travel as packed blocks. The stated queries meet all candidates on a grid of blocks: each cell of the grid is a
-row of an equi-join on the cell's number, whose size is bounded by the block sizes, and gives back k rows per query.
+segment), so with the distance ``-<q, c>`` it gives a lower bound. Bounds are tried coarse to fine: few long segments, more
+short ones, then growing parts of the vector at full resolution (segments of one component, whose deviation is 0) with
+short segments for the rest. A pair whose bound doesn't reach the query's k-th best so far is out; the others, and only
+these, are scored exactly.
+
+Vectors travel as packed blocks. The stated queries first meet one block of candidates, which gives each a k-th best to
+begin with, and then all others on a grid of blocks: each cell of the grid is a row of an equi-join on the cell's number,
+whose size is bounded by the block sizes, and gives back k rows per query at most.
 """
 
 from __future__ import annotations
@@ -23,72 +26,108 @@ from locusflow.session import persisted, prepare_workers
 #: Vectors with a component beyond this size, as an integer, would leave the exact range of double sums: their pairs are
 #: scored in Python's integers, after a bound on rounding has left out those that can't be among the best.
 LARGEST = 1 << 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 16384
 #: Queries and candidates that are compared at a time inside a cell.
 QUERY_STEP, CANDIDATE_STEP = 256, 2048
-SEGMENTS = (4, 16)
-#: The bounds are computed in double precision; this share of slack keeps rounding from ever cutting a true neighbour.
+#: The bounds are computed in double precision; this share of the norms' product keeps rounding from ever cutting a true
+#: neighbour.
 SLACK = 1e-9
-
-
-def segment_bounds(vectors: np.ndarray, segments: int) -> np.ndarray:
-    """Rows whose inner products bound those of the vectors: means and deviations by segment, scaled by its length."""
-    n, d = vectors.shape
-    width = -(-d // segments)
-    padded = np.zeros((n, width * segments))
-    padded[:, :d] = vectors
-    cut = padded.reshape(n, segments, width)
-    return np.concatenate([cut.mean(2), cut.std(2)], 1) * np.sqrt(width)
+#: Numbers of equal segments of the coarse levels; parts of the vector that the fine levels have at full resolution, and
+#: the length of segments in their rest.
+COARSE, FINE, REST = (4, 16), (0.5, 0.75), 4
+#: A level that rules out less than this share of what it looks at is left out for so many steps.
+DULL, PAUSE = 0.1, 15
+
+
+def segmentations(d: int) -> list[np.ndarray]:
+    """The segments' lengths of each level for vectors of d components, coarse to fine."""
+    out = []
+    for n in COARSE:
+        width = -(-d // n)
+        out.append([width] * (d // width) + [d % width] * (d % width > 0))
+    for part in FINE:
+        units = int(d * part)
+        rest = d - units
+        out.append([1] * units + [REST] * (rest // REST) + [rest % REST] * (rest % REST > 0))
+    # Short vectors make levels alike, and one with only single components would be the score itself.
+    return [np.array(x) for i, x in enumerate(out) if x not in out[:i] and len(x) < d]
+
+
+def segment_bounds(vectors: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Rows whose inner products bound those of the vectors: means and deviations by segment, scaled by its length.
+
+    The last column adds the slack for rounding.
+    """
+    at = np.cumsum(widths) - widths
+    means = np.add.reduceat(vectors, at, 1) / widths
+    deviations = np.sqrt(np.add.reduceat((vectors - np.repeat(means, widths, 1)) ** 2, at, 1))[:, widths > 1]
+    norms = np.sqrt(SLACK) * (1 + np.sqrt(np.einsum("ij,ij->i", vectors, vectors)))
+    return np.concatenate([means * np.sqrt(widths), deviations, norms[:, None]], 1)
 
 
 class TopK:
-    """The k best candidates of some queries so far; ties go to the smaller id."""
+    """The k best candidates of some queries so far; ties go to the smaller id.
+
+    floors: scores that are reached by k candidates elsewhere already, so less isn't wanted. scored counts the pairs
+    that were scored exactly, offered all pairs.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels=SEGMENTS):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.ids, self.k = ids, k
         self.vectors = vectors.astype(np.float64)
-        self.levels = [segment_bounds(self.vectors, s) for s in levels]
+        self.levels = [segment_bounds(self.vectors, s) for s in segmentations(vectors.shape[1])]
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.scored = 0
+        self.floors = np.full(len(ids), -np.inf) if floors is None else floors
+        self.pause = [0] * len(self.levels)
+        self.scored = self.offered = 0
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray, stats: list[np.ndarray]) -> None:
         """Takes in one step of candidates."""
-        alive = np.ones(len(ids), bool)
-        for mine, theirs in zip(self.levels, stats, strict=True):
-            at = np.flatnonzero(alive)
-            if not len(at):
-                return
-            bound = mine @ theirs[at].T
-            bound += SLACK * (1 + np.abs(bound))
-            alive[at] = (bound >= self.scores[:, -1:]).any(0)
-        at = np.flatnonzero(alive)
-        if not len(at):
-            return
-        score = self.vectors @ vectors[at].T
-        self.scored += score.size
-        score[self.ids[:, None] == ids[at][None, :]] = -np.inf
-        rows = np.flatnonzero((score >= self.scores[:, -1:]).any(1))
-        for r in rows:
-            new = np.flatnonzero(score[r] >= self.scores[r, -1])
-            both = np.concatenate([self.scores[r], score[r, new]])
-            who = np.concatenate([self.found[r], ids[at][new]])
-            order = np.lexsort((who, -both))[: self.k]
-            self.scores[r], self.found[r] = both[order], who[order]
-
-
-def search_blocks(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        least = np.maximum(self.scores[:, -1], self.floors)
+        self.offered += len(self.ids) * len(ids)
+        alive = np.ones((len(self.ids), len(ids)), bool)
+        at = np.arange(len(ids))
+        if (least > -np.inf).any():
+            for i, (mine, theirs) in enumerate(zip(self.levels, stats, strict=True)):
+                if self.pause[i]:
+                    self.pause[i] -= 1
+                    continue
+                was = np.count_nonzero(alive)
+                alive &= mine @ theirs[at].T >= least[:, None]
+                now = np.count_nonzero(alive)
+                if not now:
+                    return
+                if now > (1 - DULL) * was:
+                    self.pause[i] = PAUSE
+                some = alive.any(0)
+                at, alive = at[some], alive[:, some]
+        self.scored += np.count_nonzero(alive)
+        for r in np.flatnonzero(alive.any(1)):
+            mine = at[alive[r]]
+            score = vectors[mine] @ self.vectors[r]
+            who = ids[mine]
+            new = (score >= least[r]) & (who != self.ids[r])
+            if new.any():
+                both, who = np.concatenate([self.scores[r], score[new]]), np.concatenate([self.found[r], who[new]])
+                order = np.lexsort((who, -both))[: self.k]
+                self.scores[r], self.found[r] = both[order], who[order]
+
+
+def search_blocks(q_ids, q_vecs, c_ids, c_vecs, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query ids, candidate ids, scores, exact scores computed) of the k best of each query among the candidates."""
     out: list = [[], [], []]
-    stats = [segment_bounds(c_vecs.astype(np.float64), s) for s in SEGMENTS]
+    c_vecs = c_vecs.astype(np.float64)
+    stats = [segment_bounds(c_vecs, s) for s in segmentations(c_vecs.shape[1])]
     # Candidates with large norms first: they raise the thresholds soonest.
-    order = np.argsort(-np.einsum("ij,ij->i", c_vecs.astype(np.float64), c_vecs.astype(np.float64)), kind="stable")
+    order = np.argsort(-np.einsum("ij,ij->i", c_vecs, c_vecs), kind="stable")
     scored = 0
     for a in range(0, len(q_ids), QUERY_STEP):
-        best = TopK(q_ids[a : a + QUERY_STEP], q_vecs[a : a + QUERY_STEP], k)
+        part = slice(a, a + QUERY_STEP)
+        best = TopK(q_ids[part], q_vecs[part], k, None if floors is None else floors[part])
         for b in range(0, len(c_ids), CANDIDATE_STEP):
             some = order[b : b + CANDIDATE_STEP]
-            best.offer(c_ids[some], c_vecs[some].astype(np.float64), [s[some] for s in stats])
+            best.offer(c_ids[some], c_vecs[some], [s[some] for s in stats])
         hit = np.isfinite(best.scores)
         out[0].append(np.repeat(best.ids, hit.sum(1)))
         out[1].append(best.found[hit])
@@ -124,10 +163,10 @@ def search_large(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.n
     return np.array(out[0], np.int64), np.array(out[1], np.int64), out[2]
 
 
-def search_any(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, candidate ids, scores, side): k at least of each query; side is -1 or 1 for scores beyond 64 bits."""
+def search_any(q_ids, q_vecs, c_ids, c_vecs, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, candidate ids, scores, side): all that can be among the k best; side is -1 or 1 for scores beyond 64 bits."""
     ql, cl = large(q_vecs), large(c_vecs)
-    q, c, s, _ = search_blocks(q_ids[~ql], q_vecs[~ql], c_ids[~cl], c_vecs[~cl], k)
+    q, c, s, _ = search_blocks(q_ids[~ql], q_vecs[~ql], c_ids[~cl], c_vecs[~cl], k, None if floors is None else floors[~ql])
     parts = [(q, c, s, np.zeros(len(q), np.int8))]
     for mine, theirs in ((ql, np.ones(len(c_ids), bool)), (~ql, cl)):
         if mine.any() and theirs.any():
@@ -138,25 +177,26 @@ def search_any(q_ids, q_vecs, c_ids, c_vecs, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _pack(block: int):
-    """Turns rows (id, numbers) into rows (ids, components, width) of at most ``block`` vectors, widths padded by zeros.
+    """Turns rows (id, numbers, floor) into rows (ids, components, width, floors) of at most ``block`` vectors, widths padded by zeros.
 
     Components take 4 bytes in blocks of ordinary vectors and are doubles in others.
     """
 
     def emit(rows: list) -> pa.RecordBatch:
-        width = max(max((len(v) for _, v in rows), default=0), 1)
-        kind = np.float64 if any(len(v) and np.abs(v).max() >= LARGEST for _, v in rows) else np.int32
+        width = max(max((len(v) for _, v, _ in rows), default=0), 1)
+        kind = np.float64 if any(len(v) and np.abs(v).max() >= LARGEST for _, v, _ in rows) else np.int32
         data = np.zeros((len(rows), width), kind)
-        for i, (_, v) in enumerate(rows):
+        for i, (_, v, _) in enumerate(rows):
             data[i, : len(v)] = v
-        ids = np.array([i for i, _ in rows], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([width], pa.int32())], ["ids", "data", "width"])
+        ids = np.array([i for i, _, _ in rows], np.int64)
+        floors = np.array([-np.inf if f is None else f for _, _, f in rows], np.float64)
+        return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (ids, data)), pa.array([width], pa.int32()), pa.array([floors.tobytes()], pa.binary())], ["ids", "data", "width", "floors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows.append((i, np.floor(v.values.to_numpy(zero_copy_only=False))))
+            for i, v, f in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                rows.append((i, np.floor(v.values.to_numpy(zero_copy_only=False)), f))
                 if len(rows) >= block:
                     yield emit(rows)
                     rows = []
@@ -178,7 +218,7 @@ def _cells(k: int):
                 ci, cv = unpack(row["c_ids"], row["c_data"], row["c_width"])
                 wide = max(qv.shape[1], cv.shape[1])
                 qv, cv = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (qv, cv))
-                q, c, s, o = search_any(qi, qv, ci, cv, k)
+                q, c, s, o = search_any(qi, qv, ci, cv, k, np.frombuffer(row["q_floors"], np.float64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (q, c, s)), pa.array(o, pa.int8())], ["query_id", "vec_id", "score", "side"])
 
     return run
@@ -191,8 +231,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
     floor(scale * x) in double precision. ``is_query`` is a condition on the input's columns. Rows take no part if their
     id or vector is null, or if a component is null, NaN or infinite; one that only overflows by the scale is an error,
     and so is a score among the best that a long can't hold. Missing
-    components of shorter vectors count as zero, so an empty vector scores 0. Repeated rows are each a candidate; a
-    query's repeated rows give its results once. Other columns are ignored; without queries or candidates there are no
+    components of shorter vectors count as zero, so an empty vector scores 0. Repeated rows are each a candidate; rows with
+    one query's id give its results once, for the largest of their vectors (compared component by component). Other columns are ignored; without queries or candidates there are no
     rows.
     """
     prepare_workers(vectors.sparkSession)
@@ -203,7 +243,14 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
     fits = F.transform(scaled, lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(F.raise_error(F.lit("a component overflows by the scale")).cast("double")))
     rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), fits.alias("v"), is_query.alias("is_query"))
     kept = persisted(rows, "vectors")
-    found = _grid(_blocks(kept.select("id", "v"), candidate_block, "c"), _blocks(kept.where("is_query").groupBy("id").agg(F.first("v").alias("v")), query_block, "q"), k)
+    # Of rows that share a query's id the one with the largest vector asks.
+    asking = persisted(kept.where("is_query").groupBy("id").agg(F.max("v").alias("v")), "asking")
+    candidates = _blocks(kept.withColumn("floor", F.lit(None).cast("long")), candidate_block, "c")
+    first = persisted(_grid(candidates.where("c_no = 0"), _blocks(asking.withColumn("floor", F.lit(None).cast("long")), query_block, "q"), k), "first")
+    # A k-th best among the first block: nothing less is among the best of all.
+    reached = first.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.max(F.abs("side")).alias("wide"), F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("kth"))
+    reached = reached.where((F.col("n") >= k) & (F.col("wide") == 0)).select("id", F.col("kth")[0].alias("floor"))
+    found = first.unionByName(_grid(candidates.where("c_no > 0"), _blocks(asking.join(reached, "id", "left"), query_block, "q"), k))
     best = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), "vec_id")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     score = F.when(F.col("side") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best is beyond 64 bits")).cast("long"))
@@ -211,21 +258,22 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
 
 
 def _blocks(rows: DataFrame, block: int, side: str) -> DataFrame:
-    """Rows packed into blocks, numbered from 0: (x_ids, x_data, x_width, x_no), x being the side's letter."""
-    rows = persisted(rows, f"{side}_rows")
-    packed = rows.repartition(max(1, -(-rows.count() // block))).mapInArrow(_pack(2 * block), "ids binary, data binary, width int")
+    """Rows (id, v, floor) packed into blocks, numbered from 0: (x_ids, x_data, x_width, x_floors, x_no), x being the side's letter."""
+    rows = rows.select("id", "v", "floor")
+    packed = rows.repartition(max(1, -(-rows.count() // block))).mapInArrow(_pack(2 * block), "ids binary, data binary, width int, floors binary")
     packed = persisted(packed.withColumn("raw_no", F.monotonically_increasing_id()), f"{side}_blocks")
     # One number per block of thousands of vectors; the vectors stay where they are.
     numbers = packed.select("raw_no", (F.row_number().over(Window.orderBy("raw_no")) - 1).alias("no"))
-    return packed.join(numbers, "raw_no").select(*(F.col(c).alias(f"{side}_{c}") for c in ("ids", "data", "width", "no")))
+    return packed.join(numbers, "raw_no").select(*(F.col(c).alias(f"{side}_{c}") for c in ("ids", "data", "width", "floors", "no")))
 
 
 def _grid(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Partial results (query_id, vec_id, score): k rows at most for a query and a block of candidates."""
-    candidates, queries = persisted(candidates, "c_numbered"), persisted(queries, "q_numbered")
-    across, down = candidates.count(), queries.count()
-    if not across or not down:
-        return candidates.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, side byte")
-    left = queries.withColumn("c_no", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = candidates.withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    return left.join(right, ["q_no", "c_no"]).mapInArrow(_cells(k), "query_id long, vec_id long, score long, side byte")
+    """Partial results (query_id, vec_id, score, side): k rows at most for a query and a block of candidates."""
+    across, down = (x.agg(F.min(c), F.max(c)).first() for x, c in ((candidates, "c_no"), (queries, "q_no")))
+    shape = "query_id long, vec_id long, score long, side byte"
+    if across[0] is None or down[0] is None:
+        return candidates.sparkSession.createDataFrame([], shape)
+    # A block of queries is the smaller one, and is dealt to the candidates' blocks with all others of its row.
+    left = queries.withColumn("c_no", F.explode(F.sequence(F.lit(across[0]), F.lit(across[1]))))
+    right = candidates.drop("c_floors").withColumn("q_no", F.explode(F.sequence(F.lit(down[0]), F.lit(down[1]))))
+    return left.join(right, ["q_no", "c_no"]).mapInArrow(_cells(k), shape)

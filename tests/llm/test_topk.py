@@ -38,10 +38,15 @@ def test_fewer_candidates_than_k_and_empty(spark):
 
 def test_bounds_never_fall_below_the_product():
     rng = np.random.default_rng(1)
-    v = rng.integers(-200, 200, (50, 23)).astype(float)
-    for s in (1, 4, 16, 23):
-        b = op.segment_bounds(v, s)
-        assert (b @ b.T >= v @ v.T - 1e-6).all()
+    for scale in (200, 1_000_000):
+        for d in (1, 2, 3, 7, 23, 64):
+            v = rng.integers(-scale, scale, (50, d)).astype(float)
+            v[:5] = scale - 1 + np.arange(d) % 2
+            levels = op.segmentations(d)
+            assert all(w.sum() == d and len(w) < d for w in levels) and (d < 8 or len(levels) >= 2)
+            for widths in [np.array([d]), *levels]:
+                b = op.segment_bounds(v, widths)
+                assert (b @ b.T >= v @ v.T).all()
 
 
 def test_smooth_vectors_are_pruned():
@@ -49,8 +54,23 @@ def test_smooth_vectors_are_pruned():
     rng = np.random.default_rng(2)
     v = np.floor(64 * np.sin(t + rng.uniform(0, 6, (3000, 1))) * rng.uniform(0.2, 1, (3000, 1))).astype(np.int32)
     ids = np.arange(3000)
-    *_, scored = op.search_blocks(ids[:8], v[:8], ids, v, 5)
+    q, _, s, scored = op.search_blocks(ids[:8], v[:8], ids, v, 5)
     assert scored < 8 * 3000
+    assert op.search_blocks(ids[:8], v[:8], ids, v, 5, np.array([s[q == i].min() for i in range(8)], float))[3] < 8 * 3000 // 20
+
+
+def test_the_table_s_own_vectors_are_pruned(spark, sf):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    v = np.floor(64 * np.array([r["embedding"] for r in rows])).astype(np.int32)
+    ask = ids % 20 == 0
+    q, c, s, scored = op.search_blocks(ids[ask], v[ask], ids, v, 20)
+    # Without a threshold to begin with, all of the first step is scored: here it is the whole table.
+    assert scored == ask.sum() * len(ids)
+    floors = np.array([s[q == i].min() for i in ids[ask]], float)
+    again = op.search_blocks(ids[ask], v[ask], ids, v, 20, floors)
+    assert again[3] < 0.25 * scored
+    assert sorted(zip(q, c, s)) == sorted(zip(*again[:3]))
 
 
 def test_large_components_are_searched_exactly(spark):
