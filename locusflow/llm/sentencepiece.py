@@ -12,6 +12,7 @@ neighbouring segments (the leftmost of equals) and joins them, round by round.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,9 +28,10 @@ from locusflow.session import prepare_workers
 SPACE = "▁"
 #: A codec keeps the ids of so many words, and of as many that it used before them.
 CACHED_WORDS = 400_000
-#: Words up to this many characters are matched together in batches of so many characters; longer ones in batches of their
-#: own, so that one long word doesn't make a table wide.
+#: Words are matched together in batches of so many characters.
 BATCH_CHARS = 400_000
+#: Longer words are cut first, wherever no piece reaches over, in windows of so many characters.
+LONG, WINDOW = 256, 100_000
 #: No piece reaches over the end of a run of spaces with what follows it, and none holds a line feed.
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
@@ -59,6 +61,7 @@ class PieceCodec:
             parts[i] = bytes([b])
         parts[model.unk_id()] = " ⁇ ".encode()
         self.parts = parts
+        self.rank = {p: r for r, p in enumerate(self.pieces)}
         self.cached = cached
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -87,7 +90,7 @@ class PieceCodec:
         order = np.lexsort(keys[::-1])
         suffixes = here[order]
         low, high = self._ranges([k[order] for k in keys], letters, bits)
-        out = np.full((n, w + 1), -1, np.int16)
+        out = np.full((n, w + 1), -1, np.int16 if len(self.pieces) < 1 << 15 else np.int32)
         count = high - low
         piece = np.repeat(np.arange(len(count)), count)
         place = suffixes[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(piece))]
@@ -134,7 +137,11 @@ class PieceCodec:
     # ------------------------------------------------------------ relaxing
 
     def _learn(self, words: list[str]) -> None:
-        words = sorted(words, key=len)
+        self.known.update(self._encode_words(words))
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of bounded length."""
+        words, out = sorted(words, key=len), {}
         at = 0
         while at < len(words):
             # Batches of words of like length with a bounded number of characters.
@@ -142,10 +149,11 @@ class PieceCodec:
             while end < len(words) and (end == at or total + len(words[end]) + 1 <= BATCH_CHARS):
                 total += len(words[end]) + 1
                 end += 1
-            self._learn_batch(words[at:end])
+            self._encode_batch(words[at:end], out)
             at = end
+        return out
 
-    def _learn_batch(self, words: list[str]) -> None:
+    def _encode_batch(self, words: list[str], known: dict[str, bytes]) -> None:
         text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)
         if any("\0" in w for w in words):  # the separator itself: never part of a piece
             text = np.frombuffer("\0".join([*(w.replace("\0", "") for w in words), ""]).encode("utf-32-le"), np.uint32)
@@ -202,11 +210,58 @@ class PieceCodec:
         data = flat.tobytes()
         ends = np.cumsum(np.bincount(owner, weights=counts, minlength=len(words)).astype(np.int64)).tolist()
         at = 0
-        known = self.known
         for w, end in zip(words, ends, strict=True):
             known[w] = data[4 * at : 4 * end]
             at = end
 
+    def _cut(self, word: str) -> list[str]:
+        """A long word in parts that no piece reaches out of, so each can be encoded for itself."""
+        covered = np.zeros(len(word) + self.width + 1, np.int64)
+        for at in range(0, len(word), WINDOW):
+            text = np.frombuffer(word[at : at + WINDOW + self.width].encode("utf-32-le", "surrogatepass"), np.uint32)
+            place, size = np.nonzero(self.edges(text)[:, 2:] >= 0)
+            # An edge of two characters and more covers the borders inside it.
+            np.add.at(covered, at + place + 1, 1)
+            np.add.at(covered, at + place + size + 2, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(covered)[1 : len(word)] == 0) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+    def _merge_long(self, word: str) -> bytes:
+        """The ids of a long word that can't be cut: the best edge first, from a heap, with each joint kept in a list."""
+        n, width, rank, sizes = len(word), self.width, self.rank, self.sizes.tolist()
+        stop, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1") * n
+        heap = [r << 40 | i for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        low = (1 << 40) - 1
+        while heap:
+            x = heapq.heappop(heap)
+            i = x & low
+            j = stop[i]
+            # What was joined meanwhile has another length now.
+            if not alive[i] or j >= n or stop[j] - i != sizes[x >> 40]:
+                continue
+            e = stop[i] = stop[j]
+            alive[j] = 0
+            before[e] = i
+            p = before[i]
+            if p >= 0 and e - p <= width and (r := rank.get(word[p:e])) is not None:
+                heapq.heappush(heap, r << 40 | p)
+            if e < n and stop[e] - i <= width and (r := rank.get(word[i : stop[e]])) is not None:
+                heapq.heappush(heap, r << 40 | i)
+        out, i = [], 0
+        while i < n:
+            r = rank.get(word[i : stop[i]])
+            out.append(self._fallback(word[i]) if r is None else self.ids[r : r + 1].astype("<u4"))
+            i = stop[i]
+        return np.concatenate(out).tobytes() if out else b""
+
+    def _encode_long(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of long words."""
+        parts = {w: self._cut(w.replace("\0", "")) for w in words}
+        short = sorted({p for ps in parts.values() for p in ps if len(p) <= LONG})
+        known = self._encode_words(short)
+        return {w: b"".join(known[p] if len(p) <= LONG else self._merge_long(p) for p in ps) for w, ps in parts.items()}
+
     def _fallback(self, c: str) -> np.ndarray:
         return np.array([self.bytes[b] for b in c.encode("utf-8", "replace")], "<u4")
 
@@ -216,6 +271,8 @@ class PieceCodec:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         units = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words = set().union(*units)
+        long = {w for w in words if len(w) > LONG}
+        words -= long
         if len(self.known) + len(words) > self.cached:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
@@ -225,8 +282,11 @@ class PieceCodec:
             missing = [w for w in missing if w not in older]
         if missing:
             self._learn(missing)
+        apart = self._encode_long(sorted(long)) if long else {}
         get = self.known.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+        if not apart:
+            return [b"".join(map(get, u)) for u in units]
+        return [b"".join([apart[w] if w in apart else get(w) for w in u]) for u in units]
 
     def decode(self, data: bytes) -> str:
         """The text of some ids: spaces for marks, the one in front taken off; bytes that are no UTF-8 become U+FFFD."""

@@ -155,6 +155,30 @@ def test_long_words_and_small_caches(library):
         assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == library.encode(texts)
 
 
+@pytest.mark.parametrize("kind", ["base64", "han", "one", "two", "mixed", "lines", "spaces"])
+@pytest.mark.parametrize("n", [257, 5000, 120_000, 1_000_000])
+def test_very_long_words(library, kind, n):
+    import time
+
+    rng = random.Random(n)
+    letters = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "han": "日本語中文的一是不了人我在有他這為之大來", "one": "a", "two": "to", "mixed": "theanding日éß😀.-=", "lines": "\n", "spaces": " "}[kind]
+    text = "x " + ("".join(rng.choices(letters, k=n)) if kind not in ("two",) else letters * (n // 2)) + " tail"
+    began = time.process_time()
+    (got,) = sp.piece_codec(MODEL).encode([text])
+    assert time.process_time() - began < 30
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(text)
+
+
+def test_windows_of_a_long_word(library, monkeypatch):
+    monkeypatch.setattr(sp, "WINDOW", 50)
+    monkeypatch.setattr(sp, "LONG", 20)
+    rng = random.Random(9)
+    codec = sp.PieceCodec(MODEL)
+    for _ in range(30):
+        t = "".join(rng.choices("theanding日éß😀.-=\0", k=rng.randint(0, 400)))
+        assert np.frombuffer(codec.encode([t])[0], "<u4").tolist() == library.encode(t.replace("\0", ""))
+
+
 def test_query_rows(docs_of, library):
     rows = list(enumerate(TEXTS)) + [(0, ""), (None, "null id")]
     docs = docs_of(rows)
