@@ -47,8 +47,10 @@ def parser() -> argparse.ArgumentParser:
     verb("doctor")
     verb("plan", path("config"), (("--verify-inputs",), {"action": "store_true"}))
     verb("run", path("config"), (("--verify-inputs",), {"action": "store_true"}))
-    verb("cohort-select", path("original"), path("psam"), path("kinship"), path("out"), (("--policy",), {"required": True, "choices": ["retain", "exclude"]}), (("--threshold",), {"type": float, "default": 0.0884}))
-    verb("raw-fastq", path("first"), path("second"))
+    verb("cohort-select", path("original"), path("psam"), path("kinship"), path("out"), (("--policy",), {"required": True, "choices": ["retain", "exclude"]}), (("--threshold",), {"type": float, "default": 0.0884}), (("--samples",), {}))
+    verb("pca-check", path("psam"), path("pcs", type=int), (("--vectors",), {}), (("--values",), {}), (("--bcf",), {}), (("--markers",), {}))
+    verb("region-ranges", (("index",), {}), (("region",), {}), (("header",), {"nargs": "?"}))
+    verb("raw-fastq", path("first"), path("second"), (("--fastp-report",), {}), (("--before",), {}), (("--report-out",), {}))
     verb("raw-reference", path("input"), path("sha256"), path("max-bases", type=int), path("out"))
     verb("raw-bams", path("bam", action="append"), path("sample", action="append"), path("library", action="append"), path("reference-index"))
     return p
@@ -57,8 +59,12 @@ def parser() -> argparse.ArgumentParser:
 def execute(a: argparse.Namespace) -> dict | list:
     if a.verb == "doctor":
         return doctor()
+    if a.verb == "region-ranges":
+        from locusflow.sources import bgzf
+        from locusflow.sources.sequences import bam_header
+
+        return bgzf.byte_ranges(bgzf.Index(a.index), a.region, bam_header(a.header)[1] if a.header else None)
     from locusflow.plans import runs
-    from locusflow.sources import tables
 
     spark = _spark()
     if a.verb == "stats":
@@ -70,15 +76,12 @@ def execute(a: argparse.Namespace) -> dict | list:
             flow = runs.genotype_workflow(spark, runs.GenotypeConfig.of(json.load(f)))
         return flow.plan(a.verify_inputs) if a.verb == "plan" else flow.run(a.verify_inputs)
     if a.verb == "cohort-select":
-        original, kept = tables.read_psam(spark, a.original), tables.read_psam(spark, a.psam)
-        pairs = tables.read_kinship(spark, a.kinship, kept)
-        with runs.Staged(a.out, inputs=(a.original, a.psam, a.kinship)) as folder:
-            retained, excluded = runs.select_cohort(spark, original, kept, pairs, a.policy, a.threshold)
-            runs.write_table(retained.orderBy("sample"), f"{folder}/keep.tsv")
-            runs.write_table(excluded.orderBy("sample"), f"{folder}/excluded.tsv")
-        return {"retained": retained.count(), "excluded": excluded.count()}
+        return runs.run_selection(spark, a.original, a.psam, a.kinship, a.out, a.policy, a.threshold, a.samples)
+    if a.verb == "pca-check":
+        return runs.check_pca(spark, a.psam, a.pcs, a.vectors, a.values, a.bcf, a.markers)
     if a.verb == "raw-fastq":
-        return runs.check_fastq_pair(spark, a.first, a.second)
+        found = runs.check_fastq_pair(spark, a.first, a.second)
+        return found if a.fastp_report is None else runs.check_trimming(a.fastp_report, a.before, found, a.report_out)
     if a.verb == "raw-reference":
         return runs.prepare_reference(spark, a.input, a.sha256, a.max_bases, a.out)
     return runs.check_alignments(spark, a.bam, a.sample, a.library, a.reference_index)

@@ -173,3 +173,22 @@ def synthetic_code(sample: Column, site: Column) -> Column:
     """0 to 99 for a (sample, site): 0 missing, below 50 hom ref, below 85 het, else hom alt."""
     x = (sample * 0x9E3779B9 + site * 0x85EBCA6B + 17).bitwiseAND(0xFFFFFFFF)
     return mixed32(x) % 100
+
+
+# ---- places in files
+
+
+def fasta_offset(pos: Column, offset: Column, line_bases: Column, line_bytes: Column) -> Column:
+    """The byte of a FASTA file at which a 0-based base of a contig stands, by the contig's index entry."""
+    return offset + F.floor(pos / line_bases) * line_bytes + pos % line_bases
+
+
+def fasta_bytes(length: Column, line_bases: Column, line_bytes: Column) -> Column:
+    """Bytes from a contig's first base to its last, line ends between them included; 0 for an empty one."""
+    last = length - 1
+    return F.when(length > 0, fasta_offset(last, F.lit(0), line_bases, line_bytes) + 1).otherwise(0)
+
+
+def next_random(state: Column) -> Column:
+    """The next state of the 32-bit linear congruential generator that described fixtures are drawn with."""
+    return (state * 1664525 + 1013904223).bitwiseAND(0xFFFFFFFF)

@@ -10,21 +10,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
+from locusflow.operators.reads import mark_duplicates
+from locusflow.session import persisted
 
 SEED, STRIDE, MISMATCHES, FRAGMENT = 25, 25, 8, 1000
-#: A k-mer that the reference has more often than this proposes nothing: it says too little about a place.
+#: A k-mer that the reference has more often than this says too little about a place. Its first places, so many, stand
+#: for all: they are only looked at for reads that nothing else places, and what they place has quality 0.
 REPEATS = 64
 
 
 def reference_seeds(reference: DataFrame, k: int = SEED, most: int = REPEATS) -> DataFrame:
-    """(seed, contig, start) of every k-mer of the reference. reference: contig, seq.
+    """(seed, contig, start, rare) of the reference's k-mers. reference: contig, offset, seq.
 
-    Chunked references are joined with their neighbours' first bases before, so no k-mer is lost at a border.
+    A k-mer that stands more than ``most`` times is there with its first ``most`` places (by contig and start) and isn't
+    rare. Chunked references are joined with their neighbours' first bases before, so no k-mer is lost at a border.
     """
     rows = reference.select("contig", "offset", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("i"))
     seeds = rows.select(F.substring("seq", F.col("i") + 1, F.lit(k)).alias("seed"), "contig", (F.col("offset") + F.col("i")).alias("start"))
-    rare = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("seed")
-    return seeds.join(rare, "seed", "left_semi")
+    often = seeds.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > most).select("seed")
+    # The rank is limited before rows are moved, so a k-mer of any frequency is a few rows from each task.
+    first = seeds.withColumn("nth", F.row_number().over(Window.partitionBy("seed").orderBy("contig", "start"))).where(F.col("nth") <= most).drop("nth")
+    return first.join(often.withColumn("often", F.lit(True)), "seed", "left").select("seed", "contig", "start", F.col("often").isNull().alias("rare"))
 
 
 def overlapping_chunks(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -37,39 +43,45 @@ def overlapping_chunks(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
 def place_reads(reads: DataFrame, reference: DataFrame, seeds: DataFrame, size: int, k: int = SEED, stride: int = STRIDE, most: int = MISMATCHES) -> DataFrame:
     """(run, ordinal, mate, strand, contig, start, mismatches) of places where a read fits end to end.
 
-    A place is proposed by a seed without mismatches that the reference has at most REPEATS times. Seeds don't overlap, so
+    A place is proposed by a seed without mismatches. Seeds don't overlap, so
     each mismatch spoils one: a read of n bases is sure to get its places with fewer than n // 25 mismatches (100 bases: 3,
-    150 bases: 5, from 225 bases on all 8), others only by where their mismatches lie, and none if its seeds are frequent.
+    150 bases: 5, from 225 bases on all 8), others only by where their mismatches lie. A read whose clean seeds all stand
+    more than REPEATS times in the reference gets such places as their first ones propose, marked as ``repeat``.
 
     reads: run, ordinal, mate, seq. reference: contig, offset, seq in chunks that overlap by a read's length at least.
     """
     both = reads.select("run", "ordinal", "mate", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit("-").alias("strand"), g.reverse_complement(F.col("seq")).alias("seq")))).alias("s")).select("run", "ordinal", "mate", "s.*")
     cut = both.select("*", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(stride))).alias("at")).where(F.length("seq") >= k)
     hits = cut.withColumn("seed", F.substring("seq", F.col("at") + 1, F.lit(k))).join(seeds, "seed")
-    places = hits.select("run", "ordinal", "mate", "strand", "seq", "contig", (F.col("start") - F.col("at")).alias("start")).where("start >= 0").distinct()
+    start = (F.col("start") - F.col("at")).alias("start")
+    places = hits.where(F.col("start") >= F.col("at")).groupBy("run", "ordinal", "mate", "strand", "seq", "contig", start).agg(F.bool_or("rare").alias("rare"))
     chunk = F.floor(F.col("start") / size) * size
     found = places.withColumn("offset", chunk).join(reference.withColumnRenamed("seq", "bases"), ["contig", "offset"])
     there = F.substring(F.col("bases"), (F.col("start") - F.col("offset") + 1).cast("int"), F.length("seq"))
     wrong = F.size(F.filter(F.arrays_zip(F.split("seq", "").alias("a"), F.split("there", "").alias("b")), lambda p: p["a"] != p["b"]))
     out = found.withColumn("there", there).where(F.length("there") == F.length("seq")).withColumn("mismatches", wrong)
-    return out.where(F.col("mismatches") <= most).select("run", "ordinal", "mate", "strand", "contig", "start", F.length("seq").alias("length"), "mismatches")
+    fits = persisted(out.where(F.col("mismatches") <= most).select("run", "ordinal", "mate", "strand", "contig", "start", F.length("seq").alias("length"), "mismatches", (~F.col("rare")).alias("repeat")), "fits")
+    read = ["run", "ordinal", "mate"]
+    sure = fits.where("NOT repeat")
+    return sure.unionByName(fits.where("repeat").join(sure.select(*read).distinct(), read, "left_anti"))
 
 
 def place_pairs(places: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     """The best place of each pair: run, ordinal, contig, start1, strand1, start2, mismatches, mapq.
 
-    Mates must face each other on one contig within the largest fragment. Pairs with several best places get quality 0.
+    Mates must face each other on one contig within the largest fragment. Pairs with several best places get quality 0,
+    and so do pairs of which a mate has only a place among a repeat's many.
     """
     one, two = (places.where(F.col("mate") == m) for m in (1, 2))
-    names = ["strand", "start", "length", "mismatches"]
+    names = ["strand", "start", "length", "mismatches", "repeat"]
     pairs = one.withColumnsRenamed({n: f"{n}1" for n in names}).drop("mate").join(two.withColumnsRenamed({n: f"{n}2" for n in names}).drop("mate"), ["run", "ordinal", "contig"])
     left, right = F.least("start1", "start2"), F.greatest(F.col("start1") + F.col("length1"), F.col("start2") + F.col("length2"))
     forward_first = F.when(F.col("strand1") == "+", F.col("start1") <= F.col("start2")).otherwise(F.col("start2") <= F.col("start1"))
-    pairs = pairs.where((F.col("strand1") != F.col("strand2")) & forward_first & (right - left <= fragment)).withColumn("mismatches", F.col("mismatches1") + F.col("mismatches2"))
-    best = pairs.groupBy("run", "ordinal").agg(F.min_by(F.struct("contig", "start1", "strand1", "start2", "length1", "length2"), F.struct("mismatches", "contig", "start1", "strand1", "start2")).alias("p"), F.min("mismatches").alias("mismatches"))
+    pairs = pairs.where((F.col("strand1") != F.col("strand2")) & forward_first & (right - left <= fragment)).withColumns({"mismatches": F.col("mismatches1") + F.col("mismatches2"), "repeat": F.col("repeat1") | F.col("repeat2")})
+    best = pairs.groupBy("run", "ordinal").agg(F.min_by(F.struct("contig", "start1", "strand1", "start2", "length1", "length2", "repeat"), F.struct("mismatches", "contig", "start1", "strand1", "start2")).alias("p"), F.min("mismatches").alias("mismatches"))
     ties = pairs.join(best.select("run", "ordinal", F.col("mismatches").alias("_best")), ["run", "ordinal"]).where(F.col("mismatches") == F.col("_best")).groupBy("run", "ordinal").agg(F.count("*").alias("ties"))
-    mapq: Column = F.when(F.col("ties") > 1, 0).otherwise(F.greatest(42 - 3 * F.col("mismatches"), F.lit(20)))
-    return best.join(ties, ["run", "ordinal"]).select("run", "ordinal", "p.*", "mismatches", mapq.cast("int").alias("mapq"))
+    mapq: Column = F.when((F.col("ties") > 1) | F.col("p.repeat"), 0).otherwise(F.greatest(42 - 3 * F.col("mismatches"), F.lit(20)))
+    return best.join(ties, ["run", "ordinal"]).select("run", "ordinal", "p.*", "mismatches", mapq.cast("int").alias("mapq")).drop("repeat")
 
 
 def alignments(pairs: DataFrame, reads: DataFrame, libraries: DataFrame) -> DataFrame:
@@ -83,8 +95,7 @@ def alignments(pairs: DataFrame, reads: DataFrame, libraries: DataFrame) -> Data
     end = lambda k: F.struct(F.when(F.col(f"strand{k}") == "+", F.col(f"start{k}")).otherwise(F.col(f"start{k}") + F.col(f"length{k}")).alias("p"), F.col(f"strand{k}").alias("s"))
     placed = placed.withColumn("strand2", F.when(F.col("strand1") == "+", "-").otherwise("+"))
     placed = placed.withColumns({"low": F.least(end(1), end(2)), "high": F.greatest(end(1), end(2)), "name": F.format_string("%s_%012d", "run", "ordinal")})
-    order = Window.partitionBy("library", "contig", "low", "high").orderBy(F.desc("score"), "name")
-    placed = placed.withColumn("duplicate", F.row_number().over(order) > 1)
+    placed = mark_duplicates(placed, ["library", "contig", "low", "high"], "score", "name")
     mates = placed.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("mate")).join(reads.select("run", "ordinal", "mate", "seq", "qual"), ["run", "ordinal", "mate"])
     own, other = (F.when(F.col("mate") == a, F.col("strand1")).otherwise(F.col("strand2")) for a in (1, 2))
     flag = F.lit(g.PAIRED | g.PROPER) + F.when(own == "-", g.REVERSE).otherwise(0) + F.when(other == "-", 32).otherwise(0) + F.when(F.col("mate") == 1, g.FIRST).otherwise(g.SECOND) + F.when(F.col("duplicate"), g.DUPLICATE).otherwise(0)

@@ -7,30 +7,36 @@ import re
 import shutil
 from dataclasses import dataclass, field, fields
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
-from locusflow.operators import ld, mask, packed_calls, pca, placement, qc, reads, stats
+from locusflow.operators import ld, mask, packed_calls, pca, placement, qc, reads, stats, trim
 from locusflow.operators import relatedness as kin
 from locusflow.operators.order import steps_back
-from locusflow.operators.packed import packed_rows
+from locusflow.operators.reports import normalised_report
+from locusflow.operators.packed import MISSING, ZERO, packed_rows
 from locusflow.operators.sets import GateError, require_equal
 from locusflow.plans import workflow as w
-from locusflow.session import persisted, release
+from locusflow.session import columns_of, persisted, release
 from locusflow.sources import sequences, tables
 from locusflow.sources.files import size_of
-from locusflow.sources.vcf import read_variants, require_format
+from locusflow.sources.vcf import HET, HOM_ALT, HOM_REF, OTHER_ALLELE, OTHER_PLOIDY, read_variants, require_format
 
 VERSION = "1.0"
 
 
 def write_table(df: DataFrame, path: str) -> None:
     """A tab-separated file with a header, numbers with twelve digits and NA for null; rows in the frame's order."""
-    text = tables.as_text(df)
-    text.coalesce(1).write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(f"{path}.parts")
+    lines = tables.as_text(df).select(F.concat_ws("\t", *columns_of(df)))
+    lines.coalesce(1).write.text(f"{path}.parts")
     part = next(p for p in os.listdir(f"{path}.parts") if p.startswith("part-"))
-    os.replace(os.path.join(f"{path}.parts", part), path)
+    with open(f"{path}.draft", "wb") as out, open(os.path.join(f"{path}.parts", part), "rb") as rows:
+        out.write("\t".join(df.columns).encode() + b"\n")
+        shutil.copyfileobj(rows, out)
+    os.replace(f"{path}.draft", path)
     shutil.rmtree(f"{path}.parts")
 
 
@@ -60,12 +66,17 @@ def _sites(records: DataFrame) -> DataFrame:
     return records.withColumn("skip_reason", g.skip_reason(F.col("contig"), F.col("ref"), F.col("alts"), F.col("filters")))
 
 
+def _split(spark: SparkSession, source: str) -> int:
+    """Bytes of a part, so that every core gets some, within 4 and 64 MB."""
+    return max(4 << 20, min(64 << 20, size_of(source) // (2 * spark.sparkContext.defaultParallelism)))
+
+
 def run_stats(spark: SparkSession, source: str, samples: str, out: str, min_dp: int = 0, min_gq: int = 0, replace: bool = False) -> dict:
     """Counts by sample, site, population and (site, population) of a variant file, as tables and a provenance record."""
     with Staged(out, replace, (source, samples)) as folder:
         before = [w.identity(source), w.identity(samples, full=True)]
         used = {"dp": min_dp, "gq": min_gq}
-        records, header_samples, header = read_variants(spark, source, calls="packed", qualities=",".join(k for k, on in used.items() if on))
+        records, header_samples, header = read_variants(spark, source, calls="packed", qualities=",".join(k for k, on in used.items() if on), split=_split(spark, source))
         for key, on in used.items():
             if on:
                 require_format(header, key.upper(), "1", "Integer")
@@ -138,6 +149,99 @@ def select_cohort(spark: SparkSession, original: DataFrame, kept: DataFrame, pai
     return retained, failed.unionByName(related.select("sample", F.concat(F.lit("related_to:"), F.col("reason").cast("string")).alias("reason")))
 
 
+GREEDY = "pairs in order of their names: the later one goes while both are there; not a largest unrelated set"
+
+
+def run_selection(spark: SparkSession, original: str, psam: str, kinship: str, out: str, policy: str, threshold: float = 0.0884, samples: str | None = None) -> dict:
+    """Selects a cohort from tables of samples and pairs: keep.tsv, samples.tsv and selection.json.
+
+    ``samples`` is metadata with exactly the samples of the original cohort; without it all are one population, ALL.
+    """
+    if not 0 <= threshold <= 0.5:
+        raise GateError("the threshold must be within 0 and 0.5")
+    every, kept = tables.read_psam(spark, original), tables.read_psam(spark, psam)
+    people = tables.read_metadata(spark, samples, every).select("sample", "population") if samples else every.withColumn("population", F.lit("ALL"))
+    pairs = persisted(tables.read_kinship(spark, kinship, kept), "pairs")
+    retained, excluded = (persisted(x, "selection") for x in select_cohort(spark, every, kept, pairs, policy, threshold))
+    with Staged(out, inputs=tuple(p for p in (original, psam, kinship, samples) if p)) as folder:
+        write_table(retained.orderBy("sample").select(F.col("sample").alias("#FID"), F.col("sample").alias("IID")), f"{folder}/keep.tsv")
+        write_table(people.join(retained, "sample", "left_semi").orderBy("sample"), f"{folder}/samples.tsv")
+        rows = excluded.orderBy("sample").collect()
+        report = {
+            "policy": policy,
+            "threshold": threshold,
+            "reported_pairs": pairs.where(F.col("kinship") >= threshold).select("a", "b").distinct().count(),
+            "retained": [r["sample"] for r in retained.orderBy("sample").collect()],
+            "relatedness_excluded": [{"sample": r["sample"], "related_to": r["reason"].removeprefix("related_to:")} for r in rows if r["reason"] != "sample_qc"],
+            "sample_qc_excluded": [r["sample"] for r in rows if r["reason"] == "sample_qc"],
+            "algorithm": GREEDY if policy == "exclude" else "all samples stay",
+        }
+        w.write_json(f"{folder}/selection.json", report)
+    return report
+
+
+def _dosage_bytes(variants: DataFrame) -> DataFrame:
+    """(rec, id, data, problem) of records with packed codes: dosages as packed rows, and what keeps a record out of PCA."""
+
+    def run(batches):
+        digit = np.full(256, ZERO + MISSING, np.uint8)
+        digit[[HOM_REF, HET, HOM_ALT]] = [ZERO, ZERO + 1, ZERO + 2]
+        for batch in batches:
+            data, problems = [], []
+            for codes, several in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                c = np.frombuffer(codes.as_buffer(), np.uint8)
+                count = np.bincount(c, minlength=256)
+                called, alt = int(count[[HOM_REF, HET, HOM_ALT]].sum()), int(count[HET] + 2 * count[HOM_ALT])
+                problems.append("several alternatives" if several else "ploidy" if count[OTHER_PLOIDY] else "allele" if count[OTHER_ALLELE] else "no call" if not called else "no variation" if alt in (0, 2 * called) else None)
+                data.append(digit[c].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(problems, pa.string())], ["rec", "id", "data", "problem"])
+
+    return variants.select("rec", "id", "codes", (F.size("alts") != 1).alias("several")).mapInArrow(run, "rec long, id string, data binary, problem string")
+
+
+def check_pca(spark: SparkSession, psam: str, pcs: int, vectors: str | None = None, values: str | None = None, variants: str | None = None, markers: str | None = None) -> dict:
+    """What an exact PCA may be asked for, and whether eigenpairs are those of the genotypes.
+
+    Without files, only the numbers of samples and components are checked. Eigenvectors and eigenvalues come together, and
+    so do variants and the list of markers: each marker must be there and fit, and the products of the standardised
+    genotypes with the vectors must be the values times the vectors.
+    """
+    people = tables.read_psam(spark, psam)
+    samples = people.count()
+    if not 1 <= pcs < samples:
+        raise GateError("there must be fewer components than samples")
+    if samples > pca.MAX_SAMPLES:
+        raise GateError(f"exact components are limited to {pca.MAX_SAMPLES} samples")
+    report = {"samples": samples, "pcs": pcs}
+    if (vectors is None) != (values is None) or (variants is None) != (markers is None) or markers and not vectors:
+        raise GateError("eigenvectors and eigenvalues come together, and so do variants and markers")
+    if vectors is None:
+        return report
+    eigenvalues = np.array(tables.read_numbers(spark, values, pcs))
+    by_sample = {r["sample"]: r["pc"] for r in tables.read_vectors(spark, vectors, people, pcs).collect()}
+    residual, count, order = None, 0, sorted(by_sample)
+    if variants is not None:
+        records, _, header = read_variants(spark, variants, calls="packed")
+        require_equal(spark.createDataFrame([(x,) for x in header.samples], "sample string"), people, ["sample"], "samples of the variants and of the cohort")
+        order = header.samples
+        chosen = tables.read_markers(spark, markers)
+        count = chosen.count()
+        # The first record of an id is the marker.
+        rows = records.join(chosen, records["id"] == chosen["marker"], "left_semi")
+        first = persisted(rows.groupBy("id").agg(F.min_by(F.struct("rec", "id", "alts", "codes"), "rec").alias("r")).select("r.*"), "markers")
+        missing = chosen.join(first, chosen["marker"] == first["id"], "left_anti").limit(1).collect()
+        if not count or missing:
+            raise GateError(f"marker {missing[0][0]!r} has no record" if missing else "no markers")
+        packed = persisted(_dosage_bytes(first), "dosages")
+        bad = packed.where("problem IS NOT NULL").orderBy("rec").limit(1).collect()
+        if bad:
+            raise GateError(f"marker {bad[0]['id']!r}: {bad[0]['problem']}")
+        found = pca.Components(order, eigenvalues, np.array([by_sample[x] for x in order]), count)
+        residual = pca.residuals(packed, found)
+    found = pca.Components(order, eigenvalues, np.array([by_sample[x] for x in order]), count)
+    return report | pca.check_components(found, residual) | {"validated": True}
+
+
 @dataclass
 class GenotypeConfig:
     """Settings of a genotype run; unknown keys and values out of range are errors."""
@@ -273,6 +377,20 @@ def check_fastq_pair(spark: SparkSession, first: str, second: str) -> dict:
     return reads.pair_totals(rows).first().asDict() | {"encoding": "phred33"}
 
 
+def check_trimming(report: str, before: str | None, after: dict, out: str | None) -> dict:
+    """Writes a trimming report as sound JSON, checked against the counts of the pairs before (a file) and after."""
+    if before is None or out is None:
+        raise GateError("a trimming report needs the counts before it and a place for the result")
+    if os.path.exists(out):
+        raise GateError(f"{out} exists")
+    counts = w.read_json(before)
+    if not counts or "pairs" not in counts:
+        raise GateError(f"{before}: no counts")
+    found = normalised_report(report, counts["pairs"], after["pairs"])
+    w.write_json(out, found)
+    return after | {"adapter": found["adapter"]}
+
+
 def prepare_reference(spark: SparkSession, source: str, sha256: str, max_bases: int, out: str) -> dict:
     """A checked reference as Parquet chunks, with its autosomes as intervals."""
     found = w.identity(source, full=True)
@@ -321,9 +439,11 @@ def check_alignments(spark: SparkSession, bams: list[str], samples: list[str], l
     return out
 
 
-def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, size: int, min_mapq: int = 20, min_base_quality: int = 20, max_depth: int = 250) -> DataFrame:
+def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, size: int, min_mapq: int = 20, min_base_quality: int = 20, max_depth: int = 250, trim_adapters: bool = True, filters: dict | None = None, fragment: int = placement.FRAGMENT, contigs: list[str] | None = None) -> DataFrame:
     """Genotypes of all samples at variant sites from paired FASTQ files: contig, pos, ref, alt, sample, gt, dp, gq.
 
+    Adapters are cut off before reads are filtered (``filters``: options of passing_pairs). With ``contigs`` only sites on
+    these are called; reads are placed on all.
     runs: id, sample, library, read1, read2. reference: chunks of ``size`` bases. A sample without reads at a site is
     there with ``./.`` and depth 0.
     """
@@ -331,13 +451,16 @@ def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, s
     for r in runs:
         pair = sequences.read_fastq_pair(spark, r["read1"], r["read2"]).withColumn("run", F.lit(r["id"]))
         rows = pair if rows is None else rows.unionByName(pair)
-    rows = persisted(reads.passing_pairs(rows, ["run", "ordinal"]), "reads")
+    rows = trim.trim_adapters(rows, ["run", "ordinal"]) if trim_adapters else rows
+    rows = persisted(reads.passing_pairs(rows, ["run", "ordinal"], **(filters or {})), "reads")
     libraries = spark.createDataFrame([(r["id"], r["sample"], r["library"]) for r in runs], "run string, sample string, library string")
     longest = rows.agg(F.max(F.length("seq"))).first()[0] or placement.SEED
     wide = persisted(placement.overlapping_chunks(reference, size, longest), "reference")
     seeds = persisted(placement.reference_seeds(placement.overlapping_chunks(reference, size, placement.SEED - 1)), "seeds")
-    pairs = placement.place_pairs(persisted(placement.place_reads(rows, wide, seeds, size), "places"))
-    bases = persisted(reads.pileup(placement.alignments(pairs, rows, libraries), min_mapq, min_base_quality, max_depth), "bases")
+    pairs = placement.place_pairs(persisted(placement.place_reads(rows, wide, seeds, size), "places"), fragment)
+    placed = placement.alignments(pairs, rows, libraries)
+    placed = placed if contigs is None else placed.where(F.col("contig").isin(contigs))
+    bases = persisted(reads.pileup(placed, min_mapq, min_base_quality, max_depth), "bases")
     sites = persisted(reads.candidate_sites(bases, reference, size), "sites")
     called = reads.call_genotypes(reads.genotype_likelihoods(bases, sites)).select("contig", "pos", "sample", "gt", "dp", "gq")
     every = sites.withColumn("sample", F.explode(F.array(*map(F.lit, sorted({r["sample"] for r in runs})))))

@@ -104,6 +104,20 @@ def read_numbers(spark: SparkSession, path: str, count: int, slack: float = 1e-8
     return out
 
 
+def read_vectors(spark: SparkSession, path: str, samples: DataFrame, count: int) -> DataFrame:
+    """(sample, pc array<double>) of an eigenvector table with FID, IID and PC1 to PCn: every sample of ``samples`` exactly once."""
+    names = [f"PC{i + 1}" for i in range(count)]
+    rows = read_spaced(spark, path, ["FID", "IID", *names])
+    out = rows.select(F.col("IID").alias("sample"), F.col("FID").alias("family"), F.array(*(F.col(n).try_cast("double") for n in names)).alias("pc"))
+    if not out.where("sample <> family").isEmpty():
+        raise GateError("FID and IID differ")
+    require_unique(out, ["sample"], "samples of the eigenvectors")
+    require_equal(out, samples, ["sample"], "samples of the eigenvectors and of the data")
+    if not out.where(F.exists("pc", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).isEmpty():
+        raise GateError("an eigenvector has an entry that isn't a number")
+    return out.select("sample", "pc")
+
+
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
     """A list of markers: one unique, non-empty id per line."""
     out = _lines(spark, path).select(F.trim("value").alias("marker"))
