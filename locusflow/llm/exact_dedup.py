@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.kept import without
 from locusflow.llm.worker import claim
-from locusflow.session import persisted, prepare_workers
+from locusflow.session import persisted, prepare_workers, release
 
 #: (modulus, base) of the two halves of a fingerprint.
 FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 214_013_011))
 CHUNK_BYTES = 1 << 16
-#: Keys of rows to drop are broadcast up to so many; beyond that they are joined by shuffle.
+#: Texts of more bytes are cut into pieces of so many, which are hashed wherever they go.
+HUGE_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
+#: Keys of rows to drop, and of groups, are broadcast up to so many; beyond that they are joined by shuffle.
 BROADCAST_KEYS = 200_000
 FINGERPRINT = ["h1", "h2", "n_bytes"]
 
@@ -139,15 +141,40 @@ def _chunks(fields):
 def _unequal(source: DataFrame, groups: DataFrame, fields) -> DataFrame:
     """Fingerprints of groups whose members' texts are not all the same, found by comparing chunk with chunk."""
     kind = source.schema["id"].dataType.simpleString()
-    several = groups.where("copies > 1").select(*FINGERPRINT, "top")
-    chunks = source.mapInArrow(_chunks(fields), f"id {kind}, h1 long, h2 long, n_bytes long, no long, chunk binary")
-    members = chunks.join(several, FINGERPRINT)
+    several = persisted(groups.where("copies > 1").select(*FINGERPRINT, "top"), "several")
+    few = several.count() <= BROADCAST_KEYS
+    listed = lambda df: F.broadcast(df) if few else df.hint("merge")
+    shape = f"id {kind}, h1 long, h2 long, n_bytes long, no long, chunk binary"
+    # Only rows with a representative's id are cut into chunks for the models.
+    tops = source.join(listed(several.select("top").distinct()), source["id"].eqNullSafe(F.col("top")), "left_semi")
+    model = tops.mapInArrow(_chunks(fields), shape).join(listed(several), FINGERPRINT).where(F.col("id").eqNullSafe(F.col("top")))
     # Written first: a join of two plain exchanges can be split where a group is large.
-    model = persisted(members.where(F.col("id").eqNullSafe(F.col("top"))).groupBy(*FINGERPRINT, "no").agg(F.min("chunk").alias("model")), "models")
-    return members.join(model, [*FINGERPRINT, "no"]).where("chunk <> model").select(*FINGERPRINT).distinct()
+    model = persisted(model.groupBy(*FINGERPRINT, "no").agg(F.min("chunk").alias("model")), "models")
+    members = source.mapInArrow(_chunks(fields), shape).join(listed(several.select(*FINGERPRINT)), FINGERPRINT, "left_semi")
+    out = persisted(members.join(model, [*FINGERPRINT, "no"]).where("chunk <> model").select(*FINGERPRINT).distinct(), "unequal")
+    release(several, model)
+    return out
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fields=FIELDS) -> DataFrame:
+def _all_prints(source: DataFrame, fields, huge: int) -> DataFrame:
+    """(id, FINGERPRINT, sha) of each row. Texts of more than ``huge`` bytes are hashed chunk by chunk, wherever those go."""
+    kind = source.schema["id"].dataType.simpleString()
+    size = F.octet_length("text")
+    whole = source.where(size <= huge).mapInArrow(_prints(fields), f"id {kind}, h1 long, h2 long, n_bytes long, sha binary")
+    long = source.where(size > huge).select("id", F.col("text").cast("binary").alias("data")).withColumns({"sha": F.unhex(F.sha2("data", 256)), "row": F.monotonically_increasing_id()})
+    numbers = F.sequence(F.lit(0), F.floor((F.length("data") - 1) / PIECE_BYTES).cast("int"))
+    cut = F.transform(numbers, lambda i: F.struct(i.alias("no"), F.substring("data", i * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("piece")))
+    # Written: a row has its number before it has pieces, and the pieces then lie by themselves.
+    long = persisted(long.select("id", "sha", "row", F.inline(cut)), "pieces")
+    if long.isEmpty():
+        release(long)
+        return whole
+    pieces = long.select(F.struct("id", "row", "sha").alias("key"), "no", "piece")
+    found = fingerprint_of_chunks(pieces.repartition("key", "no"), "key", "no", "piece", fields)
+    return whole.unionByName(found.select("key.id", *FINGERPRINT, "key.sha"))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fields=FIELDS, huge: int = HUGE_BYTES) -> DataFrame:
     """One row per input row: (id_col, keep_id, group_size, kept, text_sha256, same_rows).
 
     Texts are equal if their characters are; a null text counts as empty. In each group of equal texts the row with the
@@ -155,16 +182,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts the input rows with this id and text. Other columns of the input are ignored, whatever their names; no input
     rows give no rows.
 
-    A fingerprint takes one scan without a shuffle. Only fingerprints move to find groups (partial counts first, so a
+    A fingerprint takes one scan without a shuffle, but for texts of more than ``huge`` bytes, whose pieces are hashed by
+    many tasks. Only fingerprints move to find groups (partial counts first, so a
     group of any size is a handful of rows), and only texts of groups of two and more are compared. Should different
     texts share a fingerprint, the comparison shows it and their group is split by SHA-256.
     """
     prepare_workers(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    prints = persisted(source.mapInArrow(_prints(fields), f"id {kind}, h1 long, h2 long, n_bytes long, sha binary"), "prints")
+    prints = persisted(_all_prints(source, fields, huge), "prints")
     groups = persisted(prints.groupBy(*FINGERPRINT).agg(F.max("id").alias("top"), F.count("*").alias("copies")).where("copies > 1"), "groups")
-    mixed = persisted(_unequal(source, groups, fields), "unequal")
+    mixed = _unequal(source, groups, fields)
     rows = prints.groupBy("id", *FINGERPRINT, "sha").agg(F.count("*").alias("same_rows"))
     if mixed.isEmpty():
         rows = rows.join(groups.select(*FINGERPRINT, F.col("top").alias("g_top"), F.col("copies").alias("g_copies")), FINGERPRINT, "left")

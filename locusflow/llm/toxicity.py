@@ -89,12 +89,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a model on a bounded sample of the labelled rows: the ``sample_rows`` with the smallest hashed ids.
 
     Labels only say toxic or not, so the grades of toxic documents come from how much evidence their terms carry (the sum
-    of the terms' deviations from chance): those above the quantiles between them are the more severe ones. Rows with a null id, text or label take no part. Without labels of
+    of the terms' deviations from chance): those above the quantiles between them are the more severe ones. Rows with a null id, text or label take no part; an id that
+    is labelled several times is toxic if one of its labels says so. Without labels of
     both kinds, or without a term that tells them apart, the model has no terms and calls nothing toxic; the latter gives
     a warning.
     """
     prepare_workers(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["id"])
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

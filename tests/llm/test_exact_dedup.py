@@ -32,6 +32,16 @@ def test_groups_match_brute_force_even_when_fingerprints_collide(docs_of, fields
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("huge", [0, 1, 2000])
+def test_huge_texts_are_hashed_in_pieces(docs_of, monkeypatch, huge):
+    monkeypatch.setattr(op, "PIECE_BYTES", 999)
+    monkeypatch.setattr(op, "BROADCAST_KEYS", -1)
+    seen = []
+    monkeypatch.setattr(op, "fingerprint_of_chunks", lambda *a, of=op.fingerprint_of_chunks: seen.append(1) or of(*a))
+    got = op.exact_duplicates(docs_of(ROWS), huge=huge).drop("same_rows")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(ROWS) and seen
+
+
 def test_kept_rows_keep_their_columns(docs_of):
     docs = docs_of(ROWS)
     kept = op.keep_first_copies(docs)

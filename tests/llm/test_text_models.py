@@ -54,6 +54,13 @@ def test_model_separates_held_out_documents(spark, docs_of):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if not r["rejected"]}
 
 
+def test_conflicting_labels_count_as_toxic(spark, docs_of):
+    rows, labels = labelled()
+    again = [(i, 0) for i, y in labels if y] + [(i, None) for i, y in labels]
+    one, two = (tx.train(docs_of(rows), spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, again + labels))
+    assert one == two
+
+
 def test_without_labels_nothing_is_rejected(spark, docs_of):
     docs = docs_of([(1, "idiot"), (2, None)])
     for labels in ([], [(1, 1)], [(1, 0), (2, 0)], [(9, 1), (8, 0)]):
@@ -125,6 +132,22 @@ def test_sections_add_up_to_whole_documents(docs_of, rule):
         tc.section_tokens(docs_of(rows), RANKS, rule="none")
 
 
+@pytest.mark.parametrize("rule", tc.RULES)
+def test_fields_share_the_tokens_of_their_text(spark, rule):
+    ranks = tc.byte_tokenizer(RANKS)
+    rows = [(1, "A title", "some body text here", None), (2, None, None, None), (None, "", "日本語 body", "end"), (1, "A title", "some body text here", None), (3, "ti", "tle", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, `a.body` string, field string")
+    for sep in ("\n", ""):
+        out = tc.field_tokens(docs, RANKS, ["title", "a.body", "field"], separator=sep, rule=rule).collect()
+        assert len(out) == 15
+        for i in (1, 2, None, 3):
+            texts = next([t or "" for t in r[1:]] for r in rows if r[0] == i)
+            mine = [r for r in out if r["doc_id"] == i][:3]
+            total = len(ranks.ends(sep.join(texts)))
+            assert sum(r["n_tokens"] for r in mine) == total == mine[0]["doc_tokens"]
+    assert tc.field_tokens(docs.where("false"), RANKS, ["title"]).count() == 0
+
+
 # ---- SentencePiece
 
 
