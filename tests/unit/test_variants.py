@@ -10,6 +10,7 @@ from locusflow.operators import mask, normalize, stats
 from locusflow.operators.sets import GateError
 from locusflow.plans.genotypes import synthetic_totals
 from locusflow.sources import files
+from locusflow.sources.bcf_sink import write_bcf
 from locusflow.sources.bgzf import Index, byte_ranges, union_bytes
 from locusflow.sources.files import FormatError
 from locusflow.sources.tables import as_text, read_metadata
@@ -300,3 +301,22 @@ def test_other_fields_survive_masking_and_writing(spark, tmp_path):
     for want, got in zip(rows, lines, strict=True):
         assert got[8] == "GT:DP:GQ:XX"
         assert [c.split(":")[1:] for c in got[9:]] == [c.split(":")[1:] for c in want[7].split(" ")]
+
+
+def test_records_written_as_bcf_come_back(spark, tmp_path):
+    head = EXTRA + '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="depths">\n##FORMAT=<ID=PL,Number=G,Type=Float,Description="x">\n##INFO=<ID=AF,Number=A,Type=Float,Description="f">\n'
+    rng = random.Random(2)
+    call = lambda: f"{rng.choice(['0/0', '0|1', '.', '1', './1', '0/1/2', '12/3'])}:{rng.choice(['.', '7', '40000'])}:{rng.choice(['3,4', '.', '1,.', '70000'])}:{rng.choice(['a', 'b,c', '.'])}:{rng.choice(['0.5', '1,2.5', '.'])}"
+    rows = [(rng.choice(["1", "chr2"]), rng.randrange(1, 10**6), "." if k % 3 == 0 else f"rs{k}", "A" * (k % 20 + 1), "C,G" if k % 2 else ".", rng.choice(["PASS", ".", "q10"]), "GT:DP:AD:XX:PL" if k % 5 else "GT", " ".join(call() if k % 5 else "0/1" for _ in range(4))) for k in range(120)]
+    rows.sort(key=lambda r: (r[0] != "1", r[1]))
+    source = write(tmp_path / "a.vcf", vcf(rows, SAMPLES, head))
+    records, _, header = read_variants(spark, source)
+    assert write_bcf(records, header, str(tmp_path / "a.bcf")) == 120
+    again, samples, got = read_variants(spark, str(tmp_path / "a.bcf"), split=900)
+    assert got.samples == SAMPLES
+    keep = lambda d: [(r["contig"], r["pos"], r["id"], r["ref"], r["alts"], r["qual"], r["filters"], dict(r["info"]), r["format"], [(c["gt"], c["phased"], c["dp"], c["gq"], c["rest"]) for c in r["calls"]]) for r in d.orderBy("rec").collect()]
+    assert keep(again) == keep(records)
+    masked = mask.mask_variants(records.withColumn("rec", F.col("rec")), 0, 0)
+    assert write_bcf(masked, header, str(tmp_path / "m.bcf")) == masked.count()
+    assert write_bcf(records.where("false"), header, str(tmp_path / "none.bcf")) == 0
+    assert read_variants(spark, str(tmp_path / "none.bcf"))[0].count() == 0
