@@ -72,8 +72,9 @@ def execute(a: argparse.Namespace) -> dict | list:
     if a.verb == "mask":
         return runs.run_mask(spark, a.input, a.output, a.min_dp, a.min_gq, a.replace)
     if a.verb in ("plan", "run"):
-        with open(a.config, encoding="utf-8") as f:
-            flow = runs.genotype_workflow(spark, runs.GenotypeConfig.of(json.load(f)))
+        from locusflow.plans import configs
+
+        flow = configs.of_file(spark, a.config)
         return flow.plan(a.verify_inputs) if a.verb == "plan" else flow.run(a.verify_inputs)
     if a.verb == "cohort-select":
         return runs.run_selection(spark, a.original, a.psam, a.kinship, a.out, a.policy, a.threshold, a.samples)
