@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from locusflow.functions import genetics as g
 
 DIGITS = 9
+MOST_POPULATIONS = 10_000
 
 
 def _counted(calls: DataFrame, *keys) -> DataFrame:
@@ -47,8 +48,10 @@ def sample_stats(calls: DataFrame, samples: DataFrame, eligible: int, digits: in
 
 
 def population_site_stats(calls: DataFrame, samples: DataFrame, sites: DataFrame, digits: int | None = None) -> DataFrame:
-    """One row per (site, population), also where the population has no call. Populations are a small dimension."""
-    names = [r[0] for r in samples.select("population").distinct().orderBy("population").collect()]
+    """One row per (site, population), also where the population has no call. There are MOST_POPULATIONS at most."""
+    names = [r[0] for r in samples.select("population").distinct().orderBy("population").limit(MOST_POPULATIONS + 1).collect()]
+    if len(names) > MOST_POPULATIONS:
+        raise ValueError(f"more than {MOST_POPULATIONS} populations")
     every = sites.withColumn("population", F.explode(F.array(*map(F.lit, names)))) if names else sites.withColumn("population", F.lit("")).limit(0)
     counts = _counted(calls.join(samples, "sample"), "rec", "population")
     out = every.join(counts, ["rec", "population"], "left").fillna(0, list(g.COUNTS))
@@ -75,4 +78,4 @@ def record_totals(sites: DataFrame) -> DataFrame:
 def explode_calls(variants: DataFrame, samples: DataFrame) -> DataFrame:
     """Long calls of variant records with arrays of calls: rec, sample, alleles, phased, dp, gq."""
     rows = variants.select("rec", F.posexplode("calls").alias("idx", "call"))
-    return rows.join(F.broadcast(samples.select("idx", "sample")), "idx").select("rec", "sample", F.col("call.gt").alias("alleles"), F.col("call.phased").alias("phased"), F.col("call.dp").alias("dp"), F.col("call.gq").alias("gq"))
+    return rows.join(samples.select("idx", "sample"), "idx").select("rec", "sample", F.col("call.gt").alias("alleles"), F.col("call.phased").alias("phased"), F.col("call.dp").alias("dp"), F.col("call.gq").alias("gq"))

@@ -296,7 +296,7 @@ def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
     def dosages(done, out):
         records = spark.read.parquet(f"file://{done['mask']}/mask/variants.parquet")
         samples = spark.read.parquet(f"file://{done['mask']}/mask/samples.parquet")
-        long = stats.explode_calls(records, samples).join(F.broadcast(samples), "sample")
+        long = stats.explode_calls(records, samples).join(samples, "sample")
         save(long.select(F.col("idx").cast("long").alias("sample"), F.col("rec").alias("marker"), g.dosage(F.col("alleles")).alias("dose")), out, "dosages")
         save(records.select(F.col("rec").alias("marker"), "contig", "contig_rank", "pos", g.variant_id(F.col("contig"), F.col("pos"), F.col("ref"), F.element_at("alts", 1)).alias("id")), out, "sites")
 
@@ -324,7 +324,7 @@ def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
         doses = table(done["retained"], "dosages")
         maf = persisted(qc.maf_filter(doses, c.pca_maf), "maf")
         numbers = persisted(_numbered(doses.select("sample").distinct(), "sample"), "order")
-        packed = packed_rows(doses.join(maf, "marker", "left_semi").join(F.broadcast(numbers), "sample"), "marker", "at", numbers.count())
+        packed = packed_rows(doses.join(maf, "marker", "left_semi").join(numbers, "sample"), "marker", "at", numbers.count())
         sites = table(done["import"], "sites").withColumnRenamed("marker", "row")
         markers = persisted(ld.ranked(packed.join(sites, "row").select("contig", "pos", F.col("row").alias("marker"), "data")), "markers")
         stay = ld.ld_prune(markers, maf, c.ld_window, c.ld_r2, c.ld_step)
