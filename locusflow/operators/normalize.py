@@ -67,13 +67,14 @@ def align_indels(records: DataFrame, context: str = "before") -> DataFrame:
     columns = records.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Calls and whatever else a record holds pass by as they are.
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                before, start = r[context] or "", r["pos"]
-                floor = start - len(before)
-                r["pos"], r["ref"], r["alt"] = left_align(start, r["ref"], r["alt"], lambda p, b=before, f=floor: b[p - f] if p >= f else "") if before else (start, r["ref"], r["alt"])
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            found = []
+            for pos, ref, alt, before in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pos", "ref", "alt", context)), strict=True):
+                floor = pos - len(before or "")
+                found.append(left_align(pos, ref, alt, lambda p, b=before, f=floor: b[p - f] if p >= f else "") if before else (pos, ref, alt))
+            new = dict(zip(("pos", "ref", "alt"), zip(*found, strict=True), strict=True)) if found else {}
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     fixed = records.where(indel).mapInArrow(run, records.schema)
     return records.where(~indel).select(*columns).unionByName(fixed)

@@ -111,3 +111,46 @@ def library_counts(alignments: DataFrame) -> DataFrame:
 def depth(points: DataFrame, keys: list[str], alt: Column) -> DataFrame:
     """Depth and depth of the alternative by the keys."""
     return points.groupBy(*keys).agg(F.count("*").alias("depth"), F.count_if(alt).alias("alt_depth"))
+
+
+def mate_links(alignments: DataFrame) -> DataFrame:
+    """One row per template (library, name): firsts and seconds counted, the places of the two, and ``linked``.
+
+    Mates are brought together by name in one grouped aggregate, whatever the order of the alignments. Primary records
+    count; a template is linked if it has one first and one second mate.
+    """
+    rows = alignments.where(g.primary_alignment(F.col("flag")))
+    has = lambda bit: F.col("flag").bitwiseAND(bit) != 0
+    place = F.struct("contig", "pos", "flag")
+    out = rows.groupBy("library", "name").agg(*(x for n, bit in (("first", g.FIRST), ("second", g.SECOND)) for x in (F.count_if(has(bit)).alias(f"{n}s"), F.min(F.when(has(bit), place)).alias(n))))
+    return out.withColumn("linked", (F.col("firsts") == 1) & (F.col("seconds") == 1))
+
+
+def joint_genotypes(likelihoods: DataFrame, steps: int = 20, variant: float = 10.0) -> DataFrame:
+    """Genotypes of all samples of a site together: gt, gq, and the site's frequency and quality.
+
+    The frequency of the alternative is what makes all samples' likelihoods most probable under Hardy-Weinberg
+    proportions (expectation-maximisation, so many steps, inside one row per site: its size is that of the cohort). It is
+    each sample's prior. quality is the Phred-scaled gain over a site without the alternative; sites below ``variant`` go.
+    """
+    own = F.struct("sample", "dp", "ref_depth", "alt_depth", *(F.pow(F.lit(10.0), F.col(f"l{k}") - F.greatest("l0", "l1", "l2")).alias(f"e{k}") for k in range(3)))
+    sites = likelihoods.groupBy("contig", "pos", "ref", "alt").agg(F.sort_array(F.collect_list(own)).alias("s"))
+
+    def weights(x, p):
+        return x["e0"] * (1 - p) * (1 - p), 2 * x["e1"] * p * (1 - p), x["e2"] * p * p
+
+    def step(p, _):
+        share = F.transform("s", lambda x: (weights(x, p)[1] + 2 * weights(x, p)[2]) / (2 * (weights(x, p)[0] + weights(x, p)[1] + weights(x, p)[2])))
+        return F.aggregate(share, F.lit(0.0), lambda a, y: a + y) / F.size("s")
+
+    rows = sites.withColumn("frequency", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.1), step))
+    log = lambda x, p: F.log10(F.greatest(weights(x, p)[0] + weights(x, p)[1] + weights(x, p)[2], F.lit(1e-300)))
+    total = lambda p: F.aggregate(F.transform("s", lambda x: log(x, p)), F.lit(0.0), lambda a, y: a + y)
+    rows = rows.withColumn("quality", 10 * (total(F.col("frequency")) - total(F.lit(0.0)))).where(F.col("quality") >= variant)
+    each = rows.select("contig", "pos", "ref", "alt", "frequency", "quality", F.explode("s").alias("x"))
+    w = [F.greatest(v, F.lit(1e-300)) for v in weights(F.col("x"), F.col("frequency"))]
+    ranked = F.sort_array(F.array(*(F.struct(v.alias("w"), F.lit(t).alias("gt")) for v, t in zip(w, ("0/0", "0/1", "1/1"), strict=True))), asc=False)
+    # The odds of being wrong: what the other two genotypes weigh against all three.
+    wrong = (ranked[1]["w"] + ranked[2]["w"]) / (ranked[0]["w"] + ranked[1]["w"] + ranked[2]["w"])
+    gq = F.least(F.lit(99), F.round(-10 * F.log10(F.greatest(wrong, F.lit(1e-10)))).cast("int"))
+    return each.select("x.sample", "contig", "pos", "ref", "alt", "x.dp", "x.ref_depth", "x.alt_depth", ranked[0]["gt"].alias("gt"), gq.alias("gq"), "frequency", "quality")

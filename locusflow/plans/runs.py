@@ -462,7 +462,9 @@ def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, s
     placed = placed if contigs is None else placed.where(F.col("contig").isin(contigs))
     bases = persisted(reads.pileup(placed, min_mapq, min_base_quality, max_depth), "bases")
     sites = persisted(reads.candidate_sites(bases, reference, size), "sites")
-    called = reads.call_genotypes(reads.genotype_likelihoods(bases, sites)).select("contig", "pos", "sample", "gt", "dp", "gq")
+    called = persisted(reads.joint_genotypes(reads.genotype_likelihoods(bases, sites)), "called")
+    sites = called.select("contig", "pos", "ref", "alt").distinct()
+    called = called.select("contig", "pos", "sample", "gt", "dp", "gq")
     every = sites.withColumn("sample", F.explode(F.array(*map(F.lit, sorted({r["sample"] for r in runs})))))
     out = every.join(called, ["contig", "pos", "sample"], "left")
     return out.select("contig", "pos", "ref", "alt", "sample", F.coalesce("gt", F.lit("./.")).alias("gt"), F.coalesce("dp", F.lit(0)).alias("dp"), "gq")

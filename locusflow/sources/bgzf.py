@@ -5,6 +5,7 @@ A place in a file is a virtual offset: where its block begins in the file, shift
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterator
@@ -121,6 +122,52 @@ def lines(path: str, begin: int, end: int, whole: bool = False) -> Iterator[tupl
         yield place, carry
 
 
+# ---- records
+
+#: A virtual offset beyond all files.
+NOWHERE = 1 << 62
+
+
+class Stream:
+    """Bytes of a BGZF file from a block on, with their virtual offsets; a plain file is one block."""
+
+    def __init__(self, path: str, begin: int):
+        self.path, self.pieces = path, blocks(path, begin) if files.is_bgzf(path) else ((0, d) for d in files.data_of(path))
+        self.plain = not files.is_bgzf(path)
+        self.held, self.base = bytearray(), 0  # base: the stream's offset of held[0]
+        self.starts: list[int] = []  # stream offsets of blocks, and where they begin in the file
+        self.places: list[int] = []
+        self.size = 0
+
+    def reach(self, n: int) -> bool:
+        """Whether n bytes from the present place on are held, after reading on if need be."""
+        while len(self.held) < n:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            at, data = piece
+            if data:
+                self.starts.append(self.size)
+                self.places.append(at)
+                self.size += len(data)
+                self.held += data
+        return True
+
+    def skip(self, n: int) -> None:
+        del self.held[:n]
+        self.base += n
+
+    def place(self) -> int:
+        """The virtual offset of the present place (the plain offset in a plain file)."""
+        if self.plain:
+            return self.base
+        self.reach(1)
+        i = bisect.bisect_right(self.starts, self.base) - 1
+        if i < 0 or self.base >= self.size:
+            return NOWHERE
+        return self.places[i] << 16 | self.base - self.starts[i]
+
+
 # ---- indexes
 
 

@@ -96,7 +96,7 @@ class Reader:
     """Exact reads from a stream of pieces."""
 
     def __init__(self, pieces: Iterator[bytes], path: str):
-        self.pieces, self.path, self.held = pieces, path, bytearray()
+        self.pieces, self.path, self.held, self.taken = pieces, path, bytearray(), 0
 
     def take(self, n: int, may_end: bool = False) -> bytes | None:
         while len(self.held) < n:
@@ -108,6 +108,7 @@ class Reader:
             self.held += piece
         out = bytes(self.held[:n])
         del self.held[:n]
+        self.taken += n
         return out
 
     def unpack(self, form: str) -> tuple:

@@ -11,16 +11,20 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from locusflow.session import prepare_workers
-from locusflow.sources import files
+from locusflow.sources import bgzf, files
+from locusflow.sources.bgzf import LARGEST, NOWHERE, Stream
 from locusflow.sources.files import FormatError
 
 LONGEST_LINE = 1 << 20
 CHUNK = 1 << 16
+#: Bytes of a part of a BAM file.
+SPLIT = 64 << 20
 READS = "ordinal long, mate int, name string, seq string, qual string"
 BASES = "contig string, chunk long, bases string, length long"
 ALIGNMENTS = "ordinal long, read_group string, library string, sample string, flag int, contig string, pos long, mapq int, cigar string, name string, seq string, qual string, mate_contig string, mate_pos long, template_length int"
@@ -32,6 +36,8 @@ _QUALITIES = re.compile(rb"[!-~]*")
 class File(InputPartition):
     path: str
     mate: int = 0
+    begin: int = 0
+    end: int | None = None
 
 
 def read_name(line: str, mate: int) -> str:
@@ -90,12 +96,15 @@ def fasta_chunks(path: str, chunk: int = CHUNK) -> Iterator[tuple[str, int, str,
 
 
 class _Rows(DataSourceReader):
-    def __init__(self, options: dict, schema: pa.Schema, rows):
-        self.options, self.arrow, self.rows = dict(options), schema, rows
+    def __init__(self, options: dict, schema: pa.Schema, rows, parts: bool = False):
+        self.options, self.arrow, self.rows, self.parts = dict(options), schema, rows, parts
 
     def partitions(self) -> list[File]:
         mate = int(self.options.get("mate", 0))
         paths = [p for p in self.options["path"].split(",") if p]
+        if self.parts:
+            split = int(self.options.get("split", SPLIT))
+            return [File(p, mate, at, at + split if at + split < size else None) for p in paths for size in (files.size_of(p),) for at in range(0, max(size, 1), split)]
         return [File(p, mate) for p in paths]
 
     def read(self, part: File) -> Iterator[pa.RecordBatch]:
@@ -126,10 +135,10 @@ def _fasta_rows(part: File, options: dict):
 
 
 def _bam_rows(part: File, options: dict):
-    return bam_records(part.path)
+    return bam_records(part.path, part.begin, part.end)
 
 
-def _source(label: str, shape: str, rows) -> type[DataSource]:
+def _source(label: str, shape: str, rows, parts: bool = False) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -139,7 +148,7 @@ def _source(label: str, shape: str, rows) -> type[DataSource]:
             return shape
 
         def reader(self, schema) -> DataSourceReader:
-            return _Rows(self.options, _arrow(shape), rows)
+            return _Rows(self.options, _arrow(shape), rows, parts)
 
     return Source
 
@@ -177,26 +186,97 @@ def bam_header(path: str) -> tuple[files.Reader, list[str], list[int], dict[str,
     return reader, names, lengths, groups
 
 
-def bam_records(path: str) -> Iterator[tuple]:
+def _fixed(held: bytearray, kind: str, at: int, n: int) -> np.ndarray:
+    """The number of a kind that stands ``at`` bytes behind each of the first n places."""
+    return np.ndarray((n,), kind, held, at, (1,))
+
+
+def bam_sync(path: str, block: int, contigs: int, deep: int = 5) -> int:
+    """The virtual offset of the first record that begins in or after a block; NOWHERE if there is none.
+
+    Records carry no mark: a place counts if a chain of records that fit begins there, as in BCF files. The part before
+    arrives at this place by following its own records, or raises.
+    """
+    stream, at = Stream(path, block), 0
+    while True:
+        stream.reach(at + 2 * LARGEST)
+        n = len(stream.held) - 36 - at
+        if n <= 0:
+            return NOWHERE
+        held = stream.held[at:]
+        size, tid, pos, l_name, n_cigar, l_seq, mate = (_fixed(held, k, o, n).astype(np.int64) for k, o in (("<i4", 0), ("<i4", 4), ("<i4", 8), ("u1", 12), ("<u2", 16), ("<i4", 20), ("<i4", 24)))
+        need = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
+        fits = (tid >= -1) & (tid < contigs) & (mate >= -1) & (mate < contigs) & (pos >= -1) & (l_name >= 2) & (l_seq >= 0) & (size >= need) & (size < 1 << 28)
+        del held
+        for o in (np.flatnonzero(fits) + at).tolist():
+            if _chain(stream, o, contigs, deep):
+                stream.skip(o)
+                return stream.place()
+        at += n
+
+
+def _chain(stream: Stream, at: int, contigs: int, deep: int) -> bool:
+    """Whether records follow one another from an offset on, or up to the file's end."""
+    for _ in range(deep):
+        if not stream.reach(at + 36):
+            return len(stream.held) == at
+        size, tid, pos, l_name, _, _, n_cigar, _, l_seq, mate = struct.unpack_from("<iiiBBHHHii", stream.held, at)
+        if not (-1 <= tid < contigs and -1 <= mate < contigs and pos >= -1 and l_name >= 2 and l_seq >= 0 and 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq <= size < 1 << 28):
+            return False
+        if not stream.reach(at + 36 + l_name) or stream.held[at + 36 + l_name - 1] or not stream.held[at + 36 : at + 36 + l_name - 1].isascii():
+            return False
+        at += 4 + size
+    return stream.reach(at)
+
+
+def bam_records(path: str, begin: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """Records that begin in the blocks between two bytes of the file, numbered by their virtual offsets."""
     reader, names, _, groups = bam_header(path)
-    n = 0
-    while (size := reader.take(4, may_end=True)) is not None:
-        data = reader.take(struct.unpack("<i", size)[0])
-        tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate_tid, mate_pos, tlen = struct.unpack("<iiBBHHHiiii", data[:32])
-        at = 32
-        name = data[at : at + l_name - 1].decode()
-        at += l_name
-        ops = struct.unpack(f"<{n_cigar}I", data[at : at + 4 * n_cigar])
-        at += 4 * n_cigar
-        packed = data[at : at + (l_seq + 1) // 2]
-        at += len(packed)
-        seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:l_seq]
-        qual = "" if data[at : at + 1] == b"\xff" else bytes(q + 33 for q in data[at : at + l_seq]).decode()
-        rg = _text_tag(data, at + l_seq, b"RG")
-        tags = groups.get(rg or "", {})
-        contig = lambda t: names[t] if 0 <= t < len(names) else None
-        yield n, rg, tags.get("LB"), tags.get("SM"), flag, contig(tid), pos + 1, mapq, "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops) or "*", name, seq, qual, contig(mate_tid), mate_pos + 1, tlen
-        n += 1
+    size = files.size_of(path)
+    # The header's blocks are read alike by every part; no record begins before their end.
+    first = Stream(path, 0)
+    first.reach(reader.taken)
+    first.skip(reader.taken)
+    least = first.place()
+    block, last = bgzf.next_block(path, begin), size if end is None else bgzf.next_block(path, end)
+    start = least if begin == 0 else max(bam_sync(path, block, len(names)), least) if block < size else NOWHERE
+    stop = max(bam_sync(path, last, len(names)), least) if last < size else NOWHERE
+    if start >= stop:
+        return
+    stream = first
+    if begin:
+        stream = Stream(path, start >> 16)
+        stream.reach((start & 0xFFFF) + 1)
+        stream.skip(start & 0xFFFF)
+    while stream.reach(1):
+        place = stream.place()
+        if place >= stop:
+            if place != stop:
+                raise FormatError(f"{path}: records can't be told apart at {stop >> 16}; read it in one part")
+            return
+        if not stream.reach(4) or not stream.reach(4 + struct.unpack_from("<i", stream.held)[0]):
+            raise FormatError(f"{path}: truncated record")
+        n = struct.unpack_from("<i", stream.held)[0]
+        data = bytes(stream.held[4 : 4 + n])
+        stream.skip(4 + n)
+        yield _bam_row(place, data, names, groups)
+
+
+def _bam_row(place: int, data: bytes, names: list[str], groups: dict) -> tuple:
+    tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate_tid, mate_pos, tlen = struct.unpack("<iiBBHHHiiii", data[:32])
+    at = 32
+    name = data[at : at + l_name - 1].decode()
+    at += l_name
+    ops = struct.unpack(f"<{n_cigar}I", data[at : at + 4 * n_cigar])
+    at += 4 * n_cigar
+    packed = data[at : at + (l_seq + 1) // 2]
+    at += len(packed)
+    seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:l_seq]
+    qual = "" if data[at : at + 1] == b"\xff" else bytes(q + 33 for q in data[at : at + l_seq]).decode()
+    rg = _text_tag(data, at + l_seq, b"RG")
+    tags = groups.get(rg or "", {})
+    contig = lambda t: names[t] if 0 <= t < len(names) else None
+    return place, rg, tags.get("LB"), tags.get("SM"), flag, contig(tid), pos + 1, mapq, "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops) or "*", name, seq, qual, contig(mate_tid), mate_pos + 1, tlen
 
 
 def _text_tag(data: bytes, at: int, want: bytes) -> str | None:
@@ -217,7 +297,7 @@ def _text_tag(data: bytes, at: int, want: bytes) -> str | None:
     return None
 
 
-BamSource = _source("bam", ALIGNMENTS, _bam_rows)
+BamSource = _source("bam", ALIGNMENTS, _bam_rows, True)
 
 
 def _load(spark: SparkSession, source: type[DataSource], path: str, **options) -> DataFrame:
@@ -236,6 +316,9 @@ def read_reference(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFr
     return _load(spark, FastaSource, path, chunk=chunk)
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files; library and sample come from the read groups."""
-    return _load(spark, BamSource, path)
+def read_alignments(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Alignments of BAM files, read in parts of ``split`` bytes; library and sample come from the read groups.
+
+    ordinal goes up in the order of the file: it is a record's virtual offset.
+    """
+    return _load(spark, BamSource, path, **options)

@@ -8,7 +8,6 @@ its byte offset in a plain file, or its virtual offset in a BGZF file.
 
 from __future__ import annotations
 
-import bisect
 import io
 import struct
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from locusflow.sources import bgzf, files
+from locusflow.sources.bgzf import NOWHERE, Stream
 from locusflow.sources.files import FormatError
 from locusflow.session import prepare_workers
 
@@ -422,47 +422,7 @@ def _bcf_record(shared: bytes, individual: bytes, h: Header, path: str, rec: int
         batch.flat.append(_calls(fields, batch.n))
 
 
-class _Stream:
-    """Bytes of a BGZF file from a block on, with their virtual offsets; a plain file is one block."""
-
-    def __init__(self, path: str, begin: int):
-        self.path, self.pieces = path, bgzf.blocks(path, begin) if files.is_bgzf(path) else ((0, d) for d in files.data_of(path))
-        self.plain = not files.is_bgzf(path)
-        self.held, self.base = bytearray(), 0  # base: the stream's offset of held[0]
-        self.starts: list[int] = []  # stream offsets of blocks, and where they begin in the file
-        self.places: list[int] = []
-        self.size = 0
-
-    def reach(self, n: int) -> bool:
-        """Whether n bytes from the present place on are held, after reading on if need be."""
-        while len(self.held) < n:
-            piece = next(self.pieces, None)
-            if piece is None:
-                return False
-            at, data = piece
-            if data:
-                self.starts.append(self.size)
-                self.places.append(at)
-                self.size += len(data)
-                self.held += data
-        return True
-
-    def skip(self, n: int) -> None:
-        del self.held[:n]
-        self.base += n
-
-    def place(self) -> int:
-        """The virtual offset of the present place (the plain offset in a plain file)."""
-        if self.plain:
-            return self.base
-        self.reach(1)
-        i = bisect.bisect_right(self.starts, self.base) - 1
-        if i < 0 or self.base >= self.size:
-            return 1 << 62
-        return self.places[i] << 16 | self.base - self.starts[i]
-
-
-def _plausible(stream: _Stream, at: int, h: Header, deep: int = 4) -> bool:
+def _plausible(stream: Stream, at: int, h: Header, deep: int = 4) -> bool:
     """Whether a record may begin at an offset from the present place, judged by it and the ones after it."""
     for _ in range(deep):
         if not stream.reach(at + 32):
@@ -475,12 +435,12 @@ def _plausible(stream: _Stream, at: int, h: Header, deep: int = 4) -> bool:
 
 
 def sync(path: str, block: int, h: Header) -> int:
-    """The virtual offset of the first record that begins in or after a block; 1 << 62 if there is none.
+    """The virtual offset of the first record that begins in or after a block; NOWHERE if there is none.
 
     Records carry no mark, so a place counts if a chain of records that fit the header begins there. The part before
     finds its end by following records from its own begin and raises unless it arrives at this very place.
     """
-    stream = _Stream(path, block)
+    stream = Stream(path, block)
     mark = len(h.samples).to_bytes(3, "little")
     at = 28
     while True:
@@ -488,7 +448,7 @@ def sync(path: str, block: int, h: Header) -> int:
         if found < 0:
             at = max(at, len(stream.held) - 2)
             if not stream.reach(len(stream.held) + 1):
-                return 1 << 62
+                return NOWHERE
         elif _plausible(stream, found - 28, h):
             stream.skip(found - 28)
             return stream.place()
@@ -499,7 +459,7 @@ def sync(path: str, block: int, h: Header) -> int:
 def bcf_batches(path: str, begin: int | None, end: int | None, h: Header, packed: str | None, wanted, exact: bool = True) -> Iterator[pa.RecordBatch]:
     """Batches of the records that begin between two virtual offsets; ``exact`` says that a record begins at the second."""
     batch = Batch(len(h.samples), packed)
-    stream = _Stream(path, 0 if begin is None else begin >> 16)
+    stream = Stream(path, 0 if begin is None else begin >> 16)
     if begin is None:
         stream.reach(9)
         size = 9 + struct.unpack_from("<I", stream.held, 5)[0]
@@ -625,14 +585,14 @@ class VcfReader(DataSourceReader):
         else:
             # The first records lie behind the header, and no part begins before them.
             least, whole = _records_begin(part.path), files.size_of(part.path)
-            first, last = ((least if at == 0 else max(sync(part.path, block, h), least)) if (block := bgzf.next_block(part.path, at)) < whole else 1 << 62 for at in (part.begin, part.end))
+            first, last = ((least if at == 0 else max(sync(part.path, block, h), least)) if (block := bgzf.next_block(part.path, at)) < whole else NOWHERE for at in (part.begin, part.end))
             if first < last:
                 yield from bcf_batches(part.path, first, last, h, self.packed, wanted)
 
 
 def _records_begin(path: str) -> int:
     """The virtual offset of a BCF file's first record."""
-    stream = _Stream(path, 0)
+    stream = Stream(path, 0)
     stream.reach(9)
     size = 9 + struct.unpack_from("<I", stream.held, 5)[0]
     stream.reach(size)

@@ -115,6 +115,70 @@ def test_bam(spark, tmp_path):
         read_alignments(spark, write(tmp_path / "b.bam", bgzf(data)[:-28])).count()
 
 
+def bam(rows, contigs=(("1", 10**6), ("2", 5000))):
+    import struct
+
+    text = b"@HD\tVN:1.6\n@RG\tID:g1\tSM:S\tLB:L\tPL:ILLUMINA\n"
+    data = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
+    for name, size in contigs:
+        data += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+    for name, tid, pos, n in rows:
+        raw = name.encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", tid, pos, len(raw), 30, 0, 1 if n else 0, 99, n, tid, pos, 0) + raw + (struct.pack("<I", n << 4) if n else b"") + bytes((n + 1) // 2) + bytes([30] * n) + b"NMC\x01RGZg1\0"
+        data += struct.pack("<i", len(body)) + body
+    return data
+
+
+@pytest.mark.parametrize("block", [60, 700, 20_000])
+def test_bam_is_read_in_parts(spark, tmp_path, block):
+    from test_variants import small_blocks
+
+    rng = random.Random(block)
+    rows = [(f"read{k}.{rng.randrange(10**rng.randint(1, 9))}", rng.choice([0, 0, 1, -1]), k, rng.choice([0, 1, 50, 151])) for k in range(700)]
+    path = write(tmp_path / "a.bam", small_blocks(bam(rows), block))
+    for split in (400, 1777, 9000):
+        out = read_alignments(spark, path, split=split).orderBy("ordinal").collect()
+        assert [(r["name"], r["pos"] - 1, len(r["seq"])) for r in out] == [(n, p, k) for n, _, p, k in rows]
+        assert len({r["ordinal"] for r in out}) == len(rows)
+    assert read_alignments(spark, write(tmp_path / "none.bam", small_blocks(bam([]), block)), split=100).count() == 0
+
+
+def test_mates_are_linked_by_name(spark):
+    rows = [("L", "a", "1", 10, 0x41), ("L", "a", "1", 90, 0x81), ("L", "a", "2", 5, 0x141), ("L", "b", "1", 3, 0x41), ("M", "a", "1", 7, 0x41), ("L", "c", "1", 1, 0x41), ("L", "c", "1", 2, 0x41), ("L", "c", "1", 3, 0x81)]
+    out = {(r["library"], r["name"]): (r["firsts"], r["seconds"], r["linked"], r["second"] and r["second"]["pos"]) for r in reads.mate_links(spark.createDataFrame(rows, "library string, name string, contig string, pos long, flag int")).collect()}
+    assert out == {("L", "a"): (1, 1, True, 90), ("L", "b"): (1, 0, False, None), ("M", "a"): (1, 0, False, None), ("L", "c"): (2, 1, False, 3)}
+
+
+def test_joint_genotypes_match_plain_iterations(spark):
+    import math
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for pos in range(12):
+        ls = []
+        for s in range(rng.choice([1, 3, 20])):
+            d = rng.choice([0, 0, 1, 2]) if pos % 3 else 0
+            l = [-0.3 * rng.randint(5, 20)] * 3
+            l[d] = -0.1
+            ls.append(l)
+            rows.append((f"s{s:02}", "1", pos, "A", "C", 10, 5, 5, *map(float, l)))
+        e = [[10 ** (x - max(l)) for x in l] for l in ls]
+        p = 0.1
+        for _ in range(20):
+            t = [((1 - p) ** 2 * a, 2 * p * (1 - p) * b, p * p * c) for a, b, c in e]
+            p = sum((b + 2 * c) / (2 * (a + b + c)) for a, b, c in t) / len(t)
+        t = [((1 - p) ** 2 * a, 2 * p * (1 - p) * b, p * p * c) for a, b, c in e]
+        gain = 10 * sum(math.log10(sum(w)) - math.log10(x[0]) for w, x in zip(t, e))
+        if gain >= 10:
+            for s, w in enumerate(t):
+                best = max(range(3), key=lambda k: w[k])
+                want[f"s{s:02}", pos] = (("0/0", "0/1", "1/1")[best], min(99, round(-10 * math.log10(max(1 - w[best] / sum(w), 1e-10)))), round(p, 6))
+    frame = spark.createDataFrame(rows, "sample string, contig string, pos long, ref string, alt string, dp int, ref_depth int, alt_depth int, l0 double, l1 double, l2 double")
+    got = {(r["sample"], r["pos"]): (r["gt"], r["gq"], round(r["frequency"], 6)) for r in reads.joint_genotypes(frame).collect()}
+    assert got.keys() == want.keys() and 0 < len(want) < len(rows)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 1 and abs(got[k][2] - want[k][2]) < 1e-5 for k in want)
+
+
 def test_small_tables(spark, tmp_path):
     samples = spark.createDataFrame([("a",), ("b",), ("c",)], "sample string")
     kin = write(tmp_path / "k.kin0", "##note\n#FID1 IID1 FID2 IID2 NSNP KINSHIP\nb b a a 10 0.25\n  c c  b b 10 0.1\n")
