@@ -23,7 +23,7 @@ from locusflow.plans import workflow as w
 from locusflow.session import persisted
 from locusflow.sources import sequences, tables
 from locusflow.sources.bcf_sink import write_bcf
-from locusflow.sources.vcf import OWN, parse_header, read_variants
+from locusflow.sources.vcf import OWN, parse_header
 
 NAME = re.compile("[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
 PLACE = re.compile(r"\{(?:(input|task):([a-z0-9][a-z0-9_-]*)|(out))\}")
@@ -223,12 +223,10 @@ def reads_workflow(spark: SparkSession, c: dict) -> w.Workflow:
 
     def masked(done, out):
         runs.run_mask(spark, f"{done['call']}/cohort.bcf", f"{out}/mask", q["min_dp"], q["min_gq"])
-        _, _, header = read_variants(spark, f"{done['call']}/cohort.bcf")
-        write_bcf(spark.read.parquet(f"file://{out}/mask/variants.parquet").drop("of_contig"), header, f"{out}/masked.bcf")
 
     def counted(done, out):
         runs.write_table(read_people(spark, people, samples).orderBy("sample"), f"{out}/people.tsv")
-        runs.run_stats(spark, f"{done['mask']}/masked.bcf", f"{out}/people.tsv", f"{out}/stats")
+        runs.run_stats(spark, f"{done['mask']}/mask/masked.bcf", f"{out}/people.tsv", f"{out}/stats")
 
     def s(name, run, needs=(), inputs=(), **params):
         return w.Stage(name, run, list(needs), params, runs.VERSION, list(inputs))

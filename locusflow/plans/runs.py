@@ -22,6 +22,7 @@ from locusflow.operators.sets import GateError, require_equal
 from locusflow.plans import workflow as w
 from locusflow.session import columns_of, persisted, release
 from locusflow.sources import sequences, tables
+from locusflow.sources.bcf_sink import write_bcf, write_index
 from locusflow.sources.files import size_of
 from locusflow.sources.vcf import HET, HOM_ALT, HOM_REF, OTHER_ALLELE, OTHER_PLOIDY, read_variants, require_format
 
@@ -111,7 +112,7 @@ def run_stats(spark: SparkSession, source: str, samples: str, out: str, min_dp:
 
 
 def run_mask(spark: SparkSession, source: str, out: str, min_dp: int, min_gq: int, replace: bool = False) -> dict:
-    """Masked eligible records as Parquet, partitioned by contig and sorted, with a report."""
+    """Masked eligible records as Parquet, partitioned by contig and sorted, and as BCF with its index, with a report."""
     with Staged(out, replace, (source,)) as folder:
         records, samples, header = read_variants(spark, source)
         for key in ("DP", "GQ"):
@@ -126,6 +127,8 @@ def run_mask(spark: SparkSession, source: str, out: str, min_dp: int, min_gq: in
         # The folder's value is a copy: read back, it would lose its type.
         masked.withColumn("of_contig", F.col("contig")).repartitionByRange("contig_rank", "pos").sortWithinPartitions("contig_rank", "pos", "rec").write.partitionBy("of_contig").parquet(f"{folder}/variants.parquet")
         samples.coalesce(1).write.parquet(f"{folder}/samples.parquet")
+        write_bcf(spark.read.parquet(f"file://{folder}/variants.parquet").drop("of_contig"), header, f"{folder}/masked.bcf")
+        write_index(spark, f"{folder}/masked.bcf")
         calls = stats.explode_calls(_sites(records).where("skip_reason IS NULL"), samples)
         calls = calls.withColumn("category", g.category(F.col("alleles"), F.col("dp"), F.col("gq"), min_dp, min_gq))
         rows = [r.asDict() for r in mask.mask_report(calls).orderBy("sample").collect()]

@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.session import prepare_workers, remove, scratch
 from locusflow.sources import files
-from locusflow.sources.vcf import ABSENT, OWN, Header, _attributes
+from locusflow.sources.vcf import ABSENT, OWN, Header, _attributes, read_variants
 
 #: Data bytes of a block.
 BLOCK = 65_280
@@ -204,3 +204,61 @@ def write_bcf(variants: DataFrame, header: Header, path: str) -> int:
     if written:
         remove(spark, folder)
     return sum(n for *_, n in written)
+
+
+# ---- index
+
+#: Bits of the smallest bins' positions, and levels of bins below the whole (fixed values of the format's usual index).
+SHIFT, DEPTH = 14, 5
+
+
+def _bins(begin: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """The smallest bin that holds each [begin, end)."""
+    out = np.zeros(len(begin), np.int64)
+    open_ = np.ones(len(begin), bool)
+    for level in range(depth, 0, -1):
+        size = SHIFT + 3 * (depth - level)
+        same = open_ & (begin >> size == (end - 1) >> size)
+        out[same] = ((1 << 3 * level) - 1) // 7 + (begin[same] >> size)
+        open_ &= ~same
+    return out
+
+
+def write_index(spark: SparkSession, path: str) -> str:
+    """Writes the CSI index of a sorted BCF file beside it and returns its path.
+
+    Tasks turn their part of the records into stretches of one bin each, so what comes to the driver grows with the bins
+    that the genome has, not with the records.
+    """
+    records, _, header = read_variants(spark, path, calls="packed")
+    longest = max((int(m[1]) for x in header.lines if (m := re.match("##contig=<.*length=([0-9]+)", x))), default=0)
+    depth = DEPTH
+    while longest > 1 << SHIFT + 3 * depth:
+        depth += 1
+    rows = records.select("contig_rank", (F.col("pos") - 1).alias("b"), (F.col("pos") - 1 + F.greatest(F.length("ref"), F.lit(1))).alias("e"), "rec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, b, e, rec = (c.to_numpy() for c in batch.columns)
+            if not len(rank):
+                continue
+            bins = _bins(b, e, depth)
+            cuts = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]) | (rank[1:] != rank[:-1]) | (rec[1:] < rec[:-1])]))
+            last = np.append(cuts[1:], len(rank)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rank[cuts], bins[cuts], rec[cuts], rec[last] + 1)], ["rank", "bin", "begin", "end"])
+
+    prepare_workers(spark)
+    found: dict[int, dict[int, list]] = {}
+    for rank, number, begin, end in sorted(map(tuple, rows.mapInArrow(run, "rank long, bin long, begin long, end long").collect())):
+        found.setdefault(rank, {}).setdefault(number, []).append((begin, end))
+    out = [b"CSI\x01", struct.pack("<iiii", SHIFT, depth, 0, len(header.names))]
+    for rank in range(len(header.names)):
+        mine = found.get(rank, {})
+        out.append(struct.pack("<i", len(mine)))
+        for number, chunks in sorted(mine.items()):
+            out.append(struct.pack("<IQi", number, 0, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
+    fs, target = files.open_uri(f"{path}.csi")
+    with fs.open_output_stream(f"{target}.draft", compression=None) as f:
+        f.write(bgzf_blocks(b"".join(out)) + files.BGZF_END)
+    fs.move(f"{target}.draft", target)
+    return f"{path}.csi"

@@ -536,7 +536,8 @@ class VcfReader(DataSourceReader):
                 out.append(Part(path, "whole"))
             else:
                 out += [Part(path, kind, at, min(at + self.split, size)) for at in range(0, size, self.split)]
-        return out
+        # A source without parts is read as one that has none in particular.
+        return out or [Part("", "nothing")]
 
     def _chunks(self, h: Header) -> list[tuple[int, int]]:
         index = bgzf.Index(self.index)
@@ -575,6 +576,8 @@ class VcfReader(DataSourceReader):
                     at += len(raw)
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if part.kind == "nothing":
+            return
         h, wanted = read_header(part.path), _wanted(self.regions)
         if not _is_bcf(part.path):
             yield from text_batches(self._lines(part), h, part.path, self.packed, wanted)

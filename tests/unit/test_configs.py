@@ -42,7 +42,7 @@ def test_reads_from_a_configuration(spark, tmp_path):
     assert json.load(open(f"{where['r1-check']}/reads.json"))["pairs"] == 73
     calls = json.load(open(f"{where['call']}/calls.json"))
     assert calls == {"records": 3, "samples": ["A", "B", "C"], "libraries": {"lib1": ["A", "A_lib1"], "lib2": ["A", "A_lib2"], "lib3": ["B", "B_lib1"], "lib4": ["C", "C_lib1"]}}
-    found = {r["pos"]: [c["gt"] for c in r["calls"]] for r in read_variants(spark, f"{where['mask']}/masked.bcf")[0].collect()}
+    found = {r["pos"]: [c["gt"] for c in r["calls"]] for r in read_variants(spark, f"{where['mask']}/mask/masked.bcf")[0].collect()}
     text = {0: [0, 0], 1: [0, 1], 2: [1, 1], None: [None, None]}
     assert found == {pos: [text[t[s]] for s in "ABC"] for pos, t in TRUTH.items()}
     samples = open(f"{where['stats']}/stats/samples.tsv").read().splitlines()

@@ -10,8 +10,8 @@ from locusflow.operators import mask, normalize, stats
 from locusflow.operators.sets import GateError
 from locusflow.plans.genotypes import synthetic_totals
 from locusflow.sources import files
-from locusflow.sources.bcf_sink import write_bcf
-from locusflow.sources.bgzf import Index, byte_ranges, union_bytes
+from locusflow.sources.bcf_sink import write_bcf, write_index
+from locusflow.sources.bgzf import Index, byte_ranges, parse_region, union_bytes
 from locusflow.sources.files import FormatError
 from locusflow.sources.tables import as_text, read_metadata
 from locusflow.sources.vcf import VcfReader, read_header, read_variants, require_format, write_vcf
@@ -320,3 +320,18 @@ def test_records_written_as_bcf_come_back(spark, tmp_path):
     assert write_bcf(masked, header, str(tmp_path / "m.bcf")) == masked.count()
     assert write_bcf(records.where("false"), header, str(tmp_path / "none.bcf")) == 0
     assert read_variants(spark, str(tmp_path / "none.bcf"))[0].count() == 0
+
+
+def test_a_written_index_leads_to_its_records(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(c, p, f"{c}.{p}", "A" * rng.choice([1, 1, 1, 40_000 if p < 10**6 else 3]), "C", "PASS", "GT", "0/1 0/0") for c in ("1", "chr2") for p in sorted(rng.sample(range(1, 2_000_000), 150))]
+    records, _, header = read_variants(spark, write(tmp_path / "a.vcf", vcf(rows, ["A", "B"])))
+    path = str(tmp_path / "a.bcf")
+    assert write_bcf(records, header, path) == 300
+    index = write_index(spark, path)
+    for region in ("1:1-100000", "chr2:500000-700000", "1", "chr2:1999990", "1:999000-1001000;chr2:1-20000"):
+        want = sorted(r[2] for r in rows for x in region.split(";") for c, b, e in [parse_region(x)] if r[0] == c and r[1] - 1 < e and r[1] - 1 + len(r[3]) > b)
+        assert sorted(r["id"] for r in read_variants(spark, path, regions=region, index=index)[0].collect()) == want
+    # A small region reads less than the file.
+    some = Index(index).chunks(0, 1_500_000, 1_500_100)
+    assert sum((b >> 16) - (a >> 16) for a, b in some) < 0.9 * files.size_of(path)
