@@ -45,15 +45,16 @@ def test_small_cache_gives_the_same_ids(plain):
         assert [g.tolist() for g in small.encode(texts[at : at + 10])] == [plain.encode(x, add_special_tokens=False).ids for x in texts[at : at + 10]]
 
 
-def test_pieces_cover_each_document_once(docs_of, plain):
-    rows = [(1, "hello world " * 3000), (2, None), (3, ""), (4, "x"), (4, "x"), (None, "y z"), (5, "the same"), (6, "the same")]
-    out = op.pack_documents(docs_of(rows), PATH, window=64).collect()
+@pytest.mark.parametrize("window", [64, 4096])
+def test_pieces_cover_each_document_once(docs_of, plain, window):
+    rows = [(1, "hello world " * 3000), (7, "z" * 9000 + " end"), (2, None), (3, ""), (4, "x"), (4, "x"), (None, "y z"), (5, "the same"), (6, "the same")]
+    out = op.pack_documents(docs_of(rows), PATH, window=window).collect()
     assert len({r["sequence_id"] for r in out}) == len(out)
     want = []
     for i, t in rows:
         ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
         at = 0
-        for n in op.decompose(len(ids), 64):
+        for n in op.decompose(len(ids), window):
             want.append((i, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids), 0))
             at += n
         assert at == len(ids)

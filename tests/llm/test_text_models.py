@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +57,46 @@ def test_model_separates_held_out_documents(spark, docs_of):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if not r["rejected"]}
 
 
+def plain_terms(text):
+    words = {w for w in re.split(r"[\W\d_]+", text.lower()) if w}
+    return words | {"^" + w[:k] for w in words for k in (4, 5) if len(w) > k}
+
+
+def test_model_and_scores_match_brute_force(spark, docs_of):
+    rows, labels = labelled(600, 3)
+    texts, toxic = dict(rows), dict(labels)
+    model = tx.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # Terms by counting, one by one.
+    n_toxic, n_all = sum(toxic.values()), len(toxic)
+    seen = Counter(t for i in toxic for t in plain_terms(texts[i]))
+    bad = Counter(t for i in toxic if toxic[i] for t in plain_terms(texts[i]))
+    rate, gain = n_toxic / n_all, {}
+    for t, n in seen.items():
+        a = bad[t]
+        g = (a - n * rate) / (n * rate * (1 - rate)) ** 0.5
+        if a >= max(3, tx.TOXIC_SHARE * n_toxic) and a * (n_all - n_toxic) > 2 * (n - a) * n_toxic and g > tx.DEVIATIONS:
+            gain[t] = g
+    chosen = sorted(gain, key=lambda t: (-gain[t], t))[: tx.TERMS]
+    place = {t: k for k, t in enumerate(chosen)}
+    indices = [np.array(sorted(place[t] for t in plain_terms(texts[i]) if t in place), np.int64) for i in toxic]
+    evidence = np.array([sum(gain[chosen[k]] for k in x) for x in indices])
+    own = np.array([bool(toxic[i]) for i in toxic])
+    grades = np.where(own, 1 + (evidence > np.quantile(evidence[own], 0.5)), 0)
+    weights, thetas = tx.fit(indices, grades, len(chosen))
+    assert np.allclose(model.thetas, thetas, atol=1e-6)
+    assert {t: round(w, 6) for t, w in model.weights.items()} == {t: round(float(weights[k]), 6) for t, k in place.items() if weights[k] > 1e-6}
+    # Scores, document by document.
+    docs = [*rows, (9000, None), (9001, "IDIOT!"), (9001, "IDIOT!")]
+    got = sorted((r["doc_id"], round(r["expected_severity"], 9), round(r["p_toxic"], 9), r["grade"], r["rejected"]) for r in tx.predict(docs_of(docs), model).collect())
+    want = []
+    for i, t in docs:
+        z = sum(model.weights.get(x, 0) for x in plain_terms(t or ""))
+        above = [1 / (1 + math.exp(-(z - c))) for c in model.thetas]
+        p = [1 - above[0], above[0] - above[1], above[1]]
+        want.append((i, round(sum(above), 9), round(above[0], 9), p.index(max(p)), above[0] >= 0.5))
+    assert got == sorted(want)
+
+
 def test_conflicting_labels_count_as_toxic(spark, docs_of):
     rows, labels = labelled()
     again = [(i, 0) for i, y in labels if y] + [(i, None) for i, y in labels]
