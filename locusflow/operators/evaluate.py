@@ -19,6 +19,12 @@ def _sides(calls: DataFrame, side: str) -> DataFrame:
     return rows.select("contig", "pos", "multi", *((said if n == side else none).alias(n) for n in ("t", "c")))
 
 
+def ambiguous(truth: DataFrame, calls: DataFrame) -> DataFrame:
+    """(contig, pos) that :func:`evaluate` sets aside."""
+    rows = _sides(truth, "t").unionByName(_sides(calls, "c"))
+    return rows.groupBy("contig", "pos").agg(F.bool_or("multi").alias("multi"), F.count("t").alias("t"), F.count("c").alias("c")).where("multi OR t > 1 OR c > 1").select("contig", "pos")
+
+
 def evaluate(truth: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: true_positive, false_positive, false_negative, genotype_match, precision, recall, f1, concordance.
 

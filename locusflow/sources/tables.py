@@ -58,6 +58,26 @@ def read_metadata(spark: SparkSession, path: str, samples: DataFrame | None = No
     return out
 
 
+def read_panel(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
+    """(sample, population, group) of a panel: at least three columns, the first ones in this order, unique samples.
+
+    ``count`` is the number of samples that there must be.
+    """
+    rows = _lines(spark, path)
+    head = _header(rows, "")
+    names = head.split("\t")
+    if len(names) < 3 or names[0] != "sample":
+        raise GateError("the panel needs three columns, the first of which is sample")
+    cells = rows.where((F.col("value") != head) & (F.col("value") != "")).select(F.split("value", "\t", -1).alias("c"))
+    if not cells.where(F.size("c") < 3).isEmpty():
+        raise GateError("a row of the panel has fewer than three cells")
+    out = cells.select(*(F.col("c")[i].alias(n) for i, n in enumerate(("sample", "population", "group"))))
+    require_unique(out, ["sample"], "samples of the panel")
+    if count is not None and (found := out.count()) != count:
+        raise GateError(f"the panel has {found} samples, not {count}")
+    return out
+
+
 def read_spaced(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """A table with white space between cells: lines with ## are left out, the # of the header is dropped."""
     rows = _lines(spark, path).where(~F.col("value").startswith("##") & (F.trim("value") != ""))
