@@ -5,7 +5,7 @@ between words counts as one space. A chunk begins at
 a word whose hash is the smallest among some words on either side: cuts depend on nearby content only, and an insertion
 shifts nothing but its surroundings. A stretch with a period of a few words has no such minima; it is cut at its ends and
 every few periods, so that stretches of one period give equal chunks. Chunks are deduplicated by digest. A run of neighbouring chunks that all occurred
-before is a repeat, and its ends are refined to words by comparing it with places where chunks near them occurred first. Repeats of
+before is a repeat (where a periodic stretch ends, the words around that seam must have occurred as well), and its ends are refined to words by comparing it with places where chunks near them occurred first. Repeats of
 MIN_WORDS words and more are cut out; the first occurrence (smallest id, then place) stays.
 """
 
@@ -34,6 +34,8 @@ EDGE = 24
 NEAR_END, PLACES = 56, 4
 #: Longest period, in words, and least length of a stretch that counts as periodic; it is cut every STRIDE words or so.
 PERIODS, STRETCH, STRIDE = 8, 16, 8
+#: Words on either side of where a stretch meets another chunk that tell if the two are repeated together.
+SEAM = 6
 #: Bytes over which the hash is rolled at a time.
 STEP_BYTES = 1 << 18
 #: Lists of cuts are broadcast up to so many entries; beyond that they are joined by shuffle, as lists of places always are.
@@ -155,9 +157,30 @@ class Chunks:
         power = np.cumprod(np.full(int(self.sizes.max()) + 1, WORD_BASE, np.uint64), dtype=np.uint64)
         return mix(np.add.reduceat(self.hashes * power[place], self.cuts) + self.sizes.astype(np.uint64))
 
+    def seam_digests(self, chunks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """A digest of the SEAM words on either side of where each of the chunks begins, as far as its text goes."""
+        out = np.empty(len(chunks), np.uint64)
+        for k, i in enumerate(chunks.tolist()):
+            at, text = self.cuts[i], owner[i]
+            words = self.hashes[max(self.first[text], at - SEAM) : min(self.first[text + 1], at + SEAM)]
+            out[k] = np.bitwise_xor.reduce(mix(words + np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(WORD_BASE)))
+        return mix(out ^ np.uint64(0x5EA5))
+
+
+def _apart(a: dict, b: dict):
+    """Whether a periodic stretch ends between two neighbouring chunks (or columns of them).
+
+    A stretch repeats itself and others of its kind, wherever it stands, so two repeated chunks on either side of its end
+    needn't be one repeat. They are if the words around the seam are repeated, too.
+    """
+    return ((a["back"] > 0) | (a["ahead"] > 0) | (b["back"] > 0) | (b["ahead"] > 0)) & (a["ahead"] < b["words"])
+
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks of each text; prev and next are the words of the neighbouring ones, 0 where the text ends."""
+    """The chunks of each text; prev and next are the words of the neighbouring ones, 0 where the text ends.
+
+    A seam, where a periodic stretch meets another chunk, is a row of no words with the number of the chunk behind it.
+    """
     claim("ngrams", forget)
     for batch in batches:
         for part in pieces(batch, 2):
@@ -168,7 +191,13 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = np.arange(len(c.cuts)) - bounds[:-1][owner]
             wide = np.concatenate([[0], c.sizes, [0]])
             prev, following = wide[:-2] * (number > 0), wide[2:] * (np.append(number[1:], 0) > 0)
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead, prev, following))], [*KEY, "no", "d", "words", "back", "ahead", "prev", "next"])
+            names = [*KEY, "no", "d", "words", "back", "ahead", "prev", "next"]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead, prev, following))], names)
+            sides = [{"back": c.back[x], "ahead": c.ahead[x], "words": c.sizes[x]} for x in (slice(None, -1), slice(1, None))]
+            seams = np.flatnonzero((number[1:] > 0) & _apart(*sides)) + 1 if len(number) else np.empty(0, np.int64)
+            if len(seams):
+                none = pa.array(np.zeros(len(seams), np.int32))
+                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(seams)) for k in keys), pa.array(number[seams].astype(np.int32)), pa.array(c.seam_digests(seams, owner).view(np.int64)), *[none] * 5], names)
 
 
 def _sides(run: list[dict], left: bool) -> list[dict]:
@@ -201,10 +230,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 64)
             out = []
             for row in part.to_pylist():
-                chunks = sorted(row["chunks"], key=lambda c: c["no"])
+                chunks = sorted((c for c in row["chunks"] if c["words"]), key=lambda c: c["no"])
+                seams = {c["no"] for c in row["chunks"] if not c["words"]}
                 begin, found = 0, []
                 for i in range(1, len(chunks) + 1):
-                    if i == len(chunks) or chunks[i]["no"] != chunks[i - 1]["no"] + 1:
+                    if i == len(chunks) or chunks[i]["no"] != chunks[i - 1]["no"] + 1 or _apart(chunks[i - 1], chunks[i]) and chunks[i]["no"] not in seams:
                         run = chunks[begin:i]
                         found.append({"a": run[0]["no"], "b": run[-1]["no"], "words": sum(c["words"] for c in run), "back": run[0]["back"], "ahead": run[-1]["ahead"], "sides": _sides(run, True) + _sides(run, False)})
                         begin = i

@@ -143,3 +143,16 @@ def test_common_phrases_at_the_edges_of_a_passage(docs_of):
             rows.append((len(rows), " ".join([*words(rng, 20), *w, *words(rng, 20)])))
     got = {r["doc_id"]: r["removed_words"] for r in op.repeated_passages(docs_of(rows)).collect()}
     assert got == repeated(rows)
+
+
+def test_stretches_that_touch_are_one_repeat_only_together(docs_of):
+    rng = random.Random(13)
+    units = [words(rng, 1) for _ in range(6)]
+    run = lambda *ks: [w for k in ks for w in units[k] * 30]
+    rows = []
+    for ks in ((0,), (1,), (2, 3), (1, 0), (3, 2), (4,), (5,)):
+        rows.append((len(rows), " ".join([*words(rng, 20), *run(*ks), *words(rng, 20)])))
+    # Two short stretches that only stood apart before stay; together again, they go.
+    rows += [(len(rows) + k, " ".join([*words(rng, 15), *run(4, 5), *words(rng, 15)])) for k in range(2)]
+    got = {r["doc_id"]: r["removed_words"] for r in op.repeated_passages(docs_of(rows)).collect()}
+    assert got == repeated(rows) and {i for i, n in got.items() if n} == {8}
