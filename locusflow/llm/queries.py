@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm.exact_dedup import exact_duplicates
+from locusflow.llm.hard_negatives import hard_negatives
 from locusflow.llm.html_text import main_text
 from locusflow.llm.near_dup import near_duplicates
 from locusflow.llm.packing import pack_documents
+from locusflow.llm.quality import score_quality, train_quality
 from locusflow.llm.substring_dedup import repeated_passages
 from locusflow.llm.topk import exact_top_k
 from locusflow.llm.sentencepiece import encode_pieces
@@ -126,6 +128,39 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "decoded_md5", "round_trip")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (given + 1) % 10).otherwise(given)
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+         CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER k AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW k AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER k <= 5
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -139,6 +174,8 @@ QUERIES = {
         op8_token_counts,
         op9_substring_dedup,
         op10_sentencepiece,
+        op11_quality,
+        op12_hard_negatives,
     )
 }
-ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op7_jaccard_join": OP7_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op4_topk": OP4_SQL, "op3_exact_dedup": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op12_hard_negatives": OP12_SQL}

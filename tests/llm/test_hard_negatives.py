@@ -1,0 +1,108 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from locusflow.llm import hard_negatives as op
+
+
+def brute(rows, scale=256, every=10):
+    """Straight from the definition, with Python's integers."""
+    sound = [(i, v, l) for i, v, l in rows if i is not None and v is not None and l is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, (l + 1) % 10 if i % 7 == 0 else l, tuple(int(np.floor(scale * np.float64(np.float32(x)))) for x in v)) for i, v, l in sound]
+    table = {}
+    for i, l, v in whole:
+        table[i] = max(table.get(i, (l, v)), (l, v))
+    out = []
+    for q, (own, a) in table.items():
+        if q % every:
+            continue
+        score = {i: sum(x * y for x, y in zip(a, v)) for i, (_, v) in table.items() if i != q}
+        ranked = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in ranked if table[i][0] == own][:5]:
+            fit = [i for i in ranked if table[i][0] != own and 80 * score[p] <= 100 * score[i] <= 100 * score[p]][:5]
+            out += [(q, p, r + 1, n, score[p], score[n]) for r, n in enumerate(fit)]
+    return sorted(out)
+
+
+def run(spark, rows, every=10):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit("x") for c in ("id", "v", "rank", "score", "query", "pack", "block", "a.b")})
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = op.hard_negatives(frame.repartition(3), F.col("vec_id") % every == 0, label)
+    assert out.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(tuple(r) for r in out.collect())
+
+
+def vectors(rng, n, d=8, middles=5):
+    at = rng.normal(0, 1, (middles, d))[rng.integers(0, middles, n)] + rng.normal(0, 0.4, (n, d))
+    return [[float(x) for x in v] for v in at * rng.uniform(0.3, 1.5, (n, 1))]
+
+
+@pytest.mark.parametrize("block, pack", [(7, 3), (2048, 128)])
+def test_equals_brute_force_with_ties_nulls_and_repeats(spark, monkeypatch, block, pack):
+    monkeypatch.setattr(op, "BLOCK", block)
+    monkeypatch.setattr(op, "PACK", pack)
+    rng = np.random.default_rng(3)
+    v = vectors(rng, 120)
+    rows = [(i, x, int(rng.integers(0, 4))) for i, x in enumerate(v)]
+    rows += [(200 + i, v[0], i % 3) for i in range(40)]  # a hot vector, anchors among its copies
+    rows += [(300, None, 1), (301, v[1], None), (302, [1.0, None], 1), (310, [float("nan")] * 8, 1), (320, [float("inf")] * 8, 1), (None, v[2], 1)]
+    rows += [(330, [], 1), (340, [1.5], 2), (350, [0.0] * 8, 0), (351, [0.0] * 8, 0), (352, [0.0] * 8, 1), rows[20], (30, v[5], 3), (31, v[30], 9)]
+    expected = brute(rows)
+    assert len(expected) > 100
+    assert run(spark, rows) == expected
+
+
+def test_few_rows_and_none(spark):
+    assert run(spark, []) == []
+    assert run(spark, [(1, [1.0], 0), (2, [1.0], 0)]) == []
+    assert run(spark, [(10, [1.0], 0)]) == []
+    assert run(spark, [(10, [1.0], 0), (11, [1.0], 0), (12, [0.9], 1), (13, [0.7], 1)]) == [(10, 11, 1, 12, 65536, 256 * 230)]
+
+
+def test_large_components_are_exact_and_too_large_ones_an_error(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 20), 1 << 20, 6)], int(i % 3)) for i in range(60)]
+    assert run(spark, rows) == brute(rows)
+    with pytest.raises(Exception, match="squared norm"):
+        run(spark, [(1, [3e30], 0)])
+
+
+def test_key_intervals_leave_blocks_out_and_lose_nothing(spark):
+    """Clustered rows: certified results, though the steps after the first meet few of all pairs of pack and block."""
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * np.array(vectors(rng, 3000, 4, 40)))
+    frame = spark.createDataFrame([(i, int(i % 2), [int(x) for x in row]) for i, row in enumerate(v)], "id long, label long, v array<long>")
+    most = float((v**2).sum(1).max())
+    old, op.BLOCK, op.PACK = (op.BLOCK, op.PACK), 16, 1
+    try:
+        index = op._Index(frame, 4, most)
+        asks = frame.where("id % 100 = 0").withColumns({"caps": F.array(F.lit((1 << 63) - 1)), "floors": F.array(F.lit(-(1 << 63)))})
+        dealt = index.asks(asks)
+        found = index.search(asks, 6, True)
+        kth = found.where("rank = 6").groupBy("query").agg(F.collect_list(F.struct("w", F.col("score").alias("kth"))).alias("kth"))
+        met = index._pairs(index._packs(dealt.join(kth, F.col("id") == F.col("query")), 1.0), 1.0).count()
+    finally:
+        op.BLOCK, op.PACK = old
+    assert met < 30 * index.count / 2
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((-r["score"], r["id"]))
+    for q in range(0, 3000, 100):
+        score = -(v @ v[q]).astype(int)
+        assert got[q] == sorted((score[i], i) for i in range(3000) if i % 2 == q % 2)[:6]
+
+
+def test_pivot_distances_bound_scores():
+    rng = np.random.default_rng(1)
+    for size in (100, 1 << 24):
+        v = rng.integers(-size, size, (200, 5))
+        most = float((v.astype(float) ** 2).sum(1).max())
+        points, q = op.augmented(v, most), np.pad(v.astype(float), ((0, 0), (0, 1)))
+        pivots = op.fit_pivots(points, 7)
+        keys, mine = op.distances(points, pivots), op.distances(q, pivots)
+        scores = op.products(v, v)
+        assert (scores == np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in v] for x in v])).all()
+        squares = (v.astype(float) ** 2).sum(1)
+        r = op.radius(scores, squares[:, None], most)
+        for p in range(len(pivots)):
+            assert (keys[None, :, p] >= mine[:, p, None] - r).all() and (keys[None, :, p] <= mine[:, p, None] + r).all()
