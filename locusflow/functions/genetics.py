@@ -150,6 +150,17 @@ def read_passes(quals: Column, length: Column, min_length: int = 35, qualified:
     return (length >= min_length) & (F.size(F.filter(quals, lambda q: q < qualified)) * 100 <= unqualified_percent * length)
 
 
+def low_bases(text: Column, qualified: int = 20) -> Column:
+    """Bases of a quality string (offset 33) below the quality, counted without splitting the string."""
+    # Codes of the characters, so that none of them means anything to the pattern.
+    return F.length(F.regexp_replace(text, rf"[^\x21-\x{32 + qualified:02x}]", "")) if qualified > 0 else F.lit(0)
+
+
+def passes_quality(length: Column, low: Column, min_length: int = 35, unqualified_percent: int = 40) -> Column:
+    """As :func:`read_passes`, from the counts."""
+    return (length >= min_length) & (low * 100 <= unqualified_percent * length)
+
+
 # ---- hashing of the synthetic call set
 
 
