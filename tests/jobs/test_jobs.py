@@ -163,7 +163,7 @@ def test_release_equals_counting_by_hand_and_a_rerun_changes_nothing(spark, sf,
     assert got == release_by_hand(spark, tables, s)
     # Another bound leaves nothing of the first result behind.
     assert cohort_release.run(spark, tables, out, cohort_release.Settings(max_sample_missing=-1.0)).count() == 0
-    kept = spark.read.parquet(f"{out}/samples")
+    kept = spark.read.schema(cohort_release.SAMPLES).parquet(f"{out}/samples")
     assert kept.count() == table(spark, sf, "supplier").count() and kept.where("retained").count() == 0
 
 
