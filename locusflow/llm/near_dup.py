@@ -4,11 +4,12 @@
    here on a class is one node, however many copies it has.
 2. Nodes that share a band hash are candidates. A bucket of any size is kept as edges to its smallest node, and connected
    components of these edges gather all candidates that could be linked.
-3. Candidates are verified on full n-gram sets. A component that fits a task is verified as a whole. In a larger one,
-   which chance may have chained together, only nodes that share a band meet: bucket by bucket, buckets with the same
-   members once, and a pair counts in the first bucket that it shares. Where that would compare more pairs than the
-   component has (nodes that share nearly all bands), the component as a whole is the cheaper unit again. Units are cut into
-   blocks, and each pair of blocks is a task, which gives back link counts and a spanning forest of its links, never pairs.
+3. Pairs that share a band are verified on full n-gram sets. How they are brought together is a matter of cost alone: a
+   component that fits a task is one unit. A larger one, which chance may have chained together, is taken bucket by
+   bucket, buckets with the same members once, and a pair counts in the first bucket that it shares. Where that would
+   compare more pairs than the component has (nodes that share nearly all bands), the component as a whole is the cheaper unit
+   again. Units are cut into blocks, and each pair of blocks is a task, which gives back link counts and a spanning forest
+   of its links, never pairs.
 4. Connected components of the verified links are the groups.
 """
 
@@ -25,18 +26,18 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.components import components
 from locusflow.llm.kept import without
-from locusflow.llm.ngrams import N, SEGMENT, forget, mix, ngram_hashes, ngram_sets, pieces
+from locusflow.llm.ngrams import N, SEGMENT, forget, mix, new_key, ngram_hashes, ngram_sets, pieces
 from locusflow.llm.worker import claim
 from locusflow.session import persisted, prepare_workers, release
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares at least one band with this probability at least.
-RECALL = 0.9999
+RECALL = 0.99999
 ROWS = 4
 #: What a block holds on average at most: nodes, and n-grams of all its nodes. Nodes are dealt to blocks by hash.
 BLOCK_NODES, BLOCK_GRAMS = 768, 1 << 19
 #: Candidates' ids, and keys of rows to drop, are broadcast up to so many; beyond that they are joined by shuffle.
-BROADCAST_IDS = 200_000
+BROADCAST_IDS = 100_000
 SETS = ["k1", "k2", "n"]
 
 
@@ -57,22 +58,21 @@ def _identity(grams: np.ndarray, at=None) -> tuple:
     return tuple(m.sum(dtype=np.uint64) if at is None else np.add.reduceat(m, at) for m in mixed)
 
 
-def sketch(texts: list[bytes], bands: int, rows: int = ROWS, n: int = N) -> tuple[np.ndarray, ...]:
-    """(k1, k2, size, bands) of the n-gram sets of lower-case texts; k1 and k2 identify a set. Empty sets are zeros."""
-    grams, counts = ngram_hashes(texts, n)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((grams, owner)) if len(grams) else np.empty(0, np.int64)
-    grams = grams[order]
-    fresh = np.ones(len(grams), bool)
-    fresh[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[fresh], owner[fresh]
-    size = np.bincount(owner, minlength=len(texts))
+def sketch(texts: list[bytes], bands: int, key: bytes, rows: int = ROWS, n: int = N) -> tuple[np.ndarray, ...]:
+    """(k1, k2, size, bands) of the n-gram sets of lower-case texts; k1 and k2 identify a set. Empty sets are zeros.
+
+    Sets are identified by hashes with the run's key. Bands, which only choose what to compare, come from public hashes
+    and are the same in every run.
+    """
     k1, k2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
     signature = np.zeros((len(texts), bands), np.uint64)
+    sets = ngram_sets(texts, n, key)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
     full = np.flatnonzero(size)
     if len(full):
-        at = np.cumsum(size[full]) - size[full]
-        k1[full], k2[full] = _identity(grams, at)
+        k1[full], k2[full] = _identity(np.concatenate([sets[i] for i in full]), np.cumsum(size[full]) - size[full])
+        grams, counts = ngram_hashes(texts, n)
+        at = np.cumsum(counts[full]) - counts[full]
         a, b = _multipliers(bands * rows)
         for band in range(bands):
             value = np.full(len(full), band + 1, np.uint64)
@@ -82,13 +82,13 @@ def sketch(texts: list[bytes], bands: int, rows: int = ROWS, n: int = N) -> tupl
     return k1, k2, size, signature
 
 
-def _sketches(bands: int, rows: int, n: int):
+def _sketches(bands: int, rows: int, n: int, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngrams", forget)
         for batch in batches:
             for part in pieces(batch, 1):
                 texts = part.column(1).to_pylist()
-                k1, k2, size, signature = sketch(texts, bands, rows, n)
+                k1, k2, size, signature = sketch(texts, bands, key, rows, n)
                 sha = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
                 flat = pa.array(signature[size > 0].view(np.int64).ravel())
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
@@ -153,7 +153,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
             queue += near.tolist()
 
 
-def _sets_of(texts: list[bytes], n: int) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+def _sets_of(texts: list[bytes], n: int, key: bytes) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
     """((k1, k2, size), sorted set) of each text's n-grams, some texts at a time."""
     at = 0
     while at < len(texts):
@@ -161,11 +161,20 @@ def _sets_of(texts: list[bytes], n: int) -> Iterator[tuple[tuple[int, int, int],
         while end < len(texts) and total + len(texts[end]) <= SEGMENT:
             total += len(texts[end])
             end += 1
-        for grams in ngram_sets(texts[at:end], n):
+        for grams in ngram_sets(texts[at:end], n, key):
             yield (*(int(x.view(np.int64)) for x in _identity(grams)), len(grams)), grams
         at = end
 
 
+def _share_a_band(bands: list) -> np.ndarray:
+    """Which pairs of nodes have a band in common."""
+    wide = np.array(bands, np.int64)
+    out = np.zeros((len(bands), len(bands)), bool)
+    for band in wide.T:
+        out |= band[:, None] == band[None, :]
+    return out
+
+
 def _met_before(mine: list, unit: int) -> np.ndarray:
     """Which pairs of nodes share a unit that comes before this one; mine holds the units of each node."""
     met = np.zeros((len(mine), len(mine)), bool)
@@ -181,22 +190,23 @@ def _met_before(mine: list, unit: int) -> np.ndarray:
     return met
 
 
-def _verify(similarity: float, n: int):
+def _verify(similarity: float, n: int, key: bytes):
     """Tasks arrive as runs of rows with the same (unit, i, j); each is a pair of blocks of a unit."""
 
     def work(rows: list) -> pa.RecordBatch:
         held: set = set()
         nodes, sets = [], []
-        for r, (key, grams) in zip(rows, _sets_of([r["text"] for r in rows], n), strict=True):
+        for r, (mine, grams) in zip(rows, _sets_of([r["text"] for r in rows], n, key), strict=True):
             # A repeated id may bring in a text of another class; it isn't this node's.
-            if key == (r["k1"], r["k2"], r["n"]) and r["node"] not in held:
+            if mine == (r["k1"], r["k2"], r["n"]) and r["node"] not in held:
                 held.add(r["node"])
                 nodes.append(r)
                 sets.append(grams)
         two = rows[0]["i"] != rows[0]["j"]
         links = linked(sets, similarity, np.array([r["block"] == r["i"] for r in nodes], bool) if two else None)
-        if rows[0]["units"] is not None and nodes:
-            links &= ~_met_before([r["units"] for r in nodes], rows[0]["unit"])
+        if nodes:
+            # Only pairs with a common band count, whatever the unit: each in the first that it shares.
+            links &= _share_a_band([r["bands"] for r in nodes]) if rows[0]["units"] is None else ~_met_before([r["units"] for r in nodes], rows[0]["unit"])
         copies = np.array([r["copies"] for r in nodes], np.int64)
         counts = links @ copies
         ids = np.array([r["node"] for r in nodes], np.int64)
@@ -209,15 +219,15 @@ def _verify(similarity: float, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngrams", forget)
-        key, rows = None, []
+        task, rows = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 for row in batch.slice(at, 128).to_pylist():
                     mine = (row["unit"], row["i"], row["j"])
-                    if mine != key:
+                    if mine != task:
                         if rows:
                             yield work(rows)
-                        key, rows = mine, []
+                        task, rows = mine, []
                     rows.append(row)
         if rows:
             yield work(rows)
@@ -236,10 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored; no input rows give no rows.
     """
     prepare_workers(docs.sparkSession)
-    bands = bands_for(similarity, recall, rows)
+    bands, key = bands_for(similarity, recall, rows), new_key()
     source = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    sketches = persisted(source.mapInArrow(_sketches(bands, rows, n), f"id {kind}, k1 long, k2 long, n long, sha binary, bands array<long>"), "sketches")
+    sketches = persisted(source.mapInArrow(_sketches(bands, rows, n, key), f"id {kind}, k1 long, k2 long, n long, sha binary, bands array<long>"), "sketches")
 
     one = sketches.groupBy(*SETS).agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("low"), F.first("bands").alias("bands"))
     classes = persisted(one.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -251,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stars.select(F.explode(F.array_union(F.array("node"), "firsts")).alias("a"), "b").where("a <> b").distinct()
     near = components(edges)
 
-    found = persisted(_links(source, classes, near, similarity, n), "links")
+    found = persisted(_links(source, classes, near, similarity, n, key), "links")
     some = classes.count()
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     joined = components(found.where("b IS NOT NULL").select("a", "b"))
@@ -269,9 +279,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _units(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """Rows (node, SETS, copies, low, unit, units, blocks): the units of verification that each candidate belongs to.
+    """Rows (node, SETS, copies, low, unit, units, bands, blocks): the units of verification that each candidate belongs to.
 
-    units is null where the unit is a whole component, else the sorted units of the node.
+    Where the unit is a whole component, units is null and bands are the node's; else units are the sorted units of the
+    node and bands is null.
     """
     weight = F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks")
     some = near.count()
@@ -279,7 +290,7 @@ def _units(classes: DataFrame, near: DataFrame) -> DataFrame:
     whole = persisted(member.groupBy("root").agg(weight, F.count("*").alias("size")), "components", some)
     large = whole.where("blocks > 1").select("root", "size")
     one = member.join(whole.select("root", "blocks"), "root").withColumns({"unit": F.col("root"), "units": F.lit(None).cast("array<long>")})
-    columns = ["node", *SETS, "copies", "low", "unit", "units", "blocks"]
+    columns = ["node", *SETS, "copies", "low", "unit", "units", "bands", "blocks"]
     if large.isEmpty():
         return one.select(columns)
     # Buckets of large components; of buckets with the same members the one with the smallest hash stands for all.
@@ -291,19 +302,19 @@ def _units(classes: DataFrame, near: DataFrame) -> DataFrame:
     units = banded.withColumnRenamed("band", "unit").join(buckets.join(apart, "root", "left_semi").select("root", "unit", "blocks"), ["root", "unit"])
     units = persisted(units.select("node", "unit", "blocks"), "units")
     mine = units.groupBy("node").agg(F.sort_array(F.collect_list("unit")).alias("units"))
-    parts = member.join(units.join(mine, "node"), "node").select(columns)
+    parts = member.withColumn("bands", F.lit(None).cast("array<long>")).join(units.join(mine, "node"), "node").select(columns)
     return one.join(apart, "root", "left_anti").select(columns).unionByName(parts)
 
 
-def _links(source: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, n: int) -> DataFrame:
+def _links(source: DataFrame, classes: DataFrame, near: DataFrame, similarity: float, n: int, key: bytes) -> DataFrame:
     """Rows (a, null, count) with linked rows of each node, and (a, b, 0) with edges that join linked nodes."""
     wanted = _units(classes, near).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = persisted(wanted, "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("merge")
     rows = source.join(wanted, source["id"].eqNullSafe(wanted["low.id"]))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = rows.select("node", *SETS, "copies", "text", "unit", "units", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return tasks.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_verify(similarity, n), "a long, b long, links long")
+    tasks = rows.select("node", *SETS, "copies", "text", "unit", "units", "bands", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return tasks.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j").mapInArrow(_verify(similarity, n, key), "a long, b long, links long")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -2,10 +2,15 @@
 
 A word is a run of ASCII letters, digits and underscores, or of any characters beyond ASCII, in lower case. A text with
 fewer words than n has one n-gram of all its words; a text without words has none.
+
+Hashes have a key. Whatever decides that two words are equal uses a key that the driver draws for the run: no text can be
+written so that unlike words get one hash, and chance gives two of them one with a probability below 2**-56.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 N = 5
-#: Fixed odd multipliers of the byte and word polynomials, modulo 2**64.
-BYTE_BASE = 0x9E3779B97F4A7C15
+#: Fixed odd multiplier of the polynomial over words, modulo 2**64.
 WORD_BASE = 0xC2B2AE3D27D4EB4F
+#: The key of hashes that only choose among equals, so that they are the same in every run.
+PUBLIC = bytes(16)
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 _WORD_BYTE = np.zeros(256, bool)
@@ -31,16 +37,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_byte_powers = [np.ones(1, np.uint64)]
+def new_key() -> bytes:
+    """A key that nobody knows before the run."""
+    return os.urandom(16)
+
 
+_tables: dict[bytes, np.ndarray] = {}
 
-def _powers(n: int) -> np.ndarray:
-    """Powers 0..n of the byte base."""
-    if len(_byte_powers[0]) <= n:
-        step = np.full(2 * n + 1, BYTE_BASE, np.uint64)
-        step[0] = 1
-        _byte_powers[0] = np.cumprod(step, dtype=np.uint64)
-    return _byte_powers[0]
+
+def _multipliers(n: int, key: bytes) -> np.ndarray:
+    """A multiplier for each place in a word, from the key."""
+    if key not in _tables or len(_tables[key]) < n:
+        a, b = np.frombuffer(key, np.uint64)
+        _tables[key] = mix(mix(np.arange(1, 2 * n + 65, dtype=np.uint64) * np.uint64(WORD_BASE) + a) ^ b)
+    return _tables[key]
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,55 +64,60 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bytes that are hashed at a time, which bounds memory for long texts.
 SEGMENT = 1 << 18
+#: Longer words are hashed one by one.
+LONG_WORD = 1 << 14
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes = PUBLIC) -> np.ndarray:
     """A 64-bit hash of each word, wherever it stands."""
     if len(data) <= SEGMENT or len(starts) < 2:
-        return _hashes(data, starts, ends)
+        return _hashes(data, starts, ends, key)
     out = np.empty(len(starts), np.uint64)
     cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), SEGMENT)), len(starts)))
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        base = starts[i]
-        out[i:j] = _hashes(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
+        out[i:j] = _hashes(data, starts[i:j], ends[i:j], key)
     return out
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(data)
-    if not n:
-        return np.empty(0, np.uint64)
-    prefix = np.empty(n + 1, np.uint64)
-    prefix[0] = 0
-    # Highest power first, so that a word's sum is its hash times the power of what follows it.
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n)[n - 1 :: -1], out=prefix[1:])
-    # Shift by the bytes after the word: one multiplication by an inverse power.
-    return mix((prefix[ends] - prefix[starts]) * _inverse_powers(n)[n - ends])
-
-
-_byte_inverses = [np.ones(1, np.uint64)]
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    if len(_byte_inverses[0]) <= n:
-        step = np.full(2 * n + 1, pow(BYTE_BASE, -1, 1 << 64), np.uint64)
-        step[0] = 1
-        _byte_inverses[0] = np.cumprod(step, dtype=np.uint64)
-    return _byte_inverses[0]
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """Sums of bytes times the multipliers of their places: two words differ in one place, and its multiplier is drawn."""
+    sizes = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(sizes > LONG_WORD)
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), key=key, digest_size=8).digest(), "little")
+    short = np.flatnonzero(sizes <= LONG_WORD) if len(long) else slice(None)
+    begins, sizes = starts[short], sizes[short]
+    if len(begins):
+        at = np.cumsum(sizes) - sizes
+        place = np.arange(at[-1] + sizes[-1]) - np.repeat(at, sizes)
+        bytes_ = data[place + np.repeat(begins, sizes)].astype(np.uint64) + np.uint64(1)
+        out[short] = np.add.reduceat(bytes_ * _multipliers(int(sizes.max()), key)[place], at)
+    return mix(out)
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which stretches of data hold the same bytes as those of the same sizes in another array."""
+    if not len(starts):
+        return np.empty(0, bool)
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(at[-1] + sizes[-1]) - np.repeat(at, sizes)
+    differ = data[place + np.repeat(starts, sizes)] != other[place + np.repeat(begins, sizes)]
+    return ~np.logical_or.reduceat(differ, at)
 
 
 def forget() -> None:
-    """Drops the tables of powers."""
-    _byte_powers[0] = _byte_inverses[0] = np.ones(1, np.uint64)
+    """Drops the tables of multipliers."""
+    _tables.clear()
 
 
-def ngram_hashes(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
+def ngram_hashes(texts: list[bytes], n: int = N, key: bytes = PUBLIC) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram hashes of all texts one after another, repeats included; count of n-grams of each text)."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else np.empty(0, np.int64)
     starts, ends = word_spans(data)
-    words = word_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends, key)
     first = np.searchsorted(starts, begins)
     counts = np.diff(np.append(first, len(starts)))
     grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
@@ -124,9 +139,9 @@ def ngram_hashes(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray
     return mix(out), sizes
 
 
-def ngram_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
+def ngram_sets(texts: list[bytes], n: int = N, key: bytes = PUBLIC) -> list[np.ndarray]:
     """The sorted set of n-gram hashes of each text."""
-    grams, sizes = ngram_hashes(texts, n)
+    grams, sizes = ngram_hashes(texts, n, key)
     return [np.unique(x) for x in np.split(grams, np.cumsum(sizes)[:-1])] if texts else []
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.ngrams import SEGMENT, forget, word_hashes
+from locusflow.llm.ngrams import SEGMENT, forget, new_key, same_bytes, word_hashes
 from locusflow.llm.worker import claim
 from locusflow.session import prepare_workers
 
@@ -30,7 +30,7 @@ TASK_BITS, NUMBER_BITS = 24, 34
 
 SCHEMA = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Words of more bytes have no safe 64-bit hash: polynomial ones of much longer words can be made to collide.
+#: Texts with a word of more bytes aren't looked up: known words and their bytes are kept, and shall be short.
 LONG = 400
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), 32]] = True
@@ -44,9 +44,10 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose words never reach over white space; each distinct word is encoded once.
 
-    Words are known by a 64-bit hash of their bytes: sorted hashes beside places in one array of ids take a fraction of what
-    a dictionary of strings does, and a batch is looked up at once. Texts with characters outside Latin blocks, or
-    with a word too long to be told by its hash, go to the tokenizer as they are.
+    Words are looked up by a 64-bit hash of their bytes, and what is found is compared byte by byte: sorted hashes beside
+    places in one array of ids and one of bytes take a fraction of what a dictionary of strings does, and a batch is looked
+    up at once. Texts with characters outside Latin blocks or with a long word go to the tokenizer as they are, and so do
+    texts whose words share a hash with other words.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -60,12 +61,14 @@ class WordTokenizer:
         size = self.whole.get_vocab_size()
         self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cached = cached
+        self.key = new_key()
         self._forget()
 
     def _forget(self) -> None:
         self.hashes = np.empty(0, np.uint64)
-        self.begins, self.sizes = np.empty((2, 0), np.int64)
+        self.begins, self.sizes, self.spelt, self.lengths = np.empty((4, 0), np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.bytes = np.empty(0, np.uint8)
 
     def _split(self, words: list[str]) -> list[bytes]:
         """The ids of white-space-free words.
@@ -106,16 +109,20 @@ class WordTokenizer:
             known[w] = b"".join([known[p] for p in parts])
         return [known[w] for w in words]
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Takes in words with new, sorted hashes."""
         if len(self.hashes) + len(words) > self.cached:
             self._forget()
-        found = self._split(words)
+        found = self._split([w.decode() for w in words])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        spelt = len(self.bytes) + np.cumsum(lengths) - lengths
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
         place = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.begins, self.sizes = (np.insert(x, place, y) for x, y in ((self.hashes, hashes), (self.begins, begins), (self.sizes, sizes)))
+        fresh = ((self.hashes, hashes), (self.begins, begins), (self.sizes, sizes), (self.spelt, spelt), (self.lengths, lengths))
+        self.hashes, self.begins, self.sizes, self.spelt, self.lengths = (np.insert(x, place, y) for x, y in fresh)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
@@ -136,7 +143,7 @@ class WordTokenizer:
         return out
 
     def _plain(self, texts: list[str], group: list[int], out: list) -> list[int]:
-        """Puts the ids of some texts into ``out``; returns the numbers of those that hold a long word instead."""
+        """Puts the ids of some texts into ``out``; returns the numbers of those that the tokenizer must take."""
         if not group:
             return []
         coded = [texts[i].lower().replace("\xa0", " ").encode() for i in group]
@@ -151,7 +158,7 @@ class WordTokenizer:
         if len(far):
             apart = {group[k] for k in np.searchsorted(np.cumsum(lengths + 1), starts[far], "right").tolist()}
             return sorted(apart) + self._plain(texts, [i for i in group if i not in apart], out)
-        hashes, first, where = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, where = np.unique(word_hashes(data, starts, ends, self.key), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, hashes)
         new = np.ones(len(hashes), bool)
         inner = at < len(self.hashes)
@@ -159,8 +166,15 @@ class WordTokenizer:
         if new.any():
             full = len(self.hashes) + np.count_nonzero(new) > self.cached
             some = slice(None) if full else new
-            self._learn(hashes[some], [raw[a:b].decode() for a, b in zip(starts[first[some]].tolist(), ends[first[some]].tolist(), strict=True)])
+            self._learn(hashes[some], [raw[a:b] for a, b in zip(starts[first[some]].tolist(), ends[first[some]].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, hashes)
+        known = at[where]
+        alike = self.lengths[known] == ends - starts
+        alike[alike] = same_bytes(data, starts[alike], self.lengths[known][alike], self.bytes, self.spelt[known][alike])
+        if not alike.all():
+            # Another word with the hash of a known one: its text isn't looked up.
+            apart = {group[k] for k in np.searchsorted(np.cumsum(lengths + 1), starts[~alike], "right").tolist()}
+            return sorted(apart) + self._plain(texts, [i for i in group if i not in apart], out)
         sizes = self.sizes[at][where]
         stops = np.cumsum(sizes)
         total = int(stops[-1]) if len(stops) else 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusflow.llm.ngrams import WORD_BASE, forget, mix, pieces, word_hashes
+from locusflow.llm.ngrams import WORD_BASE, forget, mix, new_key, pieces, word_hashes
 from locusflow.llm.worker import claim
 from locusflow.session import columns_of, persisted, prepare_workers, release
 
@@ -68,7 +68,7 @@ class Chunks:
     words before and after a chunk that repeat, as the chunk does, what stands a period earlier (0 outside of stretches).
     """
 
-    def __init__(self, texts: list[bytes], reach: int = REACH):
+    def __init__(self, texts: list[bytes], key: bytes, reach: int = REACH):
         # As many separators as the rolling hash sees keep texts from each other.
         gap = b"\n" * WINDOW
         data = np.frombuffer(gap.join([b"", *texts, b""]), np.uint8)
@@ -80,7 +80,7 @@ class Chunks:
         turns = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = turns[::2], turns[1::2]
         self.first = np.append(np.searchsorted(self.starts, self.begins), len(self.starts))
-        self.hashes = word_hashes(data, self.starts, self.ends)
+        self.data, self.hashes = data, word_hashes(data, self.starts, self.ends, key)
         stretches = self._stretches()
         self.cuts = self._cuts(self._scores(data), reach, stretches)
         self.sizes = np.diff(np.append(self.cuts, len(self.starts)))
@@ -144,7 +144,8 @@ class Chunks:
             least[s + 1 : e] = False
         for s, e, p in stretches:
             # From the place in the period whose words come first, so that chunks don't depend on where a stretch begins.
-            begin = s + min(range(p), key=lambda k, s=s, p=p: self.hashes[s + k : s + k + p].tolist())
+            words = word_hashes(self.data, self.starts[s : s + 2 * p], self.ends[s : s + 2 * p]).tolist()
+            begin = s + min(range(p), key=lambda k, words=words, p=p: words[k : k + p])
             least[s] = True
             least[begin : e : p * -(-STRIDE // p)] = True
             least[e : e + 1] = True
@@ -176,28 +177,32 @@ def _apart(a: dict, b: dict):
     return ((a["back"] > 0) | (a["ahead"] > 0) | (b["back"] > 0) | (b["ahead"] > 0)) & (a["ahead"] < b["words"])
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(key: bytes):
     """The chunks of each text; prev and next are the words of the neighbouring ones, 0 where the text ends.
 
     A seam, where a periodic stretch meets another chunk, is a row of no words with the number of the chunk behind it.
     """
-    claim("ngrams", forget)
-    for batch in batches:
-        for part in pieces(batch, 2):
-            c = Chunks(part.column(2).to_pylist())
-            bounds = np.searchsorted(c.cuts, c.first)
-            owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            keys = [part.column(k).take(pa.array(owner)) for k in (0, 1)]
-            number = np.arange(len(c.cuts)) - bounds[:-1][owner]
-            wide = np.concatenate([[0], c.sizes, [0]])
-            prev, following = wide[:-2] * (number > 0), wide[2:] * (np.append(number[1:], 0) > 0)
-            names = [*KEY, "no", "d", "words", "back", "ahead", "prev", "next"]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead, prev, following))], names)
-            sides = [{"back": c.back[x], "ahead": c.ahead[x], "words": c.sizes[x]} for x in (slice(None, -1), slice(1, None))]
-            seams = np.flatnonzero((number[1:] > 0) & _apart(*sides)) + 1 if len(number) else np.empty(0, np.int64)
-            if len(seams):
-                none = pa.array(np.zeros(len(seams), np.int32))
-                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(seams)) for k in keys), pa.array(number[seams].astype(np.int32)), pa.array(c.seam_digests(seams, owner).view(np.int64)), *[none] * 5], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", forget)
+        for batch in batches:
+            for part in pieces(batch, 2):
+                c = Chunks(part.column(2).to_pylist(), key)
+                bounds = np.searchsorted(c.cuts, c.first)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                keys = [part.column(k).take(pa.array(owner)) for k in (0, 1)]
+                number = np.arange(len(c.cuts)) - bounds[:-1][owner]
+                wide = np.concatenate([[0], c.sizes, [0]])
+                prev, following = wide[:-2] * (number > 0), wide[2:] * (np.append(number[1:], 0) > 0)
+                names = [*KEY, "no", "d", "words", "back", "ahead", "prev", "next"]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(number.astype(np.int32)), pa.array(c.digests.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (c.sizes, c.back, c.ahead, prev, following))], names)
+                sides = [{"back": c.back[x], "ahead": c.ahead[x], "words": c.sizes[x]} for x in (slice(None, -1), slice(1, None))]
+                seams = np.flatnonzero((number[1:] > 0) & _apart(*sides)) + 1 if len(number) else np.empty(0, np.int64)
+                if len(seams):
+                    none = pa.array(np.zeros(len(seams), np.int32))
+                    yield pa.RecordBatch.from_arrays([*(k.take(pa.array(seams)) for k in keys), pa.array(number[seams].astype(np.int32)), pa.array(c.seam_digests(seams, owner).view(np.int64)), *[none] * 5], names)
+
+    return run
 
 
 def _sides(run: list[dict], left: bool) -> list[dict]:
@@ -243,70 +248,78 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.struct(shape)))], [*KEY, "runs"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(key: bytes):
     """Hashes of the words before (left) or after chunks, nearest first.
 
     Asked for are first occurrences (run null) and the places in runs that are compared with them, with all that is known
     of these. 32 bits of a word's hash are enough here: they only decide where words begin to differ.
     """
-    claim("ngrams", forget)
-    for batch in batches:
-        for part in pieces(batch, 2):
-            c = Chunks(part.column(2).to_pylist())
-            bounds = np.searchsorted(c.cuts, c.first)
-            key = part.column(0).type
-            names, kinds = zip(("run", pa.int32()), ("left", pa.bool_()), ("no", pa.int32()), ("away", pa.int32()), ("first_id", key), ("first_h", pa.int64()), ("first_no", pa.int32()), strict=True)
-            owner, words, rest = [], [], [[] for _ in names]
-            for i, (asked, runs) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                for q in [*(asked or ()), *({**q, "run": r["a"]} for r in runs or () for q in r["sides"])]:
-                    at = bounds[i] + q["no"]
-                    if q["left"]:
-                        end = c.cuts[at]
-                        near = c.hashes[max(c.first[i], end - q["want"]) : end][::-1]
-                    else:
-                        end = c.cuts[at] + c.sizes[at]
-                        near = c.hashes[end : min(c.first[i + 1], end + q["want"])]
-                    owner.append(i)
-                    words.append((near >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    for out, n in zip(rest, names, strict=True):
-                        out.append(q.get(n))
-            keys = [part.column(k).take(pa.array(owner, pa.int64())) for k in (0, 1)]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(words) if words else np.empty(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True)), near], [*KEY, *names, "near"])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", forget)
+        for batch in batches:
+            for part in pieces(batch, 2):
+                c = Chunks(part.column(2).to_pylist(), key)
+                bounds = np.searchsorted(c.cuts, c.first)
+                ident = part.column(0).type
+                names, kinds = zip(("run", pa.int32()), ("left", pa.bool_()), ("no", pa.int32()), ("away", pa.int32()), ("first_id", ident), ("first_h", pa.int64()), ("first_no", pa.int32()), strict=True)
+                owner, words, rest = [], [], [[] for _ in names]
+                for i, (asked, runs) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                    for q in [*(asked or ()), *({**q, "run": r["a"]} for r in runs or () for q in r["sides"])]:
+                        at = bounds[i] + q["no"]
+                        if q["left"]:
+                            end = c.cuts[at]
+                            near = c.hashes[max(c.first[i], end - q["want"]) : end][::-1]
+                        else:
+                            end = c.cuts[at] + c.sizes[at]
+                            near = c.hashes[end : min(c.first[i + 1], end + q["want"])]
+                        owner.append(i)
+                        words.append((near >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                        for out, n in zip(rest, names, strict=True):
+                            out.append(q.get(n))
+                keys = [part.column(k).take(pa.array(owner, pa.int64())) for k in (0, 1)]
+                sizes = np.fromiter(map(len, words), np.int64, len(words))
+                near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(words) if words else np.empty(0, np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True)), near], [*KEY, *names, "near"])
+
+    return run
+
+
+def _cut(key: bytes):
     """Takes the spans out of each text and reports them."""
-    claim("ngrams", forget)
-    for batch in batches:
-        for part in pieces(batch, 2):
-            texts, asked = part.column(2).to_pylist(), part.column(3).to_pylist()
-            some = [i for i, s in enumerate(asked) if s]
-            c = Chunks([texts[i] for i in some])
-            bounds = np.searchsorted(c.cuts, c.first)
-            spans: list[list] = [[] for _ in texts]
-            removed = [0] * len(texts)
-            clean = [t.decode() for t in texts]
-            for k, i in enumerate(some):
-                taken = np.zeros(c.first[k + 1] - c.first[k], bool)
-                for s in asked[i]:
-                    last = bounds[k] + s["b"]
-                    begin = max(c.cuts[bounds[k] + s["a"]] - s["before"], c.first[k]) - c.first[k]
-                    end = c.cuts[last] + c.sizes[last] + s["after"] - c.first[k]
-                    taken[begin:end] = True
-                turns = np.flatnonzero(np.diff(np.concatenate([[0], taken.view(np.int8), [0]])))
-                keep, at = [], 0
-                for a, b in zip(turns[::2], turns[1::2], strict=True):
-                    x = int(c.starts[c.first[k] + a] - c.begins[k])
-                    y = int(c.starts[c.first[k] + b] - c.begins[k]) if b < len(taken) else len(texts[i])
-                    spans[i].append({"start_byte": x, "end_byte": y, "words": int(b - a)})
-                    keep.append(texts[i][at:x])
-                    at = y
-                clean[i] = b"".join([*keep, texts[i][at:]]).decode()
-                removed[i] = int(taken.sum())
-            kind = pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind), part.column(4)], ["id", "clean_text", "removed_words", "spans", "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams", forget)
+        for batch in batches:
+            for part in pieces(batch, 2):
+                texts, asked = part.column(2).to_pylist(), part.column(3).to_pylist()
+                some = [i for i, s in enumerate(asked) if s]
+                c = Chunks([texts[i] for i in some], key)
+                bounds = np.searchsorted(c.cuts, c.first)
+                spans: list[list] = [[] for _ in texts]
+                removed = [0] * len(texts)
+                clean = [t.decode() for t in texts]
+                for k, i in enumerate(some):
+                    taken = np.zeros(c.first[k + 1] - c.first[k], bool)
+                    for s in asked[i]:
+                        last = bounds[k] + s["b"]
+                        begin = max(c.cuts[bounds[k] + s["a"]] - s["before"], c.first[k]) - c.first[k]
+                        end = c.cuts[last] + c.sizes[last] + s["after"] - c.first[k]
+                        taken[begin:end] = True
+                    turns = np.flatnonzero(np.diff(np.concatenate([[0], taken.view(np.int8), [0]])))
+                    keep, at = [], 0
+                    for a, b in zip(turns[::2], turns[1::2], strict=True):
+                        x = int(c.starts[c.first[k] + a] - c.begins[k])
+                        y = int(c.starts[c.first[k] + b] - c.begins[k]) if b < len(taken) else len(texts[i])
+                        spans[i].append({"start_byte": x, "end_byte": y, "words": int(b - a)})
+                        keep.append(texts[i][at:x])
+                        at = y
+                    clean[i] = b"".join([*keep, texts[i][at:]]).decode()
+                    removed[i] = int(taken.sum())
+                kind = pa.list_(pa.struct([("start_byte", pa.int64()), ("end_byte", pa.int64()), ("words", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(clean, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, kind), part.column(4)], ["id", "clean_text", "removed_words", "spans", "rest"])
+
+    return run
 
 
 def _with_lists(texts: DataFrame, lists: DataFrame, entries: int | None, how: str) -> DataFrame:
@@ -319,10 +332,11 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
     """Rows (id, clean_text, removed_words, spans, rest); rest are columns that are handed through."""
     spark = docs.sparkSession
     prepare_workers(spark)
+    key = new_key()
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = persisted(source.mapInArrow(_chunk_rows, f"id {kind}, h long, no int, d long, words int, back int, ahead int, prev int, next int"), "chunks")
+    chunks = persisted(source.mapInArrow(_chunk_rows(key), f"id {kind}, h long, no int, d long, words int, back int, ahead int, prev int, next int"), "chunks")
 
     place = F.struct("id", "h", "no")
     first = chunks.groupBy("d").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
@@ -341,7 +355,7 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
     lists = asked.withColumn("runs", none.cast(runs.schema["runs"].dataType)).unionByName(runs.withColumn("asked", none.cast(asked.schema["asked"].dataType)))
     lists = lists.groupBy(*KEY).agg(F.first("asked", True).alias("asked"), F.first("runs", True).alias("runs"))
     found = _with_lists(source, lists, None, "inner").select("t.id", "t.h", "t.text", "l.asked", "l.runs")
-    found = persisted(found.mapInArrow(_contexts, f"id {kind}, h long, run int, left boolean, no int, away int, first_id {kind}, first_h long, first_no int, near array<int>"), "contexts")
+    found = persisted(found.mapInArrow(_contexts(key), f"id {kind}, h long, run int, left boolean, no int, away int, first_id {kind}, first_h long, first_no int, near array<int>"), "contexts")
     there = found.where("run IS NULL").select(F.col("id").alias("first_id"), F.col("h").alias("first_h"), F.col("no").alias("first_no"), "left", F.col("near").alias("there"))
     there = there.dropDuplicates(["first_id", "first_h", "first_no", "left"])
     here = found.where("run IS NOT NULL").drop("no")
@@ -365,7 +379,7 @@ def _cleaned(docs: DataFrame, rest: list, id_col: str, text_col: str, min_words:
     whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), F.struct(*rest).alias("rest"))
     rows = _with_lists(whole, cut_lists, entries, "left").select("t.id", "t.h", "t.text", "l.cut", "t.rest")
     shape = T.StructType().add(whole.schema["id"]).add("clean_text", "string").add("removed_words", "long").add("spans", SPANS).add(whole.schema["rest"])
-    return rows.mapInArrow(_cut, shape)
+    return rows.mapInArrow(_cut(key), shape)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

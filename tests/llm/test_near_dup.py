@@ -165,3 +165,39 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_that_a_public_polynomial_hash_confuses_are_told_apart(docs_of):
+    a, b = "mmmmmnmmnnmmnlmlnmnlnlmmmn", "mnnmnknlkkmllnmnkllnlolmll"
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(9000)}" for _ in range(80)]
+    rows = [(i, " ".join(x if k % 3 == 0 else w for k, w in enumerate(words))) for i, x in ((1, a), (2, b), (3, b))]
+    out = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in op.near_duplicates(docs_of(rows)).collect()}
+    assert out == {1: (1, 0, True), 2: (2, 1, True), 3: (2, 1, False)}
+
+
+def test_hashes_follow_their_key_and_their_bytes_only():
+    from locusflow.llm.ngrams import LONG_WORD, PUBLIC, new_key, word_hashes, word_spans
+
+    raw = b" ".join([b"one", b"two", b"one", b"x" * (LONG_WORD + 9), b"y" * LONG_WORD, b"x" * (LONG_WORD + 9), b"a", b"aa", b"one"])
+    data = np.frombuffer(raw, np.uint8)
+    spans = word_spans(data)
+    for key in (PUBLIC, new_key()):
+        h = word_hashes(data, *spans, key)
+        assert h[0] == h[2] == h[8] and h[3] == h[5] and len(set(h.tolist())) == 6
+        assert (word_hashes(data, spans[0][2:], spans[1][2:], key) == h[2:]).all()
+    assert (word_hashes(data, *spans, PUBLIC) != word_hashes(data, *spans, new_key())).all()
+
+
+@pytest.mark.parametrize("ids", [0, 1000])
+def test_a_pair_without_a_common_band_counts_nowhere_whatever_the_size(docs_of, monkeypatch, ids):
+    """With few bands many linked pairs share none: small components, large ones and chains must agree on each."""
+    rows = chained(7, 40) + corpus(8, families=6, singles=5)
+    monkeypatch.setattr(op, "BROADCAST_IDS", ids)
+    found = []
+    for nodes in (10_000, 8, 3):
+        monkeypatch.setattr(op, "BLOCK_NODES", nodes)
+        found.append(sorted(map(str, op.near_duplicates(docs_of(rows), recall=0.3).select("doc_id", "class_id", "n_links", "class_size", "kept").collect())))
+    assert found[0] == found[1] == found[2]
+    n_links = sum(r["n_links"] for r in op.near_duplicates(docs_of(rows), recall=0.3).collect())
+    assert n_links < sum(x[2] for x in brute(rows))

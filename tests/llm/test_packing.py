@@ -66,3 +66,16 @@ def test_empty_table_and_bad_window(docs_of):
     assert op.pack_documents(docs.where("false"), PATH).count() == 0
     with pytest.raises(ValueError):
         op.pack_documents(docs, PATH, window=100)
+
+
+def test_words_with_one_hash_are_told_apart(plain, monkeypatch, docs_of):
+    """Unlike words that a public polynomial confuses, and hashes so short that most words share theirs with others."""
+    pair = ["mmmmmnmmnnmmnlmlnmnlnlmmmn", "mnnmnknlkkmllnmnkllnlolmll"]
+    got = op.WordTokenizer(PATH).encode([*pair, " ".join(pair * 40)])
+    assert [g.tolist() for g in got] == [plain.encode(x, add_special_tokens=False).ids for x in [*pair, " ".join(pair * 40)]]
+    assert op.pack_documents(docs_of([(1, " ".join(["one", pair[0]] + [pair[1]] * 80))]), PATH).first()["doc_tokens"] == len(plain.encode(" ".join(["one", pair[0]] + [pair[1]] * 80), add_special_tokens=False).ids) + 1
+    monkeypatch.setattr(op, "word_hashes", lambda data, starts, ends, key: np.array([data[a] % 7 for a in starts], np.uint64))
+    short = op.WordTokenizer(PATH)
+    texts = [f"some word{i % 5} and others, {i}" for i in range(60)] + ["", "a b a b"]
+    for at in range(0, len(texts), 9):
+        assert [g.tolist() for g in short.encode(texts[at : at + 9])] == [plain.encode(x, add_special_tokens=False).ids for x in texts[at : at + 9]]

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from locusflow.llm import substring_dedup as op
+from locusflow.llm.ngrams import PUBLIC
 
 
 def words(rng, n):
@@ -83,7 +84,7 @@ def test_empty_table(docs_of):
 def test_cuts_resist_insertions():
     rng = random.Random(1)
     w = words(rng, 5000)
-    a, b = (op.Chunks([" ".join(x).encode()]) for x in (w, w[:2000] + ["inserted", "words"] + w[2000:]))
+    a, b = (op.Chunks([" ".join(x).encode()], PUBLIC) for x in (w, w[:2000] + ["inserted", "words"] + w[2000:]))
     assert len(set(a.digests) - set(b.digests)) <= 4
     assert (a.sizes[1:-1] > op.REACH).all() and a.sizes.mean() < 12
 
@@ -100,15 +101,15 @@ def test_rolling_hash_sees_sixteen_bytes():
 
 def test_neighbours_in_a_batch_don_t_change_chunks():
     texts = [" ".join(words(random.Random(k), 40)).encode() for k in range(5)] + [b"", b" \n x  y "]
-    together = op.Chunks(texts)
-    assert together.digests.tolist() == [d for t in texts for d in op.Chunks([t]).digests.tolist()]
+    together = op.Chunks(texts, PUBLIC)
+    assert together.digests.tolist() == [d for t in texts for d in op.Chunks([t], PUBLIC).digests.tolist()]
 
 
 def test_segments_don_t_change_chunks(monkeypatch):
     texts = [" ".join(words(random.Random(k), 300)).encode() for k in range(5)]
-    whole = op.Chunks(texts)
+    whole = op.Chunks(texts, PUBLIC)
     monkeypatch.setattr(op, "STEP_BYTES", 100)
-    small = op.Chunks(texts)
+    small = op.Chunks(texts, PUBLIC)
     assert (whole.cuts == small.cuts).all() and (whole.digests == small.digests).all()
 
 
@@ -156,3 +157,13 @@ def test_stretches_that_touch_are_one_repeat_only_together(docs_of):
     rows += [(len(rows) + k, " ".join([*words(rng, 15), *run(4, 5), *words(rng, 15)])) for k in range(2)]
     got = {r["doc_id"]: r["removed_words"] for r in op.repeated_passages(docs_of(rows)).collect()}
     assert got == repeated(rows) and {i for i, n in got.items() if n} == {8}
+
+
+def test_words_that_a_public_polynomial_hash_confuses_are_told_apart(docs_of):
+    """Two unlike words with one value of the polynomial with base 0x9E3779B97F4A7C15: a passage isn't repeated by the other's."""
+    a, b = "mmmmmnmmnnmmnlmlnmnlnlmmmn", "mnnmnknlkkmllnmnkllnlolmll"
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(9000)}" for _ in range(240)]
+    one, two = (" ".join(x if i % 3 == 0 else w for i, w in enumerate(words)) for x in (a, b))
+    out = {r["doc_id"]: r["removed_words"] for r in op.repeated_passages(docs_of([(1, one), (2, two), (3, one)])).collect()}
+    assert out == {1: 0, 2: 0, 3: 240}
