@@ -46,13 +46,16 @@ OUTSIDE = frozenset("branding copyright header legal login logo search skip topb
 #: Parts of a name that say where or what kind of box, not what is in it, and ones that turn a name into a state.
 PLACES = frozenset("area articles bar block bottom box button buttons col column container content form group holder icons inner item items left link links list outer panel posts right row section slot stories text top unit wrap wrapper zone".split())
 STATES = frozenset("has hide is no non not show with without".split())
-HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+COMMENTS = frozenset("comments commentlist disqus replies respond".split())
+HEADINGS_AND_INLINE = frozenset("a abbr b bdi bdo cite code em font h1 h2 h3 h4 h5 h6 i kbd label mark q s small span strong sub sup time u var".split())
+_UNSEEN = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none")
 
 #: Comments, tags, declarations; a quote opens a value only after an equals sign. What begins like a tag and isn't one as
 #: far as the page goes comes last: from there on a tag ends at the next ``>``, quotes or not, so no page takes long.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+)>|<[!?][^>]*+(?:>|\Z)|<(?=/?[a-zA-Z])""", re.S)
 _LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Name and value of each attribute of a tag; what looks like one inside a value isn't.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|["'/=]""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _PART = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 #: Base of the polynomial over a page's tokens, modulo 2**64 (odd, so it has an inverse).
@@ -86,11 +89,16 @@ def named(value: str, words: frozenset) -> int:
     return best
 
 
+#: Why an element is left out: it is named as what readers write, which may be longer than the article.
+COMMENT = 3
+
+
 class Page:
     """A page's text pieces and elements, by position in the token stream. Reading takes time in proportion to the page.
 
     texts: (position, raw text); breaks: positions where a block begins or ends; elements: [tag, first and last position,
-    how surely it is left out (0, 1 if it may hold the page's own text, 2)]; hashes: a hash of each position's token.
+    why it is left out (0 not, 1 by a name, COMMENT by a name of readers' comments, 2 by tag, role or being hidden)];
+    hashes: a hash of each position's token.
     """
 
     def __init__(self, source: str):
@@ -159,18 +167,21 @@ class Page:
             return 2
         if not attributes.strip():
             return 0
-        if HIDDEN.search(attributes):
-            return 2
-        out = 0
+        out, named_so = 0, 0
         for m in _ATTRIBUTE.finditer(attributes):
-            value = m[2] or m[3] or m[4] or ""
-            if m[1].lower() == "role":
-                out = 2 if value.strip().lower() in ROLES else out
-            elif tag not in ("body", "html", "main"):
-                out = max(out, named(value, NAMES))
-                if not within and tag in ("div", "section", "p", "ul", "table", "span"):
-                    out = max(out, named(value, OUTSIDE))
-        return out
+            if not m[1]:
+                continue
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSEEN.search(value):
+                return 2
+            if name == "role" and value.strip().lower() in ROLES:
+                out = 2
+            elif (name == "class" or name == "id" and tag not in HEADINGS_AND_INLINE) and tag not in ("body", "html", "main"):
+                if named(value, COMMENTS) == 2:
+                    named_so = COMMENT
+                elif named(value, NAMES) or not within and tag in ("div", "section", "p", "ul", "table", "span") and named(value, OUTSIDE):
+                    named_so = named_so or 1
+        return out or named_so
 
     def _close(self, stack: list, down_to: int, k: int) -> None:
         while len(stack) > down_to:
@@ -190,15 +201,25 @@ class Page:
         return np.cumsum(out)
 
     def _decide(self) -> None:
-        """Settles what is left out: a name inside a longer one doesn't decide on what holds most of the text around it."""
-        sure = [e for e in self.elements if e[3] == 2]
-        doubt = sorted((e for e in self.elements if e[3] == 1), key=lambda e: (e[1], -e[2]))
+        """Settles what a name leaves out: not what holds an article or most of the text around it.
+
+        Readers' comments may be most of the text, but not all of it. Of outermost articles, a name only decides if
+        another one isn't named.
+        """
+        away = self._cover([e for e in self.elements if e[3] == 2])
+        doubt = sorted((e for e in self.elements if e[3] in (1, COMMENT)), key=lambda e: (e[1], -e[2]))
         letters = np.zeros(self.size + 2, np.int64)
-        away = self._cover(sure)
         for k, raw in self.texts:
             if not away[k]:
                 letters[k + 1] = len(raw.strip())
         letters = np.cumsum(letters)
+        for tag in ("article", "main"):
+            mains = [e for e in self.elements if e[0] == tag and not away[e[1]]]
+            if mains and all(e[3] for e in mains):
+                around = self._cover(mains)
+                for e in mains:
+                    if around[e[1]] == 1:
+                        e[3] = 0
         mains = [e for e in self.elements if e[0] in ("article", "main") and e[3] == 0 and not away[e[1]]]
         around = sorted((e[1], e[2]) for e in mains)
         starts = [a for a, _ in around]
@@ -209,7 +230,8 @@ class Page:
             a, b = around[i] if inside else (0, self.size)
             j = bisect_right(starts, e[1])
             holds = j < len(around) and around[j][1] <= e[2]
-            if holds or (inside or not around) and 2 * (letters[e[2]] - letters[e[1]]) > letters[b] - letters[a]:
+            own, all_of = letters[e[2]] - letters[e[1]], letters[b] - letters[a]
+            if holds or (inside or not around) and (own == all_of > 0 if e[3] == COMMENT else 2 * own > all_of):
                 e[3] = 0
         gone = self._cover([e for e in self.elements if e[3]])
         self.main: list[list] = []

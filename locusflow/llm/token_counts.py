@@ -7,6 +7,7 @@ with the byte spans of its sections, and a token that reaches over a boundary is
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from locusflow.session import prepare_workers
 #: Where a token goes that lies in several sections: to the one with its first byte, its last byte, or most of its bytes
 #: (the first of those that tie).
 RULES = ("first", "last", "most")
+#: Runs of white space (as the tokenizer's pattern knows it) that are too long for the pattern's own search.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
 
 
 class ByteTokenizer:
@@ -37,9 +40,23 @@ class ByteTokenizer:
         for token, i in ranks.items():
             self.lengths[i] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """The ids of a whole text.
+
+        The pattern makes one piece of a run of white space, but for its last character if something follows. On very
+        long runs its search fails, so they are cut out the same way and merged as pieces by themselves.
+        """
+        out, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : stop].encode())
+            at = stop
+        return out + self.encoding.encode_ordinary(text[at:]) if at else self.encoding.encode_ordinary(text)
+
     def ends(self, text: str) -> np.ndarray:
         """The byte where each token ends."""
-        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.lengths[np.array(self.ids(text), np.int64)])
 
 
 _tokenizers: dict[str, ByteTokenizer] = {}

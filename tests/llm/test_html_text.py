@@ -194,3 +194,31 @@ def test_hostile_markup_takes_linear_time(html):
     page.subtrees()
     page.text(lambda _: False)
     assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ('<p title="the hidden truth">Kept</p><p>x <a title="a hidden gem" href="?hidden=1">y</a></p>', "Kept x y"),
+        ('<h2 id="cookies">Cookies</h2><p>are <em id="ad">baked</em></p>', "Cookies are baked"),
+        ('<p data-id="social" data-class="ad" data-role=menu>text</p>', "text"),
+        ('<article class="notice"><p>the article</p></article><p>other text, and much more of it</p>', "the article"),
+        ('<body><div class="related"><p>all of the text</p></div></body>', "all of the text"),
+        ('<body><div class="comments"><p>all of the text</p></div></body>', "all of the text"),
+        ('<article><p>short</p><div class="comments">what readers wrote is much longer than that</div></article>', "short"),
+        ('<article><p>a</p><article class="comment">c</article></article>', "a"),
+        ('<article class="teaser related">t</article><article>real</article>', "real"),
+        ("<p hidden>a</p><p hidden=''>b</p><p HIDDEN=x>c</p><p class=x hidden>d</p>e", "e"),
+        ("<p aria-hidden=true>a</p><p style='color: red; DISPLAY : none'>b</p><p style='x-display: none'>c</p>", "c"),
+        ("""<p class='it"s' id=x/y title='class="ad"'>kept</p><p class = ad>gone</p>rest of the page""", "kept rest of the page"),
+    ],
+)
+def test_only_real_attributes_decide_and_names_never_on_all_text(html, expected):
+    assert text(html) == expected
+
+
+def test_attributes_take_time_in_proportion():
+    for junk in ("a=\"", "a='b\" ", "=", "a= ", "hidde n", "\"'", "x=y="):
+        began = time.time()
+        text("<p " + junk * 100_000 + ">x")
+        assert time.time() - began < 5

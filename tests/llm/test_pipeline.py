@@ -5,7 +5,7 @@ from locusflow.llm.queries import ORACLES, QUERIES
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 13)]
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -46,3 +46,30 @@ def test_stages_take_effect(spark, tmp_path):
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(run.drop("sequence_id").collect()) == sorted(now.drop("sequence_id").collect())
     assert {r["doc_id"] for r in run.collect()} == set(ids["substring_dedup"])
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run(spark, folder, rows):
+    spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], SHAPE).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i == 1)) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_empty_table(spark, tmp_path):
+    assert run(spark, tmp_path, []) == []
+
+
+def test_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Texts without words are one group of copies; a repeated row stays once; a null id is an id like others."""
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    rows = [(1, "some text of its own"), (1, "some text of its own"), (2, None), (3, ""), (None, "a text without an id"), (4, long), (5, "x" * 300_000)]
+    out = run(spark, tmp_path, rows)
+    assert {r["doc_id"] for r in out} == {1, 3, 4, 5, None} or {r["doc_id"] for r in out} == {1, 2, 4, 5, None}
+    per = {}
+    for r in out:
+        per.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    for pieces in per.values():
+        assert sum(n for _, n, _ in pieces) == pieces[0][2]

@@ -175,6 +175,26 @@ def test_sections_add_up_to_whole_documents(docs_of, rule):
         tc.section_tokens(docs_of(rows), RANKS, rule="none")
 
 
+def test_very_long_runs(docs_of):
+    """Runs of a million characters of one class, wherever they stand; split as the pattern splits shorter ones."""
+    runs = [" " * 1_000_000, "x" * 1_000_000, "\n" * 1_000_000, "1" * 1_000_000, "!" * 1_000_000, "\u3000 " * 600_000]
+    rows = [(i, t) for i, t in enumerate([*runs, "a" + runs[0], runs[0] + "b", "a" + runs[2] + "b " + runs[0] + "."])]
+    out = tc.section_tokens(docs_of(rows), RANKS).groupBy("doc_id").agg({"n_tokens": "sum", "doc_tokens": "max", "char_end": "max"}).collect()
+    assert {r["doc_id"]: r["max(char_end)"] for r in out} == {i: len(t) for i, t in rows}
+    assert all(r["sum(n_tokens)"] == r["max(doc_tokens)"] for r in out)
+
+
+@pytest.mark.parametrize("around", ["{}", "a{}", "{}b", "a{}b", "a {}. b{}c", "\n{}\t"])
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \x85", "\t "])
+def test_long_white_space_is_cut_as_the_pattern_cuts_it(monkeypatch, around, space):
+    text = around.format(space * 30, space * 17)
+    t = tc.ByteTokenizer(RANKS)
+    monkeypatch.setattr(tc, "_LONG_SPACE", re.compile(tc._LONG_SPACE.pattern.replace("50000", "9")))
+    assert t.ids(text) == t.encoding.encode_ordinary(text)
+    # What Python calls white space and the pattern doesn't.
+    assert t.ids("a" + "\x1c" * 40 + "b") == t.encoding.encode_ordinary("a" + "\x1c" * 40 + "b")
+
+
 @pytest.mark.parametrize("rule", tc.RULES)
 def test_fields_share_the_tokens_of_their_text(spark, rule):
     ranks = tc.byte_tokenizer(RANKS)

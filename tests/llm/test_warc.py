@@ -105,3 +105,9 @@ def test_a_record_without_its_entry_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(op, "merge_runs", lambda *a: whole(*a).where("offset > 0"))
     with pytest.raises(Exception, match="index and archive differ"):
         op.capture_histories(pages(spark, ROWS), F.expr(TIME)).select("page_id", "payload_bytes").collect()
+
+
+def test_very_long_and_empty_payloads(spark):
+    rows = [(1, "http://a/", "ä" * 3_000_000), (2, "http://b/", "ä" * 3_000_000), (3, "http://c/", ""), (4, "http://c/", None), (5, "http://c/", "\r\n" * 500)]
+    out = op.capture_histories(pages(spark, rows), F.expr(TIME)).collect()
+    assert sorted((tuple(r[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in out), key=str) == brute(rows)
