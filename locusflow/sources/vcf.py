@@ -123,6 +123,12 @@ def read_header(path: str) -> Header:
     return parse_header(lines, path)
 
 
+def numbers_of(h: Header, kind: str) -> dict[str, str]:
+    """How many values each key of a kind (INFO or FORMAT) has, as the header declares it."""
+    declared = [_attributes(x) for x in h.lines if x.startswith(f"##{kind}=<")]
+    return {a["ID"]: a.get("Number", "") for a in declared}
+
+
 def require_format(h: Header, key: str, number: str, kind: str) -> None:
     """Raises if a FORMAT key is declared in another way; a key that isn't declared is fine."""
     if key in h.formats and h.formats[key] != (number, kind):

@@ -203,10 +203,79 @@ def test_split_and_reference(spark, tmp_path, cohort):
     assert sorted(r["rec"] for r in bad.collect()) == [i for i, c, p, r in sites if c != "1" or bases[p - 1 : p - 1 + len(r)] != r]
 
 
-def test_left_alignment(spark):
-    rows = [(1, 109, "CAC", "C", "GGCACACA"), (2, 105, "A", "T", "x"), (3, 108, "ATT", "ATTT", "CAAA"), (4, 109, "CAC", "C", "CACA")]
-    out = normalize.align_indels(spark.createDataFrame(rows, "rec long, pos long, ref string, alt string, before string")).orderBy("rec").collect()
-    assert [(r["pos"], r["ref"], r["alt"]) for r in out] == [(102, "GCA", "G"), (105, "A", "T"), (108, "A", "AT"), (105, "CAC", "C")]
+def leftmost(pos, ref, alt, bases):
+    """The textbook way, one base at a time: cut the last base while it is shared, take in the one before if nothing is left."""
+    while ref != alt and ref and alt and ref[-1] == alt[-1]:
+        if len(ref) > 1 and len(alt) > 1:
+            ref, alt = ref[:-1], alt[:-1]
+        elif pos > 1:
+            pos, ref, alt = pos - 1, bases[pos - 2] + ref[:-1], bases[pos - 2] + alt[:-1]
+        else:
+            break
+    while len(ref) > 1 and len(alt) > 1 and ref[0] == alt[0]:
+        pos, ref, alt = pos + 1, ref[1:], alt[1:]
+    return pos, ref, alt
+
+
+def chunked(spark, contigs, size):
+    rows = [(c, i, bases[i * size : (i + 1) * size]) for c, bases in contigs.items() for i in range(-(-len(bases) // size))]
+    return spark.createDataFrame(rows, "contig string, chunk long, bases string")
+
+
+@pytest.mark.parametrize("size, broadcast, rounds", [(7, 0, 2), (7, 10**6, 16), (1000, 10**6, 16)])
+def test_indels_move_as_far_as_the_bases_allow(spark, monkeypatch, size, broadcast, rounds):
+    """Repeats much longer than a chunk, up to a contig's first base, unknown bases, shared ends of any kind."""
+    rng = random.Random(9)
+    monkeypatch.setattr(normalize, "BROADCAST_INDELS", broadcast)
+    monkeypatch.setattr(normalize, "ROUNDS", rounds)
+    unit = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    contigs = {"1": "A" * 45 + unit(30) + "CAG" * 20 + unit(20) + "T" * 60 + "GT", "2": unit(15) + "N" + "AC" * 30 + unit(20) + unit(5) * 9, "X": "GATGATGATGAT" + unit(9)}
+    rows = []
+    for k in range(160):
+        contig = rng.choice(list(contigs))
+        bases = contigs[contig]
+        pos, n = rng.randrange(1, len(bases) - 8), rng.randrange(1, 8)
+        ref = bases[pos - 1 : pos - 1 + n]
+        kind = k % 4
+        if kind == 0:  # a deletion, anchored before or behind
+            ref = bases[pos - 1 : pos + n]
+            alt = ref[0] if k % 8 else ref[-1]
+        elif kind == 1:  # an insertion of what stands there
+            ref = bases[pos - 1]
+            alt = ref + bases[max(0, pos - n) : pos]
+        elif kind == 2:  # another copy of a unit, with shared ends
+            ref, alt = bases[pos - 1 : pos + n], bases[pos - 1 : pos + n] + bases[pos : pos + n]
+        else:
+            alt = unit(rng.randrange(1, 6))
+        rows.append((k, k % 3, contig, pos, ref, alt))
+    rows += [(200, 1, "1", 45, "A", "<DEL>"), (201, 1, "1", 44, "AA", "*"), (202, 1, "1", 3, "aa", "A"), (203, 1, "1", 30, "A", "A"), (204, 1, "2", 60, "CAC", "TGT")]
+    out = normalize.left_aligned(spark.createDataFrame(rows, "rec long, allele int, contig string, pos long, ref string, alt string"), chunked(spark, contigs, size), size)
+    got = {(r["rec"], r["allele"]): (r["pos"], r["ref"].upper(), r["alt"].upper()) for r in out.collect()}
+    symbols = {200, 201}
+    want = {(k, a): (p, r, x) if k in symbols else leftmost(p, r.upper(), x.upper(), contigs[c]) for k, a, c, p, r, x in rows}
+    assert got == want
+    assert got[(202, 1)] == (1, "AA", "A") and sum(want[(k, a)][0] < p - 2 * 7 for k, a, c, p, r, x in rows if k < 200) > 10
+
+
+def test_normalized_records(spark, tmp_path):
+    """Alleles apart with their own values, indels in their place in the new order, and the two gates."""
+    bases = "TT" + "CA" * 40 + "GGGG" + "ACGT" * 5
+    head = HEAD + '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="by allele">\n##FORMAT=<ID=PL,Number=G,Type=Integer,Description="by genotype">\n##INFO=<ID=AF,Number=A,Type=Float,Description="f">\n'
+    text = vcf([("1", 10, "a", bases[9], "G" if bases[9] != "G" else "T", "PASS", "GT", "0/1 1/1"), ("1", 80, "m", "ACA", "A,ACACA", "PASS", "GT:DP:AD:PL", "1/2:9:1,2,3:10,11,12,13,14,15 0/2:8:4,5,6:0,1,2"), ("1", 82, "s", "A", "C", "PASS", "GT", "./. 0|1")], ["S1", "S2"], head)
+    text = text.replace("AC=1;DB", "AF=0.25,0.5;DB")
+    path = write(tmp_path / "n.vcf", text)
+    records, _, header = read_variants(spark, path)
+    out = normalize.normalized(records, header, chunked(spark, {"1": bases}, 16), 16).orderBy("rec").collect()
+    calls = lambda r: [(c["gt"], c["dp"], c["rest"]) for c in r["calls"]]
+    assert [(r["pos"], r["ref"], r["alts"], r["id"]) for r in out] == [(2, "TCA", ["T"], "m"), (2, "T", ["TCA"], "m"), (10, "A", ["G"], "a"), (82, "A", ["C"], "s")]
+    assert calls(out[0]) == [([1, None], 9, "1,2:10,11,12"), ([0, None], 8, "4,5:0,1")]
+    assert calls(out[1]) == [([None, 1], 9, "1,3:10,13,15"), ([0, 1], 8, "4,6:0,2")]
+    assert [r["info"] for r in out[:2]] == [{"AF": "0.25", "DB": ""}, {"AF": "0.5", "DB": ""}]
+    assert [c["phased"] for c in out[3]["calls"]] == [False, True]
+    with pytest.raises(GateError, match="1:80: ACA isn't"):
+        normalize.normalized(records, header, chunked(spark, {"1": bases[:80] + "T" * 30}, 16), 16)
+    with pytest.raises(GateError, match="sorted"):
+        normalize.normalized(records.withColumn("pos", 100 - F.col("pos")), header, chunked(spark, {"1": bases}, 16), 16)
 
 
 def many(n=400, samples=6):
