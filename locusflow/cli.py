@@ -47,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     verb("doctor")
     verb("plan", path("config"), (("--verify-inputs",), {"action": "store_true"}))
     verb("run", path("config"), (("--verify-inputs",), {"action": "store_true"}))
-    verb("cohort-select", path("original"), path("psam"), path("kinship"), path("out"), (("--policy",), {"required": True, "choices": ["retain", "exclude"]}), (("--threshold",), {"type": float, "default": 0.0884}), (("--samples",), {}))
+    verb("cohort-select", path("original"), path("psam"), path("kinship"), path("out"), (("--policy",), {"required": True, "choices": ["retain", "exclude"]}), (("--threshold",), {"type": float, "default": 0.0884}), (("--samples",), {}), (("--assembly",), {}))
     verb("pca-check", path("psam"), path("pcs", type=int), (("--vectors",), {}), (("--values",), {}), (("--bcf",), {}), (("--markers",), {}))
     verb("region-ranges", (("index",), {}), (("region",), {}), (("header",), {"nargs": "?"}))
     verb("raw-fastq", path("first"), path("second"), (("--fastp-report",), {}), (("--before",), {}), (("--report-out",), {}))
@@ -77,7 +77,7 @@ def execute(a: argparse.Namespace) -> dict | list:
         flow = configs.of_file(spark, a.config)
         return flow.plan(a.verify_inputs) if a.verb == "plan" else flow.run(a.verify_inputs)
     if a.verb == "cohort-select":
-        return runs.run_selection(spark, a.original, a.psam, a.kinship, a.out, a.policy, a.threshold, a.samples)
+        return runs.run_selection(spark, a.original, a.psam, a.kinship, a.out, a.policy, a.threshold, a.samples, a.assembly)
     if a.verb == "pca-check":
         return runs.check_pca(spark, a.psam, a.pcs, a.vectors, a.values, a.bcf, a.markers)
     if a.verb == "raw-fastq":

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.operators.packed import MISSING, unpack
@@ -33,7 +33,7 @@ def pairwise_r2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.where(var > 0, cov**2 / var, np.nan)
 
 
-def ranked(packed: DataFrame, contig: str = "contig", order: str = "pos") -> DataFrame:
+def ranked(packed: DataFrame, contig: str = "contig", order: Column | str = "pos") -> DataFrame:
     """Markers with their number in the contig, from 0."""
     return packed.withColumn("rank", F.row_number().over(Window.partitionBy(contig).orderBy(order)) - 1)
 

@@ -35,6 +35,7 @@ PROCESSING = {
     "threads": (2, 1, 4), "memory_mb": (6144, 1024, 10240), "timeout_seconds": (3600, 1, 604_800), "min_length": (35, 15, 10_000), "qualified_quality": (20, 0, 40), "unqualified_percent": (40, 0, 100),
     "max_fragment": (1000, 1, 100_000), "min_mapping_quality": (20, 0, 60), "min_base_quality": (20, 0, 60), "max_depth": (250, 1, 1_000_000),
 }
+MACHINE = {"threads": (2, 1, 6), "memory_mb": (2048, 1152, 10240), "timeout_seconds": (3600, 1, 604_800)}
 READS_QC = {"min_dp": (5, 1, 1_000_000_000), "min_gq": (10, 0, 1_000_000_000)}
 MOST_RUNS = 64
 
@@ -118,12 +119,17 @@ def genotype_config(c: dict) -> runs.GenotypeConfig:
     """Settings of a genotype run in sections, as the flat ones of GenotypeConfig."""
     _keys(c, ("_folder", "schema_version", "workflow_type", "work_dir", "assembly", "input", "reference", "reference_index", "samples", "resources", "qc", "analysis", "tools"), "the configuration")
     qc = _keys(c.get("qc", {}), ("min_dp", "min_gq", "sample_missing", "variant_missing"), "qc")
-    analysis = _keys(c.get("analysis", {}), ("pcs", "pca_maf", "kinship_maf", "kinship_threshold", "relatedness_policy", "ld_window", "ld_step", "ld_r2", "threads", "memory_mb"), "analysis")
-    flat = {"work_dir": _path(c, c.get("work_dir"), "work_dir"), "input": _source(c, c.get("input"), "input")}
+    analysis = _keys(c.get("analysis", {}), ("pcs", "pca_maf", "kinship_maf", "kinship_threshold", "relatedness_policy", "ld_window", "ld_step", "ld_r2", *MACHINE), "analysis")
+    # Threads, memory and time are the session's; they are checked, so that a configuration means the same everywhere.
+    _numbers(analysis, MACHINE, "analysis")
+    reference = _source(c, c.get("reference"), "reference")
+    index = _source(c, c.get("reference_index"), "reference_index")
+    if not os.path.exists(f"{reference}.fai") or not os.path.samefile(index, f"{reference}.fai"):
+        raise GateError("reference_index must be the index beside the reference")
+    flat = {"work_dir": _path(c, c.get("work_dir"), "work_dir"), "input": _source(c, c.get("input"), "input"), "reference": reference, "assembly": _text(c.get("assembly"), "assembly")}
     if "samples" in c:
         flat["samples"] = _source(c, c["samples"], "samples")
-    # Threads and memory are the session's.
-    return runs.GenotypeConfig.of(flat | qc | {k: x for k, x in analysis.items() if k not in ("threads", "memory_mb")})
+    return runs.GenotypeConfig.of(flat | qc | {k: x for k, x in analysis.items() if k not in MACHINE})
 
 
 # ---------------------------------------------------------------- reads

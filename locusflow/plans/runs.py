@@ -9,36 +9,50 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
-from locusflow.operators import ld, mask, packed_calls, pca, placement, qc, reads, stats, trim
+from locusflow.operators import ld, mask, normalize, packed_calls, packed_markers, pca, placement, reads, stats, trim
 from locusflow.operators import relatedness as kin
 from locusflow.operators.order import steps_back
 from locusflow.operators.reports import normalised_report
-from locusflow.operators.packed import MISSING, ZERO, packed_rows
+from locusflow.operators.packed import MISSING, ZERO
 from locusflow.operators.sets import GateError, require_equal
 from locusflow.plans import workflow as w
-from locusflow.session import columns_of, persisted, release
-from locusflow.sources import sequences, tables
+from locusflow.session import columns_of, persisted, release, remove, scratch
+from locusflow.sources import files, sequences, tables
 from locusflow.sources.bcf_sink import write_bcf, write_index
 from locusflow.sources.files import size_of
-from locusflow.sources.vcf import HET, HOM_ALT, HOM_REF, OTHER_ALLELE, OTHER_PLOIDY, read_variants, require_format
+from locusflow.sources.vcf import HET, HOM_ALT, HOM_REF, OTHER_ALLELE, OTHER_PLOIDY, header_of, read_header, read_variants, require_format
 
 VERSION = "1.0"
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """A tab-separated file with a header, numbers with twelve digits and NA for null; rows in the frame's order."""
+    """A tab-separated file with a header, numbers with twelve digits and NA for null; rows in the frame's order.
+
+    Sorted ranges are written by as many tasks and put together in their order.
+    """
     lines = tables.as_text(df).select(F.concat_ws("\t", *columns_of(df)))
-    lines.coalesce(1).write.text(f"{path}.parts")
-    part = next(p for p in os.listdir(f"{path}.parts") if p.startswith("part-"))
-    with open(f"{path}.draft", "wb") as out, open(os.path.join(f"{path}.parts", part), "rb") as rows:
-        out.write("\t".join(df.columns).encode() + b"\n")
-        shutil.copyfileobj(rows, out)
+    _write_lines(lines, path, "\t".join(df.columns))
+
+
+def _write_lines(lines: DataFrame, path: str, head: str | None = None) -> None:
+    spark, parts = lines.sparkSession, scratch(lines.sparkSession, "lines")
+    lines.write.text(parts)
+    fs, base = files.open_uri(parts)
+    names = sorted(i.path for i in fs.get_file_info(pyarrow.fs.FileSelector(base)) if i.base_name.startswith("part-"))
+    with open(f"{path}.draft", "wb") as out:
+        if head is not None:
+            out.write(head.encode() + b"\n")
+        for name in names:
+            with fs.open_input_stream(name, compression=None) as part:
+                while block := part.read(1 << 20):
+                    out.write(block)
     os.replace(f"{path}.draft", path)
-    shutil.rmtree(f"{path}.parts")
+    remove(spark, parts)
 
 
 class Staged:
@@ -111,8 +125,11 @@ def run_stats(spark: SparkSession, source: str, samples: str, out: str, min_dp:
     return report
 
 
-def run_mask(spark: SparkSession, source: str, out: str, min_dp: int, min_gq: int, replace: bool = False) -> dict:
-    """Masked eligible records as Parquet, partitioned by contig and sorted, and as BCF with its index, with a report."""
+def run_mask(spark: SparkSession, source: str, out: str, min_dp: int, min_gq: int, replace: bool = False, normal: DataFrame | None = None) -> dict:
+    """Masked eligible records as Parquet, partitioned by contig and sorted, and as BCF with its index, with a report.
+
+    ``normal`` are the source's records after normalisation, if it came first.
+    """
     with Staged(out, replace, (source,)) as folder:
         records, samples, header = read_variants(spark, source)
         for key in ("DP", "GQ"):
@@ -121,7 +138,7 @@ def run_mask(spark: SparkSession, source: str, out: str, min_dp: int, min_gq: in
         bad = [s for s in header.samples if s in ("", "0", ".") or s.startswith("#") or re.search(r"[\s\x00-\x1f]", s)]
         if bad:
             raise GateError(f"bad sample id {bad[0]!r}")
-        records = persisted(records, "records")
+        records = persisted(records, "records") if normal is None else normal
         mask.check_masking(records, min_dp, min_gq)
         masked = mask.mask_variants(records, min_dp, min_gq)
         # The folder's value is a copy: read back, it would lose its type.
@@ -129,10 +146,16 @@ def run_mask(spark: SparkSession, source: str, out: str, min_dp: int, min_gq: in
         samples.coalesce(1).write.parquet(f"{folder}/samples.parquet")
         write_bcf(spark.read.parquet(f"file://{folder}/variants.parquet").drop("of_contig"), header, f"{folder}/masked.bcf")
         write_index(spark, f"{folder}/masked.bcf")
-        calls = stats.explode_calls(_sites(records).where("skip_reason IS NULL"), samples)
-        calls = calls.withColumn("category", g.category(F.col("alleles"), F.col("dp"), F.col("gq"), min_dp, min_gq))
-        rows = [r.asDict() for r in mask.mask_report(calls).orderBy("sample").collect()]
-        report = {**stats.record_totals(_sites(records)).first().asDict(), "totals": next((r for r in rows if r["sample"] is None), None), "samples": [r for r in rows if r["sample"] is not None]}
+        rows = _sites(records).withColumn("eligible", F.col("skip_reason").isNull())
+        packed = packed_markers.pack_calls(rows.select("rec", "skip_reason", "eligible", "calls"))
+        counted = persisted(packed_calls.count_packed(packed, [0] * len(header.samples), 1, min_dp, min_gq), "counts")
+        by_sample = {r["idx"]: r for r in packed_calls.by_sample(counted).collect()}
+        kinds = {"kept": "called", "missing": "missing", "quality": "quality_filtered", "unsupported": "unsupported_ploidy"}
+        per = [{"sample": x, **{k: by_sample[i][c] if i in by_sample else 0 for k, c in kinds.items()}} for i, x in enumerate(header.samples)]
+        per = [r | {"masked": r["missing"] + r["quality"] + r["unsupported"]} for r in per]
+        total = {"sample": None, **{k: sum(r[k] for r in per) for k in (*kinds, "masked")}}
+        report = {**stats.record_totals(counted.where("site IS NOT NULL").select("site.skip_reason")).first().asDict(), "totals": total, "samples": sorted(per, key=lambda r: r["sample"])}
+        release(counted, *([records] if normal is None else []))
         w.write_json(f"{folder}/report.json", report)
     return report
 
@@ -155,7 +178,7 @@ def select_cohort(spark: SparkSession, original: DataFrame, kept: DataFrame, pai
 GREEDY = "pairs in order of their names: the later one goes while both are there; not a largest unrelated set"
 
 
-def run_selection(spark: SparkSession, original: str, psam: str, kinship: str, out: str, policy: str, threshold: float = 0.0884, samples: str | None = None) -> dict:
+def run_selection(spark: SparkSession, original: str, psam: str, kinship: str, out: str, policy: str, threshold: float = 0.0884, samples: str | None = None, assembly: str | None = None) -> dict:
     """Selects a cohort from tables of samples and pairs: keep.tsv, samples.tsv and selection.json.
 
     ``samples`` is metadata with exactly the samples of the original cohort; without it all are one population, ALL.
@@ -171,6 +194,7 @@ def run_selection(spark: SparkSession, original: str, psam: str, kinship: str, o
         write_table(people.join(retained, "sample", "left_semi").orderBy("sample"), f"{folder}/samples.tsv")
         rows = excluded.orderBy("sample").collect()
         report = {
+            "assembly": assembly,
             "policy": policy,
             "threshold": threshold,
             "reported_pairs": pairs.where(F.col("kinship") >= threshold).select("a", "b").distinct().count(),
@@ -247,12 +271,18 @@ def check_pca(spark: SparkSession, psam: str, pcs: int, vectors: str | None = No
 
 @dataclass
 class GenotypeConfig:
-    """Settings of a genotype run; unknown keys and values out of range are errors."""
+    """Settings of a genotype run; unknown keys and values out of range are errors.
+
+    With a reference, records are normalised first; without one, they are taken as they are. The policy has no default: it
+    decides whether samples go.
+    """
 
     work_dir: str
     input: str
+    relatedness_policy: str
     samples: str | None = None
-    relatedness_policy: str = "exclude"
+    reference: str | None = None
+    assembly: str | None = None
     min_dp: int = field(default=0, metadata={"range": (0, 1_000_000_000)})
     min_gq: int = field(default=0, metadata={"range": (0, 1_000_000_000)})
     sample_missing: float = field(default=0.1, metadata={"range": (0, 1)})
@@ -270,7 +300,7 @@ class GenotypeConfig:
         known = {f.name: f for f in fields(cls)}
         if unknown := value.keys() - known.keys():
             raise GateError(f"unknown keys: {', '.join(sorted(unknown))}")
-        if missing := {"work_dir", "input"} - value.keys():
+        if missing := {"work_dir", "input", "relatedness_policy"} - value.keys():
             raise GateError(f"missing keys: {', '.join(sorted(missing))}")
         for k, x in value.items():
             if limits := known[k].metadata.get("range"):
@@ -281,80 +311,161 @@ class GenotypeConfig:
             raise GateError("ld_step must not be larger than ld_window")
         if out.relatedness_policy not in ("retain", "exclude"):
             raise GateError("relatedness_policy must be retain or exclude")
+        for k in ("work_dir", "input", "samples", "reference", "assembly"):
+            if not (x := value.get(k, "-")) or not isinstance(x, str):
+                raise GateError(f"{k} must be a text")
         return out
 
 
+def _write_psam(samples: list[str], path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("#FID\tIID\n" + "".join(f"{x}\t{x}\n" for x in samples))
+
+
+def _read_samples(path: str) -> list[str]:
+    """The samples of a .psam file in its order, which is that of the markers' data; a run's own, so their number is known."""
+    with open(path, encoding="utf-8") as f:
+        return [line.rstrip("\n").split("\t")[1] for line in f][1:]
+
+
 def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
-    """The stages of a genotype run, each with only the settings that it depends on, so a changed one reruns what it must."""
+    """The stages of a genotype run, each with only the settings that it depends on, so a changed one reruns what it must.
+
+    Stages hand on markers as packed rows over the samples of a .psam file beside them. Executors read and write below
+    ``work_dir``, which must be a folder that all machines mount.
+    """
 
-    def table(folder: str, name: str) -> DataFrame:
+    def table(folder: str, name: str = "markers") -> DataFrame:
         return spark.read.parquet(f"file://{folder}/{name}.parquet")
 
-    def save(df: DataFrame, folder: str, name: str) -> None:
+    def save(df: DataFrame, folder: str, name: str = "markers") -> None:
         df.write.parquet(f"file://{folder}/{name}.parquet")
 
-    def masked(_, out):
-        run_mask(spark, c.input, f"{out}/mask", c.min_dp, c.min_gq)
+    def people(folder: str) -> list[str]:
+        return _read_samples(f"{folder}/data.psam")
 
-    def dosages(done, out):
-        records = spark.read.parquet(f"file://{done['mask']}/mask/variants.parquet")
-        samples = spark.read.parquet(f"file://{done['mask']}/mask/samples.parquet")
-        long = stats.explode_calls(records, samples).join(samples, "sample")
-        save(long.select(F.col("idx").cast("long").alias("sample"), F.col("rec").alias("marker"), g.dosage(F.col("alleles")).alias("dose")), out, "dosages")
-        save(records.select(F.col("rec").alias("marker"), "contig", "contig_rank", "pos", g.variant_id(F.col("contig"), F.col("pos"), F.col("ref"), F.element_at("alts", 1)).alias("id")), out, "sites")
+    def normal(_, out):
+        chunks = persisted(sequences.read_reference(spark, c.reference).select("contig", "chunk", "bases"), "reference")
+        records, _, header = read_variants(spark, c.input)
+        records = persisted(records, "records")
+        save(normalize.normalized(records, header, chunks, sequences.CHUNK), out, "records")
+        release(records, chunks)
+        w.write_json(f"{out}/normalized.json", {"records": table(out, "records").count(), "reference": w.identity(c.reference), "assembly": c.assembly})
 
-    def checked(done, out):
-        save(qc.site_qc(qc.sample_qc(table(done["import"], "dosages"), c.sample_missing), c.variant_missing), out, "dosages")
+    def masked(done, out):
+        run_mask(spark, c.input, f"{out}/mask", c.min_dp, c.min_gq, normal=table(done["normalize"], "records") if c.reference else None)
+
+    def imported(done, out):
+        records = spark.read.parquet(f"file://{done['mask']}/mask/variants.parquet")
+        ident = g.variant_id(F.col("contig"), F.col("pos"), F.col("ref"), F.element_at("alts", 1))
+        rows = records.select("rec", "contig", "contig_rank", "pos", ident.alias("id"), "calls")
+        save(packed_markers.dosage_rows(packed_markers.pack_calls(rows)), out)
+        _write_psam(read_header(c.input).samples, f"{out}/data.psam")
+
+    def missing(done, out):
+        samples, markers = people(done["import"]), table(done["import"])
+        names = spark.createDataFrame(list(enumerate(samples)), "idx long, IID string")
+        rate = g.ratio(F.col("missing"), F.col("total"))
+        by_sample = names.join(packed_markers.missing_by_sample(markers), "idx").orderBy("idx")
+        write_table(by_sample.select("IID", F.col("missing").alias("MISSING_CT"), F.col("total").alias("OBS_CT"), rate.alias("F_MISS")), f"{out}/data.smiss")
+        by_marker = packed_markers.choose_samples(markers, list(range(len(samples)))).withColumn("total", F.lit(len(samples))).orderBy("contig_rank", "pos", "rec")
+        write_table(by_marker.select(F.col("contig").alias("CHROM"), F.col("id").alias("ID"), F.col("missing").alias("MISSING_CT"), F.col("total").alias("OBS_CT"), rate.alias("F_MISS")), f"{out}/data.vmiss")
+
+    def sample_qc(done, out):
+        samples = people(done["import"])
+        stay = packed_markers.missing_by_sample(table(done["import"])).where(g.ratio(F.col("missing"), F.col("total")) <= c.sample_missing)
+        kept = sorted(r["idx"] for r in stay.select("idx").collect())
+        if not kept:
+            raise GateError("no sample is left")
+        save(packed_markers.choose_samples(table(done["import"]), kept), out)
+        _write_psam([samples[i] for i in kept], f"{out}/data.psam")
+
+    def site_qc(done, out):
+        samples = people(done["sample-qc"])
+        save(table(done["sample-qc"]).where(g.ratio(F.col("missing"), F.lit(len(samples))) <= c.variant_missing), out)
+        _write_psam(samples, f"{out}/data.psam")
 
     def kinship(done, out):
-        doses = table(done["qc"], "dosages")
-        chosen = doses.join(qc.maf_filter(doses, c.kinship_maf).select("marker"), "marker")
-        numbers = persisted(_numbered(chosen.select("marker").distinct(), "marker"), "numbers")
-        rows = chosen.join(numbers, "marker").select("sample", F.col("at").alias("marker"), "dose")
-        save(kin.king_pairs(rows, numbers.count(), c.kinship_threshold), out, "pairs")
+        samples = people(done["site-qc"])
+        markers = packed_markers.with_maf(table(done["site-qc"]), len(samples)).where(F.col("maf") >= c.kinship_maf)
+        numbers = persisted(_numbered(markers.select("rec"), "rec"), "numbers")
+        turned, _ = packed_markers.turned(markers.join(numbers, "rec").select("at", "data"), len(samples))
+        pairs = kin.king_of_packed(turned, c.kinship_threshold)
+        names = [spark.createDataFrame(list(enumerate(samples)), f"{k} long, {k}_name string") for k in ("a", "b")]
+        pairs = pairs.join(names[0], "a").join(names[1], "b").select(F.least("a_name", "b_name").alias("IID1"), F.greatest("a_name", "b_name").alias("IID2"), F.col("nsnp").alias("NSNP"), F.col("kinship").alias("KINSHIP"))
+        write_table(pairs.orderBy("IID1", "IID2"), f"{out}/data.kin0")
 
     def selected(done, out):
-        original = table(done["import"], "dosages").select("sample").distinct()
-        kept = table(done["qc"], "dosages").select("sample").distinct()
-        retained, excluded = select_cohort(spark, original, kept, table(done["king"], "pairs"), c.relatedness_policy, c.kinship_threshold)
-        save(retained, out, "retained")
-        save(excluded, out, "excluded")
+        run_selection(spark, f"file://{done['import']}/data.psam", f"file://{done['site-qc']}/data.psam", f"file://{done['king']}/data.kin0", f"{out}/selection", c.relatedness_policy, c.kinship_threshold, c.samples, c.assembly)
 
     def retained(done, out):
-        save(table(done["qc"], "dosages").join(table(done["select"], "retained"), "sample", "left_semi"), out, "dosages")
+        samples = people(done["site-qc"])
+        keep = set(_read_samples(f"{done['select']}/selection/keep.tsv"))
+        places = [i for i, x in enumerate(samples) if x in keep]
+        save(packed_markers.choose_samples(table(done["site-qc"]), places), out)
+        _write_psam([samples[i] for i in places], f"{out}/data.psam")
+
+    def cohort(done, out):
+        header, samples = read_header(c.input), people(done["retained"])
+        place = {x: i for i, x in enumerate(header.samples)}
+        records = spark.read.parquet(f"file://{done['mask']}/mask/variants.parquet").drop("of_contig")
+        markers = table(done["retained"]).select("rec", F.col("id").alias("_id"))
+        rows = packed_markers.calls_of(records, [place[x] for x in samples]).join(markers, "rec").withColumn("id", F.col("_id")).drop("_id")
+        own = header_of(header, samples)
+        write_bcf(rows, own, f"{out}/cohort.bcf")
+        write_index(spark, f"{out}/cohort.bcf")
+
+    def counted(done, out):
+        run_stats(spark, f"{done['bcf']}/cohort.bcf", f"{done['select']}/selection/samples.tsv", f"{out}/stats")
 
     def pruned(done, out):
-        doses = table(done["retained"], "dosages")
-        maf = persisted(qc.maf_filter(doses, c.pca_maf), "maf")
-        numbers = persisted(_numbered(doses.select("sample").distinct(), "sample"), "order")
-        packed = packed_rows(doses.join(maf, "marker", "left_semi").join(numbers, "sample"), "marker", "at", numbers.count())
-        sites = table(done["import"], "sites").withColumnRenamed("marker", "row")
-        markers = persisted(ld.ranked(packed.join(sites, "row").select("contig", "pos", F.col("row").alias("marker"), "data")), "markers")
-        stay = ld.ld_prune(markers, maf, c.ld_window, c.ld_r2, c.ld_step)
-        save(markers.join(stay.select("marker"), "marker", "left_semi"), out, "markers")
-        save(numbers, out, "order")
+        n = len(people(done["retained"]))
+        markers = packed_markers.with_maf(table(done["retained"]), n).where(F.col("maf") >= c.pca_maf)
+        markers = persisted(ld.ranked(markers.withColumn("marker", F.col("rec")), "contig", F.struct("pos", "rec")), "markers")
+        stay = ld.ld_prune(markers.select("contig", "rank", "marker", "data"), markers.select("marker", "maf"), c.ld_window, c.ld_r2, c.ld_step)
+        chosen = markers.join(stay.select("marker"), "marker", "left_semi").select("rec", "contig", "contig_rank", "pos", "id", "data")
+        save(chosen, out)
+        _write_lines(table(out).orderBy("contig_rank", "pos", "rec").select("id"), f"{out}/data.prune.in")
+        release(markers)
+
+    def checked(done, out):
+        w.write_json(f"{out}/check.json", check_pca(spark, f"file://{done['retained']}/data.psam", c.pcs))
 
     def components(done, out):
-        order = [r["sample"] for r in table(done["prune"], "order").orderBy("at").limit(pca.MAX_SAMPLES + 1).collect()]
-        markers = table(done["prune"], "markers")
-        found = pca.principal_components(markers, order, c.pcs)
-        w.write_json(f"{out}/check.json", pca.check_components(found, pca.residuals(markers, found)))
-        save(spark.createDataFrame([(int(s), [float(x) for x in r]) for s, r in zip(found.samples, found.vectors, strict=True)], "sample long, pc array<double>"), out, "vectors")
+        samples = people(done["retained"])
+        found = pca.principal_components(table(done["prune"]), samples, c.pcs)
+        with open(f"{out}/data.eigenval", "w", encoding="utf-8") as f:
+            f.writelines(f"{x:.17g}\n" for x in found.values)
+        with open(f"{out}/data.eigenvec", "w", encoding="utf-8") as f:
+            f.write("\t".join(["#FID", "IID", *(f"PC{i + 1}" for i in range(c.pcs))]) + "\n")
+            f.writelines("\t".join([x, x, *(f"{v:.17g}" for v in row)]) + "\n" for x, row in zip(samples, found.vectors, strict=True))
+
+    def validated(done, out):
+        report = check_pca(spark, f"file://{done['retained']}/data.psam", c.pcs, f"file://{done['pca']}/data.eigenvec", f"file://{done['pca']}/data.eigenval", f"{done['bcf']}/cohort.bcf", f"file://{done['prune']}/data.prune.in")
+        w.write_json(f"{out}/validation.json", report)
 
     def s(name, run, needs=(), inputs=(), **params):
         return w.Stage(name, run, list(needs), params, VERSION, list(inputs))
 
+    first = [s("normalize", normal, inputs=[c.input, c.reference], assembly=c.assembly)] if c.reference else []
     return w.Workflow(
         c.work_dir,
         [
-            s("mask", masked, inputs=[c.input], min_dp=c.min_dp, min_gq=c.min_gq),
-            s("import", dosages, ["mask"]),
-            s("qc", checked, ["import"], sample_missing=c.sample_missing, variant_missing=c.variant_missing),
-            s("king", kinship, ["qc"], maf=c.kinship_maf, threshold=c.kinship_threshold),
-            s("select", selected, ["import", "qc", "king"], policy=c.relatedness_policy, threshold=c.kinship_threshold),
-            s("retained", retained, ["qc", "select"]),
-            s("prune", pruned, ["import", "retained"], maf=c.pca_maf, window=c.ld_window, step=c.ld_step, r2=c.ld_r2),
-            s("pca", components, ["prune"], pcs=c.pcs),
+            *first,
+            s("mask", masked, ["normalize"] if first else [], [c.input], min_dp=c.min_dp, min_gq=c.min_gq),
+            s("import", imported, ["mask"]),
+            s("missing", missing, ["import"]),
+            s("sample-qc", sample_qc, ["import"], sample_missing=c.sample_missing),
+            s("site-qc", site_qc, ["sample-qc"], variant_missing=c.variant_missing),
+            s("king", kinship, ["site-qc"], maf=c.kinship_maf, threshold=c.kinship_threshold),
+            s("select", selected, ["import", "site-qc", "king"], [c.samples] if c.samples else [], policy=c.relatedness_policy, threshold=c.kinship_threshold, assembly=c.assembly),
+            s("retained", retained, ["site-qc", "select"]),
+            s("bcf", cohort, ["mask", "retained"]),
+            s("stats", counted, ["bcf", "select"]),
+            s("prune", pruned, ["retained"], maf=c.pca_maf, window=c.ld_window, step=c.ld_step, r2=c.ld_r2),
+            s("pca-check", checked, ["retained"], pcs=c.pcs),
+            s("pca", components, ["retained", "prune", "pca-check"], pcs=c.pcs),
+            s("validate", validated, ["retained", "pca", "bcf", "prune"], pcs=c.pcs),
         ],
     )
 

@@ -123,6 +123,12 @@ def read_header(path: str) -> Header:
     return parse_header(lines, path)
 
 
+def header_of(h: Header, samples: list[str]) -> Header:
+    """The same header for some of its samples."""
+    lines = [*h.lines[:-1], "\t".join([*h.lines[-1].split("\t")[:9], *samples])]
+    return parse_header(lines, "a header of fewer samples")
+
+
 def numbers_of(h: Header, kind: str) -> dict[str, str]:
     """How many values each key of a kind (INFO or FORMAT) has, as the header declares it."""
     declared = [_attributes(x) for x in h.lines if x.startswith(f"##{kind}=<")]

@@ -77,13 +77,30 @@ def test_wrong_reads_configurations(spark, tmp_path):
 
 def test_genotypes_from_sections(spark, tmp_path):
     write(tmp_path / "c.vcf", vcf(cohort(), SAMPLES, HEADER))
-    base = {"schema_version": 1, "workflow_type": "genotypes", "work_dir": "g", "assembly": "x", "input": "c.vcf", "qc": {"min_dp": 10, "min_gq": 20}, "analysis": {"pcs": 3, "threads": 2, "ld_window": 3}}
+    write(tmp_path / "r.fa", ">1\nA\n")
+    write(tmp_path / "r.fa.fai", "1\t1\t3\t1\t2\n")
+    write(tmp_path / "other.fai", "1\t1\t3\t1\t2\n")
+    base = {
+        "schema_version": 1, "workflow_type": "genotypes", "work_dir": "g", "assembly": "x", "input": "c.vcf", "reference": "r.fa", "reference_index": "r.fa.fai", "qc": {"min_dp": 10, "min_gq": 20},
+        "analysis": {"pcs": 3, "threads": 2, "timeout_seconds": 60, "ld_window": 3, "relatedness_policy": "retain"},
+    }
     flow = configs.of_file(spark, save(tmp_path, base))
-    assert [s["stage"] for s in flow.plan()][-1] == "pca" and flow.stages["prune"].params["step"] == 3
-    with pytest.raises(GateError, match="unknown"):
-        configs.of_file(spark, save(tmp_path, base | {"analysis": {"pc": 3}}))
-    with pytest.raises(GateError, match="ld_step"):
-        configs.of_file(spark, save(tmp_path, base | {"analysis": {"ld_window": 3, "ld_step": 4}}))
+    assert [s["stage"] for s in flow.plan()][0] == "normalize" and [s["stage"] for s in flow.plan()][-1] == "validate"
+    assert flow.stages["prune"].params["step"] == 3 and flow.stages["normalize"].params == {"assembly": "x"}
+
+    def bad(match, **change):
+        with pytest.raises(GateError, match=match):
+            configs.of_file(spark, save(tmp_path, {k: v for k, v in (base | change).items() if v is not None}))
+
+    bad("unknown", analysis={"pc": 3})
+    bad("ld_step", analysis=base["analysis"] | {"ld_window": 3, "ld_step": 4})
+    bad("missing keys: relatedness_policy", analysis={"pcs": 3})
+    bad("timeout_seconds", analysis=base["analysis"] | {"timeout_seconds": 0})
+    bad("memory_mb", analysis=base["analysis"] | {"memory_mb": 64})
+    bad("reference must be a text", reference=None)
+    bad("isn't a file", reference="none.fa")
+    bad("beside", reference_index="other.fai")
+    bad("assembly", assembly=None)
 
 
 def task_config(tmp_path):

@@ -14,6 +14,7 @@ from locusflow import cli
 from locusflow.operators.sets import GateError
 from locusflow.plans import runs
 from locusflow.sources.sequences import read_reference
+from locusflow.sources.vcf import read_variants
 
 
 def test_statistics_are_published_whole(spark, tmp_path, capsys):
@@ -35,29 +36,128 @@ def test_statistics_are_published_whole(spark, tmp_path, capsys):
     assert not os.path.exists(tmp_path / "none") and not [p for p in os.listdir(tmp_path) if "staging" in p]
 
 
-def test_genotype_run_resumes(spark, tmp_path):
+STAGES = ["normalize", "mask", "import", "missing", "sample-qc", "site-qc", "king", "select", "retained", "bcf", "stats", "prune", "pca-check", "pca", "validate"]
+
+
+def test_genotype_run_of_the_described_cohort(spark, tmp_path):
+    """Every stage's result, from normalisation to the check of the components against the cohort's own BCF."""
     source = write(tmp_path / "c.vcf", vcf(cohort(), SAMPLES, HEADER))
-    config = {"work_dir": str(tmp_path / "w"), "input": source, "min_dp": 10, "min_gq": 20, "pcs": 3}
+    fasta = write(tmp_path / "r.fa", f">1\n{'A' * 2000}\n>X\n{'A' * 2000}\n")
+    people = write(tmp_path / "p.tsv", "sample\tpopulation\n" + "".join(f"{x}\t{'AB'[i % 2]}\n" for i, x in enumerate(SAMPLES)))
+    config = {"work_dir": str(tmp_path / "w"), "input": source, "reference": fasta, "assembly": "drawn", "samples": people, "relatedness_policy": "exclude", "min_dp": 10, "min_gq": 20, "pcs": 3}
     flow = lambda **kw: runs.genotype_workflow(spark, runs.GenotypeConfig.of(config | kw))
     first = flow().run()
-    assert first["ran"] == ["mask", "import", "qc", "king", "select", "retained", "prune", "pca"]
+    assert sorted(first["ran"]) == sorted(STAGES)
     where = first["results"]
-    check = json.load(open(f"{where['pca']}/check.json"))
-    assert check["samples"] == 61 and check["validated"] and 3 < check["markers"] < 236
-    excluded = {r["sample"]: r["reason"] for r in spark.read.parquet(f"{where['select']}/excluded.parquet").collect()}
-    assert excluded == {62: "sample_qc", 63: "sample_qc", 61: "related_to:0"}
+    load = lambda path: json.load(open(path))
+    assert load(f"{where['normalize']}/normalized.json")["records"] == 243
+    mask = load(f"{where['mask']}/mask/report.json")
+    assert [mask[k] for k in ("records", "eligible", "non_autosomal", "not_biallelic_snp", "site_filter")] == [243, 240, 1, 1, 1]
+    assert mask["samples"][63] == {"sample": "S63", "kept": 0, "missing": 1, "quality": 239, "unsupported": 0, "masked": 240}
+    assert mask["samples"][5]["unsupported"] == 1 and mask["totals"]["unsupported"] == 1
+    masked = {r["pos"]: r["calls"] for r in read_variants(spark, f"{where['mask']}/mask/masked.bcf")[0].where("pos IN (25, 30, 35, 40, 45)").collect()}
+    assert [masked[p][k]["gt"] for p, k in ((25, 2), (30, 3), (35, 4), (40, 5), (45, 6))] == [[None, None]] * 4 + [[0, 1]]
+    missing = [x.split("\t") for x in open(f"{where['missing']}/data.smiss").read().splitlines()]
+    assert missing[0] == ["IID", "MISSING_CT", "OBS_CT", "F_MISS"] and [r[0] for r in missing[1:] if float(r[3]) > 0.1] == ["S62", "S63"]
+    assert open(f"{where['missing']}/data.vmiss").read().splitlines()[2].split("\t")[1:4] == ["1:10:A:G", str(sum(x.startswith("./.") or x.endswith(":1:1") for x in cohort()[1][7].split(" "))), "64"]
+    assert spark.read.parquet(f"{where['site-qc']}/markers.parquet").count() == 238
+    pairs = [x.split("\t") for x in open(f"{where['king']}/data.kin0").read().splitlines()]
+    assert pairs == [["IID1", "IID2", "NSNP", "KINSHIP"], ["S00", "S61", pairs[1][2], "0.5"]]
+    report = load(f"{where['select']}/selection/selection.json")
+    assert report["sample_qc_excluded"] == ["S62", "S63"] and report["relatedness_excluded"] == [{"sample": "S61", "related_to": "S00"}]
+    assert len(report["retained"]) == 61 and report["assembly"] == "drawn"
+    records, samples, _ = read_variants(spark, f"{where['bcf']}/cohort.bcf")
+    assert samples.count() == 61 and records.count() == 238 and os.path.exists(f"{where['bcf']}/cohort.bcf.csi")
+    rows = [x.split("\t") for x in open(f"{where['stats']}/stats/samples.tsv").read().splitlines()]
+    assert len(rows) == 62 and rows[2][:2] == ["S01", "B"]
+    sites = open(f"{where['stats']}/stats/sites.tsv").read().splitlines()
+    assert len(sites) == 239 and sites[1].split("\t")[:3] == ["1", "15", "1:15:A:C"]
+    validation = load(f"{where['validate']}/validation.json")
+    assert validation["samples"] == 61 and validation["validated"] and 3 < validation["markers"] < 236 and max(validation["residuals"]) < 1e-3
+    assert validation["markers"] == len(open(f"{where['prune']}/data.prune.in").read().splitlines())
     assert flow().run()["ran"] == []
     again = flow(relatedness_policy="retain").run()
-    assert again["ran"] == ["select", "retained", "prune", "pca"]
-    assert json.load(open(f"{again['results']['pca']}/check.json"))["samples"] == 62
+    assert sorted(again["ran"]) == sorted(STAGES[STAGES.index("select") :])
+    assert load(f"{again['results']['validate']}/validation.json")["samples"] == 62
+    assert len(open(f"{again['results']['stats']}/stats/samples.tsv").read().splitlines()) == 63
+
+
+def test_genotype_run_normalises_first(spark, tmp_path):
+    """Alternatives of one record count as records of their own, and a wrong REF stops the run."""
+    records = [r for r in cohort() if r[0] == "1" and r[1] <= 1200]
+    gts = [c.split(":")[0] for c in records[30][7].split(" ")]
+    both = " ".join(f"{x.replace('1', '2') if i % 2 else x}:20:50" for i, x in enumerate(gts))
+    records[30] = ("1", records[30][1], "multi", "A", "C,G", "PASS", "GT:DP:GQ", both)
+    source = write(tmp_path / "c.vcf", vcf(records, SAMPLES, HEADER))
+    fasta = write(tmp_path / "r.fa", f">1\n{'A' * 2000}\n")
+    config = {"work_dir": str(tmp_path / "w"), "input": source, "relatedness_policy": "retain", "variant_missing": 1.0, "pcs": 3, "min_dp": 10, "min_gq": 20}
+    flow = lambda **kw: runs.genotype_workflow(spark, runs.GenotypeConfig.of(config | kw))
+    done = flow(reference=fasta).run()["results"]
+    ids = {r["id"] for r in spark.read.parquet(f"{done['import']}/markers.parquet").collect()}
+    assert len(ids) == 241 and {f"1:{records[30][1]}:A:C", f"1:{records[30][1]}:A:G"} <= ids
+    masked = read_variants(spark, f"{done['mask']}/mask/masked.bcf")[0].where(f"pos = {records[30][1]}").orderBy("rec").collect()
+    for k, r in enumerate(masked):
+        want = [[int(a) if a == "0" else (1 if a == str(k + 1) else None) for a in c.split(":")[0].split("/")] if "." not in c.split(":")[0] else None for c in both.split(" ")]
+        for got, x in zip(r["calls"][:61], want[:61], strict=True):
+            assert got["gt"] == (x if x and None not in x else [None, None])
+    without = flow(work_dir=str(tmp_path / "v")).run()["results"]
+    assert spark.read.parquet(f"{without['import']}/markers.parquet").count() == 239
+    other = write(tmp_path / "o.fa", f">1\n{'A' * 600}C{'A' * 1399}\n")
+    with pytest.raises(GateError, match="isn't what the reference has"):
+        records[120] = ("1", 601, *records[120][2:])
+        flow(input=write(tmp_path / "d.vcf", vcf(records, SAMPLES, HEADER)), reference=other, work_dir=str(tmp_path / "x")).run()
 
 
-@pytest.mark.parametrize("change", [{"x": 1}, {"pcs": 0}, {"pcs": 2.5}, {"sample_missing": 2}, {"relatedness_policy": "drop"}, {"min_dp": True}])
+@pytest.mark.parametrize("turn", [1 << 25, 64])
+def test_packed_markers_equal_plain_counting(spark, monkeypatch, turn):
+    import numpy as np
+
+    from locusflow.operators import packed_markers as pm
+    from locusflow.operators import relatedness as kin
+    from locusflow.sources.vcf import code_of
+
+    monkeypatch.setattr(pm, "TURNED", turn)
+    monkeypatch.setattr(pm, "COUNTS", 4)
+    rng = random.Random(4)
+    kinds = [None, [], [0, 0], [0, 1], [1, 1], [1, 0], [None, None], [0, None], [1], [0, 0, 1], [0, 2], [None], [None, 5], [3]]
+    rows = [(k, [(rng.choice(kinds), False, rng.choice([None, 7]), 9, None) for _ in range(11)]) for k in range(150)]
+    records = spark.createDataFrame(rows, "rec long, calls array<struct<gt:array<int>,phased:boolean,dp:int,gq:int,rest:string>>").repartition(4)
+    packed = pm.pack_calls(records)
+    got = {r["rec"]: (list(r["codes"]), list(np.frombuffer(r["dp"], np.int32))) for r in packed.collect()}
+    assert all(got[k] == ([code_of(c[0]) for c in calls], [c[2] if c[2] is not None else -(1 << 31) for c in calls]) for k, calls in rows)
+    digit = {1: 0, 2: 1, 3: 2}
+    x = np.array([[digit.get(code_of(c[0]), 3) for c in calls] for _, calls in rows])
+    markers = pm.dosage_rows(packed)
+    assert {r["rec"]: [b - 48 for b in r["data"]] for r in markers.collect()} == {k: x[k].tolist() for k in range(150)}
+    assert {r["idx"]: (r["missing"], r["total"]) for r in pm.missing_by_sample(markers).collect()} == {i: (int((x[:, i] == 3).sum()), 150) for i in range(11)}
+    keep = [9, 2, 4, 5]
+    some = pm.with_maf(pm.choose_samples(pm.choose_samples(markers, list(range(11))), keep), 4)
+    y = x[:, keep]
+    for r in some.collect():
+        row = y[r["rec"]]
+        called = row[row != 3]
+        p = called.sum() / (2 * len(called)) if len(called) else None
+        assert [b - 48 for b in r["data"]] == row.tolist() and r["missing"] == 4 - len(called) and r["alt_alleles"] == called.sum()
+        assert r["maf"] is None if p is None else r["maf"] == pytest.approx(min(p, 1 - p))
+    turned, width = pm.turned(markers.select(F.col("rec").alias("at"), "data"), 11)
+    cells = {}
+    for r in turned.collect():
+        cells.update({(r["sample"], r["part"] * width + i): b - 48 for i, b in enumerate(r["data"])})
+    assert all(cells[s, k] == (x[k, s] if k < 150 else 3) for s, k in cells) and len({s for s, _ in cells}) == 11
+    long = spark.createDataFrame([(s, k, None if x[k, s] == 3 else int(x[k, s])) for s in range(11) for k in range(150)], "sample long, marker int, dose int")
+    plain = {(r["a"], r["b"]): (r["nsnp"], round(r["kinship"], 12)) for r in kin.king_pairs_relational(long, -9).collect()}
+    assert {(r["a"], r["b"]): (r["nsnp"], round(r["kinship"], 12)) for r in kin.king_of_packed(turned, -9).collect()} == plain
+    fewer = {r["rec"]: [c["gt"] for c in r["calls"]] for r in pm.calls_of(records, keep).collect()}
+    assert fewer == {k: [calls[i][0] for i in keep] for k, calls in rows}
+
+
+@pytest.mark.parametrize("change", [{"x": 1}, {"pcs": 0}, {"pcs": 2.5}, {"sample_missing": 2}, {"relatedness_policy": "drop"}, {"min_dp": True}, {"reference": ""}, {"assembly": 3}])
 def test_bad_settings(change):
     with pytest.raises(GateError):
-        runs.GenotypeConfig.of({"work_dir": "w", "input": "i"} | change)
-    with pytest.raises(GateError):
-        runs.GenotypeConfig.of({"work_dir": "w"})
+        runs.GenotypeConfig.of({"work_dir": "w", "input": "i", "relatedness_policy": "retain"} | change)
+    for given in ({"work_dir": "w"}, {"work_dir": "w", "input": "i"}):
+        with pytest.raises(GateError, match="missing"):
+            runs.GenotypeConfig.of(given)
 
 
 def test_reads_to_joint_calls(spark, tmp_path):
