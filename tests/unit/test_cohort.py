@@ -131,16 +131,51 @@ def test_relatedness_ld_and_components(spark, run):
         pca.principal_components(chosen, order[:2], 1)
 
 
-def test_exclusions_match_the_sequential_rule(spark):
+@pytest.mark.parametrize("task_pairs", [10**6, 9, 0])
+def test_exclusions_match_the_sequential_rule(spark, task_pairs):
     rng = random.Random(8)
-    edges = [(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.06]
+    edges = [(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.06] + [(100 + 10 * k, 100 + 10 * k + rng.randrange(1, 9)) for k in range(30)]
     out: dict[int, int] = {}
     for a, b in sorted(edges):
         if a not in out and b not in out:
             out[b] = a
-    got = kin.related_exclusions(spark.createDataFrame(edges + [(b, a) for a, b in edges[:3]], "a long, b long"))
-    assert {r["sample"]: r["reason"] for r in got.collect()} == out
-    assert kin.related_exclusions(spark.createDataFrame([], "a long, b long")).count() == 0
+    frame = spark.createDataFrame(edges + [(b, a) for a, b in edges[:3]] + [(7, 7)], "a long, b long")
+    assert {r["sample"]: r["reason"] for r in kin.related_exclusions(frame, task_pairs).collect()} == out
+    named = frame.select(*(F.concat(F.lit("S"), F.lpad(F.col(c).cast("string"), 4, "0")).alias(c) for c in "ab"))
+    assert {(int(r["sample"][1:]), int(r["reason"][1:])) for r in kin.related_exclusions(named, task_pairs).collect()} == set(out.items())
+    assert kin.related_exclusions(spark.createDataFrame([], "a long, b long"), task_pairs).count() == 0
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(5).select((F.col("id") * 3 + 20_000).alias("a"), (F.col("id") * 3 + 20_001).alias("b")))
+    tracker = spark.sparkContext.statusTracker()
+    for task_pairs, most in ((10**6, 10), (n, 250)):
+        spark.sparkContext.setJobGroup(f"chain-{task_pairs}", "")
+        got = {r["sample"]: r["reason"] for r in kin.related_exclusions(chain, task_pairs).collect()}
+        jobs = len(tracker.getJobIdsForGroup(f"chain-{task_pairs}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == {**{i: i - 1 for i in range(1, n + 1, 2)}, **{20_001 + 3 * i: 20_000 + 3 * i for i in range(5)}}
+        assert jobs < most
+
+
+def test_components_match_a_union_of_sets(spark):
+    from locusflow.operators.components import components
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(70)] + [(900, 900 + i) for i in range(40)] + [(999, 999)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: top(x) for x in root} and len(got) == len(root)
 
 
 def test_band_join_matches_brute_force(spark):
