@@ -140,6 +140,25 @@ def primary_alignment(flag: Column) -> Column:
     return flag.bitwiseAND(SECONDARY | SUPPLEMENTARY) == 0
 
 
+def aligned_places(cigar: Column, length: Column) -> Column:
+    """For each base of a read how far behind the alignment's first base it lies; null where it isn't aligned.
+
+    A CIGAR that is null, ``*`` or one run of matches takes no work.
+    """
+    plain = cigar.isNull() | cigar.rlike(r"^(\*|[0-9]+[M=X])$")
+    runs = F.arrays_zip(F.transform(F.regexp_extract_all(cigar, F.lit(r"([0-9]+)[MIDNSHP=X]"), 1), lambda n: n.cast("int")).alias("n"), F.regexp_extract_all(cigar, F.lit(r"[0-9]+([MIDNSHP=X])"), 1).alias("op"))
+    nothing = F.array().cast("array<int>")
+
+    def step(state: Column, run: Column) -> Column:
+        n, op, at = run["n"], run["op"], state["at"]
+        aligned, inside, skipped = op.isin("M", "=", "X"), op.isin("I", "S"), op.isin("D", "N")
+        more = F.when((n > 0) & aligned, F.sequence(at, at + n - 1)).when((n > 0) & inside, F.array_repeat(F.lit(None).cast("int"), n)).otherwise(nothing)
+        return F.struct(F.when(aligned | skipped, at + n).otherwise(at).alias("at"), F.concat(state["places"], more).alias("places"))
+
+    walked = F.aggregate(runs, F.struct(F.lit(0).alias("at"), nothing.alias("places")), step, lambda s: s["places"])
+    return F.when(plain, F.sequence(F.lit(0), length - 1)).otherwise(walked)
+
+
 def qualities(text: Column) -> Column:
     """Phred scores of a quality string with offset 33."""
     return F.transform(F.split(text, ""), lambda c: F.ascii(c) - 33)

@@ -59,13 +59,15 @@ def capped(rows: DataFrame, group: list[str], order: list, most: int = MAX_DEPTH
 
 
 def pileup(alignments: DataFrame, min_mapq: int = 20, min_base_quality: int = 20, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(sample, contig, pos, base, quality, reverse) of the bases of usable, ungapped alignments.
+    """(sample, contig, pos, base, quality, reverse) of the bases of usable alignments.
 
-    alignments: sample, library, contig, pos (1-based), flag, mapq, name, seq, qual. Depth is capped per library.
+    alignments: sample, library, contig, pos (1-based), flag, mapq, name, seq, qual, and cigar if there are gaps or clipped
+    ends. Depth is capped per library.
     """
     rows = alignments.where(g.usable_alignment(F.col("flag")) & (F.col("mapq") >= min_mapq))
-    bases = rows.select("sample", "library", "contig", "pos", "name", "flag", F.posexplode(F.arrays_zip(F.split("seq", "").alias("base"), g.qualities(F.col("qual")).alias("quality"))).alias("at", "b"))
-    bases = bases.select("sample", "library", "contig", (F.col("pos") + F.col("at")).alias("pos"), "name", F.col("flag").bitwiseAND(g.REVERSE).alias("strand"), F.upper("b.base").alias("base"), F.col("b.quality").alias("quality"))
+    at = g.aligned_places(F.col("cigar"), F.length("seq")) if "cigar" in rows.columns else F.sequence(F.lit(0), F.length("seq") - 1)
+    bases = rows.where(F.length("seq") > 0).select("sample", "library", "contig", "pos", "name", "flag", F.explode(F.arrays_zip(F.split("seq", "").alias("base"), g.qualities(F.col("qual")).alias("quality"), at.alias("at"))).alias("b")).where("b.at IS NOT NULL")
+    bases = bases.select("sample", "library", "contig", (F.col("pos") + F.col("b.at")).alias("pos"), "name", F.col("flag").bitwiseAND(g.REVERSE).alias("strand"), F.upper("b.base").alias("base"), F.col("b.quality").alias("quality"))
     bases = bases.where((F.col("quality") >= min_base_quality) & F.col("base").isin("A", "C", "G", "T"))
     return capped(bases, ["library", "contig", "pos"], ["name", "strand"], max_depth).select("sample", "contig", "pos", "base", "quality", "strand")
 

@@ -568,11 +568,10 @@ def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, s
     rows = trim.trim_adapters(rows, ["run", "ordinal"]) if trim_adapters else rows
     rows = persisted(reads.passing_pairs(rows, ["run", "ordinal"], **(filters or {})), "reads")
     libraries = spark.createDataFrame([(r["id"], r["sample"], r["library"]) for r in runs], "run string, sample string, library string")
-    longest = rows.agg(F.max(F.length("seq"))).first()[0] or placement.SEED
-    wide = persisted(placement.overlapping_chunks(reference, size, longest), "reference")
-    seeds = persisted(placement.reference_seeds(placement.overlapping_chunks(reference, size, placement.SEED - 1)), "seeds")
-    pairs = placement.place_pairs(persisted(placement.place_reads(rows, wide, seeds, size), "places"), fragment)
-    placed = placement.alignments(pairs, rows, libraries)
+    longest = rows.agg(F.max(F.length("seq"))).first()[0] or 1
+    wide = persisted(placement.overlapping_chunks(reference, size, longest + placement.MARGIN), "reference")
+    pairs = persisted(placement.placed_pairs(rows, wide, size, fragment), "places")
+    placed = placement.alignments(placement.with_cigars(pairs, rows, wide, size), rows, libraries)
     placed = placed if contigs is None else placed.where(F.col("contig").isin(contigs))
     bases = persisted(reads.pileup(placed, min_mapq, min_base_quality, max_depth), "bases")
     sites = persisted(reads.candidate_sites(bases, reference, size), "sites")

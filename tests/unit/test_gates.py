@@ -198,11 +198,10 @@ def test_reads_in_repeats_are_placed_without_confidence(spark):
     reference = base(500) + unit * 90 + base(500)
     size = 1000
     chunks = spark.createDataFrame([("1", i // size, reference[i : i + size]) for i in range(0, len(reference), size)], "contig string, chunk long, bases string")
-    seeds = placement.reference_seeds(placement.overlapping_chunks(chunks, size, placement.SEED - 1))
     wide = placement.overlapping_chunks(chunks, size, 400)
     starts = {1: 20, 2: 500 + 40 * 200 + 10, 3: 500 + 3 * 200}
     reads = spark.createDataFrame([("r", k, m, reference[s : s + 100] if m == 1 else complement(reference[s + 150 : s + 250])) for k, s in starts.items() for m in (1, 2)], "run string, ordinal long, mate int, seq string")
-    out = {r["ordinal"]: r for r in placement.place_pairs(placement.place_reads(reads, wide, seeds, size)).collect()}
+    out = {r["ordinal"]: r for r in placement.placed_pairs(reads, wide, size).collect()}
     assert set(out) == {1, 2, 3}
     assert (out[1]["start1"], out[1]["mapq"]) == (20, 42) and out[2]["mapq"] == out[3]["mapq"] == 0
     assert all((out[k]["start1"] - starts[k]) % 200 == 0 for k in (2, 3))

@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from fixtures import bgzf, write
 from pyspark.sql import functions as F
@@ -58,11 +60,9 @@ def test_from_reads_to_calls(spark, tmp_path):
     good = reads.passing_pairs(everything, ["run", "ordinal"]).cache()
     assert good.count() == everything.count() - 2 * len(RUNS)
     libraries = spark.createDataFrame(RUNS, "run string, sample string, library string")
-    overlapping = placement.overlapping_chunks(chunks, size, 200).cache()
-    seeds = placement.reference_seeds(placement.overlapping_chunks(chunks, size, placement.SEED - 1))
-    places = placement.place_reads(good, overlapping, seeds, size)
-    pairs = placement.place_pairs(places)
-    aligned = placement.alignments(pairs, good, libraries).cache()
+    overlapping = placement.overlapping_chunks(chunks, size, 150 + placement.MARGIN).cache()
+    pairs = placement.placed_pairs(good, overlapping, size).cache()
+    aligned = placement.alignments(placement.with_cigars(pairs, good, overlapping, size), good, libraries).cache()
     counts = {r["library"]: (r["records"], r["mapped"], r["duplicates"], r["usable"]) for r in reads.library_counts(aligned).collect()}
     assert counts == {"A_lib1": (288, 288, 144, 144), "A_lib2": (144, 144, 0, 144), "B_lib1": (144, 144, 0, 144), "C_lib1": (96, 96, 0, 96)}
     bases = reads.pileup(aligned).cache()
@@ -199,3 +199,143 @@ def test_small_tables(spark, tmp_path):
     with pytest.raises(GateError):
         tables.read_bed(spark, write(tmp_path / "c.bed", "1\t5\t5\n"))
     assert tables.read_fai(spark, write(tmp_path / "r.fai", "1\t2000\t3\t2000\t2001\n")).first()["length"] == 2000
+
+
+# ---- placement with gaps
+
+
+def edits_from(read, bases):
+    """The fewest edits of a read from each start on, to any end: the whole table, a row at a time from the read's end."""
+    n, m = len(read), len(bases)
+    row = np.zeros(m + 1, int)
+    for k in range(n - 1, -1, -1):
+        differ = np.array([x != read[k] or x == "N" for x in bases], int)
+        new = np.concatenate([np.minimum(row[1:] + differ, row[:-1] + 1), [row[-1] + 1]])
+        # From the right: a base of the reference that the read lacks.
+        back = new[::-1] - np.arange(m + 1)
+        row = (np.minimum.accumulate(back) + np.arange(m + 1))[::-1]
+    return row[:m]
+
+
+def all_places(read, contigs, most):
+    e = min(most, len(read) // placement.BASES_AN_EDIT - 1)
+    out = set()
+    for strand, text in (("+", read), ("-", complement(read))):
+        for contig, bases in contigs.items():
+            found = edits_from(text, bases)
+            for s in np.flatnonzero(found <= e).tolist():
+                near = range(max(0, s - placement.NEAR), min(len(bases), s + placement.NEAR + 1))
+                if (found[s], s) == min((found[t], t) for t in near):
+                    out.add((strand, contig, s, int(found[s])))
+    return out
+
+
+def edited(rng, text, n):
+    text = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(text))
+        kind = rng.randrange(3)
+        if kind == 0:
+            text[at] = rng.choice("ACGT")
+        elif kind == 1:
+            text.insert(at, rng.choice("ACGT"))
+        elif len(text) > 1:
+            del text[at]
+    return "".join(text)
+
+
+def chunked(spark, contigs, size):
+    rows = [(c, i // size, bases[i : i + size]) for c, bases in contigs.items() for i in range(0, len(bases), size)]
+    return spark.createDataFrame(rows, "contig string, chunk long, bases string")
+
+
+@pytest.mark.parametrize("size, most", [(100, 8), (1000, 8), (1000, 3)])
+def test_every_place_is_found(spark, size, most):
+    """Against the whole table of edits: any kind of edits, ends of contigs, unknown bases, and a repeat that stands 70 times."""
+    rng = random.Random(3)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    unit = base(23)
+    contigs = {"1": base(400) + unit * 70 + base(300) + "N" * 40 + base(200), "X": base(260) + "ACAC" * 40}
+    reads, texts = [], {}
+    for k in range(60):
+        contig = rng.choice(["1", "1", "X"])
+        n = rng.choice([35, 60, 100, 110, 150])
+        s = rng.randrange(0, len(contigs[contig]) - n + 1)
+        if k % 10 == 0:
+            s = rng.choice([0, len(contigs[contig]) - n])
+        text = edited(rng, contigs[contig][s : s + n], rng.randrange(0, 10))
+        texts[k] = text if k % 2 else complement(text)
+        reads.append(("r", k, 1, texts[k]))
+    texts[100], texts[101], texts[102] = (unit * 5)[:101], base(120), "ACGTACG"
+    reads += [("r", k, 1, texts[k]) for k in (100, 101, 102)]
+    wide = placement.overlapping_chunks(chunked(spark, contigs, size), size, 170 + placement.MARGIN).cache()
+    frame = spark.createDataFrame(reads, "run string, ordinal long, mate int, seq string")
+    got = {}
+    for r in placement.place_reads(frame, wide, size, most).collect():
+        assert r["length"] == len(texts[r["ordinal"]])
+        got.setdefault(r["ordinal"], set()).add((r["strand"], r["contig"], r["start"], r["edits"]))
+    want = {k: p for k, t in texts.items() if (p := all_places(t, contigs, most))}
+    assert got == want
+    assert len(want[100]) > 60 and sum(1 for p in want.values() for x in p if x[3] > 1) > 20
+
+
+def test_pairs_are_the_best_of_all_places_whatever_the_tier(spark):
+    rng = random.Random(8)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    half = base(600)
+    contigs = {"1": base(700) + half + base(500) + edited(rng, half, 12), "2": base(300) + half[100:500] + base(200)}
+    rows = []
+    for k in range(50):
+        c = rng.choice(["1", "1", "2"])
+        s = rng.randrange(0, len(contigs[c]) - 320)
+        one, two = edited(rng, contigs[c][s : s + 110], rng.choice([0, 0, 1, 2, 5, 8])), complement(edited(rng, contigs[c][s + 190 : s + 300], rng.choice([0, 1, 3, 6])))
+        rows += [("r", k, 1 + k % 2, one), ("r", k, 2 - k % 2, two)]
+    size = 500
+    wide = placement.overlapping_chunks(chunked(spark, contigs, size), size, 130 + placement.MARGIN).cache()
+    frame = spark.createDataFrame(rows, "run string, ordinal long, mate int, seq string").cache()
+    tiers = sorted(map(str, placement.placed_pairs(frame, wide, size).collect()))
+    whole = placement.placed_pairs(frame, wide, size, tiers=(8,)).collect()
+    assert tiers == sorted(map(str, whole)) and len(whole) > 40
+    assert {r["mapq"] for r in whole} >= {0, 42}
+    out = {(r["ordinal"], m): (r[f"cigar{m}"], r[f"span{m}"], r["contig"], r[f"start{m}"], r["strand1"] if m == 1 else "-+"[r["strand1"] == "-"]) for r in placement.with_cigars(spark.createDataFrame(whole), frame, wide, size).collect() for m in (1, 2)}
+    gaps = 0
+    for _, k, m, seq in rows:
+        if (k, m) not in out:
+            continue
+        cigar, span, contig, start, strand = out[k, m]
+        text = seq if strand == "+" else complement(seq)
+        runs = [(int(n), op) for n, op in re.findall(r"([0-9]+)([MID])", cigar)]
+        assert sum(n for n, op in runs if op != "D") == len(text) and sum(n for n, op in runs if op != "I") == span
+        assert start + span <= len(contigs[contig])
+        at, cost, i = start, 0, 0
+        for n, op in runs:
+            if op == "M":
+                cost += 4 * sum(a != b for a, b in zip(text[i : i + n], contigs[contig][at : at + n]))
+            cost += 0 if op == "M" else 6 + n
+            at, i = at + n * (op != "I"), i + n * (op != "D")
+        plain = 4 * sum(a != b for a, b in zip(text, contigs[contig][start : start + len(text)].ljust(len(text))))
+        assert cost <= plain
+        gaps += len(runs) > 1
+    assert gaps > 10
+
+
+def test_gaps_stand_left_and_cost_as_said():
+    pad = lambda x, n: np.frombuffer(x.encode().ljust(n, b"#"), np.uint8)[None]
+    align = lambda read, window: "".join(f"{n}{op}" for n, op in placement.affine(pad(read, len(read)), pad(window, len(read) + 8), 8)[0])
+    assert align("ACGTACGTTTTTGCA", "ACGTACGTTTTTTTGCA") == "7M2D8M"
+    assert align("GATTACAAAAAACCGT", "GATTACAAAACCGTTG") == "6M2I8M"
+    assert align("GGCATTTACC", "GGCAGTTACC") == "10M"
+    assert align("ACGT" * 5, "ACGT" * 4) == "4I16M"
+
+
+def test_pileup_follows_cigars(spark):
+    rows = [("a", "1", 10, "4M2D3M", "ACGTTTA"), ("b", "1", 10, "2S3M1I2M", "NNACGTAC"), ("c", "1", 12, "*", "GG"), ("d", "1", 12, None, "GG"), ("e", "1", 12, "2M3N1=1X", "CCAT"), ("f", "1", 5, "3H2I", "AC"), ("g", "1", 5, "", "")]
+    frame = spark.createDataFrame([("s", n, c, p, 2, 60, x, n, q, "I" * len(q)) for n, c, p, x, q in rows], "sample string, library string, contig string, pos long, flag int, mapq int, cigar string, name string, seq string, qual string")
+    out = {}
+    for lib in "abcdefg":
+        found = reads.pileup(frame.where(F.col("library") == lib)).select("pos", "base").orderBy("pos").collect()
+        out[lib] = [(r["pos"], r["base"]) for r in found]
+    assert out["a"] == [(10, "A"), (11, "C"), (12, "G"), (13, "T"), (16, "T"), (17, "T"), (18, "A")]
+    assert out["b"] == [(10, "A"), (11, "C"), (12, "G"), (13, "A"), (14, "C")]
+    assert out["c"] == out["d"] == [(12, "G"), (13, "G")] and out["e"] == [(12, "C"), (13, "C"), (17, "A"), (18, "T")]
+    assert out["f"] == out["g"] == []
