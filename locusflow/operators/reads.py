@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions import genetics as g
+from locusflow.session import prepare_workers
 
 MAX_DEPTH = 250
 
@@ -72,35 +78,50 @@ def pileup(alignments: DataFrame, min_mapq: int = 20, min_base_quality: int = 20
     return capped(bases, ["library", "contig", "pos"], ["name", "strand"], max_depth).select("sample", "contig", "pos", "base", "quality", "strand")
 
 
+#: Alleles of a site at most: one for each base. Pairs of them in the order in which the format lists genotypes.
+ALLELES = 4
+GENOTYPES = [(i, j) for j in range(ALLELES) for i in range(j + 1)]
+
+
 def genotype_likelihoods(bases: DataFrame, sites: DataFrame) -> DataFrame:
-    """Depths and log10 likelihoods of the three genotypes by (sample, site). sites: contig, pos, ref, alt."""
+    """Depths and log10 likelihoods of all genotypes by (sample, site). sites: contig, pos, ref, alts.
+
+    depths has the reference's depth and that of each alternative; likelihoods are in the order of GENOTYPES, as many as
+    the site's alleles make. All are sums, so a site's bases are added up where they are before anything moves.
+    """
     e = F.pow(F.lit(10.0), -F.col("quality") / 10)
-    match = lambda allele: F.when(F.col("base") == F.col(allele), 1 - e).otherwise(e / 3)
-    rows = bases.join(sites, ["contig", "pos"])
-    log = lambda p: F.sum(F.log10(p))
-    return rows.groupBy("sample", "contig", "pos", "ref", "alt").agg(
-        F.count("*").alias("dp"), F.count_if(F.col("base") == F.col("ref")).alias("ref_depth"), F.count_if(F.col("base") == F.col("alt")).alias("alt_depth"), log(match("ref")).alias("l0"), log((match("ref") + match("alt")) / 2).alias("l1"), log(match("alt")).alias("l2")
-    )
+    rows = bases.join(sites, ["contig", "pos"]).withColumn("alleles", F.concat(F.array("ref"), "alts"))
+    of = F.transform("alleles", lambda a: F.when(F.col("base") == a, 1 - e).otherwise(e / 3))
+    rows = rows.withColumn("p", of)
+    at = lambda k: F.get("p", F.lit(k))
+    n = F.size("alts") + 1
+    logs = [F.sum(F.log10((at(i) + at(j)) / 2)).alias(f"_l{i}{j}") for i, j in GENOTYPES]
+    depths = [F.count_if(F.col("base") == F.get("alleles", F.lit(k))).alias(f"_d{k}") for k in range(ALLELES)]
+    out = rows.groupBy("sample", "contig", "pos", "ref", "alts").agg(F.count("*").alias("dp"), *depths, *logs)
+    every = F.array(*(F.col(f"_l{i}{j}") for i, j in GENOTYPES))
+    return out.select("sample", "contig", "pos", "ref", "alts", "dp", F.slice(F.array(*(F.col(f"_d{k}") for k in range(ALLELES))), F.lit(1), n).alias("depths"), F.slice(every, F.lit(1), (n * (n + 1) / 2).cast("int")).alias("likelihoods"))
 
 
 def call_genotypes(likelihoods: DataFrame, prior: float = 1e-3) -> DataFrame:
     """Adds gt and gq: the likeliest genotype under a prior for non-reference ones, and its Phred-scaled odds."""
-    post = [F.col("l0"), F.col("l1") + F.log10(F.lit(prior)), F.col("l2") + F.log10(F.lit(prior / 2))]
-    ranked = F.sort_array(F.array(*(F.struct(p.alias("p"), F.lit(t).alias("gt")) for p, t in zip(post, ("0/0", "0/1", "1/1"), strict=True))), asc=False)
+    weight = lambda i, j: F.lit(0.0 if j == 0 else math.log10(prior) if i == 0 else math.log10(prior / 2) * (1 if i == j else 2))
+    every = F.arrays_zip(F.col("likelihoods").alias("l"), F.array(*(weight(i, j) for i, j in GENOTYPES)).alias("w"), F.array(*(F.lit(f"{i}/{j}") for i, j in GENOTYPES)).alias("gt"))
+    ranked = F.sort_array(F.transform(F.filter(every, lambda x: x["l"].isNotNull()), lambda x: F.struct((x["l"] + x["w"]).alias("p"), x["gt"].alias("gt"))), asc=False)
     gq = F.least(F.lit(99), F.round(10 * (ranked[0]["p"] - ranked[1]["p"])).cast("int"))
     return likelihoods.withColumns({"gt": ranked[0]["gt"], "gq": gq})
 
 
 def candidate_sites(bases: DataFrame, reference: DataFrame, chunk: int, least_alt: int = 2) -> DataFrame:
-    """Sites where some base other than the reference is seen often enough: contig, pos, ref, alt (the commonest).
+    """Sites where bases other than the reference are seen often enough: contig, pos, ref, alts (all such, the commonest first).
 
     reference: contig, chunk, bases of ``chunk`` bases each.
     """
     counts = bases.groupBy("contig", "pos", "base").agg(F.count("*").alias("n"))
     joined = counts.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk)).join(reference, ["contig", "chunk"])
     ref = F.upper(F.substring(F.col("bases"), (F.col("pos") - 1 - F.col("chunk") * chunk + 1).cast("int"), F.lit(1)))
-    other = joined.withColumn("ref", ref).where(F.col("base") != F.col("ref"))
-    return other.groupBy("contig", "pos", "ref").agg(F.max_by("base", F.struct("n", "base")).alias("alt"), F.max("n").alias("n")).where(F.col("n") >= least_alt).drop("n")
+    other = joined.withColumn("ref", ref).where((F.col("base") != F.col("ref")) & F.col("ref").isin("A", "C", "G", "T") & (F.col("n") >= least_alt))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "base")))
+    return other.groupBy("contig", "pos", "ref").agg(F.transform(ranked, lambda x: x["base"]).alias("alts"))
 
 
 def library_counts(alignments: DataFrame) -> DataFrame:
@@ -128,31 +149,72 @@ def mate_links(alignments: DataFrame) -> DataFrame:
     return out.withColumn("linked", (F.col("firsts") == 1) & (F.col("seconds") == 1))
 
 
+def posteriors(likelihoods: np.ndarray, alleles: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights of each sample's genotypes, allele frequencies, log10 gain over a site without alternatives).
+
+    likelihoods: log10, samples by genotypes. Frequencies are those that make all samples' likelihoods most probable under
+    Hardy-Weinberg proportions, by expectation-maximisation from 0.9 for the reference on.
+    """
+    pairs = np.array(GENOTYPES[: alleles * (alleles + 1) // 2])
+    e = 10.0 ** (likelihoods - likelihoods.max(1, keepdims=True))
+    share = np.zeros((len(pairs), alleles))
+    for k in range(2):
+        share[np.arange(len(pairs)), pairs[:, k]] += 0.5
+    twice = np.where(pairs[:, 0] == pairs[:, 1], 1.0, 2.0)
+    weights = lambda f: e * (twice * f[pairs[:, 0]] * f[pairs[:, 1]])
+    f = np.full(alleles, 0.1 / max(1, alleles - 1))
+    f[0] = 1 - f[1:].sum()
+    for _ in range(steps):
+        w = weights(f)
+        f = (w / w.sum(1, keepdims=True) @ share).mean(0)
+    w = weights(f)
+    gain = np.log10(np.maximum(w.sum(1), 1e-300)) - np.log10(np.maximum(e[:, 0], 1e-300))
+    return np.maximum(w, 1e-300), f, float(gain.sum())
+
+
+def _called(steps: int, variant: float):
+    """Rows (contig, pos, ref, alts, s), s the samples of a site, to one row for each sample of a variant site."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                alts = row["alts"]
+                w, f, gain = posteriors(np.array([x["likelihoods"] for x in row["s"]]), len(alts) + 1, steps)
+                if 10 * gain < variant:
+                    continue
+                best = w.argmax(1)
+                # An alternative that nobody has goes, but for the commonest if nobody has any.
+                had = {a for g_ in best for a in GENOTYPES[g_]} - {0} or {1 + int(f[1:].argmax())}
+                keep = [0, *sorted(had)]
+                number = {a: k for k, a in enumerate(keep)}
+                wrong = 1 - w[np.arange(len(best)), best] / w.sum(1)
+                for x, g_, odds in zip(row["s"], best.tolist(), wrong.tolist(), strict=True):
+                    i, j = GENOTYPES[g_]
+                    gt = f"{number[i]}/{number[j]}" if i in number and j in number else "./."
+                    out.append(
+                        {"sample": x["sample"], "contig": row["contig"], "pos": row["pos"], "ref": row["ref"], "alts": [alts[a - 1] for a in keep[1:]], "dp": x["dp"], "depths": [x["depths"][a] for a in keep]}
+                        | {"gt": gt, "gq": min(99, round(-10 * math.log10(max(odds, 1e-10)))), "frequencies": [float(f[a]) for a in keep[1:]], "quality": 10 * gain}
+                    )
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _CALLED)
+
+    return run
+
+
+_CALLED = pa.schema([("sample", pa.string()), ("contig", pa.string()), ("pos", pa.int64()), ("ref", pa.string()), ("alts", pa.list_(pa.string())), ("dp", pa.int64()), ("depths", pa.list_(pa.int64())), ("gt", pa.string()), ("gq", pa.int32()), ("frequencies", pa.list_(pa.float64())), ("quality", pa.float64())])
+
+
 def joint_genotypes(likelihoods: DataFrame, steps: int = 20, variant: float = 10.0) -> DataFrame:
-    """Genotypes of all samples of a site together: gt, gq, and the site's frequency and quality.
+    """Genotypes of all samples of a site together: sample, contig, pos, ref, alts, dp, depths, gt, gq, frequencies, quality.
 
-    The frequency of the alternative is what makes all samples' likelihoods most probable under Hardy-Weinberg
-    proportions (expectation-maximisation, so many steps, inside one row per site: its size is that of the cohort). It is
-    each sample's prior. quality is the Phred-scaled gain over a site without the alternative; sites below ``variant`` go.
+    A site may have several alternatives, and all diploid genotypes of its alleles count. The frequencies are what makes all samples'
+    likelihoods most probable (see :func:`posteriors`, inside one row per site: its size is that of the cohort) and every
+    sample's prior. quality is the Phred-scaled gain over a site without alternatives; sites below ``variant`` go. An
+    alternative that no sample has isn't listed.
     """
-    own = F.struct("sample", "dp", "ref_depth", "alt_depth", *(F.pow(F.lit(10.0), F.col(f"l{k}") - F.greatest("l0", "l1", "l2")).alias(f"e{k}") for k in range(3)))
-    sites = likelihoods.groupBy("contig", "pos", "ref", "alt").agg(F.sort_array(F.collect_list(own)).alias("s"))
-
-    def weights(x, p):
-        return x["e0"] * (1 - p) * (1 - p), 2 * x["e1"] * p * (1 - p), x["e2"] * p * p
-
-    def step(p, _):
-        share = F.transform("s", lambda x: (weights(x, p)[1] + 2 * weights(x, p)[2]) / (2 * (weights(x, p)[0] + weights(x, p)[1] + weights(x, p)[2])))
-        return F.aggregate(share, F.lit(0.0), lambda a, y: a + y) / F.size("s")
-
-    rows = sites.withColumn("frequency", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.1), step))
-    log = lambda x, p: F.log10(F.greatest(weights(x, p)[0] + weights(x, p)[1] + weights(x, p)[2], F.lit(1e-300)))
-    total = lambda p: F.aggregate(F.transform("s", lambda x: log(x, p)), F.lit(0.0), lambda a, y: a + y)
-    rows = rows.withColumn("quality", 10 * (total(F.col("frequency")) - total(F.lit(0.0)))).where(F.col("quality") >= variant)
-    each = rows.select("contig", "pos", "ref", "alt", "frequency", "quality", F.explode("s").alias("x"))
-    w = [F.greatest(v, F.lit(1e-300)) for v in weights(F.col("x"), F.col("frequency"))]
-    ranked = F.sort_array(F.array(*(F.struct(v.alias("w"), F.lit(t).alias("gt")) for v, t in zip(w, ("0/0", "0/1", "1/1"), strict=True))), asc=False)
-    # The odds of being wrong: what the other two genotypes weigh against all three.
-    wrong = (ranked[1]["w"] + ranked[2]["w"]) / (ranked[0]["w"] + ranked[1]["w"] + ranked[2]["w"])
-    gq = F.least(F.lit(99), F.round(-10 * F.log10(F.greatest(wrong, F.lit(1e-10)))).cast("int"))
-    return each.select("x.sample", "contig", "pos", "ref", "alt", "x.dp", "x.ref_depth", "x.alt_depth", ranked[0]["gt"].alias("gt"), gq.alias("gq"), "frequency", "quality")
+    prepare_workers(likelihoods.sparkSession)
+    own = F.struct("sample", F.col("dp").cast("long").alias("dp"), F.transform("depths", lambda d: d.cast("long")).alias("depths"), "likelihoods")
+    sites = likelihoods.groupBy("contig", F.col("pos").cast("long").alias("pos"), "ref", "alts").agg(F.sort_array(F.collect_list(own)).alias("s"))
+    shape = "sample string, contig string, pos long, ref string, alts array<string>, dp long, depths array<long>, gt string, gq int, frequencies array<double>, quality double"
+    return sites.mapInArrow(_called(steps, variant), shape)

@@ -16,14 +16,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.operators import acquire
+from locusflow.operators import acquire, normalize
 from locusflow.operators.sets import GateError
 from locusflow.plans import runs
 from locusflow.plans import workflow as w
 from locusflow.session import persisted
 from locusflow.sources import sequences, tables
 from locusflow.sources.bcf_sink import write_bcf
-from locusflow.sources.vcf import OWN, parse_header
+from locusflow.sources.vcf import OWN, parse_header, read_variants
 
 NAME = re.compile("[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
 PLACE = re.compile(r"\{(?:(input|task):([a-z0-9][a-z0-9_-]*)|(out))\}")
@@ -171,7 +171,7 @@ def read_people(spark: SparkSession, path: str | None, samples: list[str]) -> Da
 
 
 def records_of_calls(called: DataFrame, contigs: list[tuple[str, int]], samples: list[str]) -> tuple[DataFrame, object]:
-    """(records as read_variants gives them, header) of one row per call: contig, pos, ref, alt, sample, gt, dp, gq."""
+    """(records as read_variants gives them, header) of one row per call: contig, pos, ref, alts, sample, gt, dp, gq."""
     spark = called.sparkSession
     lines = ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="passed">', *(f"##contig=<ID={n},length={size}>" for n, size in contigs)]
     lines += [f'##FORMAT=<ID={k},Number=1,Type={t},Description="{k}">' for k, t in zip(OWN, ("String", "Integer", "Integer"), strict=True)]
@@ -180,10 +180,10 @@ def records_of_calls(called: DataFrame, contigs: list[tuple[str, int]], samples:
     places = spark.createDataFrame(list(enumerate(samples)), "idx int, sample string")
     alleles = F.transform(F.split("gt", "[/|]"), lambda x: x.try_cast("int"))
     call = F.struct(alleles.alias("gt"), F.contains("gt", F.lit("|")).alias("phased"), F.col("dp").cast("int").alias("dp"), F.col("gq").cast("int").alias("gq"), F.lit(None).cast("string").alias("rest"))
-    rows = called.join(F.broadcast(places), "sample").groupBy("contig", "pos", "ref", "alt").agg(F.sort_array(F.collect_list(F.struct("idx", call.alias("call")))).alias("c"))
-    rows = rows.join(F.broadcast(ranks), "contig").withColumn("rec", F.xxhash64("contig", "pos", "ref", "alt"))
+    rows = called.join(F.broadcast(places), "sample").groupBy("contig", "pos", "ref", "alts").agg(F.sort_array(F.collect_list(F.struct("idx", call.alias("call")))).alias("c"))
+    rows = rows.join(F.broadcast(ranks), "contig").withColumn("rec", F.xxhash64("contig", "pos", "ref", "alts"))
     empty = F.create_map().cast("map<string,string>")
-    return rows.select("rec", "contig", "contig_rank", F.col("pos").cast("long").alias("pos"), F.lit(None).cast("string").alias("id"), "ref", F.array("alt").alias("alts"), F.lit(None).cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"), empty.alias("info"), F.array(*map(F.lit, OWN)).alias("format"), F.transform("c", lambda x: x["call"]).alias("calls")), header
+    return rows.select("rec", "contig", "contig_rank", F.col("pos").cast("long").alias("pos"), F.lit(None).cast("string").alias("id"), "ref", "alts", F.lit(None).cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"), empty.alias("info"), F.array(*map(F.lit, OWN)).alias("format"), F.transform("c", lambda x: x["call"]).alias("calls")), header
 
 
 def reads_workflow(spark: SparkSession, c: dict) -> w.Workflow:
@@ -227,8 +227,15 @@ def reads_workflow(spark: SparkSession, c: dict) -> w.Workflow:
         n = write_bcf(records, header, f"{out}/cohort.bcf")
         w.write_json(f"{out}/calls.json", {"records": n, "samples": samples, "libraries": {v: list(k) for k, v in libraries.items()}})
 
+    def normal(done, out):
+        # A called site may have several alternatives; each becomes a record of its own.
+        chunks = spark.read.parquet(f"file://{done['reference']}/reference/reference.parquet").select("contig", "chunk", "bases")
+        found, _, header = read_variants(spark, f"{done['call']}/cohort.bcf")
+        normalize.normalized(persisted(found, "records"), header, chunks, chunk).write.parquet(f"file://{out}/records.parquet")
+
     def masked(done, out):
-        runs.run_mask(spark, f"{done['call']}/cohort.bcf", f"{out}/mask", q["min_dp"], q["min_gq"])
+        normal_records = spark.read.parquet(f"file://{done['normalize']}/records.parquet")
+        runs.run_mask(spark, f"{done['call']}/cohort.bcf", f"{out}/mask", q["min_dp"], q["min_gq"], normal=normal_records)
 
     def counted(done, out):
         runs.write_table(read_people(spark, people, samples).orderBy("sample"), f"{out}/people.tsv")
@@ -244,7 +251,8 @@ def reads_workflow(spark: SparkSession, c: dict) -> w.Workflow:
             s("reference", prepared, inputs=[reference], sha256=digest, bases=limits["reference_bases"]),
             *checks,
             s("call", called, ["reference", *(x.name for x in checks)], runs=[[r[k] for k in ("id", "sample", "library")] for r in listed], trim=trim, **{k: x for k, x in p.items() if k not in ("threads", "memory_mb", "timeout_seconds")}),
-            s("mask", masked, ["call"], **q),
+            s("normalize", normal, ["reference", "call"]),
+            s("mask", masked, ["call", "normalize"], **q),
             s("stats", counted, ["mask"], [people] if people else []),
         ],
     )

@@ -554,7 +554,7 @@ def check_alignments(spark: SparkSession, bams: list[str], samples: list[str], l
 
 
 def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, size: int, min_mapq: int = 20, min_base_quality: int = 20, max_depth: int = 250, trim_adapters: bool = True, filters: dict | None = None, fragment: int = placement.FRAGMENT, contigs: list[str] | None = None) -> DataFrame:
-    """Genotypes of all samples at variant sites from paired FASTQ files: contig, pos, ref, alt, sample, gt, dp, gq.
+    """Genotypes of all samples at variant sites from paired FASTQ files: contig, pos, ref, alts, sample, gt, dp, gq.
 
     Adapters are cut off before reads are filtered (``filters``: options of passing_pairs). With ``contigs`` only sites on
     these are called; reads are placed on all.
@@ -576,8 +576,8 @@ def call_variants(spark: SparkSession, runs: list[dict], reference: DataFrame, s
     bases = persisted(reads.pileup(placed, min_mapq, min_base_quality, max_depth), "bases")
     sites = persisted(reads.candidate_sites(bases, reference, size), "sites")
     called = persisted(reads.joint_genotypes(reads.genotype_likelihoods(bases, sites)), "called")
-    sites = called.select("contig", "pos", "ref", "alt").distinct()
+    sites = called.select("contig", "pos", "ref", "alts").distinct()
     called = called.select("contig", "pos", "sample", "gt", "dp", "gq")
     every = sites.withColumn("sample", F.explode(F.array(*map(F.lit, sorted({r["sample"] for r in runs})))))
     out = every.join(called, ["contig", "pos", "sample"], "left")
-    return out.select("contig", "pos", "ref", "alt", "sample", F.coalesce("gt", F.lit("./.")).alias("gt"), F.coalesce("dp", F.lit(0)).alias("dp"), "gq")
+    return out.select("contig", "pos", "ref", "alts", "sample", F.coalesce("gt", F.lit("./.")).alias("gt"), F.coalesce("dp", F.lit(0)).alias("dp"), "gq")

@@ -37,7 +37,7 @@ def reads_config(tmp_path):
 def test_reads_from_a_configuration(spark, tmp_path):
     path = save(tmp_path, reads_config(tmp_path))
     done = configs.of_file(spark, path).run()
-    assert done["ran"] == ["r1-check", "r2-check", "r3-check", "r4-check", "r5-check", "reference", "call", "mask", "stats"] or set(done["ran"]) == {"reference", *(f"r{i}-check" for i in range(1, 6)), "call", "mask", "stats"}
+    assert set(done["ran"]) == {"reference", *(f"r{i}-check" for i in range(1, 6)), "call", "normalize", "mask", "stats"}
     where = done["results"]
     assert json.load(open(f"{where['r1-check']}/reads.json"))["pairs"] == 73
     calls = json.load(open(f"{where['call']}/calls.json"))

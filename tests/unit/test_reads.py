@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,7 +78,7 @@ def test_from_reads_to_calls(spark, tmp_path):
                 want[pos, sample] = (("0/0", "0/1", "1/1")[dose], 48 if sample == "A" else 24)
     assert got == want
     assert all(r["gq"] >= 10 for r in called.collect())
-    assert {(r["ref"], r["alt"]) for r in sites.collect()} == {(reference[p - 1], OTHER[reference[p - 1]]) for p in TRUTH}
+    assert {(r["ref"], *r["alts"]) for r in sites.collect()} == {(reference[p - 1], OTHER[reference[p - 1]]) for p in TRUTH}
 
 
 @pytest.mark.parametrize(
@@ -149,34 +151,72 @@ def test_mates_are_linked_by_name(spark):
     assert out == {("L", "a"): (1, 1, True, 90), ("L", "b"): (1, 0, False, None), ("M", "a"): (1, 0, False, None), ("L", "c"): (2, 1, False, 3)}
 
 
-def test_joint_genotypes_match_plain_iterations(spark):
-    import math
+def plain_posteriors(ls, alleles, steps=20):
+    """Expectation-maximisation spelt out, a genotype at a time."""
+    kinds = [(i, j) for j in range(alleles) for i in range(j + 1)]
+    e = [[10 ** (x - max(l)) for x in l] for l in ls]
+    f = [0.9] + [0.1 / (alleles - 1)] * (alleles - 1)
+    weights = lambda x, f: [x[k] * f[i] * f[j] * (1 if i == j else 2) for k, (i, j) in enumerate(kinds)]
+    for _ in range(steps):
+        count = [0.0] * alleles
+        for x in e:
+            w = weights(x, f)
+            for k, (i, j) in enumerate(kinds):
+                count[i] += w[k] / sum(w)
+                count[j] += w[k] / sum(w)
+        f = [c / (2 * len(e)) for c in count]
+    return [weights(x, f) for x in e], f, sum(math.log10(sum(weights(x, f))) - math.log10(x[0]) for x in e), kinds
+
 
+def test_joint_genotypes_match_plain_iterations(spark):
+    """Sites with one, two and three alternatives; who has what, how surely, and what nobody has."""
     rng = random.Random(5)
     rows, want = [], {}
-    for pos in range(12):
-        ls = []
+    for pos in range(30):
+        alts = ["C", "G", "T"][: 1 + pos % 3]
+        n = len(alts) + 1
+        kinds = [(i, j) for j in range(n) for i in range(j + 1)]
+        used = [0, 1] if pos % 7 == 0 else range(n)  # an alternative that nobody has
+        ls, names = [], []
         for s in range(rng.choice([1, 3, 20])):
-            d = rng.choice([0, 0, 1, 2]) if pos % 3 else 0
-            l = [-0.3 * rng.randint(5, 20)] * 3
-            l[d] = -0.1
+            true = tuple(sorted(rng.choice([0, 0, *used]) for _ in range(2))) if pos % 4 else (0, 0)
+            l = [-0.3 * rng.randint(5, 20) if kinds[k] != true else -0.1 for k in range(len(kinds))]
             ls.append(l)
-            rows.append((f"s{s:02}", "1", pos, "A", "C", 10, 5, 5, *map(float, l)))
-        e = [[10 ** (x - max(l)) for x in l] for l in ls]
-        p = 0.1
-        for _ in range(20):
-            t = [((1 - p) ** 2 * a, 2 * p * (1 - p) * b, p * p * c) for a, b, c in e]
-            p = sum((b + 2 * c) / (2 * (a + b + c)) for a, b, c in t) / len(t)
-        t = [((1 - p) ** 2 * a, 2 * p * (1 - p) * b, p * p * c) for a, b, c in e]
-        gain = 10 * sum(math.log10(sum(w)) - math.log10(x[0]) for w, x in zip(t, e))
-        if gain >= 10:
-            for s, w in enumerate(t):
-                best = max(range(3), key=lambda k: w[k])
-                want[f"s{s:02}", pos] = (("0/0", "0/1", "1/1")[best], min(99, round(-10 * math.log10(max(1 - w[best] / sum(w), 1e-10)))), round(p, 6))
-    frame = spark.createDataFrame(rows, "sample string, contig string, pos long, ref string, alt string, dp int, ref_depth int, alt_depth int, l0 double, l1 double, l2 double")
-    got = {(r["sample"], r["pos"]): (r["gt"], r["gq"], round(r["frequency"], 6)) for r in reads.joint_genotypes(frame).collect()}
+            names.append(f"s{s:02}")
+            rows.append((names[-1], "1", pos, "A", alts, 10, [5] * n, list(map(float, l))))
+        w, f, gain, kinds = plain_posteriors(ls, n)
+        if 10 * gain >= 10:
+            best = [max(range(len(x)), key=lambda k: x[k]) for x in w]
+            had = sorted({a for b in best for a in kinds[b]} - {0}) or [1 + max(range(n - 1), key=lambda k: f[k + 1])]
+            number = {a: k for k, a in enumerate([0, *had])}
+            for name, x, b in zip(names, w, best):
+                gt = "/".join(str(number[a]) for a in kinds[b])
+                want[name, pos] = (gt, min(99, round(-10 * math.log10(max(1 - x[b] / sum(x), 1e-10)))), [alts[a - 1] for a in had], [f[a] for a in had])
+    frame = spark.createDataFrame(rows, "sample string, contig string, pos long, ref string, alts array<string>, dp int, depths array<int>, likelihoods array<double>")
+    got = {(r["sample"], r["pos"]): r for r in reads.joint_genotypes(frame).collect()}
     assert got.keys() == want.keys() and 0 < len(want) < len(rows)
-    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 1 and abs(got[k][2] - want[k][2]) < 1e-5 for k in want)
+    for k, (gt, gq, alts, f) in want.items():
+        r = got[k]
+        assert (r["gt"], r["alts"]) == (gt, alts) and abs(r["gq"] - gq) <= 1 and r["frequencies"] == pytest.approx(f, abs=1e-6)
+        assert len(r["depths"]) == len(alts) + 1
+    assert {len(w[2]) for w in want.values()} == {1, 2, 3}
+
+
+def test_likelihoods_of_several_alternatives(spark):
+    rng = random.Random(2)
+    rows = [(s, "1", p, rng.choice("AACCGT"[: 4 + p]), rng.randint(5, 40), 0) for s in ("x", "y") for p in (1, 2) for _ in range(rng.randint(3, 30))]
+    bases = spark.createDataFrame(rows, "sample string, contig string, pos long, base string, quality int, strand int")
+    chunks = spark.createDataFrame([("1", 0, "ACG")], "contig string, chunk long, bases string")
+    sites = reads.candidate_sites(bases, chunks, 10)
+    counts = {p: Counter(r[3] for r in rows if r[2] == p) for p in (1, 2)}
+    alts = {p: [b for n, b in sorted((-n, b) for b, n in counts[p].items() if b != "AC"[p - 1] and n >= 2)] for p in (1, 2)}
+    assert {r["pos"]: (r["ref"], r["alts"]) for r in sites.collect()} == {p: ("AC"[p - 1], a) for p, a in alts.items()}
+    for r in reads.genotype_likelihoods(bases, sites).collect():
+        alleles = [r["ref"], *r["alts"]]
+        mine = [(b, 10 ** (-q / 10)) for s, _, p, b, q, _ in rows if (s, p) == (r["sample"], r["pos"])]
+        prob = lambda b, e, a: 1 - e if b == a else e / 3
+        want = [sum(math.log10((prob(b, e, alleles[i]) + prob(b, e, alleles[j])) / 2) for b, e in mine) for j in range(len(alleles)) for i in range(j + 1)]
+        assert r["likelihoods"] == pytest.approx(want) and r["depths"] == [sum(b == a for b, _ in mine) for a in alleles] and r["dp"] == len(mine)
 
 
 def test_small_tables(spark, tmp_path):
