@@ -9,6 +9,7 @@ its byte offset in a plain file, or its virtual offset in a BGZF file.
 from __future__ import annotations
 
 import io
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from locusflow.sources import bgzf, files
 from locusflow.sources.bgzf import NOWHERE, Stream
@@ -209,9 +210,9 @@ class Batch:
 # ---- text
 
 
-def text_batches(lines: Iterator[tuple[int, bytes]], h: Header, path: str, packed: str | None, wanted) -> Iterator[pa.RecordBatch]:
-    """Batches of the records in numbered lines; wanted tests a contig and a position."""
-    batch, texts, form = Batch(len(h.samples), packed), [], b""
+def text_batches(lines: Iterator[tuple[int, bytes]], h: Header, path: str, packed: str | None, wanted, keep: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of the records in numbered lines; wanted tests a contig and a position, keep are the places of the samples asked for."""
+    batch, texts, form = Batch(len(h.samples) if keep is None else len(keep), packed), [], b""
 
     def parsed() -> None:
         nonlocal texts
@@ -228,8 +229,8 @@ def text_batches(lines: Iterator[tuple[int, bytes]], h: Header, path: str, packe
             continue
         c = raw.split(b"\t", 9)
         found = len(c) - 1 + (c[9].count(b"\t") + 1 if len(c) == 10 else 1)
-        if found != 9 + batch.n:
-            raise FormatError(f"{path}, record {rec}: {found} columns, should be {9 + batch.n}")
+        if found != 9 + len(h.samples):
+            raise FormatError(f"{path}, record {rec}: {found} columns, should be {9 + len(h.samples)}")
         try:
             contig, pos, ident, ref, alt, qual, filters, info = (x.decode() for x in c[:8])
             if not wanted(contig, int(pos), len(ref)):
@@ -244,6 +245,9 @@ def text_batches(lines: Iterator[tuple[int, bytes]], h: Header, path: str, packe
             })
         except ValueError as e:
             raise FormatError(f"{path}, record {rec}: {e}") from e
+        if keep is not None:
+            cells = c[9].split(b"\t")
+            c[9] = b"\t".join([cells[i] for i in keep])
         texts.append(c[9])
         if batch.full:
             parsed()
@@ -401,13 +405,13 @@ def _calls(fields: dict[str, tuple], n: int) -> pa.StructArray:
     return pa.StructArray.from_arrays([alleles, pa.array(phased), number(_first(fields.get("DP"), n)), number(_first(fields.get("GQ"), n)), rest], fields=list(_CALL))
 
 
-def _bcf_record(shared: bytes, individual: bytes, h: Header, path: str, rec: int, batch: Batch, wanted) -> None:
+def _bcf_record(shared: bytes, individual: bytes, h: Header, path: str, rec: int, batch: Batch, wanted, keep: np.ndarray | None = None) -> None:
     s, x = _Typed(shared), _Typed(individual)
     chrom, pos, _, qual_bits, alleles_info, samples_formats = struct.unpack("<iiiIII", shared[:24])
     s.at = 24
     n_allele, n_info = alleles_info >> 16, alleles_info & 0xFFFF
     n_format, n_sample = samples_formats >> 24, samples_formats & 0xFFFFFF
-    if n_sample != batch.n or not 0 <= chrom < len(h.names):
+    if n_sample != len(h.samples) or not 0 <= chrom < len(h.names):
         raise FormatError(f"{path}, record {rec}: doesn't fit the header")
     ident = s.value()
     alleles = [s.value() or "" for _ in range(n_allele)]
@@ -423,7 +427,8 @@ def _bcf_record(shared: bytes, individual: bytes, h: Header, path: str, rec: int
     fields = {}
     for _ in range(n_format):
         key = h.strings[x.value()]
-        fields[key] = _matrix(x, n_sample)
+        kind, values = _matrix(x, n_sample)
+        fields[key] = (kind, values if keep is None or values is None else values[keep])
     qual = None if qual_bits == 0x7F800001 else struct.unpack("<f", struct.pack("<I", qual_bits))[0]
     batch.sites.append({"rec": rec, "contig": h.names[chrom], "contig_rank": chrom, "pos": pos + 1, "id": None if ident in (None, ".") else ident, "ref": alleles[0] if alleles else "", "alts": alleles[1:], "qual": qual, "filters": [h.strings[f] for f in filters], "info": list(info.items()), "format": list(fields)})
     if batch.packed:
@@ -468,9 +473,10 @@ def sync(path: str, block: int, h: Header) -> int:
             at = found + 1
 
 
-def bcf_batches(path: str, begin: int | None, end: int | None, h: Header, packed: str | None, wanted, exact: bool = True) -> Iterator[pa.RecordBatch]:
+def bcf_batches(path: str, begin: int | None, end: int | None, h: Header, packed: str | None, wanted, exact: bool = True, keep: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of the records that begin between two virtual offsets; ``exact`` says that a record begins at the second."""
-    batch = Batch(len(h.samples), packed)
+    batch = Batch(len(h.samples) if keep is None else len(keep), packed)
+    places = None if keep is None else np.array(keep, np.int64)
     stream = Stream(path, 0 if begin is None else begin >> 16)
     if begin is None:
         stream.reach(9)
@@ -492,7 +498,7 @@ def bcf_batches(path: str, begin: int | None, end: int | None, h: Header, packed
         shared, individual = struct.unpack_from("<II", stream.held)
         if not stream.reach(8 + shared + individual) or shared < 24:
             raise FormatError(f"{path}: truncated record")
-        _bcf_record(bytes(stream.held[8 : 8 + shared]), bytes(stream.held[8 + shared : 8 + shared + individual]), h, path, count if stream.plain else place, batch, wanted)
+        _bcf_record(bytes(stream.held[8 : 8 + shared]), bytes(stream.held[8 + shared : 8 + shared + individual]), h, path, count if stream.plain else place, batch, wanted, places)
         stream.skip(8 + shared + individual)
         count += 1
         if batch.full:
@@ -514,11 +520,16 @@ class Part(InputPartition):
     end: int | None = None
 
 
-def _wanted(regions: list[tuple[str, int, int]]):
-    """A test for records (contig, position, bases of REF) that overlap one of the regions; all do if there are none."""
-    if not regions:
-        return lambda contig, pos, size: True
-    return lambda contig, pos, size: any(contig == c and pos - 1 < e and pos - 1 + size > b for c, b, e in regions)
+def _wanted(regions: list[tuple[str, int, int]], contigs: frozenset | None = None, low: int = 0, high: int = 1 << 60):
+    """A test for records (contig, position, bases of REF) that overlap one of the regions (all do if there are none), are on
+    one of the contigs (any, if null) and begin within low and high."""
+
+    def test(contig: str, pos: int, size: int) -> bool:
+        if not low <= pos <= high or contigs is not None and contig not in contigs:
+            return False
+        return not regions or any(contig == c and pos - 1 < e and pos - 1 + size > b for c, b, e in regions)
+
+    return test
 
 
 class VcfReader(DataSourceReader):
@@ -528,11 +539,54 @@ class VcfReader(DataSourceReader):
         self.packed = options.get("qualities", "") if options.get("calls") == "packed" else None
         self.regions = [bgzf.parse_region(r) for r in options.get("regions", "").split(";") if r]
         self.index = options.get("index")
+        self.samples = json.loads(options["samples"]) if "samples" in options else None
+        # What conditions on contig and pos leave, as Spark pushes them.
+        self.contigs: frozenset | None = None
+        self.low, self.high = 0, 1 << 60
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over comparisons of contig and pos with values; what is left is Spark's."""
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f: Filter) -> bool:
+        name = getattr(f, "attribute", None)
+        if name not in (("contig",), ("pos",)):
+            return False
+        if isinstance(f, IsNotNull):
+            return True
+        if name == ("contig",) and isinstance(f, (EqualTo, In)):
+            found = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+            self.contigs = found if self.contigs is None else self.contigs & found
+            return True
+        if name == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+            if not isinstance(f, (LessThan, LessThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.high = min(self.high, f.value - isinstance(f, LessThan))
+            return True
+        if name == ("pos",) and isinstance(f, In) and f.value:
+            # Narrower, but not all of the condition.
+            self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value))
+        return False
+
+    def _index_of(self, path: str) -> str | None:
+        """The index that is named, or lies beside the file."""
+        if self.index:
+            return self.index
+        for end in (".csi", ".tbi"):
+            fs, p = files.open_uri(path + end)
+            if fs.get_file_info(p).is_file:
+                return path + end
+        return None
 
     def partitions(self) -> list[Part]:
         out = []
         for path in self.paths:
             h = read_header(path)
+            if self.low > self.high or self.contigs is not None and not self.contigs & frozenset([*h.names, *h.contigs]) and _is_bcf(path):
+                continue
             size, bcf = files.size_of(path), _is_bcf(path)
             if not files.is_bgzf(path):
                 if files.is_gzip(path) or bcf or size <= self.split:
@@ -542,8 +596,8 @@ class VcfReader(DataSourceReader):
                 continue
             files.require_bgzf_end(path)
             kind = "records" if bcf else "blocks"
-            if self.index and self.regions:
-                out += [Part(path, f"indexed {kind}", a, b) for a, b in self._chunks(h)]
+            if (self.regions or self.contigs is not None) and (index := self._index_of(path)):
+                out += [Part(path, f"indexed {kind}", a, b) for a, b in self._chunks(h, index)]
             elif size <= self.split:
                 out.append(Part(path, "whole"))
             else:
@@ -551,10 +605,16 @@ class VcfReader(DataSourceReader):
         # A source without parts is read as one that has none in particular.
         return out or [Part("", "nothing")]
 
-    def _chunks(self, h: Header) -> list[tuple[int, int]]:
-        index = bgzf.Index(self.index)
+    def _chunks(self, h: Header, path: str) -> list[tuple[int, int]]:
+        """Places of the file that can hold what is asked for: in all regions, and where the pushed conditions lead."""
+        index = bgzf.Index(path)
         names = index.names or h.names
-        return bgzf.merged([c for name, b, e in self.regions if name in names for c in index.chunks(names.index(name), b, e)])
+        of = lambda regions: bgzf.merged([c for name, b, e in regions if name in names for c in index.chunks(names.index(name), b, e)])
+        pushed = [(c, max(self.low - 1, 0), self.high) for c in sorted(self.contigs or ())]
+        if not self.regions or self.contigs is None:
+            return of(self.regions or pushed)
+        both = of(pushed)
+        return bgzf.merged([(max(a, c), min(b, d)) for a, b in of(self.regions) for c, d in both if max(a, c) < min(b, d)])
 
     def _lines(self, part: Part) -> Iterator[tuple[int, bytes]]:
         """Numbered lines of a part of a text."""
@@ -590,19 +650,30 @@ class VcfReader(DataSourceReader):
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.kind == "nothing":
             return
-        h, wanted = read_header(part.path), _wanted(self.regions)
+        h, wanted = read_header(part.path), _wanted(self.regions, self.contigs, self.low, self.high)
+        keep = None if self.samples is None else places_of(h, self.samples, part.path)
         if not _is_bcf(part.path):
-            yield from text_batches(self._lines(part), h, part.path, self.packed, wanted)
+            yield from text_batches(self._lines(part), h, part.path, self.packed, wanted, keep)
         elif part.kind == "whole":
-            yield from bcf_batches(part.path, None, None, h, self.packed, wanted)
+            yield from bcf_batches(part.path, None, None, h, self.packed, wanted, keep=keep)
         elif part.kind == "indexed records":
-            yield from bcf_batches(part.path, part.begin, part.end, h, self.packed, wanted, False)
+            yield from bcf_batches(part.path, part.begin, part.end, h, self.packed, wanted, False, keep)
         else:
             # The first records lie behind the header, and no part begins before them.
             least, whole = _records_begin(part.path), files.size_of(part.path)
             first, last = ((least if at == 0 else max(sync(part.path, block, h), least)) if (block := bgzf.next_block(part.path, at)) < whole else NOWHERE for at in (part.begin, part.end))
             if first < last:
-                yield from bcf_batches(part.path, first, last, h, self.packed, wanted)
+                yield from bcf_batches(part.path, first, last, h, self.packed, wanted, keep=keep)
+
+
+def places_of(h: Header, samples: list[str], path: str) -> list[int]:
+    """Where some samples stand in a file."""
+    place = {x: i for i, x in enumerate(h.samples)}
+    if unknown := [x for x in samples if x not in place]:
+        raise FormatError(f"{path}: no sample {unknown[0]!r}")
+    if not samples or len(set(samples)) != len(samples):
+        raise FormatError(f"{path}: no samples are asked for, or one twice")
+    return [place[x] for x in samples]
 
 
 def _records_begin(path: str) -> int:
@@ -626,8 +697,10 @@ class VcfSource(DataSource):
     """Data source ``vcf``.
 
     Options: path (one or several, with commas between), split (bytes of a part), regions (``contig:from-to``, 1-based,
-    semicolons between: records that overlap one), index (of the one path, to read no more than the regions' chunks),
-    calls (``packed`` for bytes instead of arrays) and qualities (which of dp and gq packed rows carry).
+    semicolons between: records that overlap one), index (of the one path; without it the one beside the file), calls
+    (``packed`` for bytes instead of arrays), qualities (which of dp and gq packed rows carry) and samples (a JSON list: only
+    their calls are decoded, in that order). Conditions on contig and pos are taken over from Spark, which reads only
+    their chunks of an indexed file; that needs ``spark.sql.python.filterPushdown.enabled``, which read_variants sets.
     """
 
     @classmethod
@@ -641,13 +714,17 @@ class VcfSource(DataSource):
         return VcfReader(self.options)
 
 
-def read_variants(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame, Header]:
-    """(records, samples (idx, sample), header) of a file."""
+def read_variants(spark: SparkSession, path: str, samples: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame, Header]:
+    """(records, samples (idx, sample), header) of a file, of some of its samples if they are named."""
     prepare_workers(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VcfSource)
     h = read_header(path)
-    samples = spark.createDataFrame(list(enumerate(h.samples)), "idx int, sample string")
-    return spark.read.format("vcf").options(**options).load(path), samples, h
+    if samples is not None:
+        places_of(h, samples, path)
+        h, options = header_of(h, samples), options | {"samples": json.dumps(samples)}
+    people = spark.createDataFrame(list(enumerate(h.samples)), "idx int, sample string")
+    return spark.read.format("vcf").options(**options).load(path), people, h
 
 
 # ---- sink

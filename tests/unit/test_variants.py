@@ -1,4 +1,6 @@
+import gzip
 import random
+import re
 import struct
 
 import pytest
@@ -404,3 +406,79 @@ def test_a_written_index_leads_to_its_records(spark, tmp_path):
     # A small region reads less than the file.
     some = Index(index).chunks(0, 1_500_000, 1_500_100)
     assert sum((b >> 16) - (a >> 16) for a, b in some) < 0.9 * files.size_of(path)
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    """A BCF and a bgzipped VCF of 3 contigs in small blocks, the BCF with its index beside it."""
+    folder = tmp_path_factory.mktemp("indexed")
+    rng = random.Random(8)
+    rows = [(c, 50 + 400 * k, f"rs{k}", "A", "C", "PASS", "GT:DP:GQ", " ".join(f"{rng.choice(['0/0', '0/1', '1|1', './.'])}:{rng.randrange(60)}:{rng.randrange(99)}" for _ in range(4))) for c in ("1", "chr2", "X") for k in range(400)]
+    text = vcf(rows, SAMPLES)
+    return rows, write(folder / "a.vcf.gz", small_blocks(text.encode(), 3000)), _indexed_bcf(spark, folder, text)
+
+
+def _indexed_bcf(spark, folder, text):
+    path = write(folder / "a.bcf", small_blocks(gzip.decompress(bcf(text)), 3000))
+    write_index(spark, path)
+    return path
+
+
+CONDITIONS = [
+    ("contig = 'chr2' AND pos BETWEEN 40000 AND 60000", True), ("contig IN ('1', 'X') AND pos > 100 AND pos < 900 AND pos >= 450", True), ("pos = 50", True), ("contig = 'X' AND contig = '1'", True), ("contig = 'none'", True),
+    ("contig = 'chr2' AND pos IN (450, 850, 851)", False), ("contig = '1' OR pos = 50", False), ("contig = '1' AND id LIKE 'rs1%'", False), ("contig LIKE 'chr%' AND pos <= 2000", False), ("contig <> '1' AND 1000 > pos", False),
+]
+
+
+@pytest.mark.parametrize("condition, whole", CONDITIONS)
+def test_conditions_on_places_are_pushed(spark, indexed, condition, whole):
+    rows, text, binary = indexed
+    every = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "contig string, pos long, id string")
+    want = sorted(map(tuple, every.where(condition).collect()))
+    for path in (text, binary):
+        found = read_variants(spark, path)[0].where(condition).select("contig", "pos", "id")
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert (re.search(r"\bFilter\b", plan) is None) == whole
+
+
+def test_pushed_conditions_read_few_blocks(indexed, monkeypatch):
+    """What Spark hands to the reader leads to the chunks of the index: counted in the blocks that are unpacked."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    from locusflow.sources import bgzf
+
+    rows, _, path = indexed
+    seen = set()
+    real = bgzf.blocks
+    monkeypatch.setattr(bgzf, "blocks", lambda p, begin=0: (seen.add(x[0]) or x for x in real(p, begin)))
+
+    def read(*filters):
+        seen.clear()
+        reader = VcfReader({"path": path})
+        assert list(reader.pushFilters(list(filters))) == []
+        found = [(x["contig"], x["pos"]) for part in reader.partitions() for b in reader.read(part) for x in b.select(["contig", "pos"]).to_pylist()]
+        return sorted(found), len(seen)
+
+    every, all_blocks = read()
+    assert len(every) == len(rows)
+    some, few = read(EqualTo(("contig",), "chr2"), GreaterThanOrEqual(("pos",), 100_000), LessThan(("pos",), 110_000))
+    assert some == [x for x in every if x[0] == "chr2" and 100_000 <= x[1] < 110_000] and some
+    assert few < all_blocks / 4
+    assert read(EqualTo(("contig",), "chr2"), EqualTo(("contig",), "X"))[0] == []
+
+
+def test_only_the_samples_asked_for_are_decoded(spark, indexed):
+    _, text, binary = indexed
+    for path in (text, binary):
+        whole = {r["rec"]: r["calls"] for r in read_variants(spark, path)[0].collect()}
+        records, people, header = read_variants(spark, path, ["S3", "S1"])
+        assert header.samples == ["S3", "S1"] and [tuple(r) for r in people.orderBy("idx").collect()] == [(0, "S3"), (1, "S1")]
+        assert {r["rec"]: r["calls"] for r in records.collect()} == {k: [c[2], c[0]] for k, c in whole.items()}
+        packed = {r["rec"]: (r["codes"], r["dp"], r["gq"]) for r in read_variants(spark, path, calls="packed", qualities="dp,gq")[0].collect()}
+        got = {r["rec"]: (r["codes"], r["dp"], r["gq"]) for r in read_variants(spark, path, ["S4"], calls="packed", qualities="dp,gq", split=5000)[0].collect()}
+        assert len(got) == len(packed)
+        assert sorted(bytes(v[0]) + bytes(v[1]) + bytes(v[2]) for v in got.values()) == sorted(bytes(v[0])[3:] + bytes(v[1])[12:] + bytes(v[2])[12:] for v in packed.values())
+        for bad in (["S9"], [], ["S1", "S1"]):
+            with pytest.raises(FormatError):
+                read_variants(spark, path, bad)
