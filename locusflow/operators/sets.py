@@ -41,13 +41,21 @@ def top_per_group(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("rank") <= k)
 
 
+#: Stretches that a running total is put together from, at most.
+STRETCHES = 10_000
+
+
 def running_budget(rows: DataFrame, size: str, order: str, limit: int, stretch: int = 100_000) -> DataFrame:
     """Rows with the running total of sizes in order, and whether it is within the limit.
 
-    Totals of stretches of the order are added first, so no task sees all rows: ``order`` is an integer column.
+    Totals of stretches of the order are added first, so no task sees all rows: ``order`` is an integer column. Stretches
+    are as long as it takes for STRETCHES of them to hold all of the order, so what is broadcast is bounded.
     """
     from pyspark.sql import Window
 
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is not None:
+        stretch = max(stretch, -(-(high - low + 1) // STRETCHES))
     cut = rows.withColumn("_s", F.floor(F.col(order) / stretch))
     parts = cut.groupBy("_s").agg(F.sum(size).alias("_t"))
     before = parts.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b")

@@ -1,22 +1,27 @@
 """FASTQ and FASTA files as Spark data sources, and alignments of BAM files.
 
 FASTQ is read strictly: four lines a record, equal lengths, known bases, Phred+33 qualities. Rows carry the record's
-ordinal, so mates can be put side by side by a join and no order of rows is relied on.
+ordinal, so mates can be put side by side by a join and no order of rows is relied on. Plain and BGZF files are read in
+parts: a line begins a record if it begins with ``@`` and bases follow it, since behind a quality that begins like this comes
+another record's name. Numbers of records come from a count of each part and the sums of the counts before.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from locusflow.session import prepare_workers
+from locusflow.session import columns_of, prepare_workers
 from locusflow.sources import bgzf, files
 from locusflow.sources.bgzf import LARGEST, NOWHERE, Stream
 from locusflow.sources.files import FormatError
@@ -51,11 +56,27 @@ def read_name(line: str, mate: int) -> str:
     return name.removesuffix(f"/{mate}")
 
 
-def fastq_records(path: str, mate: int) -> Iterator[tuple[int, int, str, str, str]]:
-    lines = files.lines_of(path, LONGEST_LINE)
-    for n, head in enumerate(lines):
-        seq, plus, qual = next(lines, None), next(lines, None), next(lines, None)
-        where = f"{path}, record {n}"
+def fastq_records(path: str, mate: int, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int, str, str, str]]:
+    """The records that begin between two bytes of a file: of the whole file numbered, of a part with their places."""
+    whole = begin == 0 and end is None
+    lines = enumerate(files.lines_of(path, LONGEST_LINE)) if whole else _fastq_lines(path, begin, end)
+    n, last, size = 0, next(lines, None), end
+    if not whole:
+        # A border may fall anywhere in a record: this part's first name is a line that bases follow.
+        while begin and last is not None:
+            following = next(lines, None)
+            if last[1].startswith(b"@") and following is not None and _BASES.fullmatch(following[1]):
+                lines = chain([following], lines)
+                break
+            last = following
+        size = NOWHERE if end is None else end << 16 if files.is_bgzf(path) else end
+    while last is not None:
+        place, head = last
+        # In blocked files a line that begins where a part ends belongs to the part before.
+        if not whole and (place > size if files.is_bgzf(path) else place >= size):
+            return
+        seq, plus, qual = ((next(lines, None) or (0, None))[1] for _ in range(3))
+        where = f"{path}, record {n}" + ("" if whole else f" of the part at {begin}")
         if qual is None:
             raise FormatError(f"{where}: cut off")
         if not head.startswith(b"@") or not plus.startswith(b"+"):
@@ -64,7 +85,40 @@ def fastq_records(path: str, mate: int) -> Iterator[tuple[int, int, str, str, st
             raise FormatError(f"{where}: {len(seq)} bases and {len(qual)} qualities")
         if not _BASES.fullmatch(seq) or not _QUALITIES.fullmatch(qual):
             raise FormatError(f"{where}: unknown base or quality")
-        yield n, mate, read_name(head[1:].decode(), mate), seq.decode().upper(), qual.decode()
+        yield n if whole else place, mate, read_name(head[1:].decode(), mate), seq.decode().upper(), qual.decode()
+        n, last = n + 1, next(lines, None)
+
+
+def _fastq_lines(path: str, begin: int, end: int | None) -> Iterator[tuple[int, bytes]]:
+    """(place, line) from the first line on that begins at or after a byte, to the file's end; places as in the parts."""
+    if files.is_bgzf(path):
+        block = bgzf.next_block(path, begin)
+        for place, raw in bgzf.lines(path, block, files.size_of(path)):
+            yield place, raw.removesuffix(b"\r")
+        return
+    fs, p = files.open_uri(path)
+    with io.BufferedReader(fs.open_input_file(p), 1 << 20) as f:
+        at = begin
+        if at:
+            f.seek(at - 1)
+            at += len(f.readline(2 * LONGEST_LINE)) - 1
+        while raw := f.readline(LONGEST_LINE + 2):
+            if len(raw) > LONGEST_LINE + 1:
+                raise FormatError(f"{path}: a line is longer than {LONGEST_LINE} bytes")
+            yield at, raw.removesuffix(b"\n").removesuffix(b"\r")
+            at += len(raw)
+
+
+def _splits(path: str, split: int) -> list[tuple[int, int | None]]:
+    """Parts of a FASTQ file; one that is compressed as a whole is one part."""
+    size = files.size_of(path)
+    if size <= split or files.is_gzip(path) and not files.is_bgzf(path):
+        return [(0, None)]
+    if files.is_bgzf(path):
+        files.require_bgzf_end(path)
+    edges = [bgzf.next_block(path, at) if files.is_bgzf(path) else at for at in range(0, size, split)]
+    edges = sorted(set(edges) - {size})
+    return list(zip(edges, [*edges[1:], None], strict=True))
 
 
 def fasta_chunks(path: str, chunk: int = CHUNK) -> Iterator[tuple[str, int, str, int]]:
@@ -102,6 +156,8 @@ class _Rows(DataSourceReader):
     def partitions(self) -> list[File]:
         mate = int(self.options.get("mate", 0))
         paths = [p for p in self.options["path"].split(",") if p]
+        if self.options.get("split") and self.rows is _fastq_rows:
+            return [File(p, mate, a, b) for p in paths for a, b in _splits(p, int(self.options["split"]))]
         if self.parts:
             split = int(self.options.get("split", SPLIT))
             return [File(p, mate, at, at + split if at + split < size else None) for p in paths for size in (files.size_of(p),) for at in range(0, max(size, 1), split)]
@@ -127,7 +183,7 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def _fastq_rows(part: File, options: dict):
-    return fastq_records(part.path, part.mate)
+    return fastq_records(part.path, part.mate, part.begin, part.end)
 
 
 def _fasta_rows(part: File, options: dict):
@@ -306,9 +362,34 @@ def _load(spark: SparkSession, source: type[DataSource], path: str, **options) -
     return spark.read.format(source.name()).options(**options).load(path)
 
 
-def read_fastq_pair(spark: SparkSession, first: str, second: str) -> DataFrame:
+def dense_numbers(scan: DataFrame, column: str) -> DataFrame:
+    """A scan whose parts are in the order of one file, with its records numbered from 0 on in ``column``.
+
+    One pass counts the records of each part; in the next one a part begins with the sum of the counts before it. What is
+    broadcast is a number for each part.
+    """
+    marked = scan.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = sorted(map(tuple, marked.groupBy(part.alias("part")).count().collect()))
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    first = scan.sparkSession.createDataFrame(starts, "_part long, _first long")
+    out = marked.join(F.broadcast(first), part == F.col("_part"), "left")
+    return out.withColumn(column, F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1)).select(*columns_of(scan))
+
+
+def read_fastq(spark: SparkSession, path: str, mate: int, split: int = SPLIT) -> DataFrame:
+    """The reads of a file: ordinal (from 0 on), mate, name, seq, qual; large plain and BGZF files in parts."""
+    parts = _splits(path, split)
+    rows = _load(spark, FastqSource, path, mate=mate, **({"split": split} if len(parts) > 1 else {}))
+    return dense_numbers(rows, "ordinal") if len(parts) > 1 else rows
+
+
+def read_fastq_pair(spark: SparkSession, first: str, second: str, split: int = SPLIT) -> DataFrame:
     """The reads of two files of mates: ordinal, mate, name, seq, qual."""
-    return _load(spark, FastqSource, first, mate=1).unionByName(_load(spark, FastqSource, second, mate=2))
+    return read_fastq(spark, first, 1, split).unionByName(read_fastq(spark, second, 2, split))
 
 
 def read_reference(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:

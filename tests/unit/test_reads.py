@@ -1,3 +1,4 @@
+import gzip
 import math
 import random
 import re
@@ -379,3 +380,72 @@ def test_pileup_follows_cigars(spark):
     assert out["b"] == [(10, "A"), (11, "C"), (12, "G"), (13, "A"), (14, "C")]
     assert out["c"] == out["d"] == [(12, "G"), (13, "G")] and out["e"] == [(12, "C"), (13, "C"), (17, "A"), (18, "T")]
     assert out["f"] == out["g"] == []
+
+
+# ---- FASTQ in parts
+
+
+def fastq(n, seed=1, end="\n"):
+    """Records whose qualities begin with @ and + and look like bases or names, of all lengths."""
+    rng = random.Random(seed)
+    out, rows = [], []
+    for k in range(n):
+        size = rng.choice([1, 2, 3, 30, 151])
+        seq = "".join(rng.choice("ACGTN") for _ in range(size))
+        qual = rng.choice(["@", "+", "A", "I", "@A"]) * size
+        qual = qual[:size] if rng.random() < 0.8 else "".join(rng.choice("@+ACGT!~") for _ in range(size))
+        name = rng.choice(["r", "ACGT", "@", "+"]) + str(k)
+        plus = rng.choice(["+", "+" + name, "+@A"])
+        out.append(f"@{name}{end}{seq}{end}{plus}{end}{qual}{end}")
+        rows.append((k, 1, name, seq, qual))
+    return "".join(out), rows
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fastq_is_cut_anywhere(tmp_path, end):
+    """Every border of every part of a small file, plain and in blocks of every size."""
+    from test_variants import small_blocks
+
+    text, rows = fastq(14, end=end)
+    path = write(tmp_path / "a.fq", text)
+    whole = list(fastq_records(path, 1))
+    assert whole == rows
+    for cut in range(1, len(text)):
+        both = [x[1:] for a, b in ((0, cut), (cut, None)) for x in fastq_records(path, 1, a, b)] if cut else []
+        assert both == [x[1:] for x in rows]
+    for block in (1, 2, 3, 7, 40, 333):
+        path = write(tmp_path / f"a{block}.fq.gz", small_blocks(text.encode(), block))
+        assert [x[1:] for x in fastq_records(path, 1)] == [x[1:] for x in rows]
+        for split in (30, 64, 150, 700, 2000):
+            from locusflow.sources.sequences import _splits
+
+            found = [x for a, b in _splits(path, split) for x in fastq_records(path, 1, a, b)]
+            assert [x[1:] for x in found] == [x[1:] for x in rows] and [x[0] for x in found] == sorted({x[0] for x in found})
+
+
+@pytest.mark.parametrize("split", [300, 2500, 1 << 20])
+def test_records_of_parts_are_numbered_like_those_of_the_whole(spark, tmp_path, split):
+    from test_variants import small_blocks
+
+    one, rows = fastq(400, 2)
+    two = "".join(f"@{name}/2\n{seq}\n+\n{qual}\n" for _, _, name, seq, qual in rows)
+    first, second = write(tmp_path / "1.fq", one), write(tmp_path / "2.fq.gz", small_blocks(two.encode(), 777))
+    out = read_fastq_pair(spark, first, second, split)
+    assert sorted(map(tuple, out.collect())) == sorted([*rows, *((k, 2, n, s, q) for k, _, n, s, q in rows)])
+    assert reads.pair_problems(out).count() == 0
+    with pytest.raises(Exception, match="cut off|begin with|qualities"):
+        read_fastq_pair(spark, write(tmp_path / "3.fq", one[:-40]), second, split).count()
+
+
+def test_numbers_of_split_variants_equal_those_of_the_whole(spark, tmp_path):
+    from fixtures import bcf, vcf
+    from test_variants import SAMPLES, small_blocks
+
+    from locusflow.sources.sequences import dense_numbers
+    from locusflow.sources.vcf import read_variants
+
+    text = vcf([("1", 10 + k, f"rs{k}", "A", "C", "PASS", "GT", "0/0 0/1 ./. 1/1") for k in range(500)], SAMPLES)
+    for path in (write(tmp_path / "a.vcf", text), write(tmp_path / "a.vcf.gz", small_blocks(text.encode(), 900)), write(tmp_path / "a.bcf", small_blocks(gzip.decompress(bcf(text)), 900))):
+        records = read_variants(spark, path, split=2000)[0]
+        assert records.rdd.getNumPartitions() > 2
+        assert [(r["rec"], r["id"]) for r in dense_numbers(records, "rec").where("pos >= 10").orderBy("pos").select("rec", "id").collect()] == [(k, f"rs{k}") for k in range(500)]
