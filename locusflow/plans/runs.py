@@ -23,8 +23,10 @@ from locusflow.operators.sets import GateError, require_equal
 from locusflow.plans import workflow as w
 from locusflow.session import columns_of, persisted, release, remove, scratch
 from locusflow.sources import files, sequences, tables
+from locusflow.sources.bgzf import Index
 from locusflow.sources.bcf_sink import write_bcf, write_index
 from locusflow.sources.files import size_of
+from locusflow.sources.pushdown import index_beside
 from locusflow.sources.vcf import HET, HOM_ALT, HOM_REF, OTHER_ALLELE, OTHER_PLOIDY, header_of, read_header, read_variants, require_format
 
 VERSION = "1.0"
@@ -505,8 +507,12 @@ def check_trimming(report: str, before: str | None, after: dict, out: str | None
     return after | {"adapter": found["adapter"]}
 
 
+#: Two alleles everywhere, as callers read it (fixed value of the format).
+PLOIDY = "* * * * 2\n"
+
+
 def prepare_reference(spark: SparkSession, source: str, sha256: str, max_bases: int, out: str) -> dict:
-    """A checked reference as Parquet chunks, with its autosomes as intervals."""
+    """A checked reference as Parquet chunks, as a copy with its index, with its autosomes as intervals and their ploidy."""
     found = w.identity(source, full=True)
     if not re.fullmatch("[0-9a-f]{64}", sha256) or found["sha256"] != sha256:
         raise GateError("the reference isn't the one that is expected")
@@ -516,19 +522,30 @@ def prepare_reference(spark: SparkSession, source: str, sha256: str, max_bases:
         lengths = {r["contig"]: r["length"] for r in contigs.collect()}
         if sum(lengths.values()) > max_bases:
             raise GateError("the reference is larger than allowed")
+        if not all(lengths.values()):
+            raise GateError("a contig is empty")
         autosomes = [c for c in lengths if re.fullmatch("(chr)?([1-9]|1[0-9]|2[0-2])", c)]
         if len({c.removeprefix("chr") for c in autosomes}) != len(autosomes):
             raise GateError("an autosome is there with and without chr")
+        if not autosomes:
+            raise GateError("the reference has no autosome")
+        shutil.copyfile(source.removeprefix("file://"), f"{folder}/reference.fa")
+        if w.identity(f"{folder}/reference.fa", full=True)["sha256"] != sha256:
+            raise GateError("the reference changed meanwhile")
+        with open(f"{folder}/reference.fa.fai", "w", encoding="utf-8") as f:
+            f.writelines("\t".join(map(str, row)) + "\n" for row in sequences.fasta_index(f"{folder}/reference.fa"))
+        with open(f"{folder}/ploidy.txt", "w", encoding="utf-8") as f:
+            f.write(PLOIDY)
         chunks.withColumn("of_contig", F.col("contig")).write.partitionBy("of_contig").parquet(f"file://{folder}/reference.parquet")
         with open(f"{folder}/autosomes.bed", "w", encoding="utf-8") as f:
             f.writelines(f"{c}\t0\t{lengths[c]}\n" for c in autosomes)
-        report = {"sha256": sha256, "bases": sum(lengths.values()), "contigs": len(lengths), "autosomes": len(autosomes)}
+        report = {"sha256": sha256, "bases": sum(lengths.values()), "contigs": lengths, "autosomes": len(autosomes)}
         w.write_json(f"{folder}/reference.json", report)
     return report
 
 
 def check_alignments(spark: SparkSession, bams: list[str], samples: list[str], libraries: list[str], index: str) -> list[dict]:
-    """Counts of each library after read groups, dictionary and order were checked."""
+    """Counts of each library after read groups, dictionary, index and order were checked."""
     expected = tables.read_fai(spark, index).select(F.col("contig"), F.col("length"))
     groups: set[str] = set()
     out = []
@@ -539,6 +556,11 @@ def check_alignments(spark: SparkSession, bams: list[str], samples: list[str], l
             if ident in groups or tags.get("SM") != sample or tags.get("LB") != library or tags.get("PL", "").upper() != "ILLUMINA":
                 raise GateError(f"{path}: read group {ident} doesn't fit")
             groups.add(ident)
+        if not rgs:
+            raise GateError(f"{path}: no read groups")
+        beside = index_beside(path, sequences.BAM_INDEX)
+        if beside is None or len(Index(beside).contigs) != len(names):
+            raise GateError(f"{path}: no index beside it, or one of other contigs")
         rows = persisted(sequences.read_alignments(spark, path).withColumn("library", F.lit(library)), "alignments")
         ranks = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "contig string, rank int")
         ranked = rows.join(F.broadcast(ranks), "contig", "left").select("ordinal", F.coalesce("rank", F.lit(1 << 30)).alias("rank"), "pos")

@@ -25,11 +25,13 @@ from locusflow.session import columns_of, prepare_workers
 from locusflow.sources import bgzf, files
 from locusflow.sources.bgzf import LARGEST, NOWHERE, Stream
 from locusflow.sources.files import FormatError
+from locusflow.sources.pushdown import Places, allow_pushdown
 
 LONGEST_LINE = 1 << 20
 CHUNK = 1 << 16
 #: Bytes of a part of a BAM file.
 SPLIT = 64 << 20
+BAM_INDEX = (".csi", ".bai")
 READS = "ordinal long, mate int, name string, seq string, qual string"
 BASES = "contig string, chunk long, bases string, length long"
 ALIGNMENTS = "ordinal long, read_group string, library string, sample string, flag int, contig string, pos long, mapq int, cigar string, name string, seq string, qual string, mate_contig string, mate_pos long, template_length int"
@@ -39,10 +41,13 @@ _QUALITIES = re.compile(rb"[!-~]*")
 
 @dataclass
 class File(InputPartition):
+    """A file or a part of it: between two bytes, or, if it was found by an index, between two virtual offsets."""
+
     path: str
     mate: int = 0
     begin: int = 0
     end: int | None = None
+    indexed: bool = False
 
 
 def read_name(line: str, mate: int) -> str:
@@ -121,6 +126,34 @@ def _splits(path: str, split: int) -> list[tuple[int, int | None]]:
     return list(zip(edges, [*edges[1:], None], strict=True))
 
 
+def fasta_index(path: str) -> list[tuple[str, int, int, int, int]]:
+    """(contig, length, offset of its first base, bases and bytes of a line) of a reference, read once.
+
+    All lines of a contig but the last must be equally long, or bases couldn't be found by arithmetic.
+    """
+    out: list[list] = []
+    at, ended = 0, False
+    fs, p = files.open_uri(path)
+    with io.BufferedReader(fs.open_input_file(p), 1 << 20) as f:
+        for line in f:
+            at += len(line)
+            bases = len(line.rstrip(b"\r\n"))
+            if line.startswith(b">"):
+                out.append([line[1:].split()[0].decode() if line[1:].split() else "", 0, at, 0, 0])
+                ended = False
+            elif bases or out and not ended:
+                if not out or ended and bases:
+                    raise FormatError(f"{path}: lines of {out[-1][0] if out else 'no contig'} differ in length")
+                c = out[-1]
+                if not c[3]:
+                    c[3], c[4] = bases, len(line)
+                ended = bases != c[3] or len(line) != c[4]
+                if bases > c[3]:
+                    raise FormatError(f"{path}: lines of {c[0]} differ in length")
+                c[1] += bases
+    return [tuple(c) for c in out]
+
+
 def fasta_chunks(path: str, chunk: int = CHUNK) -> Iterator[tuple[str, int, str, int]]:
     """(contig, chunk, bases, length of the contig, given with chunk 0 only after its end: null elsewhere)."""
     if files.is_gzip(path):
@@ -194,7 +227,43 @@ def _bam_rows(part: File, options: dict):
     return bam_records(part.path, part.begin, part.end)
 
 
-def _source(label: str, shape: str, rows, parts: bool = False) -> type[DataSource]:
+class BamReader(Places, _Rows):
+    """Alignments, of which conditions and regions need only the chunks that the index beside the file names."""
+
+    index_ends = BAM_INDEX
+
+    def __init__(self, options: dict):
+        _Rows.__init__(self, options, _arrow(ALIGNMENTS), _bam_rows, True)
+        self.regions = [bgzf.parse_region(r) for r in options.get("regions", "").split(";") if r]
+
+    def partitions(self) -> list[File]:
+        out = []
+        for part in [] if self.nothing() else _Rows.partitions(self):
+            index = self.index_of(part.path, self.options.get("index")) if self.regions or self.contigs is not None else None
+            if index is None:
+                out.append(part)
+            elif part.begin == 0:
+                out += [File(part.path, 0, a, b, True) for a, b in self.chunks(index, bam_header(part.path)[1], self.regions)]
+        return out or [File("")]
+
+    def read(self, part: File) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
+        test = self.wanted(self.regions)
+        rows = bam_chunk(part.path, part.begin, part.end) if part.indexed else bam_records(part.path, part.begin, part.end)
+        held: list[tuple] = []
+        for row in rows:
+            # A record without aligned bases counts as one base long.
+            if test(row[5], row[6], max(1, sum(int(n) for n, op in _SPAN.findall(row[8])))):
+                held.append(row)
+            if len(held) == 2048:
+                yield self._batch(held)
+                held = []
+        if held:
+            yield self._batch(held)
+
+
+def _source(label: str, shape: str, rows, parts: bool = False, own: type | None = None) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -204,7 +273,7 @@ def _source(label: str, shape: str, rows, parts: bool = False) -> type[DataSourc
             return shape
 
         def reader(self, schema) -> DataSourceReader:
-            return _Rows(self.options, _arrow(shape), rows, parts)
+            return own(self.options) if own else _Rows(self.options, _arrow(shape), rows, parts)
 
     return Source
 
@@ -215,6 +284,8 @@ FastaSource = _source("fasta", BASES, _fasta_rows)
 
 # ---- BAM
 
+#: Operations of a CIGAR that take bases of the reference.
+_SPAN = re.compile("([0-9]+)([MDN=X])")
 _CIGAR, _SEQ = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
 
@@ -299,15 +370,24 @@ def bam_records(path: str, begin: int = 0, end: int | None = None) -> Iterator[t
     stop = max(bam_sync(path, last, len(names)), least) if last < size else NOWHERE
     if start >= stop:
         return
-    stream = first
-    if begin:
+    yield from _bam_between(path, first if begin == 0 else None, start, stop, names, groups, True)
+
+
+def bam_chunk(path: str, begin: int, end: int) -> Iterator[tuple]:
+    """Records that begin between two virtual offsets, the first of which begins one."""
+    _, names, _, groups = bam_header(path)
+    yield from _bam_between(path, None, begin, end, names, groups, False)
+
+
+def _bam_between(path: str, stream: Stream | None, start: int, stop: int, names: list[str], groups: dict, exact: bool) -> Iterator[tuple]:
+    if stream is None:
         stream = Stream(path, start >> 16)
         stream.reach((start & 0xFFFF) + 1)
         stream.skip(start & 0xFFFF)
     while stream.reach(1):
         place = stream.place()
         if place >= stop:
-            if place != stop:
+            if exact and place != stop:
                 raise FormatError(f"{path}: records can't be told apart at {stop >> 16}; read it in one part")
             return
         if not stream.reach(4) or not stream.reach(4 + struct.unpack_from("<i", stream.held)[0]):
@@ -353,11 +433,12 @@ def _text_tag(data: bytes, at: int, want: bytes) -> str | None:
     return None
 
 
-BamSource = _source("bam", ALIGNMENTS, _bam_rows, True)
+BamSource = _source("bam", ALIGNMENTS, _bam_rows, True, BamReader)
 
 
 def _load(spark: SparkSession, source: type[DataSource], path: str, **options) -> DataFrame:
     prepare_workers(spark)
+    allow_pushdown(spark)
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(**options).load(path)
 
@@ -400,6 +481,7 @@ def read_reference(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFr
 def read_alignments(spark: SparkSession, path: str, **options) -> DataFrame:
     """Alignments of BAM files, read in parts of ``split`` bytes; library and sample come from the read groups.
 
-    ordinal goes up in the order of the file: it is a record's virtual offset.
+    ordinal goes up in the order of the file: it is a record's virtual offset. With ``regions`` (as for variants) or
+    conditions on contig and pos, only the chunks of an index beside the file (or the option ``index``) are read.
     """
     return _load(spark, BamSource, path, **options)

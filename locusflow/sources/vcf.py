@@ -19,11 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from locusflow.sources import bgzf, files
 from locusflow.sources.bgzf import NOWHERE, Stream
 from locusflow.sources.files import FormatError
+from locusflow.sources.pushdown import Places, allow_pushdown
 from locusflow.session import prepare_workers
 
 CALL = "struct<gt:array<int>,phased:boolean,dp:int,gq:int,rest:string>"
@@ -520,19 +521,9 @@ class Part(InputPartition):
     end: int | None = None
 
 
-def _wanted(regions: list[tuple[str, int, int]], contigs: frozenset | None = None, low: int = 0, high: int = 1 << 60):
-    """A test for records (contig, position, bases of REF) that overlap one of the regions (all do if there are none), are on
-    one of the contigs (any, if null) and begin within low and high."""
+class VcfReader(Places, DataSourceReader):
+    index_ends = (".csi", ".tbi")
 
-    def test(contig: str, pos: int, size: int) -> bool:
-        if not low <= pos <= high or contigs is not None and contig not in contigs:
-            return False
-        return not regions or any(contig == c and pos - 1 < e and pos - 1 + size > b for c, b, e in regions)
-
-    return test
-
-
-class VcfReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.split = int(options.get("split", SPLIT))
@@ -540,52 +531,12 @@ class VcfReader(DataSourceReader):
         self.regions = [bgzf.parse_region(r) for r in options.get("regions", "").split(";") if r]
         self.index = options.get("index")
         self.samples = json.loads(options["samples"]) if "samples" in options else None
-        # What conditions on contig and pos leave, as Spark pushes them.
-        self.contigs: frozenset | None = None
-        self.low, self.high = 0, 1 << 60
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes over comparisons of contig and pos with values; what is left is Spark's."""
-        for f in filters:
-            if not self._take(f):
-                yield f
-
-    def _take(self, f: Filter) -> bool:
-        name = getattr(f, "attribute", None)
-        if name not in (("contig",), ("pos",)):
-            return False
-        if isinstance(f, IsNotNull):
-            return True
-        if name == ("contig",) and isinstance(f, (EqualTo, In)):
-            found = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
-            self.contigs = found if self.contigs is None else self.contigs & found
-            return True
-        if name == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-            if not isinstance(f, (LessThan, LessThanOrEqual)):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.high = min(self.high, f.value - isinstance(f, LessThan))
-            return True
-        if name == ("pos",) and isinstance(f, In) and f.value:
-            # Narrower, but not all of the condition.
-            self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value))
-        return False
-
-    def _index_of(self, path: str) -> str | None:
-        """The index that is named, or lies beside the file."""
-        if self.index:
-            return self.index
-        for end in (".csi", ".tbi"):
-            fs, p = files.open_uri(path + end)
-            if fs.get_file_info(p).is_file:
-                return path + end
-        return None
 
     def partitions(self) -> list[Part]:
         out = []
         for path in self.paths:
             h = read_header(path)
-            if self.low > self.high or self.contigs is not None and not self.contigs & frozenset([*h.names, *h.contigs]) and _is_bcf(path):
+            if self.nothing():
                 continue
             size, bcf = files.size_of(path), _is_bcf(path)
             if not files.is_bgzf(path):
@@ -596,8 +547,8 @@ class VcfReader(DataSourceReader):
                 continue
             files.require_bgzf_end(path)
             kind = "records" if bcf else "blocks"
-            if (self.regions or self.contigs is not None) and (index := self._index_of(path)):
-                out += [Part(path, f"indexed {kind}", a, b) for a, b in self._chunks(h, index)]
+            if (self.regions or self.contigs is not None) and (index := self.index_of(path, self.index)):
+                out += [Part(path, f"indexed {kind}", a, b) for a, b in self.chunks(index, h.names, self.regions)]
             elif size <= self.split:
                 out.append(Part(path, "whole"))
             else:
@@ -605,17 +556,6 @@ class VcfReader(DataSourceReader):
         # A source without parts is read as one that has none in particular.
         return out or [Part("", "nothing")]
 
-    def _chunks(self, h: Header, path: str) -> list[tuple[int, int]]:
-        """Places of the file that can hold what is asked for: in all regions, and where the pushed conditions lead."""
-        index = bgzf.Index(path)
-        names = index.names or h.names
-        of = lambda regions: bgzf.merged([c for name, b, e in regions if name in names for c in index.chunks(names.index(name), b, e)])
-        pushed = [(c, max(self.low - 1, 0), self.high) for c in sorted(self.contigs or ())]
-        if not self.regions or self.contigs is None:
-            return of(self.regions or pushed)
-        both = of(pushed)
-        return bgzf.merged([(max(a, c), min(b, d)) for a, b in of(self.regions) for c, d in both if max(a, c) < min(b, d)])
-
     def _lines(self, part: Part) -> Iterator[tuple[int, bytes]]:
         """Numbered lines of a part of a text."""
         if part.kind == "whole":
@@ -650,7 +590,7 @@ class VcfReader(DataSourceReader):
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         if part.kind == "nothing":
             return
-        h, wanted = read_header(part.path), _wanted(self.regions, self.contigs, self.low, self.high)
+        h, wanted = read_header(part.path), self.wanted(self.regions)
         keep = None if self.samples is None else places_of(h, self.samples, part.path)
         if not _is_bcf(part.path):
             yield from text_batches(self._lines(part), h, part.path, self.packed, wanted, keep)
@@ -717,7 +657,7 @@ class VcfSource(DataSource):
 def read_variants(spark: SparkSession, path: str, samples: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame, Header]:
     """(records, samples (idx, sample), header) of a file, of some of its samples if they are named."""
     prepare_workers(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    allow_pushdown(spark)
     spark.dataSource.register(VcfSource)
     h = read_header(path)
     if samples is not None:

@@ -1,5 +1,6 @@
 import json
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -33,6 +34,10 @@ def test_alignments_out_of_order_at_any_place(spark, tmp_path, monkeypatch):
     groups = {"x": {"SM": "S", "LB": "L", "PL": "ILLUMINA"}}
     monkeypatch.setattr(runs.sequences, "bam_header", lambda p: (None, ["1"], [1000], groups))
     monkeypatch.setattr(runs, "size_of", lambda p: 1)
+    with pytest.raises(GateError, match="no index beside"):
+        runs.check_alignments(spark, ["a.bam"], ["S"], ["L"], index)
+    monkeypatch.setattr(runs, "index_beside", lambda p, ends: p)
+    monkeypatch.setattr(runs, "Index", lambda p: SimpleNamespace(contigs=[1]))
     for wrong in (None, 1, 100_000, 100_001, 199_999):
         frame = spark.range(200_000).select(F.col("id").alias("ordinal"), F.lit("1").alias("contig"), (F.col("id") - (F.lit(5) if wrong is not None else F.lit(0)) * (F.col("id") == F.lit(wrong or 0)).cast("int")).alias("pos"), F.lit(99).alias("flag"))
         monkeypatch.setattr(runs.sequences, "read_alignments", lambda s, p, f=frame: f)

@@ -449,3 +449,91 @@ def test_numbers_of_split_variants_equal_those_of_the_whole(spark, tmp_path):
         records = read_variants(spark, path, split=2000)[0]
         assert records.rdd.getNumPartitions() > 2
         assert [(r["rec"], r["id"]) for r in dense_numbers(records, "rec").where("pos >= 10").orderBy("pos").select("rec", "id").collect()] == [(k, f"rs{k}") for k in range(500)]
+
+
+# ---- BAM by index
+
+
+def bai(rows, contigs):
+    """A BAI index of records (virtual offset, place behind it, contig number, 0-based position, bases spanned)."""
+    import struct
+
+    out = b"BAI\x01" + struct.pack("<i", contigs)
+    for c in range(contigs):
+        bins, linear = {}, {}
+        for at, behind, tid, pos, span in rows:
+            if tid != c:
+                continue
+            end = pos + max(1, span) - 1
+            level = next((k for k, shift in enumerate((14, 17, 20, 23, 26)) if pos >> shift == end >> shift), 5)
+            number = 0 if level == 5 else ((1 << 15 - 3 * level) - 1) // 7 + (pos >> 14 + 3 * level)
+            bins.setdefault(number, []).append((at, behind))
+            for k in range(pos >> 14, (end >> 14) + 1):
+                linear[k] = min(linear.get(k, at), at)
+        out += struct.pack("<i", len(bins))
+        for number, chunks in bins.items():
+            out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *x) for x in chunks)
+        n = max(linear, default=-1) + 1
+        out += struct.pack("<i", n) + b"".join(struct.pack("<Q", linear.get(k, 0)) for k in range(n))
+    return out
+
+
+def test_regions_of_alignments_touch_their_chunks_only(spark, tmp_path, monkeypatch):
+    from test_variants import small_blocks
+
+    from locusflow.sources import bgzf
+    from locusflow.sources.sequences import BamReader
+
+    rng = random.Random(3)
+    places = sorted((rng.choice([0, 0, 1]), rng.randrange(900_000)) for _ in range(1500))
+    places = [(t, p if t == 0 else p % 4000) for t, p in places]
+    places.sort()
+    rows = [(f"r{k}", t, p, rng.choice([1, 50, 151])) for k, (t, p) in enumerate(places)] + [(f"u{k}", -1, -1, 30) for k in range(20)]
+    path = write(tmp_path / "a.bam", small_blocks(bam(rows), 2000))
+    plain = read_alignments(spark, path).orderBy("ordinal").collect()
+    offsets = [r["ordinal"] for r in plain]
+    write(tmp_path / "a.bam.bai", bai([(at, behind, t, p, n) for at, behind, (_, t, p, n) in zip(offsets, [*offsets[1:], offsets[-1] + (1 << 16)], rows)], 2))
+    span = {r["ordinal"]: n for r, (_, _, _, n) in zip(plain, rows)}
+    for condition in ("contig = '1' AND pos BETWEEN 300000 AND 420000", "contig = '2' AND pos < 900", "contig IN ('1', '2') AND pos = 77", "contig = 'none'", "pos >= 899000 AND flag = 99", "contig IS NULL"):
+        want = [r["ordinal"] for r in read_alignments(spark, path).select("ordinal", "contig", "pos", "flag").collect() if eval_sql(condition, r)]
+        found = read_alignments(spark, path).where(condition).select("ordinal", "contig", "pos", "flag")
+        assert sorted(r["ordinal"] for r in found.collect()) == sorted(want)
+    for region, (c, b, e) in {"1:300001-420000": ("1", 300_000, 420_000), "2": ("2", 0, 1 << 40)}.items():
+        got = sorted(r["ordinal"] for r in read_alignments(spark, path, regions=region).select("ordinal").collect())
+        want = sorted(r["ordinal"] for r in plain if r["contig"] == c and r["pos"] - 1 < e and r["pos"] - 1 + span[r["ordinal"]] > b)
+        assert got == want
+    seen = set()
+    real = bgzf.blocks
+    monkeypatch.setattr(bgzf, "blocks", lambda p, begin=0: (seen.add(x[0]) or x for x in real(p, begin)))
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull, LessThan
+
+    def blocks_for(*filters):
+        seen.clear()
+        reader = BamReader({"path": path})
+        assert list(reader.pushFilters(list(filters))) == []
+        n = sum(b.num_rows for part in reader.partitions() for b in reader.read(part))
+        return n, len(seen)
+
+    every, all_blocks = blocks_for()
+    some, few = blocks_for(IsNotNull(("contig",)), EqualTo(("contig",), "1"), GreaterThan(("pos",), 400_000), LessThan(("pos",), 410_000))
+    assert every == len(rows) and some == sum(r["contig"] == "1" and 400_000 < r["pos"] < 410_000 for r in plain) > 0
+    assert few < all_blocks / 4
+
+
+def eval_sql(condition, r):
+    contig, pos, flag = r["contig"], r["pos"], r["flag"]
+    return {
+        "contig = '1' AND pos BETWEEN 300000 AND 420000": contig == "1" and 300_000 <= pos <= 420_000, "contig = '2' AND pos < 900": contig == "2" and pos < 900, "contig IN ('1', '2') AND pos = 77": contig in ("1", "2") and pos == 77,
+        "contig = 'none'": False, "pos >= 899000 AND flag = 99": pos >= 899_000 and flag == 99, "contig IS NULL": contig is None,
+    }[condition]
+
+
+def test_fasta_index(tmp_path):
+    from locusflow.sources.sequences import fasta_index
+
+    text = ">1 first\nACGTA\nACGTA\nAC\n>chr2\r\nAAAA\r\nCC\r\n>3\nACGT\n\n>4\nA"
+    found = fasta_index(write(tmp_path / "a.fa", text))
+    assert found == [("1", 12, 9, 5, 6), ("chr2", 6, text.index("AAAA"), 4, 6), ("3", 4, text.index("ACGT\n\n"), 4, 5), ("4", 1, len(text) - 1, 1, 1)]
+    for bad in (">1\nAC\nACG\n", ">1\nACG\nA\nACG\n", "AC\n", ">1\nAC\n\nAC\n"):
+        with pytest.raises(FormatError):
+            fasta_index(write(tmp_path / "b.fa", bad))

@@ -166,7 +166,9 @@ def test_reads_to_joint_calls(spark, tmp_path):
     fasta = write(tmp_path / "r.fa", f">1\n{reference}\n")
     digest = hashlib.sha256(open(fasta, "rb").read()).hexdigest()
     report = runs.prepare_reference(spark, fasta, digest, 20_000, str(tmp_path / "ref"))
-    assert report == {"sha256": digest, "bases": 10_000, "contigs": 1, "autosomes": 1}
+    assert report == {"sha256": digest, "bases": 10_000, "contigs": {"1": 10_000}, "autosomes": 1}
+    assert open(tmp_path / "ref" / "reference.fa").read() == open(fasta).read() and open(tmp_path / "ref" / "reference.fa.fai").read() == "1\t10000\t3\t10000\t10001\n"
+    assert open(tmp_path / "ref" / "ploidy.txt").read() == "* * * * 2\n" and open(tmp_path / "ref" / "autosomes.bed").read() == "1\t0\t10000\n"
     for wrong in ((digest, 100), ("0" * 64, 20_000)):
         with pytest.raises(GateError):
             runs.prepare_reference(spark, fasta, *wrong, str(tmp_path / "no"))
