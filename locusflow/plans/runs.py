@@ -26,6 +26,7 @@ from locusflow.sources import files, sequences, tables
 from locusflow.sources.bgzf import Index
 from locusflow.sources.bcf_sink import write_bcf, write_index
 from locusflow.sources.files import size_of
+from locusflow.sources.pgen import write_pgen
 from locusflow.sources.pushdown import index_beside
 from locusflow.sources.vcf import HET, HOM_ALT, HOM_REF, OTHER_ALLELE, OTHER_PLOIDY, header_of, read_header, read_variants, require_format
 
@@ -360,7 +361,7 @@ def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
     def imported(done, out):
         records = spark.read.parquet(f"file://{done['mask']}/mask/variants.parquet")
         ident = g.variant_id(F.col("contig"), F.col("pos"), F.col("ref"), F.element_at("alts", 1))
-        rows = records.select("rec", "contig", "contig_rank", "pos", ident.alias("id"), "calls")
+        rows = records.select("rec", "contig", "contig_rank", "pos", ident.alias("id"), "ref", F.element_at("alts", 1).alias("alt"), "calls")
         save(packed_markers.dosage_rows(packed_markers.pack_calls(rows)), out)
         _write_psam(read_header(c.input).samples, f"{out}/data.psam")
 
@@ -406,6 +407,10 @@ def genotype_workflow(spark: SparkSession, c: GenotypeConfig) -> w.Workflow:
         places = [i for i, x in enumerate(samples) if x in keep]
         save(packed_markers.choose_samples(table(done["site-qc"]), places), out)
         _write_psam([samples[i] for i in places], f"{out}/data.psam")
+        order = ["contig_rank", "pos", "rec"]
+        write_pgen(table(out), order, len(places), f"{out}/data.pgen")
+        sites = table(out).orderBy(*order)
+        write_table(sites.select(F.col("contig").alias("#CHROM"), F.col("pos").cast("string").alias("POS"), F.col("id").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT")), f"{out}/data.pvar")
 
     def cohort(done, out):
         header, samples = read_header(c.input), people(done["retained"])

@@ -13,6 +13,7 @@ from test_variants import META
 from locusflow import cli
 from locusflow.operators.sets import GateError
 from locusflow.plans import runs
+from locusflow.sources.pgen import read_pgen
 from locusflow.sources.sequences import read_reference
 from locusflow.sources.vcf import read_variants
 
@@ -66,6 +67,10 @@ def test_genotype_run_of_the_described_cohort(spark, tmp_path):
     report = load(f"{where['select']}/selection/selection.json")
     assert report["sample_qc_excluded"] == ["S62", "S63"] and report["relatedness_excluded"] == [{"sample": "S61", "related_to": "S00"}]
     assert len(report["retained"]) == 61 and report["assembly"] == "drawn"
+    calls, variants = read_pgen(spark, f"{where['retained']}/data")
+    held = {r["id"]: r["data"] for r in spark.read.parquet(f"{where['retained']}/markers.parquet").collect()}
+    assert {r["id"]: r["data"] for r in calls.join(variants, "at").collect()} == held and len(held) == 238
+    assert [r["pos"] for r in variants.orderBy("at").collect()] == sorted(r["pos"] for r in variants.collect())
     records, samples, _ = read_variants(spark, f"{where['bcf']}/cohort.bcf")
     assert samples.count() == 61 and records.count() == 238 and os.path.exists(f"{where['bcf']}/cohort.bcf.csi")
     rows = [x.split("\t") for x in open(f"{where['stats']}/stats/samples.tsv").read().splitlines()]
