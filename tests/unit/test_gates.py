@@ -70,6 +70,8 @@ def test_adapters_are_cut_by_overlap(spark):
         for mate, s in ((1, one), (2, two)):
             rows.append((k, mate, f"r{k}", s, "I" * len(s)))
             want[k, mate] = s if got is None else s[:got]
+    rows += [(98, m, "empty", t, t) for m, t in ((1, ""), (2, ""))]
+    want |= {(98, 1): "", (98, 2): ""}
     rows.append((99, 1, "alone", "ACGT" * 20, "I" * 80))
     want[99, 1] = "ACGT" * 20
     out = trim.trim_adapters(spark.createDataFrame(rows, "ordinal long, mate int, name string, seq string, qual string"), ["ordinal"])
