@@ -90,8 +90,9 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes)
     begins, sizes = starts[short], sizes[short]
     if len(begins):
         at = np.cumsum(sizes) - sizes
-        place = np.arange(at[-1] + sizes[-1]) - np.repeat(at, sizes)
-        bytes_ = data[place + np.repeat(begins, sizes)].astype(np.uint64) + np.uint64(1)
+        every = np.arange(at[-1] + sizes[-1], dtype=np.int32)
+        place = every - np.repeat(at.astype(np.int32), sizes)
+        bytes_ = data[every + np.repeat((begins - at).astype(np.int32), sizes)].astype(np.uint64) + np.uint64(1)
         out[short] = np.add.reduceat(bytes_ * _multipliers(int(sizes.max()), key)[place], at)
     return mix(out)
 
@@ -101,9 +102,10 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: n
     if not len(starts):
         return np.empty(0, bool)
     at = np.cumsum(sizes) - sizes
-    place = np.arange(at[-1] + sizes[-1]) - np.repeat(at, sizes)
-    differ = data[place + np.repeat(starts, sizes)] != other[place + np.repeat(begins, sizes)]
-    return ~np.logical_or.reduceat(differ, at)
+    place = np.arange(at[-1] + sizes[-1], dtype=np.int32)
+    differ = data[place + np.repeat((starts - at).astype(np.int32), sizes)] != other[place + np.repeat((begins - at).astype(np.int32), sizes)]
+    # Hardly ever any: only then it matters which.
+    return ~np.logical_or.reduceat(differ, at) if differ.any() else np.ones(len(starts), bool)
 
 
 def forget() -> None:

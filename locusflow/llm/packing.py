@@ -66,7 +66,9 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self.hashes = np.empty(0, np.uint64)
-        self.begins, self.sizes, self.spelt, self.lengths = np.empty((4, 0), np.int64)
+        # Places in the arrays of ids and bytes, and how many there are of a word: both are small.
+        self.begins, self.spelt = np.empty((2, 0), np.int32)
+        self.sizes, self.lengths = np.empty((2, 0), np.int16)
         self.ids = np.empty(0, np.uint32)
         self.bytes = np.empty(0, np.uint8)
 
@@ -168,17 +170,21 @@ class WordTokenizer:
             some = slice(None) if full else new
             self._learn(hashes[some], [raw[a:b] for a, b in zip(starts[first[some]].tolist(), ends[first[some]].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, hashes)
-        known = at[where]
-        alike = self.lengths[known] == ends - starts
-        alike[alike] = same_bytes(data, starts[alike], self.lengths[known][alike], self.bytes, self.spelt[known][alike])
+        # Each occurrence has the bytes of the word that its hash stands for.
+        known, sizes = at[where], ends - starts
+        alike = self.lengths[known] == sizes
+        if alike.all():
+            alike = same_bytes(data, starts, sizes, self.bytes, self.spelt[known])
+        else:
+            alike[alike] = same_bytes(data, starts[alike], sizes[alike], self.bytes, self.spelt[known[alike]])
         if not alike.all():
             # Another word with the hash of a known one: its text isn't looked up.
             apart = {group[k] for k in np.searchsorted(np.cumsum(lengths + 1), starts[~alike], "right").tolist()}
             return sorted(apart) + self._plain(texts, [i for i in group if i not in apart], out)
-        sizes = self.sizes[at][where]
+        sizes = self.sizes[known].astype(np.int64)
         stops = np.cumsum(sizes)
         total = int(stops[-1]) if len(stops) else 0
-        ids = self.ids[np.repeat(self.begins[at][where] - stops + sizes, sizes) + np.arange(total)]
+        ids = self.ids[np.repeat(self.begins[known] - stops + sizes, sizes) + np.arange(total)]
         borders = np.searchsorted(starts, np.cumsum(lengths + 1)[:-1])
         cuts = np.concatenate([[0], stops])[borders]
         for i, part in zip(group, np.split(ids, cuts), strict=True):
