@@ -7,9 +7,11 @@ short ones, then growing parts of the vector at full resolution (segments of one
 short segments for the rest. A pair whose bound doesn't reach the query's k-th best so far is out; the others, and only
 these, are scored exactly.
 
-Vectors travel as packed blocks. The stated queries first meet one block of candidates, which gives each a k-th best to
-begin with, and then all others on a grid of blocks: each cell of the grid is a row of an equi-join on the cell's number,
-whose size is bounded by the block sizes, and gives back k rows per query at most.
+Vectors travel as packed blocks. The stated queries first meet a part of the candidates that is drawn by hashed id, which gives
+each a k-th best to begin with, and then all others on a grid of blocks: each cell of the grid is a row of an equi-join on the
+cell's number, whose size is bounded by the block sizes, and gives back k rows per query at most. Blocks gather vectors with
+alike coarse statistics, and keep the ranges of these: a cell whose ranges can't reach what its queries need is left
+out before any vector moves.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.session import persisted, prepare_workers
@@ -27,6 +29,8 @@ from locusflow.session import persisted, prepare_workers
 #: scored in Python's integers, after a bound on rounding has left out those that can't be among the best.
 LARGEST = 1 << 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 16384
+#: Numbers of blocks are broadcast up to so many.
+BROADCAST_BLOCKS = 100_000
 #: Queries and candidates that are compared at a time inside a cell.
 QUERY_STEP, CANDIDATE_STEP = 256, 2048
 #: The bounds are computed in double precision; this share of the norms' product keeps rounding from ever cutting a true
@@ -176,8 +180,21 @@ def search_any(q_ids, q_vecs, c_ids, c_vecs, k: int, floors: np.ndarray | None =
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _pack(block: int):
-    """Turns rows (id, numbers, floor) into rows (ids, components, width, floors) of at most ``block`` vectors, widths padded by zeros.
+def block_ranges(vectors: np.ndarray, segment: int) -> tuple[list[float], list[float], list[float]]:
+    """(least mean, largest mean, largest deviation) of each segment of so many components, scaled by the segment's length.
+
+    Components behind a block's own width are zeros, and so are the ranges of segments that it doesn't reach.
+    """
+    wide = -(-vectors.shape[1] // segment) * segment
+    parts = np.pad(vectors.astype(np.float64), ((0, 0), (0, wide - vectors.shape[1]))).reshape(len(vectors), -1, segment)
+    means = parts.mean(2)
+    deviations = np.sqrt(((parts - means[:, :, None]) ** 2).sum(2))
+    means *= np.sqrt(segment)
+    return means.min(0).tolist(), means.max(0).tolist(), deviations.max(0).tolist()
+
+
+def _pack(block: int, segment: int):
+    """Turns rows (id, numbers, floor) into rows (ids, components, width, floors, ranges) of at most ``block`` vectors, widths padded by zeros.
 
     Components take 4 bytes in blocks of ordinary vectors and are doubles in others.
     """
@@ -190,7 +207,9 @@ def _pack(block: int):
             data[i, : len(v)] = v
         ids = np.array([i for i, _, _ in rows], np.int64)
         floors = np.array([-np.inf if f is None else f for _, _, f in rows], np.float64)
-        return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (ids, data)), pa.array([width], pa.int32()), pa.array([floors.tobytes()], pa.binary())], ["ids", "data", "width", "floors"])
+        with np.errstate(over="ignore", invalid="ignore"):
+            ranges = [pa.array([x], pa.list_(pa.float64())) for x in block_ranges(data, segment)]
+        return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (ids, data)), pa.array([width], pa.int32()), pa.array([floors.tobytes()], pa.binary()), pa.array([float(floors.min())]), *ranges], ["ids", "data", "width", "floors", "least", "low", "high", "dev"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
@@ -245,35 +264,72 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0,
     kept = persisted(rows, "vectors")
     # Of rows that share a query's id the one with the largest vector asks.
     asking = persisted(kept.where("is_query").groupBy("id").agg(F.max("v").alias("v")), "asking")
-    candidates = _blocks(kept.withColumn("floor", F.lit(None).cast("long")), candidate_block, "c")
-    first = persisted(_grid(candidates.where("c_no = 0"), _blocks(asking.withColumn("floor", F.lit(None).cast("long")), query_block, "q"), k), "first")
-    # A k-th best among the first block: nothing less is among the best of all.
+    facts = kept.agg(F.count("*"), F.max(F.size("v"))).first()
+    segment = max(1, -(-(facts[1] or 1) // COARSE[-1]))
+    none = F.lit(None).cast("long")
+    drawn = F.pmod(F.xxhash64("id", F.lit("first")), F.lit(max(1, -(-facts[0] // candidate_block)))) == 0
+    rest = _blocks(kept.where(~drawn).withColumn("floor", none), candidate_block, "c", segment)
+    start = _blocks(kept.where(drawn).withColumn("floor", none), candidate_block, "c", segment)
+    first = persisted(_grid(start, _blocks(asking.withColumn("floor", none), query_block, "q", segment), k), "first")
+    # A k-th best among these: nothing less is among the best of all.
     reached = first.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.max(F.abs("side")).alias("wide"), F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("kth"))
     reached = reached.where((F.col("n") >= k) & (F.col("wide") == 0)).select("id", F.col("kth")[0].alias("floor"))
-    found = first.unionByName(_grid(candidates.where("c_no > 0"), _blocks(asking.join(reached, "id", "left"), query_block, "q"), k))
+    found = first.unionByName(_grid(rest, _blocks(asking.join(reached, "id", "left"), query_block, "q", segment), k))
     best = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), "vec_id")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     score = F.when(F.col("side") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best is beyond 64 bits")).cast("long"))
     return top.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
-def _blocks(rows: DataFrame, block: int, side: str) -> DataFrame:
-    """Rows (id, v, floor) packed into blocks, numbered from 0: (x_ids, x_data, x_width, x_floors, x_no), x being the side's letter."""
+SMALL = ("least", "low", "high", "dev")
+
+
+def _blocks(rows: DataFrame, block: int, side: str, segment: int) -> DataFrame:
+    """Rows (id, v, floor) packed into blocks with a number each: x_no, x_ids, x_data, x_width, x_floors and the block's
+    ranges, x being the side's letter.
+
+    Vectors are sorted by the segment that their mean is largest in, either way, and by that mean.
+    """
     rows = rows.select("id", "v", "floor")
-    packed = rows.repartition(max(1, -(-rows.count() // block))).mapInArrow(_pack(2 * block), "ids binary, data binary, width int, floors binary")
-    packed = persisted(packed.withColumn("raw_no", F.monotonically_increasing_id()), f"{side}_blocks")
+    begins = F.sequence(F.lit(0), F.greatest(F.size("v") - 1, F.lit(0)), F.lit(segment))
+    sums = F.transform(begins, lambda i: F.aggregate(F.slice("v", i + 1, F.lit(segment)), F.lit(0.0), lambda s, x: s + F.floor(x)))
+    top = F.array_max(F.transform(sums, lambda s, i: F.struct(F.abs(s).alias("size"), i.alias("i"), s.alias("s"))))
+    keyed = rows.withColumn("_top", top).select("id", "v", "floor", (F.col("_top.i") * 2 + (F.col("_top.s") < 0).cast("int")).alias("_k"), F.col("_top.size").alias("_s"))
+    order = ["_k", "_s", "id"]
+    sized = keyed.repartitionByRange(max(1, -(-rows.count() // block)), *order).sortWithinPartitions(*order).select("id", "v", "floor")
+    packed = sized.mapInArrow(_pack(2 * block, segment), "ids binary, data binary, width int, floors binary, least double, low array<double>, high array<double>, dev array<double>")
+    packed = persisted(packed.withColumn("raw", F.monotonically_increasing_id()), f"{side}_blocks")
     # One number per block of thousands of vectors; the vectors stay where they are.
-    numbers = packed.select("raw_no", (F.row_number().over(Window.orderBy("raw_no")) - 1).alias("no"))
-    return packed.join(numbers, "raw_no").select(*(F.col(c).alias(f"{side}_{c}") for c in ("ids", "data", "width", "floors", "no")))
+    raw = sorted(r[0] for r in packed.select("raw").collect())
+    numbers = rows.sparkSession.createDataFrame([(r, i) for i, r in enumerate(raw)], "raw long, no long")
+    packed = packed.join(F.broadcast(numbers) if len(raw) <= BROADCAST_BLOCKS else numbers.hint("merge"), "raw")
+    return packed.select(*(F.col(c).alias(f"{side}_{c}") for c in ("ids", "data", "width", "floors", "no", *SMALL)))
+
+
+def _reach() -> Column:
+    """A bound of the inner products of a query of one block with a candidate of another, from both blocks' ranges."""
+    ranges = F.arrays_zip(*(f"{x}_{c}" for x in "qc" for c in SMALL[1:]))
+    corners = lambda r: F.greatest(*(r[f"q_{a}"] * r[f"c_{b}"] for a in ("low", "high") for b in ("low", "high")))
+    # A segment that one side lacks adds nothing.
+    part = lambda r: F.coalesce(corners(r) + r["q_dev"] * r["c_dev"], F.lit(0.0))
+    size = lambda r: F.coalesce(F.greatest(F.abs(r["q_low"]), F.abs(r["q_high"])) * F.greatest(F.abs(r["c_low"]), F.abs(r["c_high"])) + r["q_dev"] * r["c_dev"], F.lit(0.0))
+    total = lambda f: F.aggregate(F.transform(ranges, f), F.lit(0.0), lambda s, x: s + x)
+    return total(part) + SLACK * (1 + total(size))
+
+
+def _chosen(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Cells (q_no, c_no) whose blocks' ranges reach what some query needs: a join of small rows, one for each block."""
+    last = candidates.agg(F.max("c_no")).first()[0]
+    small = lambda x, df: df.select(f"{x}_no", *(f"{x}_{c}" for c in SMALL))
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")) if last is not None else F.array().cast("array<long>")
+    met = small("q", queries).withColumn("c_no", F.explode(numbers)).join(small("c", candidates).drop("c_least"), "c_no")
+    # A range that overflows says nothing; the ranges of a query without a floor aren't looked at.
+    reach = _reach()
+    return met.where(~F.coalesce((reach < F.col("q_least")) & ~F.isnan(reach), F.lit(False))).select("q_no", "c_no")
 
 
 def _grid(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Partial results (query_id, vec_id, score, side): k rows at most for a query and a block of candidates."""
-    across, down = (x.agg(F.min(c), F.max(c)).first() for x, c in ((candidates, "c_no"), (queries, "q_no")))
-    shape = "query_id long, vec_id long, score long, side byte"
-    if across[0] is None or down[0] is None:
-        return candidates.sparkSession.createDataFrame([], shape)
-    # A block of queries is the smaller one, and is dealt to the candidates' blocks with all others of its row.
-    left = queries.withColumn("c_no", F.explode(F.sequence(F.lit(across[0]), F.lit(across[1]))))
-    right = candidates.drop("c_floors").withColumn("q_no", F.explode(F.sequence(F.lit(down[0]), F.lit(down[1]))))
-    return left.join(right, ["q_no", "c_no"]).mapInArrow(_cells(k), shape)
+    left = queries.drop(*(f"q_{c}" for c in SMALL)).join(_chosen(candidates, queries), "q_no")
+    right = candidates.drop("c_floors", *(f"c_{c}" for c in SMALL))
+    return left.join(right, "c_no").mapInArrow(_cells(k), "query_id long, vec_id long, score long, side byte")

@@ -89,3 +89,27 @@ def test_scores_beyond_a_long(spark):
     assert [r[2] for r in run(spark, rows) if r[0] == 0] == [2, 3, 4, 5]
     with pytest.raises(Exception, match="beyond 64 bits"):
         run(spark, [(0, [1e15]), (1, [1e15])])
+
+
+def test_ranges_of_blocks_bound_their_products():
+    rng = np.random.default_rng(3)
+    for d, segment in ((7, 2), (64, 4), (5, 8)):
+        q, c = (np.floor(rng.normal(0, 50, (n, d)) + rng.normal(0, 90, d)) for n in (6, 9))
+        (ql, qh, qd), (cl, ch, cd) = (map(np.array, op.block_ranges(x, segment)) for x in (q, c))
+        bound = (np.max([a * b for a in (ql, qh) for b in (cl, ch)], 0) + qd * cd).sum()
+        assert (q @ c.T).max() <= bound * (1 + 1e-9) + 1e-9
+
+
+def test_cells_that_can_t_hold_a_neighbour_never_meet(spark):
+    """Clustered vectors, sorted into blocks by their coarse statistics: few cells are left, and nothing is lost."""
+    rng = np.random.default_rng(8)
+    middles = np.repeat(np.eye(16), 4, 1) * 8
+    rows = [(i, [float(x) for x in middles[i % 16] + rng.normal(0, 0.3, 64)]) for i in range(640)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = op.exact_top_k(frame.repartition(3), F.col("vec_id") % 5 == 0, k=4, query_block=8, candidate_block=40)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect()) == brute(rows, 4)
+    kept = frame.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 64.0).alias("v"))
+    blocks = op._blocks(kept.withColumn("floor", F.lit(None).cast("long")), 40, "c", 4)
+    asking = op._blocks(kept.where("id % 5 = 0").withColumn("floor", F.lit(64 * 64 * 150).cast("long")), 8, "q", 4)
+    cells = op._chosen(blocks, asking).count()
+    assert 0 < cells < blocks.count() * asking.count() / 4
