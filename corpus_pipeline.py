@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the table documents."""
+    """Applies the stages to the table documents; the rows are those of the last stage, pieces of packed documents.
+
+    A null text is kept as such up to packing, where it is one token, as an empty one; null and empty texts are equal, and
+    texts without words near duplicates of each other, so one of each group stays. Of repeated rows one stays. A null id is
+    an id like others, smaller than any in exact and larger than any in near deduplication. Without labels of both kinds
+    nothing is toxic. An empty table gives no rows. Other columns pass through, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = persisted(stage(spark, docs, sf_dir), name)
