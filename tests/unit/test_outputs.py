@@ -32,6 +32,9 @@ def test_evaluation(spark, tmp_path):
 def test_alignments_of_libraries(spark, tmp_path):
     data = bam([(f"r{k // 2}", 0, 10 + k, 20) for k in range(6)], (("1", 500),))
     path, index = write(tmp_path / "a.bam", bgzf(data)), write(tmp_path / "r.fai", "1\t500\t3\t500\t501\n")
+    with pytest.raises(GateError, match="no index"):
+        outputs.run_alignments(spark, [path], ["S"], ["L"], index, str(tmp_path / "n"))
+    write(tmp_path / "a.bam.bai", b"BAI\x01" + (1).to_bytes(4, "little") + bytes(8))
     report = outputs.run_alignments(spark, [path], ["S"], ["L"], index, str(tmp_path / "o"))
     assert report["libraries"][0]["records"] == report["libraries"][0]["usable"] == 6
     assert (tmp_path / "o/bams.list").read_text() == f"{path}\n" and (tmp_path / "o/samples.tsv").read_text() == "sample\tpopulation\nS\tALL\n"
