@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.components import components
 from locusflow.llm.kept import without
 from locusflow.llm.ngrams import N, SEGMENT, forget, mix, new_key, ngram_hashes, ngram_sets, pieces
-from locusflow.llm.worker import claim
+from locusflow.llm.worker import claim, give_back
 from locusflow.session import persisted, prepare_workers, release
 
 SIMILARITY = 0.8
@@ -93,6 +93,7 @@ def _sketches(bands: int, rows: int, n: int, key: bytes):
                 flat = pa.array(signature[size > 0].view(np.int64).ravel())
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size.astype(np.int64)), sha, pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", *SETS, "sha", "bands"])
+        give_back()
 
     return run
 
@@ -231,6 +232,8 @@ def _verify(similarity: float, n: int, key: bytes):
                     rows.append(row)
         if rows:
             yield work(rows)
+        rows.clear()
+        give_back()
 
     return run
 

@@ -23,9 +23,14 @@ def claim(name: str, clear: Callable[[], None]) -> None:
         _kept.pop(k)()
     if others:
         gc.collect()
+    give_back()
+    _kept[name] = clear
+
+
+def give_back() -> None:
+    """Returns free memory to the system: also at a task's end, since an idle worker's share is the JVM's meanwhile."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library: the memory goes back later
-    _kept[name] = clear
