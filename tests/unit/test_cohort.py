@@ -211,3 +211,19 @@ def test_ld_uses_all_samples_beyond_the_limit_of_components(spark, sf, monkeypat
     close = [(a, b) for a in x for b in x if a in maf and b in maf and 0 < b - a < cohort.LD_WINDOW and r2.loc[a, b] > 0.01]
     kept = [r["marker"] for r in cohort.ld_prune(spark, sf).collect()]
     assert sorted(kept) == ld.prune_order(sorted(maf), maf, close)
+
+
+def test_components_of_more_samples_than_a_matrix_of_samples_takes(spark, sf, monkeypatch):
+    from locusflow.plans import cohort
+    from locusflow.plans import derived as v
+
+    monkeypatch.setattr(pca, "MAX_SAMPLES", 20)
+    x = v.dosages(spark, sf).toPandas().pivot(index="sample", columns="marker", values="dose").astype(float)
+    z = np.nan_to_num(((x - x.mean()) / np.sqrt(x.mean() * (1 - x.mean() / 2))).to_numpy())
+    values, vectors = np.linalg.eigh(z @ z.T / z.shape[1])
+    got = {r["sample"]: r["pc"] for r in cohort.pca_components(spark, sf).collect()}
+    assert list(x.index) == sorted(got) and len(got) > 40
+    mine = np.array([got[s] for s in x.index])
+    want = vectors[:, ::-1][:, :4]
+    want = want * np.sign(want[np.abs(want).argmax(0), range(4)])
+    assert np.abs(mine - want).max() < 1e-8
