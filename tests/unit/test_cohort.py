@@ -227,3 +227,21 @@ def test_components_of_more_samples_than_a_matrix_of_samples_takes(spark, sf, mo
     want = vectors[:, ::-1][:, :4]
     want = want * np.sign(want[np.abs(want).argmax(0), range(4)])
     assert np.abs(mine - want).max() < 1e-8
+
+
+def test_residuals_of_more_samples_than_a_matrix_of_samples_takes(spark, sf, monkeypatch):
+    from locusflow.plans import cohort
+    from locusflow.plans import derived as v
+
+    monkeypatch.setattr(pca, "MAX_SAMPLES", 20)
+    x = v.dosages(spark, sf).toPandas().pivot(index="sample", columns="marker", values="dose").astype(float)
+    z = np.nan_to_num(((x - x.mean()) / np.sqrt(x.mean() * (1 - x.mean() / 2))).to_numpy())
+    values = np.linalg.eigvalsh(z @ z.T / z.shape[1])
+    report = cohort.pca_residual(spark, sf).orderBy("pc").collect()
+    assert [r["eigenvalue"] for r in report] == pytest.approx(values[::-1][:4]) and all(r["passed"] and r["residual"] < 1e-9 for r in report)
+    packed = v.packed_samples(spark, sf, 64, 40)
+    assert {r["part"] for r in packed.collect()} == {0, 1} and {len(r["data"]) for r in packed.collect()} == {40}
+    found = pca.components_by_marker(v.packed_samples(spark, sf, 64, 64), 3)
+    found.values = found.values * 1.01
+    with pytest.raises(ValueError):
+        pca.check_components(found, pca.residuals_of_samples(found))
