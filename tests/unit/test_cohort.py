@@ -245,3 +245,27 @@ def test_residuals_of_more_samples_than_a_matrix_of_samples_takes(spark, sf, mon
     found.values = found.values * 1.01
     with pytest.raises(ValueError):
         pca.check_components(found, pca.residuals_of_samples(found))
+
+
+def packed_doses(spark, x, width):
+    """Packed rows of an array of dosages (3: missing) whose row i is sample 3i + 1."""
+    parts = [(3 * i + 1, k, bytes((row[k * width : (k + 1) * width] + 48).astype(np.uint8))) for i, row in enumerate(x) for k in range(x.shape[1] // width)]
+    return spark.createDataFrame(parts, "sample long, part int, data binary")
+
+
+def test_tiles_of_words_keep_ties_with_the_threshold_and_travel_little(spark):
+    rng = np.random.default_rng(3)
+    x = rng.choice(4, (90, 128), p=[0.25, 0.4, 0.25, 0.1])
+    x[50:60] = x[0]
+    m = [k.astype(float) for k in kin.king_matrices(x, x)]
+    phi = kin.kinship(*m[:4])
+    least = sorted(phi[np.triu_indices(90, 1)])[3000]  # a value that occurs
+    want = {(3 * i + 1, 3 * j + 1): (int(m[4][i, j]), phi[i, j]) for i in range(90) for j in range(i + 1, 90) if phi[i, j] >= least}
+    for width, block in ((128, 16), (128, None), (64, 16)):
+        got = kin.king_of_packed(packed_doses(spark, x, width), float(least), block)
+        assert {(r["a"], r["b"]): (r["nsnp"], r["kinship"]) for r in got.collect()} == want
+    few = kin.king_of_packed(packed_doses(spark, x[:, :64], 64), 0.05, 16, 9).collect()
+    n = [k.astype(float) for k in kin.king_matrices(x[:, :64], x[:, :64])]
+    assert {(r["a"], r["b"]): r["kinship"] for r in few} == {(3 * i + 1, 3 * j + 1): round(p, 9) for i in range(90) for j in range(i + 1, 90) if (p := float(kin.kinship(*n[:4])[i, j])) >= 0.05}
+    # 615,384 samples of 64 markers: a sample travels 64 times, not once for each 512 samples.
+    assert kin._blocks((615_384, True, 64), None) <= 64
