@@ -269,3 +269,19 @@ def test_tiles_of_words_keep_ties_with_the_threshold_and_travel_little(spark):
     assert {(r["a"], r["b"]): r["kinship"] for r in few} == {(3 * i + 1, 3 * j + 1): round(p, 9) for i in range(90) for j in range(i + 1, 90) if (p := float(kin.kinship(*n[:4])[i, j])) >= 0.05}
     # 615,384 samples of 64 markers: a sample travels 64 times, not once for each 512 samples.
     assert kin._blocks((615_384, True, 64), None) <= 64
+
+
+@pytest.mark.parametrize("width", [64, 32])
+def test_related_samples_are_decided_without_the_pairs_of_those_that_went(spark, monkeypatch, width):
+    rng = np.random.default_rng(4)
+    x = rng.choice(4, (300, 64), p=[0.25, 0.4, 0.25, 0.1])
+    x[20:280:2] = x[7]
+    packed = packed_doses(spark, x, width)
+    pairs = kin.king_of_packed(packed, 0.15)
+    want = kin.exclusions_in_order([(r["a"], r["b"]) for r in pairs.collect()])
+    made, between = [], kin.king_between
+    monkeypatch.setattr(kin, "related_exclusions", lambda p, f=kin.related_exclusions: made.append(p.count()) or f(p))
+    monkeypatch.setattr(kin, "king_between", lambda *a: made.append((p := between(*a)).count()) or p)
+    got = {r["sample"]: r["reason"] for r in kin.related_samples(packed, 0.15, 32, 64).collect()}
+    assert got == want and len(want) > 130 and len(made) > 4
+    assert sum(made) < pairs.count() / 4
