@@ -30,6 +30,7 @@ log = logging.getLogger("jobs.cohort_release")
 
 COUNTS = ", ".join(f"{c} long" for c in g.COUNTS)
 RELEASE = f"rec long, contig string, pos long, ref string, alt string, {COUNTS}, observed_heterozygosity double, alt_frequency double, expected_heterozygosity double, population string"
+CALLS = "rec long, sample long, category string, dose int"
 SAMPLES = "sample long, population string, calls long, missing_rate double, retained boolean"
 
 
@@ -49,12 +50,12 @@ def run(spark: SparkSession, tables: str, output: str, settings: Settings = Sett
     """Writes both results below ``output`` and returns the release, read back."""
     s = settings
     sites = v.sites(spark, tables).where("skip_reason IS NULL").select("rec", "contig", "pos", "ref", F.element_at("alts", 1).alias("alt"))
-    calls = v.calls(spark, tables).join(sites, "rec", "left_semi")
-    calls = calls.select("rec", "sample", "alleles", g.category(F.col("alleles"), F.col("dp"), F.col("gq"), s.min_dp, s.min_gq).alias("category"))
-    # The calls are read once; what three rounds of counting start from is a written table that outlives executors.
+    calls = v.calls(spark, tables, sites).select("rec", "sample", v.category(s.min_dp, s.min_gq).alias("category"), "dose")
+    # The calls are read once; what both rounds of counting start from is a written table that outlives executors. A record's
+    # calls lie in one file, so that a task has most of the counts of its records before anything travels again.
     calls.write.mode("overwrite").parquet(f"{output}/calls")
     log.info("read the calls of eligible sites from %s", tables)
-    calls = written(spark, f"{output}/calls", "rec long, sample long, alleles array<int>, category string", log)
+    calls = written(spark, f"{output}/calls", CALLS, log)
 
     lost = g.ratio(F.count_if(F.col("category") != g.CATEGORIES[3]), F.count("*"))
     samples = v.populations(spark, tables)
@@ -64,12 +65,19 @@ def run(spark: SparkSession, tables: str, output: str, settings: Settings = Sett
     of_samples.withColumn("retained", keep).write.mode("overwrite").partitionBy("retained").parquet(f"{output}/samples")
     stay = written(spark, f"{output}/samples", SAMPLES, log).where("retained").select("sample", "population")
 
-    calls = calls.join(stay.select("sample"), "sample", "left_semi")
-    called = F.col("category") == g.CATEGORIES[3]
-    by_site = calls.groupBy("rec").agg(lost.alias("lost"), g.ratio(F.sum(F.when(called, g.dosage(F.col("alleles")))), 2 * F.count_if(called)).alias("p"))
+    # The calls that stay are counted once, by site and population; the same counts tell which sites are sound. A sample
+    # that is listed several times counts once for its sites and once for each of its populations.
+    of_sample = stay.groupBy("sample").agg(F.sort_array(F.collect_list("population")).alias("populations"))
+    counts = calls.join(of_sample, "sample").groupBy("rec", "populations").agg(*g.count_columns(F.col("category"), dose=F.col("dose")))
+    counts.write.mode("overwrite").parquet(f"{output}/counts")
+    counts = written(spark, f"{output}/counts", f"rec long, populations array<string>, {COUNTS}", log)
+
+    called, others = F.sum("called"), sum(F.sum(c) for c in ("missing", "quality_filtered", "unsupported_ploidy"))
+    by_site = counts.groupBy("rec").agg(g.ratio(others, called + others).alias("lost"), g.alt_frequency(F.sum("alt_alleles"), called).alias("p"))
     sound = by_site.where((F.col("lost") <= s.max_site_missing) & (F.least("p", 1 - F.col("p")) >= s.min_maf)).select("rec")
     kept = sites.join(sound, "rec", "left_semi")
-    release = stats.population_site_stats(calls.join(sound, "rec", "left_semi"), stay, kept, stats.DIGITS)
+    counts = counts.join(sound, "rec", "left_semi").withColumn("population", F.explode("populations"))
+    release = stats.every_site(counts.groupBy("rec", "population").agg(*(F.sum(c).alias(c) for c in g.COUNTS)), stay, kept, stats.DIGITS)
     release = release.select([x.split()[0] for x in RELEASE.split(", ")]).hint("rebalance", "population")
     release.write.mode("overwrite").partitionBy("population").parquet(f"{output}/release")
     return written(spark, f"{output}/release", RELEASE, log)

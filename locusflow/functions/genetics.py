@@ -68,7 +68,12 @@ def category(alleles: Column, dp: Column, gq: Column, min_dp: int = 0, min_gq: i
 
     Thresholds are inclusive, an absent value fails one that is on, and 0 turns one off: it isn't even part of the plan.
     """
-    out = F.when(alleles.isNull() | F.exists(alleles, lambda x: x.isNull()), CATEGORIES[0]).when(F.size(alleles) != 2, CATEGORIES[1])
+    return category_of(alleles.isNull() | F.exists(alleles, lambda x: x.isNull()), F.size(alleles) == 2, dp, gq, min_dp, min_gq)
+
+
+def category_of(missing: Column, diploid: Column, dp: Column, gq: Column, min_dp: int = 0, min_gq: int = 0) -> Column:
+    """:func:`category` of a call of which is known whether an allele is missing and whether there are two."""
+    out = F.when(missing, CATEGORIES[0]).when(~diploid, CATEGORIES[1])
     for value, least in ((dp, min_dp), (gq, min_gq)):
         if least:
             out = out.when(~F.coalesce(value >= least, F.lit(False)), CATEGORIES[2])
@@ -85,10 +90,10 @@ def unphased(gt: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.regexp_replace(gt, r"\|", "/"), "/")), "/")
 
 
-def count_columns(cat: Column, alleles: Column) -> list[Column]:
-    """The additive counts of one call, as sums to be grouped in any way."""
+def count_columns(cat: Column, alleles: Column | None = None, dose: Column | None = None) -> list[Column]:
+    """The additive counts of one call, as sums to be grouped in any way. ``dose``: what :func:`dosage` gives, if it is known."""
     called = cat == CATEGORIES[3]
-    dose = dosage(alleles)
+    dose = dosage(alleles) if dose is None else dose
     terms = (called, called & (dose == 1), None, cat == CATEGORIES[0], cat == CATEGORIES[2], cat == CATEGORIES[1])
     return [F.coalesce(F.sum(F.when(called, dose) if t is None else F.when(t, 1)), F.lit(0)).cast("long").alias(n) for n, t in zip(COUNTS, terms, strict=True)]
 

@@ -1,6 +1,6 @@
 """Counts and ratios by site, sample and population.
 
-Input is a frame of classified calls, one row per call: rec, sample, category, alleles. All aggregates are sums of the same
+Input is a frame of classified calls, one row per call: rec, sample, category, and alleles or their dose. All aggregates are sums of the same
 additive counts, so each is one grouped aggregate with map-side partial sums.
 """
 
@@ -16,7 +16,8 @@ MOST_POPULATIONS = 10_000
 
 
 def _counted(calls: DataFrame, *keys) -> DataFrame:
-    return calls.groupBy(*keys).agg(*g.count_columns(F.col("category"), F.col("alleles")))
+    of_call = {"dose": F.col("dose")} if "dose" in calls.columns else {"alleles": F.col("alleles")}
+    return calls.groupBy(*keys).agg(*g.count_columns(F.col("category"), **of_call))
 
 
 def _rounded(column, digits: int | None):
@@ -49,11 +50,15 @@ def sample_stats(calls: DataFrame, samples: DataFrame, eligible: int, digits: in
 
 def population_site_stats(calls: DataFrame, samples: DataFrame, sites: DataFrame, digits: int | None = None) -> DataFrame:
     """One row per (site, population), also where the population has no call. There are MOST_POPULATIONS at most."""
+    return every_site(_counted(calls.join(samples, "sample"), "rec", "population"), samples, sites, digits)
+
+
+def every_site(counts: DataFrame, samples: DataFrame, sites: DataFrame, digits: int | None = None) -> DataFrame:
+    """What population_site_stats gives, from the counts of each (rec, population) that has calls."""
     names = [r[0] for r in samples.select("population").distinct().orderBy("population").limit(MOST_POPULATIONS + 1).collect()]
     if len(names) > MOST_POPULATIONS:
         raise ValueError(f"more than {MOST_POPULATIONS} populations")
     every = sites.withColumn("population", F.explode(F.array(*map(F.lit, names)))) if names else sites.withColumn("population", F.lit("")).limit(0)
-    counts = _counted(calls.join(samples, "sample"), "rec", "population")
     out = every.join(counts, ["rec", "population"], "left").fillna(0, list(g.COUNTS))
     return out.select(*sites.columns, "population", *g.COUNTS, *heterozygosity(digits))
 

@@ -180,3 +180,42 @@ def test_registered_query_leaves_a_new_folder_and_the_settings_alone(spark, sf,
     assert one.inputFiles() and not set(one.inputFiles()) & set(two.inputFiles())
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
     assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.sources.partitionOverwriteMode"))
+
+
+def test_calls_travel_once_and_those_of_a_record_lie_together(spark, sf, tmp_path):
+    from locusflow.plans import derived as v
+
+    plan = v.classified(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # One exchange for the calls and one for the sites, and only the rows that stay are sorted.
+    assert plan.count("Exchange ") == 2 and plan.count("Exchange hashpartitioning(rec#") == 1 and plan.count("Sort [") == 1
+    name, out = "spark.sql.adaptive.coalescePartitions.enabled", str(tmp_path / "out")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        cohort_release.run(spark, sf, out)
+    finally:
+        spark.conf.set(name, before)
+    calls = spark.read.schema(cohort_release.CALLS).parquet(f"{out}/calls")
+    assert calls.select(F.input_file_name()).distinct().count() > 1
+    assert calls.select("rec", F.input_file_name()).distinct().count() == calls.select("rec").distinct().count() > 50
+
+
+def test_release_with_repeated_samples_and_populations_without_a_name(spark, tmp_path):
+    import duckdb
+
+    sf, tables = "/root/testdata/sf0.01", str(tmp_path / "in")
+    copy_tables(spark, sf, str(tmp_path / "whole"))
+    for name in ("part", "nation", "lineitem"):
+        os.makedirs(tables, exist_ok=True)
+        os.symlink(tmp_path / "whole" / f"{name}.parquet", f"{tables}/{name}.parquet")
+    supplier, region = table(spark, sf, "supplier"), table(spark, sf, "region")
+    again = supplier.where("s_suppkey < 30").withColumn("s_nationkey", (F.col("s_nationkey") + F.col("s_suppkey") % 2) % 25)
+    supplier.unionByName(again).coalesce(1).write.parquet(f"{tables}/supplier.parquet")
+    region.withColumn("r_name", F.when(F.col("r_regionkey") != 2, F.col("r_name"))).coalesce(1).write.parquet(f"{tables}/region.parquet")
+    got = cohort_release.run(spark, tables, str(tmp_path / "out"))
+    with duckdb.connect() as db:
+        for name in ("part", "nation", "lineitem", "supplier", "region"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tables}/{name}.parquet/*.parquet')")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({cohort_release.JOB2_SQL})").fetchall()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and len(want) > 500
