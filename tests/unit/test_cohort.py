@@ -271,6 +271,26 @@ def test_tiles_of_words_keep_ties_with_the_threshold_and_travel_little(spark):
     assert kin._blocks((615_384, True, 64), None) <= 64
 
 
+def test_pairs_leave_in_runs_that_take_little_room_in_files(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.choice(4, (2500, 64), p=[0.24, 0.5, 0.24, 0.02])
+    packed = packed_doses(spark, x, 64).repartition(4)
+    pairs = kin.king_of_packed(packed, 0.0884, 1250, 9)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    n = runs = falls = 0
+    for _, part in pairs.withColumn("p", F.spark_partition_id()).toPandas().groupby("p", sort=False):
+        a, phi = part["a"].to_numpy(), part["kinship"].to_numpy()
+        same = a[1:] == a[:-1]
+        n, runs, falls = n + len(a), runs + 1 + (~same).sum(), falls + (same & (phi[1:] < phi[:-1])).sum()
+    # A sample is the smaller one in a run for each tile of its block at most, and kinship goes up in a run.
+    assert n > 500_000 and runs <= 2500 * 2 and not falls
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 3.1 * n
+    want = {(r["a"], r["b"]): (r["nsnp"], r["kinship"]) for r in kin.king_of_packed(packed, 0.0884, 700, 9).collect()}
+    assert len(want) == n and {(r["a"], r["b"]): (r["nsnp"], r["kinship"]) for r in spark.read.parquet(f"{tmp_path}/pairs").collect()} == want
+    # Blocks are as few as a task's work and the cores allow.
+    assert kin._blocks((51_282, True, 64), None, 8) == 12 and kin._blocks((615_384, True, 64), None, 12) == 54
+
+
 @pytest.mark.parametrize("width", [64, 32])
 def test_related_samples_are_decided_without_the_pairs_of_those_that_went(spark, monkeypatch, width):
     rng = np.random.default_rng(4)
